@@ -33,6 +33,12 @@ def op6_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_deep_shallow_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_dedup
+
+    return suffix_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -46,6 +52,6 @@ def op10_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_rans_token_files, op6_streaming_bpe, op9_language_id, op10_suffix_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_rans_token_files, op6_streaming_bpe, op8_deep_shallow_dedup, op9_language_id, op10_suffix_decontamination)}
 
 ORACLES: dict[str, str] = {}
