@@ -21,6 +21,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import itq_dedup
+
+    return itq_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op4_divide_skip_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard_join
+
+    return jaccard_join.similar(_table(spark, sf_dir, "documents"), size=3, num=90, den=100).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op5_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import rans
 
@@ -52,6 +64,6 @@ def op10_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_rans_token_files, op6_streaming_bpe, op8_deep_shallow_dedup, op9_language_id, op10_suffix_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_itq_near_dedup, op4_divide_skip_join, op5_rans_token_files, op6_streaming_bpe, op8_deep_shallow_dedup, op9_language_id, op10_suffix_decontamination)}
 
 ORACLES: dict[str, str] = {}
