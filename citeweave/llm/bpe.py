@@ -28,6 +28,7 @@ import hashlib
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -70,7 +71,10 @@ class MergeList:
         self.byte_ids = [ids[c] for c, _ in sorted(of.items(), key=lambda kv: kv[1])]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.merges = [(ids[a], ids[b], ids[a + b]) for a, b in pairs]
-        self.rank = {(a, b): (k, c) for k, (a, b, c) in enumerate(self.merges)}
+        self.wholes = [c for _, _, c in self.merges]
+        self.follow: list[dict[int, int]] = [{} for _ in range(size)]
+        for k, (a, b, _) in enumerate(self.merges):
+            self.follow[a].setdefault(b, k)
         self.lookahead = sufficient_lookahead(self.merges, [len(b) for b in self.token_bytes])
 
 
@@ -85,36 +89,44 @@ def sufficient_lookahead(merges: list[tuple[int, int, int]], lengths: list[int])
     return max(map(max, formed, taken), default=0)
 
 
-def merge_window(ids: list[int], rank: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """All merges over a window of ids, lowest rank first and leftmost first within a rank."""
+_NEVER = 1 << 30
+
+
+def merge_window(ids: list[int], follow: list[dict[int, int]], wholes: list[int]) -> list[int]:
+    """All merges over a window of ids, lowest rank first and leftmost first within a rank.
+
+    ``follow[a].get(b)`` is the rank of merging a and b, ``wholes[rank]`` the result.
+    """
     n = len(ids)
     if n < 2:
         return ids
-    if n <= 24:
-        ids = ids[:]
-        while len(ids) > 1:
-            found = [(x[0], k) for k in range(len(ids) - 1) if (x := rank.get((ids[k], ids[k + 1])))]
-            if not found:
-                break
-            _, k = min(found)
-            ids[k : k + 2] = [rank[ids[k], ids[k + 1]][1]]
+    if n <= 64:
+        ranks = [follow[a].get(b, _NEVER) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks and (rank := min(ranks)) != _NEVER:
+            k = ranks.index(rank)
+            ids[k] = whole = wholes[rank]
+            del ids[k + 1], ranks[k]
+            if k < len(ranks):
+                ranks[k] = follow[whole].get(ids[k + 1], _NEVER)
+            if k:
+                ranks[k - 1] = follow[ids[k - 1]].get(whole, _NEVER)
         return ids
-    ids, after, before = ids[:], [*range(1, n + 1)], [*range(-1, n - 1)]
-    heap = [(x[0], k, ids[k], ids[k + 1], x[1]) for k in range(n - 1) if (x := rank.get((ids[k], ids[k + 1])))]
+    after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+    heap = [(r, k, ids[k], ids[k + 1]) for k in range(n - 1) if (r := follow[ids[k]].get(ids[k + 1])) is not None]
     heapq.heapify(heap)
     while heap:
-        _, k, a, b, whole = heapq.heappop(heap)
+        rank, k, a, b = heapq.heappop(heap)
         j = after[k] if ids[k] >= 0 else n
         if j >= n or ids[k] != a or ids[j] != b:
             continue
-        ids[k], ids[j] = whole, -1
+        ids[k], ids[j] = (whole := wholes[rank]), -1
         after[k] = m = after[j]
         if m < n:
             before[m] = k
-            if x := rank.get((whole, ids[m])):
-                heapq.heappush(heap, (x[0], k, whole, ids[m], x[1]))
-        if (p := before[k]) >= 0 and (x := rank.get((ids[p], whole))):
-            heapq.heappush(heap, (x[0], p, ids[p], whole, x[1]))
+            if (r := follow[whole].get(ids[m])) is not None:
+                heapq.heappush(heap, (r, k, whole, ids[m]))
+        if (p := before[k]) >= 0 and (r := follow[ids[p]].get(whole)) is not None:
+            heapq.heappush(heap, (r, p, ids[p], whole))
     return [t for t in ids if t >= 0]
 
 
@@ -141,7 +153,7 @@ class Encoder:
         del self.held[:done]
 
     def _merged(self) -> list[int]:
-        return merge_window([self.merges.byte_ids[b] for b in self.held], self.merges.rank)
+        return merge_window([self.merges.byte_ids[b] for b in self.held], self.merges.follow, self.merges.wholes)
 
     def finish(self) -> list[int]:
         rest = self._merged()
@@ -149,6 +161,8 @@ class Encoder:
         return rest
 
     def piece(self, data: bytes) -> list[int]:
+        if len(data) < self.window:  # never leaves the window
+            return merge_window([*map(self.merges.byte_ids.__getitem__, data)], self.merges.follow, self.merges.wholes)
         return [*self.feed(data), *self.finish()]
 
 
@@ -177,33 +191,28 @@ def space_pieces(text: str) -> list[str] | None:
     return [first, *map(" ".__add__, rest)] if first else [" " + w for w in rest]
 
 
-class PieceCache:
-    """Token ids of pieces as packed bytes; at most CACHE_ENTRIES are remembered."""
-
-    def __init__(self, compute, kind: str):
-        self.compute, self.kind, self.known = compute, kind, {}
-
-    def __call__(self, piece: str) -> bytes:
-        if (found := self.known.get(piece)) is None:
-            found = np.array(self.compute(piece), self.kind).tobytes()
-            if len(self.known) < CACHE_ENTRIES and len(piece) < 64:
-                self.known[piece] = found
-        return found
-
-
 class TextEncoder:
-    """Whole texts to ids: special tokens, then pieces, then a function for each piece."""
+    """Whole texts to ids: special tokens, then pieces, then a function for each piece.
+
+    At most CACHE_ENTRIES chunks between spaces are remembered, as packed ids.
+    """
 
     def __init__(self, special: dict[str, int], size: int, piece_ids):
-        self.kind = "<u2" if size <= 1 << 16 else "<u4"
-        pattern = regex.compile(PIECES)
-        self.split = pattern.findall
-        single = PieceCache(piece_ids, self.kind)
-        self.piece = single
-        self.chunk = PieceCache(lambda chunk: [k for p in self.split(chunk) for k in np.frombuffer(single(p), self.kind)], self.kind)
-        self.special = special
+        self.kind, self.code = ("<u2", "H") if size <= 1 << 16 else ("<u4", "I")
+        self.split, self.piece_ids, self.special = regex.compile(PIECES).findall, piece_ids, special
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.marks = tuple(special)
+        self.known: dict[str, bytes] = {}
+
+    def chunk(self, chunk: str) -> bytes:
+        """Packed ids of a part of a text that the pattern never joins with its neighbours."""
+        if chunk.isascii() and chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
+            found = array(self.code, self.piece_ids(chunk)).tobytes()
+        else:
+            found = array(self.code, [k for p in self.split(chunk) for k in self.piece_ids(p)]).tobytes()
+        if len(self.known) < CACHE_ENTRIES and len(chunk) < 64:
+            self.known[chunk] = found
+        return found
 
     def ids(self, text: str) -> np.ndarray:
         if any(m in text for m in self.marks):
@@ -211,16 +220,15 @@ class TextEncoder:
         else:
             parts = [text]
         out: list[bytes] = []
+        known = self.known.get
         for k, part in enumerate(parts):
             if k % 2:
-                out.append(np.array([self.special[part]], self.kind).tobytes())
+                out.append(array(self.code, [self.special[part]]).tobytes())
             elif part:
                 chunks = space_pieces(part)
-                known = self.chunk.known.get
                 if chunks is None:
-                    out += map(self.piece, self.split(part))
-                else:
-                    out += [f if (f := known(c)) is not None else self.chunk(c) for c in chunks]
+                    chunks = self.split(part)
+                out += [f if (f := known(c)) is not None else self.chunk(c) for c in chunks]
         return np.frombuffer(b"".join(out), self.kind)
 
 
