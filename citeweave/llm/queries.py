@@ -27,6 +27,12 @@ def op2_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    return warc.archived(_table(spark, sf_dir, "pages"))
+
+
 def op4_divide_skip_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import jaccard_join
 
@@ -64,6 +70,18 @@ def op10_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_itq_near_dedup, op4_divide_skip_join, op5_rans_token_files, op6_streaming_bpe, op8_deep_shallow_dedup, op9_language_id, op10_suffix_decontamination)}
-
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_itq_near_dedup, op3_warc_capture_index, op4_divide_skip_join, op5_rans_token_files, op6_streaming_bpe, op8_deep_shallow_dedup, op9_language_id, op10_suffix_decontamination)}
+
+ORACLES: dict[str, str] = {
+    "op3_warc_capture_index": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+        ), f AS (
+            SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest
+        )
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+        FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
+    """,
+}
