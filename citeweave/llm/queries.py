@@ -21,6 +21,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.severity(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op2_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import itq_dedup
 
@@ -51,6 +58,13 @@ def op6_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import weak_label
+
+    docs = _table(spark, sf_dir, "documents")
+    return weak_label.score(docs, weak_label.fit(docs))
+
+
 def op8_deep_shallow_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import suffix_dedup
 
@@ -70,7 +84,7 @@ def op10_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_itq_near_dedup, op3_warc_capture_index, op4_divide_skip_join, op5_rans_token_files, op6_streaming_bpe, op8_deep_shallow_dedup, op9_language_id, op10_suffix_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ordinal_toxicity, op2_itq_near_dedup, op3_warc_capture_index, op4_divide_skip_join, op5_rans_token_files, op6_streaming_bpe, op7_weak_label_quality, op8_deep_shallow_dedup, op9_language_id, op10_suffix_decontamination)}
 
 ORACLES: dict[str, str] = {
     "op3_warc_capture_index": """
