@@ -494,18 +494,29 @@ def cut_text(raw: bytes, cut: list[tuple[int, int]]) -> str:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """(id, text) of every document that has text left, repeated strings removed; ids must not be null."""
+    """The documents that have text left, repeated strings removed, with all their columns.
+
+    Rows without an id stay as they are; of rows that repeat an id, all get the
+    other columns of one of them.
+    """
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    rest = docs.select(F.col(id_col).cast("long").alias("doc"), F.struct(F.lit(0).alias("_"), *others).alias("rest")).where(F.col("doc").isNotNull()).dropDuplicates(["doc"])
+    rows = marked(docs, id_col, text_col, length).join(rest, "doc").select("doc", "text", "copy", "marks", "rest")
 
     def run(batches):
         for batch in batches:
-            ids, out = [], []
-            for doc, text, copy, chunks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out, on = [], []
+            for k, (text, copy, chunks) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:4]), strict=True)):
                 raw = text.encode()
                 cut = [(0, len(raw))] if copy else merged_spans(chunks, len(raw))
                 left = cut_text(raw, cut) if cut else text
                 if left.strip() or not cut:
-                    ids.append(doc)
+                    on.append(k)
                     out.append(left)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["doc", "text"])
+            at = pa.array(on, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(out, pa.string()), batch.column(4).take(at)], names=["doc", "text", "rest"])
 
-    return marked(docs, id_col, text_col, length).mapInArrow(run, "doc long, text string").withColumnsRenamed({"doc": id_col, "text": text_col})
+    kept = rows.mapInArrow(run, rows.select("doc", "text", "rest").schema)
+    named = {id_col: F.col("doc").cast(docs.schema[id_col].dataType), text_col: F.col("text")}
+    columns = [(named[c] if c in named else F.col("rest")[c]).alias(c) for c in docs.columns]
+    return kept.select(*columns).unionByName(docs.where(F.col(id_col).isNull()))
