@@ -28,7 +28,6 @@ import hashlib
 import heapq
 import json
 import re
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -37,15 +36,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text_blocks import blocks
+from .text_blocks import blocks, prefix_hashes, span_hashes
 
 # Fixed value: the splitting pattern of byte-level vocabularies.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-CACHE_ENTRIES = 300_000
-_OTHER_SPACE = re.compile("[\t-\r\x1c-\x1f\x85\xa0  -     　] ")
-_INNER_SPACE = re.compile(r"\s (?:\s|\Z)")
-
+CACHE_ENTRIES = 400_000
 
 def byte_alphabet() -> dict[str, int]:
     """The printable characters that stand for bytes in byte-level vocabularies."""
@@ -75,9 +71,21 @@ class MergeList:
         self.follow: list[dict[int, int]] = [{} for _ in range(size)]
         for k, (a, b, _) in enumerate(self.merges):
             self.follow[a].setdefault(b, k)
+        self.byte_count = np.array([len(b) for b in self.token_bytes], np.int64)
+        self.byte_start = np.cumsum(self.byte_count) - self.byte_count
+        self.all_bytes = np.frombuffer(b"".join(self.token_bytes), np.uint8)
         self.lookahead = sufficient_lookahead(self.merges, [len(b) for b in self.token_bytes])
 
 
+    def joined(self, ids: np.ndarray) -> bytes:
+        """The bytes of tokens, one after another."""
+        count = self.byte_count[ids]
+        total = np.cumsum(count)
+        if not len(ids):
+            return b""
+        return self.all_bytes[np.repeat(self.byte_start[ids] - (total - count), count) + np.arange(int(total[-1]))].tobytes()
+
+
 def sufficient_lookahead(merges: list[tuple[int, int, int]], lengths: list[int]) -> int:
     """Bytes past a token's end after which it is stable under this merge list."""
     formed = [0] * len(lengths)  # bytes past a token's end that decide whether it is formed
@@ -170,31 +178,33 @@ class Decoder:
     """Tokens in, text out; holds the bytes of at most one unfinished character."""
 
     def __init__(self, merges: MergeList):
-        self.token_bytes, self.machine = merges.token_bytes, codecs.getincrementaldecoder("utf-8")("replace")
+        self.merges, self.machine = merges, codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, ids: Iterable[int]) -> str:
-        return self.machine.decode(b"".join(map(self.token_bytes.__getitem__, ids)))
+    def feed(self, ids: np.ndarray) -> str:
+        return self.machine.decode(self.merges.joined(ids))
 
     def finish(self) -> str:
         return self.machine.decode(b"", True)
 
 
-def space_pieces(text: str) -> list[str] | None:
-    """Cut a text before single spaces where the pattern always cuts too; None where that isn't sure.
+def _byte_set(*values: int) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(values)] = True
+    return out
 
-    A space ends the piece before it unless it stands inside a longer run of
-    white space and does not precede a word.
-    """
-    if ("  " in text or _OTHER_SPACE.search(text)) and _INNER_SPACE.search(text):
-        return None
-    first, *rest = text.split(" ")
-    return [first, *map(" ".__add__, rest)] if first else [" " + w for w in rest]
+
+_ASCII_SPACE = (9, 10, 11, 12, 13, 28, 29, 30, 31, 32)
+# last and first bytes that white space may have in UTF-8
+_MAY_END_SPACE = _byte_set(*_ASCII_SPACE, *range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF)
+_MAY_BEGIN_SPACE = _byte_set(*_ASCII_SPACE, 0xC2, 0xE1, 0xE2, 0xE3)
+_LONGEST = 1 << 24
 
 
 class TextEncoder:
-    """Whole texts to ids: special tokens, then pieces, then a function for each piece.
+    """Whole texts to ids: special tokens, then chunks between spaces, then a function for each piece.
 
-    At most CACHE_ENTRIES chunks between spaces are remembered, as packed ids.
+    The ids of the CACHE_ENTRIES chunks seen first stand in a hash table that is
+    probed for a whole block of texts at once; chunks are known by a 64-bit hash.
     """
 
     def __init__(self, special: dict[str, int], size: int, piece_ids):
@@ -202,34 +212,108 @@ class TextEncoder:
         self.split, self.piece_ids, self.special = regex.compile(PIECES).findall, piece_ids, special
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.marks = tuple(special)
-        self.known: dict[str, bytes] = {}
-
-    def chunk(self, chunk: str) -> bytes:
-        """Packed ids of a part of a text that the pattern never joins with its neighbours."""
+        self.mark_bytes = _byte_set(*{m.encode()[0] for m in special if m})
+        self.slots = 1 << 20
+        self.keys = np.zeros(self.slots, np.uint64)
+        self.where, self.sizes = np.zeros(self.slots, np.int64), np.zeros(self.slots, np.int64)
+        self.entries, self.pool = 0, np.zeros(0, self.kind)
+
+    def chunk(self, chunk: str) -> list[int]:
+        """Ids of a part of a text that the pattern never joins with its neighbours."""
         if chunk.isascii() and chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
-            found = array(self.code, self.piece_ids(chunk)).tobytes()
-        else:
-            found = array(self.code, [k for p in self.split(chunk) for k in self.piece_ids(p)]).tobytes()
-        if len(self.known) < CACHE_ENTRIES and len(chunk) < 64:
-            self.known[chunk] = found
-        return found
+            return self.piece_ids(chunk)
+        return [k for p in self.split(chunk) for k in self.piece_ids(p)]
 
     def ids(self, text: str) -> np.ndarray:
-        if any(m in text for m in self.marks):
-            parts = self.cut.split(text)
-        else:
-            parts = [text]
-        out: list[bytes] = []
-        known = self.known.get
-        for k, part in enumerate(parts):
+        """One text's ids, piece by piece."""
+        out: list[int] = []
+        for k, part in enumerate(self.cut.split(text) if any(m in text for m in self.marks) else [text]):
             if k % 2:
-                out.append(array(self.code, [self.special[part]]).tobytes())
-            elif part:
-                chunks = space_pieces(part)
-                if chunks is None:
-                    chunks = self.split(part)
-                out += [f if (f := known(c)) is not None else self.chunk(c) for c in chunks]
-        return np.frombuffer(b"".join(out), self.kind)
+                out.append(self.special[part])
+            else:
+                for piece in self.split(part):
+                    out += self.piece_ids(piece)
+        return np.array(out, self.kind)
+
+    def block_ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a block and the offsets of each text's ids."""
+        rows = len(offsets) - 1
+        if len(data) > _LONGEST:
+            each = [self.ids(data[offsets[k] : offsets[k + 1]].tobytes().decode()) for k in range(rows)]
+            return np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
+        space = data == 32
+        begins = space.copy()
+        begins[offsets[:-1][offsets[:-1] < len(data)]] = True
+        starts = np.flatnonzero(begins)
+        if not len(starts):
+            return np.zeros(0, self.kind), np.zeros(rows + 1, np.int64)
+        ends = np.append(starts[1:], len(data))
+        hashes = span_hashes(prefix_hashes(data), starts, ends) | np.uint64(1)
+        where, sizes, found = self._probe(hashes)
+        pool = self.pool
+        if not found.all():
+            missing, first, inverse = np.unique(hashes[~found], return_index=True, return_inverse=True)
+            at = np.flatnonzero(~found)
+            new = [self.chunk(data[starts[k] : ends[k]].tobytes().decode()) for k in at[first].tolist()]
+            count = np.array([len(x) for x in new], np.int64)
+            place = len(pool) + np.cumsum(count) - count
+            pool = np.concatenate([pool, np.fromiter((t for x in new for t in x), self.kind, int(count.sum()))])
+            where[at], sizes[at] = place[inverse], count[inverse]
+            if self.entries < CACHE_ENTRIES:
+                self._insert(missing, place, count)
+                self.pool = pool
+        total = np.cumsum(sizes)
+        flat = pool[np.repeat(where - (total - sizes), sizes) + np.arange(int(total[-1]))]
+        bounds = np.concatenate([[0], total])[np.searchsorted(starts, offsets)]
+        odd = self._odd_rows(data, offsets, space)
+        if not len(odd):
+            return flat, bounds
+        parts, sizes = [], np.diff(bounds)
+        for k in range(rows):
+            part = flat[bounds[k] : bounds[k + 1]]
+            if k in odd:
+                part = self.ids(data[offsets[k] : offsets[k + 1]].tobytes().decode())
+                sizes[k] = len(part)
+            parts.append(part)
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])
+
+    def _odd_rows(self, data, offsets, space) -> set[int]:
+        """Rows with a special token or with a space inside a run of white space: those need the whole pattern."""
+        if not len(data):
+            return set()
+        at = np.flatnonzero(space)
+        after = np.append(_MAY_BEGIN_SPACE[data], True)[at + 1]
+        after |= np.isin(at + 1, offsets)
+        before = np.append(False, _MAY_END_SPACE[data])[at]
+        rows = set((np.searchsorted(offsets, at[before & after], "right") - 1).tolist())
+        marked = np.flatnonzero(self.mark_bytes[data]) if self.marks else []
+        for k in set((np.searchsorted(offsets, marked, "right") - 1).tolist()):
+            text = data[offsets[k] : offsets[k + 1]].tobytes()
+            if any(m.encode() in text for m in self.marks):
+                rows.add(k)
+        return rows
+
+    def _probe(self, hashes: np.ndarray):
+        where, sizes = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        found = np.zeros(len(hashes), bool)
+        slot = (hashes >> np.uint64(44)).astype(np.int64)
+        on = np.arange(len(hashes))
+        while len(on):
+            key = self.keys[slot]
+            hit = key == hashes[on]
+            where[on[hit]], sizes[on[hit]] = self.where[slot[hit]], self.sizes[slot[hit]]
+            found[on[hit]] = True
+            more = ~hit & (key != 0)
+            on, slot = on[more], (slot[more] + 1) & (self.slots - 1)
+        return where, sizes, found
+
+    def _insert(self, hashes, place, count) -> None:
+        for h, w, n in zip(hashes.tolist(), place.tolist(), count.tolist(), strict=True):
+            slot = h >> 44
+            while self.keys[slot]:
+                slot = (slot + 1) & (self.slots - 1)
+            self.keys[slot], self.where[slot], self.sizes[slot] = h, w, n
+        self.entries += len(hashes)
 
 
 def read_vocabulary(path: str) -> str:
@@ -253,7 +337,7 @@ def _transducer(vocabulary: str) -> tuple[MergeList, TextEncoder]:
 def decoded_text(ids: np.ndarray, merges: MergeList, step: int = 1 << 16) -> Iterator[str]:
     machine = Decoder(merges)
     for at in range(0, len(ids), step):
-        yield machine.feed(ids[at : at + step].tolist())
+        yield machine.feed(ids[at : at + step])
     yield machine.finish()
 
 
@@ -264,10 +348,10 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
     def run(batches):
         _, texts = _transducer(shared.value)
         for batch in batches:
-            for a, b, _, _ in blocks(batch.column(1)):
-                part = batch.slice(a, b - a)
-                packed = [texts.ids(t or "").astype("<u4").tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["id", "ids"])
+            for a, b, data, offsets in blocks(batch.column(1)):
+                ids, at = texts.block_ids(data, offsets)
+                packed = [ids[x:y].astype("<u4").tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(packed, pa.binary())], names=["id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
@@ -294,18 +378,17 @@ def round_trip(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", te
     def run(batches):
         merges, texts = _transducer(shared.value)
         for batch in batches:
-            for a, b, _, _ in blocks(batch.column(1)):
-                part = batch.slice(a, b - a)
-                counts, of_ids, of_text = [], [], []
-                for text in part.column(1).to_pylist():
-                    ids = texts.ids(text or "")
-                    counts.append(len(ids))
+            for a, b, data, offsets in blocks(batch.column(1)):
+                flat, at = texts.block_ids(data, offsets)
+                counts, of_ids, of_text = np.diff(at), [], []
+                for x, y in zip(at[:-1], at[1:], strict=True):
+                    ids = flat[x:y]
                     of_ids.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                     digest = hashlib.sha256()
                     for piece in decoded_text(ids, merges):
                         digest.update(piece.encode())
                     of_text.append(digest.hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"

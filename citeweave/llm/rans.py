@@ -154,22 +154,47 @@ def _library_encoder(vocabulary: str) -> TextEncoder:
     return _encoders[key]
 
 
+def range_bounds(docs: DataFrame, id_col: str) -> np.ndarray:
+    """The smallest id of each of about as many ranges as there are shuffle partitions; reads ids alone."""
+    spark = docs.sparkSession
+    ranges = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").repartitionByRange(partitions(spark), "doc_id")
+    rows = ranges.groupBy(F.spark_partition_id().alias("part")).agg(F.min("doc_id").alias("first")).toPandas()
+    return np.sort(rows["first"].to_numpy(np.int64))
+
+
 def tokenize(docs: DataFrame, vocabulary_path: str, end_id: int | None, id_col: str, text_col: str) -> DataFrame:
-    """(part, doc_id, n, ids): texts in ascending id order over range partitions, end id appended."""
+    """(part, doc_id, n, ids): each text's packed ids with the end id, and the range of ids it belongs to.
+
+    Texts are encoded where they are read; only packed ids are ever moved.
+    """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(read_vocabulary(vocabulary_path))
-    tail = np.array([] if end_id is None else [end_id], "<u4")
+    shared = spark.sparkContext.broadcast((read_vocabulary(vocabulary_path), range_bounds(docs, id_col)))
+    tail = [] if end_id is None else [end_id]
 
     def run(batches):
-        encoder = _library_encoder(shared.value)
+        vocabulary, bounds = shared.value
+        encoder = _library_encoder(vocabulary)
+        kind = encoder.kind if max(tail, default=0) < 1 << 16 else "<u4"
+        end = np.array(tail, kind)
         for batch in batches:
-            for a, b, _, _ in blocks(batch.column(1)):
-                part = batch.slice(a, b - a)
-                ids = [np.concatenate([encoder.ids(t or "").astype("<u4"), tail]) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "n", "ids"])
+            doc = np.asarray(batch.column(0).fill_null(_no_id()))
+            parts = np.maximum(0, np.searchsorted(bounds, doc, "right") - 1).astype(np.int32)
+            for a, b, data, offsets in blocks(batch.column(1)):
+                flat, at = encoder.block_ids(data, offsets)
+                ids = [np.concatenate([flat[x:y].astype(kind), end]) for x, y in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(parts[a:b]), batch.column(0).slice(a, b - a), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["part", "doc_id", "n", "ids"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "part int, doc_id long, n long, ids binary")
+
+
+def unpack(ids: bytes, n: int) -> np.ndarray:
+    """Ids packed in two or four bytes each, as unsigned 32-bit integers."""
+    return np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4")
+
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
-    return ordered.mapInArrow(run, "doc_id long, n long, ids binary").withColumn("part", F.spark_partition_id())
+def _no_id() -> int:
+    return _NO_ID
 
 
 def count_ids(tokens: DataFrame) -> FrequencyTable:
@@ -178,15 +203,15 @@ def count_ids(tokens: DataFrame) -> FrequencyTable:
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for value in batch.column(0).to_pylist():
-                seen = np.bincount(np.frombuffer(value, "<u4"))
+            for n, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen = np.bincount(unpack(value, n))
                 if len(seen) > len(total):
                     total = np.pad(total, (0, len(seen) - len(total)))
                 total[: len(seen)] += seen
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = tokens.select("n", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     return FrequencyTable(rows["id"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
 
 
@@ -222,7 +247,7 @@ def write_files(tokens: DataFrame, path: str) -> None:
                     yield out(record(b"RTB1", packed))
                 rows.append((_NO_ID if doc is None else doc, doc_at, n))
                 doc_at += n
-                waiting.append(np.frombuffer(value, "<u4"))
+                waiting.append(unpack(value, n))
                 size += n
                 if size >= BLOCK_TOKENS:
                     ids = np.concatenate(waiting)

@@ -38,7 +38,7 @@ def settle(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write a table to shared storage and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
