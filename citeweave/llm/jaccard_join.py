@@ -17,6 +17,9 @@ fixed ranking gives whole results, a good one gives short lists.
    within one component excepted, since those change nothing.
 
 Comparisons probe the sorted set of one class for each shingle of the other.
+Before that, a parity sketch of about one bit per shingle rules most pairs out
+for certain: each bit in which two sketches differ is a shingle only one has.
+Lists of more than ``BLOCK`` classes are searched as pairs of blocks.
 
 Cases: text without words, null text included, has the empty set and links
 with nothing; fewer words than n-grams need are one shingle together; equal
@@ -44,6 +47,7 @@ FREQUENT = 1 << 16
 FREQUENT_PER_CHUNK = 4096
 CHUNK = 1 << 20
 FILTER_WORDS = 1 << 17
+BLOCK = 1024
 
 # Word bytes: everything but \x20 and \x09-\x0D, after folding A-Z.
 _IS_WORD = np.ones(256, bool)
@@ -77,6 +81,28 @@ def class_of(grams: np.ndarray) -> int:
     return int(mix(np.array([mix(grams).sum(dtype=U64) + U64(len(grams))], U64))[0] >> U64(1))
 
 
+def sketch_of(grams: np.ndarray) -> bytes:
+    """Parities of the numbers of shingles in 2**k buckets, 2**k being n or a bit more, 64 at least."""
+    bits = max(64, 1 << int(len(grams) - 1).bit_length()) if len(grams) else 64
+    odd = np.bincount((grams & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches of a smaller power of two of buckets, from 64-bit words in rows."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def may_link(x: bytes, nx: int, y: bytes, ny: int, num: int, den: int) -> bool:
+    """False only if the sketches prove that two sets do not reach the similarity."""
+    words = min(len(x), len(y)) // 8
+    a, b = (folded(np.frombuffer(v, U64)[None, :], words) for v in (x, y))
+    return (den + num) * int(np.bitwise_count(a ^ b).sum()) <= (den - num) * (nx + ny)
+
+
 def needed(n: int, num: int, den: int) -> int:
     """The least overlap of a set of n shingles with any partner."""
     return -(-num * n // den)
@@ -127,7 +153,7 @@ def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
 
 
 def _classes(size: int):
-    """(kind 0: id position, class, n; kind 1: frequent shingle, count) from one pass over the texts."""
+    """(kind 0: id, class, n, sketch of a class new to the task; kind 1: frequent shingle, count) from one pass over the texts."""
 
     def run(batches):
         seen, waiting, held = set(), [], 0
@@ -140,20 +166,22 @@ def _classes(size: int):
             top = np.argsort(-counts, kind="stable")[:FREQUENT_PER_CHUNK]
             top = top[counts[top] >= 4]
             n = len(top)
-            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(values[top].view(np.int64)), pa.array(counts[top], pa.int64()), pa.array(np.ones(n), pa.int32())], names=["id", "value", "n", "kind"])
+            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(values[top].view(np.int64)), pa.array(counts[top], pa.int64()), pa.array(np.ones(n), pa.int32()), pa.nulls(n, pa.binary())], names=["id", "value", "n", "kind", "sketch"])
 
         for batch in batches:
             ids = batch.column(0)
             for a, b, data, offsets in blocks(batch.column(1)):
-                names, sizes = [], []
+                names, sizes, sketches = [], [], []
                 for grams in shingle_sets(data, offsets, size):
                     names.append(class_of(grams))
                     sizes.append(len(grams))
+                    sketches.append(None)
                     if len(grams) and names[-1] not in seen:
                         seen.add(names[-1])
                         waiting.append(grams)
                         held += len(grams)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.zeros(b - a), pa.int32())], names=["id", "value", "n", "kind"])
+                        sketches[-1] = sketch_of(grams)
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.zeros(b - a), pa.int32()), pa.array(sketches, pa.binary())], names=["id", "value", "n", "kind", "sketch"])
                 if held >= CHUNK:
                     yield frequent()
                     waiting, held = [], 0
@@ -261,8 +289,115 @@ def _verify(num: int, den: int):
     return run
 
 
-def compare(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _screen(num: int, den: int):
+    def run(batches):
+        for batch in batches:
+            keep = [may_link(x, nx, y, ny, num, den) for x, nx, y, ny in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def screened(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of the pairs of classes that their sketches do not rule out."""
+    side = lambda c: classes.select(F.col("cls").alias(c), F.col("sketch").alias(f"sketch_{c}"), F.col("n").alias(f"n_{c}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "n_a", "sketch_b", "n_b")
+    return rows.mapInArrow(_screen(num, den), "a long, b long")
+
+
+def _within_lists(num: int, den: int):
+    """Pairs across components of one list, or of two blocks of it, that sketches do not rule out."""
+
+    def pairs(frame):
+        cls, n, component, block = (frame[c].to_numpy() for c in ("cls", "n", "component", "block"))
+        first, second = int(frame["first"].iloc[0]), int(frame["second"].iloc[0])
+        words = np.array([len(x) // 8 for x in frame["sketch"]])
+        kinds = np.unique(words).tolist()
+        rows = {w: np.flatnonzero(words == w) for w in kinds}
+        bits = {w: np.frombuffer(b"".join(frame["sketch"].iloc[k] for k in rows[w]), U64).reshape(-1, w) for w in kinds}
+        out = set()
+        for w in kinds:
+            for v in (w, 2 * w):
+                if v not in rows:
+                    continue
+                x, y, big = rows[w], rows[v], folded(bits[v], w)
+                for at in range(0, len(x), 256):
+                    i = x[at : at + 256]
+                    total = n[i][:, None] + n[y][None, :]
+                    close = den * np.minimum(n[i][:, None], n[y][None, :]) >= num * np.maximum(n[i][:, None], n[y][None, :])
+                    close &= component[i][:, None] != component[y][None, :]
+                    if first != second:
+                        close &= block[i][:, None] != block[y][None, :]
+                    a, b = np.nonzero(close)
+                    for k in range(0, len(a), 1 << 14):
+                        p, q = a[k : k + (1 << 14)], b[k : k + (1 << 14)]
+                        differ = np.bitwise_count(bits[w][at + p] ^ big[q]).sum(1, dtype=np.int64)
+                        ok = (den + num) * differ <= (den - num) * total[p, q]
+                        out |= {(int(min(s, t)), int(max(s, t))) for s, t in zip(cls[i[p[ok]]], cls[y[q[ok]]], strict=True)}
+        return out
+
+    def run(batches):
+        import pandas as pd
+
+        key, held, done = None, [], set()
+
+        def flush():
+            fresh = pairs(pd.concat(held) if len(held) > 1 else held[0]) - done
+            done.update(fresh)
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in fresh], pa.int64()), pa.array([y for _, y in fresh], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            frame = batch.to_pandas()
+            keys = frame[["gram", "first", "second"]].to_numpy()
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(frame)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if (now := tuple(keys[a].tolist())) != key and held:
+                    yield flush()
+                    held = []
+                key = now
+                held.append(frame.iloc[a:b])
+        if held:
+            yield flush()
+
+    return run
+
+
+def pairs_within(lists: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs of the lists' classes across components that could link; ``lists`` has gram, cls, n and component."""
+    sizes = lists.groupBy("gram").agg(F.count("*").alias("m"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    blocks_ = F.ceil(F.col("m") / BLOCK).cast("int")
+    rows = lists.join(sizes.select("gram", "m"), "gram").withColumn("blocks", blocks_).withColumn("block", F.pmod(F.col("cls"), F.col("blocks").cast("long")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("gram", "cls", "n", "component", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
+    rows = rows.join(classes.select("cls", "sketch"), "cls")
+    key = ["gram", "first", "second"]
+    dealt = rows.repartition(partitions(lists.sparkSession), *key).sortWithinPartitions(*key).select(*key, "block", "cls", "n", "component", "sketch")
+    return dealt.mapInArrow(_within_lists(num, den), "a long, b long").distinct()
+
+
+def fetch_sets(texts: DataFrame, of_doc: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(cls, grams) of the wanted classes, from one document each.
+
+    A filter of fixed size tells which texts to cut into words; what it lets
+    through in error is dropped by the join.
+    """
+    spark = texts.sparkSession
+    reps = of_doc.where("n > 0").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id"))
+    key = F.xxhash64("id")
+    bits = reps.select(key.bitwiseAND(F.lit(FILTER_WORDS - 1)).alias("word"), F.shiftright(key, 40).bitwiseAND(F.lit(63)).alias("bit"))
+    bits = bits.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("bits")).toPandas()
+    words = np.zeros(FILTER_WORDS, np.int64)
+    words[bits["word"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
+    found = texts.where("id is not null").withColumn("key", key).mapInArrow(_sets(size, spark.sparkContext.broadcast(words)), "id long, cls long, grams binary")
+    return found.join(reps, ["id", "cls"], "left_semi").select("cls", "grams").dropDuplicates(["cls"])
+
+
+def compare(pairs: DataFrame, texts: DataFrame, of_doc: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """(a, b) of the pairs of classes that reach the similarity."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    sets = fetch_sets(texts, of_doc, ends, size)
     of_a = sets.select(F.col("cls").alias("a"), F.col("grams").alias("of_a"))
     of_b = sets.select(F.col("cls").alias("b"), F.col("grams").alias("of_b"))
     rows = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "of_a", "of_b")
@@ -274,53 +409,46 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     spark = docs.sparkSession
     n = partitions(spark)
     shards = 4 * n
+    paths = []
+
+    def keep(df, name):
+        out, path = settle(df, name)
+        paths.append(path)
+        return out
+
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    first, p0 = settle(texts.mapInArrow(_classes(size), "id long, value long, n long, kind int"), "classes")
+    first = keep(texts.mapInArrow(_classes(size), "id long, value long, n long, kind int, sketch binary"), "classes")
     of_doc = first.where("kind = 0").select("id", F.col("value").alias("cls"), "n")
+    classes = first.where("kind = 0 and sketch is not null").groupBy(F.col("value").alias("cls")).agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"))
     top = first.where("kind = 1").groupBy("value").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "value").limit(FREQUENT).toPandas()
     frequent = top["value"].to_numpy(np.int64).view(U64)
     order = np.argsort(frequent)
     shared = spark.sparkContext.broadcast((frequent[order], np.log2(np.maximum(1, top["n"].to_numpy(np.int64)[order])).astype(np.int64) * 4 + 1))
     dealt = texts.select("text").mapInArrow(_postings(size, num, den, shards, shared), "shard int, kind int, data binary")
-    lists, p1 = settle(dealt.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_by_shard(_shared_lists), "gram long, cls long, n long"), "lists")
+    lists = keep(dealt.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_by_shard(_shared_lists), "gram long, cls long, n long"), "lists")
 
-    # sets of the classes in those lists, from one document each; a filter of fixed size spares the others the trip
-    reps = of_doc.where("n > 0").groupBy("cls").agg(F.min("id").alias("id")).join(lists.select("cls").distinct(), "cls")
-    key = F.xxhash64("id")
-    bits = reps.select(key.bitwiseAND(F.lit(FILTER_WORDS - 1)).alias("word"), F.shiftright(key, 40).bitwiseAND(F.lit(63)).alias("bit"))
-    bits = bits.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("bits")).toPandas()
-    words = np.zeros(FILTER_WORDS, np.int64)
-    words[bits["word"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
-    wanted = spark.sparkContext.broadcast(words)
-    found = texts.where("id is not null").withColumn("key", key).mapInArrow(_sets(size, wanted), "id long, cls long, grams binary")
-    sets, p2 = settle(found.join(reps.select("id", "cls"), ["id", "cls"], "left_semi").select("cls", "grams").dropDuplicates(["cls"]), "sets")
-
-    close = lambda x, y: F.greatest(x, y) * num <= F.least(x, y) * den
-    heads = lists.groupBy("gram").agg(F.min("cls").alias("head"))
-    head_size = lists.select("gram", F.col("cls").alias("head"), F.col("n").alias("head_n"))
-    stars = lists.join(heads.join(head_size, ["gram", "head"]), "gram").where("cls <> head").where(close(F.col("n"), F.col("head_n")))
-    tested, p3 = settle(stars.select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct(), "stars")
-    links, p4 = settle(compare(tested, sets, num, den), "star-links")
+    heads = lists.groupBy("gram").agg(F.min(F.struct("cls", "n")).alias("h")).select("gram", F.col("h.cls").alias("head"), F.col("h.n").alias("head_n"))
+    close = F.greatest("n", "head_n") * num <= F.least("n", "head_n") * den
+    stars = lists.join(heads, "gram").where(close & (F.col("cls") != F.col("head"))).select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
+    tested = keep(screened(stars, classes, num, den), "stars")
+    links = keep(compare(tested, texts, of_doc, size, num, den), "star-links")
     groups, temporary = components(links)
-    groups, p5 = settle(groups, "groups")
-    discard(spark, *temporary)
+    paths += temporary
 
-    # lists over several components: every pair across them that could link and was not yet compared
+    # lists that still span components: every pair across them that could link and was not yet compared
     named = lists.join(groups.select(F.col("node").alias("cls"), "component"), "cls", "left").select("gram", "cls", "n", F.coalesce("component", "cls").alias("component"))
-    open_lists = named.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gram")
-    rest = named.join(open_lists, "gram")
-    other = rest.select("gram", F.col("cls").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_component"))
-    pairs = rest.join(other, "gram").where("cls < b and component <> b_component").where(close(F.col("n"), F.col("b_n")))
-    pairs = pairs.select(F.col("cls").alias("a"), "b").distinct().join(tested, ["a", "b"], "left_anti")
-    more, p6 = settle(compare(pairs, sets, num, den), "other-links")
-    groups, temporary = components(links.unionByName(more))
+    pairs = keep(pairs_within(named, classes, num, den).join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+    if not pairs.isEmpty():
+        more = keep(compare(pairs, texts, of_doc, size, num, den), "other-links")
+        groups, temporary = components(links.unionByName(more))
+        paths += temporary
 
     # documents of a class, then of linked classes
     placed = of_doc.join(groups.select(F.col("node").alias("cls"), "component"), "cls", "left").select("id", "cls", "n", F.coalesce("component", "cls").alias("component"))
     least = placed.where("n > 0").groupBy("component").agg(F.min("id").alias("least"))
     result = placed.join(least, "component", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
     result, _ = settle(result, "similar")
-    discard(spark, p0, p1, p2, p3, p4, p5, p6, *temporary)
+    discard(spark, *paths)
     return result
 
 
