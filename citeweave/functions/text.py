@@ -239,7 +239,7 @@ def leakages(question: Column, reference: Column | None = None) -> Column:
         spans = F.regexp_extract_all(F.coalesce(question, F.lit("")), F.lit(pattern), F.lit(0))
         if kind == "corpus_code":
             spans = F.filter(spans, lambda s: ~F.regexp_extract(s, "^[A-Z]+", 0).isin(*CURRENCIES))
-        found.append(F.transform(spans, lambda s, kind=kind: F.struct(F.lit(kind).alias("kind"), s.alias("span"))))
+        found.append(F.transform(spans, _span_of(kind)))
     if reference is not None:
         wanted = reference_normal(reference)
         hit = (wanted != "") & reference_normal(question).contains(wanted) & ~absent(question)
@@ -247,6 +247,10 @@ def leakages(question: Column, reference: Column | None = None) -> Column:
     return F.array_distinct(F.concat(*found))
 
 
+def _span_of(kind: str):
+    return lambda span: F.struct(F.lit(kind).alias("kind"), span.alias("span"))
+
+
 def leakage_kinds(found: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda x: x["kind"]))
 

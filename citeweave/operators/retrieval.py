@@ -52,7 +52,7 @@ def bm25(passages: DataFrame, queries: DataFrame, k: int, id_col: str = "doc", t
     weight = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
     # the query's terms prune the postings before lengths are looked up
     hits = counts.join(asked.join(idf, "term"), "term").join(lengths, "doc")
-    scores = hits.groupBy("qid", "doc").agg(F.sum(weight).alias("score"))
+    scores = hits.groupBy("qid", "doc").agg(F.round(F.sum(weight), 9).alias("score"))  # so that the order of addition can't break ties
     return ranked(scores, k, by=("qid",))
 
 
