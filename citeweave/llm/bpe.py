@@ -198,6 +198,11 @@ _ASCII_SPACE = (9, 10, 11, 12, 13, 28, 29, 30, 31, 32)
 _MAY_END_SPACE = _byte_set(*_ASCII_SPACE, *range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF)
 _MAY_BEGIN_SPACE = _byte_set(*_ASCII_SPACE, 0xC2, 0xE1, 0xE2, 0xE3)
 _LONGEST = 1 << 24
+# 1 for ASCII letters, 2 for ASCII marks, 3 for the line feed
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[[*range(65, 91), *range(97, 123)]] = 1
+_KINDS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 2
+_KINDS[10] = 3
 
 
 class TextEncoder:
@@ -242,7 +247,12 @@ class TextEncoder:
             each = [self.ids(data[offsets[k] : offsets[k + 1]].tobytes().decode()) for k in range(rows)]
             return np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
         space = data == 32
-        begins = space.copy()
+        kind = _KINDS[data]
+        before = np.append(np.uint8(0), kind[:-1])
+        # always cut by the pattern: letter|mark, visible|line feed, and a line feed between those and a letter
+        broken = (kind == 3) & ((before == 1) | (before == 2))
+        begins = space | ((kind == 2) & (before == 1)) | broken
+        begins[1:] |= broken[:-1] & (kind[1:] == 1)
         begins[offsets[:-1][offsets[:-1] < len(data)]] = True
         starts = np.flatnonzero(begins)
         if not len(starts):

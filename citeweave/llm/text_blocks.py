@@ -1,6 +1,6 @@
 """Vectorised scanning of Arrow text columns.
 
-Texts are processed as UTF-8 bytes in blocks of about a megabyte, so memory
+Texts are processed as UTF-8 bytes in blocks of about half a megabyte, so memory
 does not depend on how many rows an Arrow batch holds.
 """
 
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 U64 = np.uint64
 
 _BASE = U64(0x9E3779B97F4A7C15 | 3)
