@@ -281,31 +281,30 @@ def _dealt(hashes: np.ndarray, payload: np.ndarray, shards: int, kind: int):
     return pa.RecordBatch.from_arrays([pa.array([int(shard[a]) for a in cuts], pa.int32()), pa.array([kind] * len(cuts), pa.int32()), pa.array([payload[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())], names=["shard", "kind", "data"])
 
 
-_POINT = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("place", "<u4")])
+# half a hash is enough inside a shard: a chance match only brings more bytes to compare
+_POINT = np.dtype([("hash", "<u4"), ("doc", "<i8"), ("place", "<u4")])
 _MARK = np.dtype([("doc", "<i8"), ("start", "<i8"), ("end", "<i8")])
 
 
 def _emit_points(length: int, shards: int):
-    kind = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("place", "<u4")])
-
     def run(batches):
-        waiting, size = [], 0
+        waiting, hashes, size = [], [], 0
 
         def flush():
-            rows = np.concatenate(waiting)
-            return _dealt(rows["hash"], rows, shards, 0)
+            return _dealt(np.concatenate(hashes), np.concatenate(waiting), shards, 0)
 
         for batch in batches:
             docs = np.asarray(batch.column(0))
             for a, b, data, offsets in blocks(batch.column(1)):
                 found = anchors(data, offsets, length)
-                rows = np.zeros(len(found["place"]), kind)
-                rows["hash"], rows["doc"], rows["place"] = found["hash"], docs[a:b][found["row"]], found["place"] - offsets[found["row"]]
+                rows = np.zeros(len(found["place"]), _point_type())
+                rows["hash"], rows["doc"], rows["place"] = found["hash"] >> U64(32), docs[a:b][found["row"]], found["place"] - offsets[found["row"]]
                 waiting.append(rows)
+                hashes.append(found["hash"])
                 size += len(rows)
                 if size >= 5 * FLUSH_ROWS:
                     yield flush()
-                    waiting, size = [], 0
+                    waiting, hashes, size = [], [], 0
         if size:
             yield flush()
 
@@ -448,7 +447,8 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     copies = digest.join(firsts, "digest").where(F.col("doc") != F.col("first")).select("doc").distinct().select("doc", F.lit(True).alias("copy"))
     # one exchange of the texts serves all three passes over them
     dealt = texts.repartition(n, "doc")
-    own = dealt.join(copies, "doc", "left_anti")
+    # an anti-join would be pushed below the exchange and so get one of its own
+    own = dealt.join(copies, "doc", "left").where(F.col("copy").isNull()).select("doc", "text")
     points = own.mapInArrow(_emit_points(length, shards), "shard int, kind int, data binary")
     hits = points.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_by_shard(_repeated_points), "doc long, places binary")
     hits = hits.groupBy("doc").agg(F.collect_list("places").alias("places"))
