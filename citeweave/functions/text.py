@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 # Word lists, patterns and thresholds that results depend on.
 TITLE_STOPWORDS = (
@@ -301,18 +303,23 @@ def tri_state(c: Column) -> Column:
     return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two token arrays, one row of the table at a time."""
-    start = F.array_repeat(F.lit(0), F.size(b) + 1)
+def _lcs(a, b) -> int:
+    """Length of the longest common subsequence, one row of the table as the bits of a number."""
+    places: dict = {}
+    for k, token in enumerate(b):
+        places[token] = places.get(token, 0) | (1 << k)
+    full = (1 << len(b)) - 1
+    row = full
+    for token in a:
+        match = row & places.get(token, 0)
+        row = ((row + match) | (row - match)) & full
+    return len(b) - row.bit_count()
 
-    def row(previous, token):
-        def cell(out, j):
-            best = F.greatest(F.element_at(previous, j + 1), F.element_at(out, -1))
-            return F.concat(out, F.array(F.when(F.element_at(b, j) == token, F.element_at(previous, j) + 1).otherwise(best)))
 
-        return F.aggregate(F.when(F.size(b) > 0, F.sequence(F.lit(1), F.size(b))).otherwise(F.array().cast("array<int>")), F.array(F.lit(0)), cell)
-
-    return F.element_at(F.aggregate(a, start, row), -1)
+@F.pandas_udf(IntegerType())
+def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Length of the longest common subsequence of two token arrays; no built-in function has it."""
+    return pd.Series([_lcs(x, y) for x, y in zip(a, b, strict=True)])
 
 
 def f1(overlap: Column, a: Column, b: Column) -> Column:

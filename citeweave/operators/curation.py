@@ -18,7 +18,8 @@ JUDGE_SCHEMA = f"struct<judge_schema_version:string,passed:boolean,final_score:d
 
 def score_10(c: Column) -> Column:
     """Rounded half to even and clamped to 0 .. 10."""
-    return F.greatest(F.lit(0), F.least(F.lit(10), F.bround(c.cast("double")).cast("int")))
+    rounded = F.bround(c.cast("double")).cast("int")
+    return F.when(rounded.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(10), rounded)))
 
 
 def parse_judgement(raw: Column, pass_mark: int = PASS_MARK) -> Column:

@@ -157,9 +157,9 @@ BM25 = """
     idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
     asked AS (SELECT item_id AS qid, term, count(*) AS times FROM (
         SELECT item_id, unnest(list_filter(string_split_regex(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' '), lambda w: w <> '')) AS term FROM benchmark) GROUP BY 1, 2),
-    scored AS (SELECT qid, doc, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
+    scored AS (SELECT qid, doc, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
         FROM tf JOIN asked USING (term) JOIN idf USING (term) JOIN dl USING (doc), size GROUP BY 1, 2),
-    text_run AS (SELECT * FROM (SELECT qid, doc, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc) AS rank FROM scored) WHERE rank <= 20)"""
+    text_run AS (SELECT * FROM (SELECT qid, doc, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS rank FROM scored) WHERE rank <= 20)"""
 
 
 def edges(spark, sf) -> DataFrame:
