@@ -11,13 +11,17 @@ fixed ranking gives whole results, a good one gives short lists.
 1. Documents with equal sets become one class; classes carry everything on.
 2. The short lists' postings are dealt by shingle and merged; a list in which
    one class stands alone is dropped.
-3. Each list's first class is compared with all others of the list.  Linked
-   classes become components.
-4. A list that still spans several components is searched in full, pairs
+3. A list of up to ``SMALL`` classes gives all its pairs; of a longer one the
+   first class is paired with all others.  Linked classes become components.
+4. A longer list that still spans several components is searched in full, pairs
    within one component excepted, since those change nothing.
 
+A pair is only kept where sizes allow the similarity, and where the shingle
+could be the first that both have: what is left of both sets from there on
+must still hold the overlap they need.
+
 Comparisons probe the sorted set of one class for each shingle of the other.
-Before that, a parity sketch of about one bit per shingle rules most pairs out
+Before that, a parity sketch of a few bits per shingle rules most pairs out
 for certain: each bit in which two sketches differ is a shingle only one has.
 Lists of more than ``BLOCK`` classes are searched as pairs of blocks.
 
@@ -48,6 +52,7 @@ FREQUENT_PER_CHUNK = 4096
 CHUNK = 1 << 20
 FILTER_WORDS = 1 << 17
 BLOCK = 1024
+SMALL = 32
 
 # Word bytes: everything but \x20 and \x09-\x0D, after folding A-Z.
 _IS_WORD = np.ones(256, bool)
@@ -82,10 +87,10 @@ def class_of(grams: np.ndarray) -> int:
 
 
 def sketch_of(grams: np.ndarray) -> bytes:
-    """Parities of the numbers of shingles in 2**k buckets, 2**k being n or a bit more, 64 at least."""
-    bits = max(64, 1 << int(len(grams) - 1).bit_length()) if len(grams) else 64
-    odd = np.bincount((grams & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    """Two independent rows of parities of the numbers of shingles in 2**k buckets, 2**k being 2n to 4n, 128 at least."""
+    bits = max(128, 2 << int(len(grams) - 1).bit_length()) if len(grams) else 128
+    odd = [np.bincount((part & U64(bits - 1)).astype(np.int64), minlength=bits) & 1 for part in (grams, grams >> U64(32))]
+    return np.packbits(np.concatenate(odd).astype(np.uint8), bitorder="little").tobytes()
 
 
 def folded(sketches: np.ndarray, words: int) -> np.ndarray:
@@ -98,9 +103,9 @@ def folded(sketches: np.ndarray, words: int) -> np.ndarray:
 
 def may_link(x: bytes, nx: int, y: bytes, ny: int, num: int, den: int) -> bool:
     """False only if the sketches prove that two sets do not reach the similarity."""
-    words = min(len(x), len(y)) // 8
-    a, b = (folded(np.frombuffer(v, U64)[None, :], words) for v in (x, y))
-    return (den + num) * int(np.bitwise_count(a ^ b).sum()) <= (den - num) * (nx + ny)
+    words = min(len(x), len(y)) // 16
+    a, b = (folded(np.frombuffer(v, U64).reshape(2, -1), words) for v in (x, y))
+    return (den + num) * int(np.bitwise_count(a ^ b).sum(1).max()) <= (den - num) * (nx + ny)
 
 
 def needed(n: int, num: int, den: int) -> int:
@@ -191,7 +196,7 @@ def _classes(size: int):
     return run
 
 
-_POSTING = np.dtype([("gram", "<u8"), ("cls", "<i8"), ("n", "<u4")])
+_POSTING = np.dtype([("gram", "<u8"), ("cls", "<i8"), ("n", "<u4"), ("place", "<u4")])
 
 
 def _posting_type() -> np.dtype:
@@ -233,7 +238,7 @@ def _postings(size: int, num: int, den: int, shards: int, shared):
                     n = len(grams)
                     part = short_prefix(grams, n - needed(n, num, den) + 1, frequent, weight, maybe)
                     rows = np.empty(len(part), _posting_type())
-                    rows["gram"], rows["cls"], rows["n"] = part, name, n
+                    rows["gram"], rows["cls"], rows["n"], rows["place"] = part, name, n, np.arange(len(part))
                     waiting.append(rows)
                     held += len(rows)
                 if held >= CHUNK:
@@ -245,19 +250,39 @@ def _postings(size: int, num: int, den: int, shards: int, shared):
     return run
 
 
-def _shared_lists(held):
-    """Postings of the lists with several classes."""
-    rows = np.concatenate([np.frombuffer(d, _posting_type()) for _, d in held])
-    rows = rows[np.lexsort((rows["cls"], rows["gram"]))]
-    fresh = np.ones(len(rows), bool)
-    fresh[1:] = (rows["gram"][1:] != rows["gram"][:-1]) | (rows["cls"][1:] != rows["cls"][:-1])
-    rows = rows[fresh]
-    same = rows["gram"][1:] == rows["gram"][:-1]
-    several = np.zeros(len(rows), bool)
-    several[1:] |= same
-    several[:-1] |= same
-    rows = rows[several]
-    yield pa.RecordBatch.from_arrays([pa.array(rows["gram"].view(np.int64)), pa.array(rows["cls"]), pa.array(rows["n"].astype(np.int64))], names=["gram", "cls", "n"])
+def could_link(n_x, n_y, at_x, at_y, num: int, den: int) -> np.ndarray:
+    """Whether sizes allow the similarity and enough of both sets is left from a first common shingle on."""
+    close = den * np.minimum(n_x, n_y) >= num * np.maximum(n_x, n_y)
+    return close & ((den + num) * np.minimum(n_x - at_x, n_y - at_y) >= num * (n_x + n_y))
+
+
+def _merged_lists(num: int, den: int):
+    """Pairs (kind 1: a, b) of short lists, and the postings (kind 0: gram, cls, n, place) of longer ones."""
+
+    def handle(held):
+        rows = np.concatenate([np.frombuffer(d, _posting_type()) for _, d in held])
+        rows = rows[np.lexsort((rows["cls"], rows["gram"]))]
+        fresh = np.ones(len(rows), bool)
+        fresh[1:] = (rows["gram"][1:] != rows["gram"][:-1]) | (rows["cls"][1:] != rows["cls"][:-1])
+        rows = rows[fresh]
+        start = np.flatnonzero(np.concatenate([[True], rows["gram"][1:] != rows["gram"][:-1]]))
+        size = np.diff(np.append(start, len(rows)))
+        of = np.repeat(size, size)
+        n, place, cls = rows["n"].astype(np.int64), rows["place"].astype(np.int64), rows["cls"]
+        found = []
+        for step in range(1, SMALL):
+            # the pairs of rows that stand ``step`` apart in one short list
+            i = np.arange(len(rows) - step) if len(rows) > step else np.zeros(0, np.int64)
+            i = i[(rows["gram"][i] == rows["gram"][i + step]) & (of[i] <= SMALL)]
+            i = i[could_link(n[i], n[i + step], place[i], place[i + step], num, den)]
+            found.append(np.stack([cls[i], cls[i + step]], 1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        long = rows[of > SMALL]
+        none = pa.nulls(len(pairs), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(pairs)), pa.int32()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none, none], names=["kind", "a", "b", "n", "place"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(long)), pa.int32()), pa.array(long["gram"].view(np.int64)), pa.array(long["cls"]), pa.array(long["n"].astype(np.int64)), pa.array(long["place"].astype(np.int64))], names=["kind", "a", "b", "n", "place"])
+
+    return handle
 
 
 def _sets(size: int, shared):
@@ -309,29 +334,29 @@ def _within_lists(num: int, den: int):
     """Pairs across components of one list, or of two blocks of it, that sketches do not rule out."""
 
     def pairs(frame):
-        cls, n, component, block = (frame[c].to_numpy() for c in ("cls", "n", "component", "block"))
+        cls, n, place, component, block = (frame[c].to_numpy() for c in ("cls", "n", "place", "component", "block"))
         first, second = int(frame["first"].iloc[0]), int(frame["second"].iloc[0])
-        words = np.array([len(x) // 8 for x in frame["sketch"]])
+        words = np.array([len(x) // 16 for x in frame["sketch"]])
         kinds = np.unique(words).tolist()
         rows = {w: np.flatnonzero(words == w) for w in kinds}
-        bits = {w: np.frombuffer(b"".join(frame["sketch"].iloc[k] for k in rows[w]), U64).reshape(-1, w) for w in kinds}
+        bits = {w: np.frombuffer(b"".join(frame["sketch"].iloc[k] for k in rows[w]), U64).reshape(-1, 2, w) for w in kinds}
         out = set()
         for w in kinds:
             for v in (w, 2 * w):
                 if v not in rows:
                     continue
-                x, y, big = rows[w], rows[v], folded(bits[v], w)
+                x, y, big = rows[w], rows[v], folded(bits[v].reshape(-1, v), w).reshape(-1, 2, w)
                 for at in range(0, len(x), 256):
                     i = x[at : at + 256]
                     total = n[i][:, None] + n[y][None, :]
-                    close = den * np.minimum(n[i][:, None], n[y][None, :]) >= num * np.maximum(n[i][:, None], n[y][None, :])
+                    close = could_link(n[i][:, None], n[y][None, :], place[i][:, None], place[y][None, :], num, den)
                     close &= component[i][:, None] != component[y][None, :]
                     if first != second:
                         close &= block[i][:, None] != block[y][None, :]
                     a, b = np.nonzero(close)
                     for k in range(0, len(a), 1 << 14):
                         p, q = a[k : k + (1 << 14)], b[k : k + (1 << 14)]
-                        differ = np.bitwise_count(bits[w][at + p] ^ big[q]).sum(1, dtype=np.int64)
+                        differ = np.bitwise_count(bits[w][at + p] ^ big[q]).sum(2, dtype=np.int64).max(1)
                         ok = (den + num) * differ <= (den - num) * total[p, q]
                         out |= {(int(min(s, t)), int(max(s, t))) for s, t in zip(cls[i[p[ok]]], cls[y[q[ok]]], strict=True)}
         return out
@@ -365,15 +390,15 @@ def _within_lists(num: int, den: int):
 
 
 def pairs_within(lists: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct pairs of the lists' classes across components that could link; ``lists`` has gram, cls, n and component."""
+    """Distinct pairs of the lists' classes across components that could link; ``lists`` has gram, cls, n, place and component."""
     sizes = lists.groupBy("gram").agg(F.count("*").alias("m"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     blocks_ = F.ceil(F.col("m") / BLOCK).cast("int")
     rows = lists.join(sizes.select("gram", "m"), "gram").withColumn("blocks", blocks_).withColumn("block", F.pmod(F.col("cls"), F.col("blocks").cast("long")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("gram", "cls", "n", "component", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
+    rows = rows.select("gram", "cls", "n", "place", "component", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
     rows = rows.join(classes.select("cls", "sketch"), "cls")
     key = ["gram", "first", "second"]
-    dealt = rows.repartition(partitions(lists.sparkSession), *key).sortWithinPartitions(*key).select(*key, "block", "cls", "n", "component", "sketch")
+    dealt = rows.repartition(partitions(lists.sparkSession), *key).sortWithinPartitions(*key).select(*key, "block", "cls", "n", "place", "component", "sketch")
     return dealt.mapInArrow(_within_lists(num, den), "a long, b long").distinct()
 
 
@@ -425,18 +450,19 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     order = np.argsort(frequent)
     shared = spark.sparkContext.broadcast((frequent[order], np.log2(np.maximum(1, top["n"].to_numpy(np.int64)[order])).astype(np.int64) * 4 + 1))
     dealt = texts.select("text").mapInArrow(_postings(size, num, den, shards, shared), "shard int, kind int, data binary")
-    lists = keep(dealt.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_by_shard(_shared_lists), "gram long, cls long, n long"), "lists")
+    merged = keep(dealt.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_by_shard(_merged_lists(num, den)), "kind int, a long, b long, n long, place long"), "lists")
+    lists = merged.where("kind = 0").select(F.col("a").alias("gram"), F.col("b").alias("cls"), "n", "place")
 
-    heads = lists.groupBy("gram").agg(F.min(F.struct("cls", "n")).alias("h")).select("gram", F.col("h.cls").alias("head"), F.col("h.n").alias("head_n"))
-    close = F.greatest("n", "head_n") * num <= F.least("n", "head_n") * den
-    stars = lists.join(heads, "gram").where(close & (F.col("cls") != F.col("head"))).select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
-    tested = keep(screened(stars, classes, num, den), "stars")
+    heads = lists.groupBy("gram").agg(F.min("cls").alias("head"))
+    stars = lists.join(heads, "gram").where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b"))
+    first_pairs = merged.where("kind = 1").select("a", "b").unionByName(stars).distinct()
+    tested = keep(screened(first_pairs, classes, num, den), "first-pairs")
     links = keep(compare(tested, texts, of_doc, size, num, den), "star-links")
     groups, temporary = components(links)
     paths += temporary
 
     # lists that still span components: every pair across them that could link and was not yet compared
-    named = lists.join(groups.select(F.col("node").alias("cls"), "component"), "cls", "left").select("gram", "cls", "n", F.coalesce("component", "cls").alias("component"))
+    named = lists.join(groups.select(F.col("node").alias("cls"), "component"), "cls", "left").select("gram", "cls", "n", "place", F.coalesce("component", "cls").alias("component"))
     pairs = keep(pairs_within(named, classes, num, den).join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
         more = keep(compare(pairs, texts, of_doc, size, num, den), "other-links")

@@ -277,7 +277,7 @@ def _dealt(hashes: np.ndarray, payload: np.ndarray, shards: int, kind: int):
     order = np.argsort(shard, kind="stable")
     shard, payload = shard[order], payload[order]
     cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else []
-    ends = [*cuts[1:], len(shard)]
+    ends = [*cuts[1:], len(shard)] if len(shard) else []
     return pa.RecordBatch.from_arrays([pa.array([int(shard[a]) for a in cuts], pa.int32()), pa.array([kind] * len(cuts), pa.int32()), pa.array([payload[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())], names=["shard", "kind", "data"])
 
 
@@ -341,7 +341,7 @@ def _repeated_points(held):
     order = np.argsort(rows["doc"], kind="stable")
     rows = rows[order]
     cuts = np.flatnonzero(np.concatenate([[True], rows["doc"][1:] != rows["doc"][:-1]])) if len(rows) else []
-    ends = [*cuts[1:], len(rows)]
+    ends = [*cuts[1:], len(rows)] if len(rows) else []
     yield pa.RecordBatch.from_arrays([pa.array([int(rows["doc"][a]) for a in cuts], pa.int64()), pa.array([rows["place"][a:b].astype("<u4").tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())], names=["doc", "places"])
 
 
@@ -405,7 +405,7 @@ def _mark_shard(length: int):
         rows = np.concatenate(marks) if marks else np.zeros(0, _mark_type())
         rows = rows[np.lexsort((rows["start"], rows["doc"]))]
         cuts = np.flatnonzero(np.concatenate([[True], rows["doc"][1:] != rows["doc"][:-1]])) if len(rows) else []
-        ends = [*cuts[1:], len(rows)]
+        ends = [*cuts[1:], len(rows)] if len(rows) else []
         packed = [np.stack([rows["start"][a:b], rows["end"][a:b]], 1).astype("<i8").tobytes() for a, b in zip(cuts, ends, strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([int(rows["doc"][a]) for a in cuts], pa.int64()), pa.array(packed, pa.binary())], names=["doc", "marks"])
 

@@ -71,7 +71,9 @@ def _features(data: np.ndarray, offsets: np.ndarray, feature: np.ndarray):
     found = feature[(words >> U64(64 - BUCKETS_LOG2)).astype(np.int64)]
     on = np.flatnonzero(found >= 0)
     row = np.searchsorted(first, on, "right") - 1
-    cuts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(on) else []
+    if not len(on):
+        return
+    cuts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
     for a, b in zip(cuts, [*cuts[1:], len(on)], strict=True):
         yield int(row[a]), found[on[a:b]]
 
