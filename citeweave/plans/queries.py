@@ -168,15 +168,16 @@ def core_clause(spark, sf):
 
 @query()
 def semantic_hook(spark, sf):
-    return B.regulated(spark, sf).select("doc", T.semantic_hook(F.substring("text", 1, 200)).alias("hook"))
+    return B.regulated(spark, sf).select("doc", T.semantic_hook(F.col("text")).alias("hook"))
 
 
-@query(f"""WITH {B.PAIRS} SELECT seq, array_to_string(list_slice(list_filter(a, lambda x: NOT list_contains(b, x)), 1, 5), ' ') AS hints
-    FROM (SELECT seq, {TOKENS.format('target_text')} AS b, list_filter(regexp_extract_all(lower(source_text), '[a-z]+'), lambda w: len(w) > 1 AND w NOT IN ({_list(T.CONTENT_STOPWORDS)})) AS r,
-          list_transform(list_filter(range(1, len(r) + 1), lambda i: list_position(r, r[i]) = i), lambda i: r[i]) AS a FROM pairs WHERE source_id % 20 = 0)""")
+@query(f"""WITH {B.PAIRS}, s AS (SELECT doc_id, w, min(pos) AS pos FROM (SELECT doc_id, unnest(r) AS w, unnest(range(len(r))) AS pos
+        FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS r FROM documents)) WHERE len(w) > 1 AND w NOT IN ({_list(T.CONTENT_STOPWORDS)}) GROUP BY 1, 2),
+    own AS (SELECT seq, s.w, s.pos FROM refs JOIN s ON s.doc_id = source_id ANTI JOIN s t ON t.doc_id = target_id AND t.w = s.w),
+    k AS (SELECT seq, w, row_number() OVER (PARTITION BY seq ORDER BY pos) AS k FROM own)
+    SELECT refs.seq, coalesce(string_agg(w, ' ' ORDER BY k), '') AS hints FROM refs LEFT JOIN k ON k.seq = refs.seq AND k <= 5 GROUP BY 1""")
 def source_only_hints(spark, sf):
-    rows = B.pairs(spark, sf).where("source_id % 20 = 0")
-    return rows.select("seq", F.array_join(T.source_only_hints(F.col("source_text"), F.col("target_text")), " ").alias("hints"))
+    return B.pairs(spark, sf).select("seq", F.array_join(T.source_only_hints(F.col("source_text"), F.col("target_text")), " ").alias("hints"))
 
 
 @query()
@@ -351,14 +352,11 @@ def xref_coverage(spark, sf):
     return statistics.coverage(B.edges(spark, sf), B.passages(spark, sf))
 
 
-_COMPONENT_EDGES = "SELECT src, dst FROM edges WHERE src % 4 = 1 AND dst % 4 IN (0, 1)"
-
-
-@query(f"""WITH RECURSIVE {B.EDGES}, e AS ({_COMPONENT_EDGES}), sides AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
+@query(f"""WITH RECURSIVE {B.EDGES}, sides AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
     reach(node, other) AS (SELECT DISTINCT a, a FROM sides UNION SELECT reach.node, sides.b FROM reach JOIN sides ON reach.other = sides.a)
     SELECT node, min(other) AS component FROM reach GROUP BY node""")
 def xref_components(spark, sf):
-    return graph.connected_components(B.edges(spark, sf).where("src % 4 = 1 and dst % 4 in (0, 1)"))
+    return graph.connected_components(B.edges(spark, sf))
 
 
 # ---------------------------------------------------------------- retrieval
