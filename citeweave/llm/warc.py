@@ -35,6 +35,7 @@ from .storage import discard, new_path, partitions, settle, write_records
 
 REVISIT_BYTES = 100
 BLOCK_LINES = 3000
+FEW_CAPTURES = 1000
 DATE = "2024-01-01T00:00:00Z"
 
 # Fixed values of the archive format.
@@ -180,6 +181,7 @@ def write_index(spark: SparkSession, archives: str, path: str) -> str:
     return path
 
 
+_RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, file string, offset long"
 _CAPTURE = "key string, page_id long, file string, offset long, length long"
 
 
@@ -216,38 +218,61 @@ def lookup(spark: SparkSession, index: str, url: str) -> DataFrame:
     return captures_between(spark, index, key, key)
 
 
-def read_captures(spark: SparkSession, archives: str, captures: DataFrame) -> DataFrame:
+def read_captures(spark: SparkSession, archives: str, captures: DataFrame, payloads: bool = True) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of captures, by their ranges.
 
-    Ranges of one archive file are read together; a response's digest and length
-    are taken from what was read and must agree with its header.
+    Up to ``FEW_CAPTURES`` ranges are sent to the tasks, which read only the files
+    that hold them.  More are matched to the records of all files by a join of
+    narrow rows, so no archive is ever shuffled; ``payloads`` can be left out of
+    it.  A response's digest and length must agree with what was read.
     """
-    wanted = captures.groupBy("file").agg(F.collect_list(F.struct("offset", "length")).alias("ranges"))
-    rows = _files(spark, archives).join(wanted, "file").select("content", "ranges")
+    few = captures.select("file", "offset", "length").limit(FEW_CAPTURES + 1).collect()
+    if len(few) <= FEW_CAPTURES:
+        ranges: dict[str, list[tuple[int, int]]] = {}
+        for r in few:
+            ranges.setdefault(r["file"], []).append((r["offset"], r["length"]))
+        shared = spark.sparkContext.broadcast(ranges)
+
+        def read(batches):
+            for batch in batches:
+                for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    for at in range(0, len(found := sorted(shared.value.get(file, ()))), 256):
+                        yield _digested([(file, o, data[o : o + n]) for o, n in found[at : at + 256]], payloads)
+
+        # the path is filtered before any content is read
+        files = spark.read.format("binaryFile").load(archives).where(F.element_at(F.split("path", "/"), -1).isin(*ranges) if ranges else F.lit(False))
+        rows = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInArrow(read, _RECORD)
+        return rows.drop("file", "offset")
 
-    def run(batches):
+    def scan(batches):
         for batch in batches:
-            for data, ranges in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ranges.sort(key=lambda r: r["offset"])
-                for at in range(0, len(ranges), 256):
-                    yield _digested([data[r["offset"] : r["offset"] + r["length"]] for r in ranges[at : at + 256]])
+            for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held = []
+                for offset, length, _ in members(data):
+                    held.append((file, offset, data[offset : offset + length]))
+                    if len(held) == 256:
+                        yield _digested(held, payloads)
+                        held = []
+                if held:
+                    yield _digested(held, payloads)
 
-    return rows.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    rows = _files(spark, archives).mapInArrow(scan, _RECORD)
+    return rows.join(captures.select("file", "offset"), ["file", "offset"], "left_semi").drop("file", "offset")
 
 
-def _digested(raw: list[bytes]) -> pa.RecordBatch:
+def _digested(raw: list[tuple[str, int, bytes]], payloads: bool) -> pa.RecordBatch:
     out = []
-    for member in raw:
+    for file, offset, member in raw:
         ((_, _, content),) = members(member)
         headers, payload = parse_record(content)
         digest, size = headers["WARC-Payload-Digest"].removeprefix("sha256:"), int(headers["WARC-Payload-Length"])
         kind = headers["WARC-Type"]
         if kind == "response" and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != size):
             raise ValueError("payload does not match its digest")
-        out.append((_page(headers["WARC-Record-ID"]), headers.get("WARC-Target-URI"), size, digest, kind, _page(headers.get("WARC-Refers-To")), payload))
-    columns = list(zip(*out, strict=True)) or [[]] * 7
-    kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([*map(pa.array, columns, kinds)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+        out.append((_page(headers["WARC-Record-ID"]), headers.get("WARC-Target-URI"), size, digest, kind, _page(headers.get("WARC-Refers-To")), payload if payloads else None, file, offset))
+    columns = list(zip(*out, strict=True)) or [[]] * 9
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.int64())
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns, kinds)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload", "file", "offset"])
 
 
 def read_range(spark: SparkSession, archives: str, file: str, offset: int, length: int) -> tuple[dict[str, str], bytes]:
@@ -270,7 +295,7 @@ def archived(pages: DataFrame) -> DataFrame:
     path = new_path(spark, "archives")
     archives = write_archives(pages, f"{path}/records")
     index = write_index(spark, archives, f"{path}/index")
-    found = read_captures(spark, archives, captures_between(spark, index))
+    found = read_captures(spark, archives, captures_between(spark, index), payloads=False)
     result, _ = settle(found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "archived")
     discard(spark, path)
     return result

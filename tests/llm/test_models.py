@@ -107,7 +107,7 @@ def test_labellers_by_expectation_maximisation():
     assert abs(model.prior - 0.8) < 0.08 and ((model.posterior(patterns) > 0.5) == y).mean() > 0.95
 
 
-def test_archives(spark, tmp_path):
+def test_archives(spark, tmp_path, monkeypatch):
     path = str(tmp_path)
     big = "y" * (17 << 20)
     pages = [(1, "http://www.b.org/x y", "a" * 200), (2, "http://a.b.org:8080/q?z=1\r\n", "a" * 200), (3, None, None), (4, "x", "é" * 60), (5, "http://b.org/x", "small"), (6, "u", "small"), (None, "n", "a" * 200), (8, "http://b.org/big", big), (9, "http://b.org/zero", "\0" * 500)]
@@ -120,6 +120,9 @@ def test_archives(spark, tmp_path):
     for i, _, html in pages:
         raw = (html or "").encode()
         assert rows[i].payload_bytes == len(raw) and rows[i].payload_digest == hashlib.sha256(raw).hexdigest()
+    monkeypatch.setattr(warc, "FEW_CAPTURES", 2)
+    again = {r.page_id: r for r in warc.read_captures(spark, f"file://{path}/records", every).collect()}
+    assert again == rows
     found = warc.lookup(spark, f"file://{path}/index", "http://b.org/big").first()
     assert warc.read_range(spark, f"file://{path}/records", found.file, found.offset, found.length)[1] == big.encode()
     assert warc.lookup(spark, f"file://{path}/index", "http://nowhere.org/").count() == 0
