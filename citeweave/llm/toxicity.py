@@ -39,6 +39,7 @@ SAMPLE = 6000
 GRADES = 4
 LEAST_Z = 4.5
 MOST_FEATURES = 1 << 14
+MOST_SENT = 2_000_000
 
 
 def sigmoid(x):
@@ -116,25 +117,31 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    known = texts.join(marks, "id")
     size = 1 << BUCKETS_LOG2
+    # labels are sent to the texts where they are few enough, else both meet by a join
+    few = marks.limit(MOST_SENT + 1).count() <= MOST_SENT
+    sent = spark.sparkContext.broadcast(_sorted_labels(marks) if few else None)
+    known = texts.withColumn("toxic", F.lit(-1)) if few else texts.join(marks, "id")
 
     def frequencies(batches):
         total = np.zeros((2, size), np.int32)
         n = [0, 0]
         for batch in batches:
-            toxic = np.asarray(batch.column(1)) > 0
-            for a, b, data, offsets in blocks(batch.column(0)):
+            toxic = np.asarray(batch.column(2)) if sent.value is None else _labels_of(batch.column(0), *sent.value)
+            for a, b, data, offsets in blocks(batch.column(1)):
+                if (toxic[a:b] < 0).all():
+                    continue
                 words, first = word_hashes(data, offsets)
                 bucket = (words >> U64(64 - BUCKETS_LOG2)).astype(np.int64)
-                for k in range(b - a):
-                    total[int(toxic[a + k]), np.unique(bucket[first[k] : first[k + 1]])] += 1
-                    n[int(toxic[a + k])] += 1
+                for k in np.flatnonzero(toxic[a:b] >= 0).tolist():
+                    kind = int(toxic[a + k] > 0)
+                    total[kind, np.unique(bucket[first[k] : first[k + 1]])] += 1
+                    n[kind] += 1
         at = np.flatnonzero(total.any(0))
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int64()), pa.array([n[0], *total[0][at].tolist()], pa.int64()), pa.array([n[1], *total[1][at].tolist()], pa.int64())], names=["bucket", "clean", "toxic"])
 
     # at most one row for each bucket
-    rows = known.select("text", "toxic").mapInArrow(frequencies, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
+    rows = known.select("id", "text", "toxic").mapInArrow(frequencies, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
     totals = rows[rows["bucket"] < 0]
     clean_n, toxic_n = (int(totals[c].sum()) for c in ("clean", "toxic"))
     rows = rows[rows["bucket"] >= 0].sort_values("bucket")
@@ -153,7 +160,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # about half of the sample from each kind, by a hash of the id
     draw = (F.xxhash64(F.lit(seed), "id") % 1_000_003 + 1_000_003) % 1_000_003 / 1_000_003
     rate = F.when(F.col("toxic") > 0, min(1.0, sample / 2 / toxic_n)).otherwise(min(1.0, sample / 2 / clean_n))
-    drawn = known.where(draw < rate).orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id").limit(sample)
+    chosen_ids = marks.where(draw < rate).orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id").limit(sample)
+    drawn = texts.join(F.broadcast(chosen_ids), "id")  # at most ``sample`` ids
     shared = spark.sparkContext.broadcast(feature)
 
     def features(batches):
@@ -189,6 +197,23 @@ def best_cut(p: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> float:
     return float((q[k] + (q[k + 1] if k + 1 < len(q) else 0.0)) / 2)
 
 
+def _sorted_labels(marks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    rows = marks.toPandas()
+    ids = rows["id"].to_numpy(np.int64)
+    order = np.argsort(ids)
+    return ids[order], rows["toxic"].to_numpy(np.int8)[order]
+
+
+def _labels_of(column: pa.Array, ids: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Each row's label, -1 where it has none."""
+    known = np.asarray(column.is_valid())
+    wanted = np.asarray(column.fill_null(0), np.int64)
+    if not len(ids):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(ids, wanted), len(ids) - 1)
+    return np.where(known & (ids[at] == wanted), labels[at], -1)
+
+
 def graded(found: list[np.ndarray], toxic: np.ndarray, marker: np.ndarray, grades: int) -> np.ndarray:
     """Severity grades 0 .. grades - 1: toxic documents by thirds (or so) of their number of marker words."""
     number = np.array([marker[x].sum() if len(x) else 0 for x in found])

@@ -63,6 +63,14 @@ def test_languages(spark):
     assert langid.keep_identified(odd, model).columns == odd.columns
 
 
+def test_labels_meet_texts_either_way(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    sent = toxicity.fit(docs, labels)
+    monkeypatch.setattr(toxicity, "MOST_SENT", 3)
+    joined = toxicity.fit(docs, labels)
+    assert (sent.feature == joined.feature).all() and np.allclose(np.sort(sent.weights), np.sort(joined.weights), atol=1e-6)
+
+
 def test_toxicity(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(docs, labels)
