@@ -8,12 +8,14 @@ item is one window) counts as occurring where the match is that long.
 Only suffixes that begin with some item's first few words can match at all, so
 only those enter a shard's array: the array is sparse and exact.
 
-The test items are read in blocks of at most ``ITEM_WORDS`` words; one block is
-sent to the executors at a time, so what is broadcast has a fixed bound.
+The test items are read in blocks of at most ``ITEM_WORDS`` words and sent out
+block by block.  A task judges each row by all blocks before it goes on, so the
+result does not depend on their number; of several blocks it holds one at a time.
 
 Cases: null or wordless text has no words and no hits; wordless items never
 occur; equal items are all reported; an empty benchmark leaves every document
-clean; repeated document rows are judged one by one; extra columns are kept by
+clean; repeated document rows and rows of a null id are judged one by one; items
+of a null id count as hits and as one item, without a name in the digest; extra columns are kept by
 :func:`remove_contaminated` and dropped by :func:`find_matches`.
 """
 
@@ -57,7 +59,7 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 class TestItems:
     """The words of one block of items, its windows and the seeds by which they begin."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
         packed = [t.encode() for _, t in items]
         data = np.frombuffer(b"".join(packed), np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(p) for p in packed])]).astype(np.int64)
@@ -142,7 +144,7 @@ def shard_matches(items: TestItems, data: np.ndarray, offsets: np.ndarray, windo
 
 def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int):
     """The test items, read by the driver one block at a time."""
-    rows = benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).where(F.col(text_col).isNotNull())
     block, size = [], 0
     for name, text in rows.toLocalIterator():
         block.append((name, text))
@@ -154,48 +156,75 @@ def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int):
         yield TestItems(block, window)
 
 
-def _covered(spans: list[tuple[int, int]]) -> int:
-    total, reach = 0, 0
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same places as disjoint spans in rising order."""
+    out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
-        if b > reach:
-            total += b - max(a, reach)
-            reach = b
-    return total
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
-def _judge(counts, found, names, share) -> list[tuple[int, int, int, str, bool]]:
-    by_row: dict[int, list] = {}
-    for row, at, size, owner in found:
-        by_row.setdefault(row, []).append((at, at + size, owner))
+def _judge(counts, by_row, share) -> list[tuple[int, int, int, str, bool]]:
     out = []
     for row, n in enumerate(counts.tolist()):
-        hits = by_row.get(row, ())
-        hit = _covered([(a, b) for a, b, _ in hits])
-        ids = sorted({names[o] for _, _, o in hits})
-        out.append((n, hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), hit > 0 and share * hit >= n))
+        spans, names = by_row.get(row, ((), ()))
+        hit = sum(b - a for a, b in spans)
+        ids = sorted(x for x in names if x is not None)
+        out.append((n, hit, len(names), hashlib.sha256(",".join(ids).encode()).hexdigest(), hit > 0 and share * hit >= n))
     return out
 
 
+def _judged(column: pa.Array, shared: list, window: int, share: int):
+    """(first row, end row, judgements) of a batch's runs of rows: each row by itself, by all blocks of items."""
+    parts = list(blocks(column))
+    counts, by_row = [np.zeros(0, np.int64)] * len(parts), [{} for _ in parts]
+    for block in shared:
+        items = _loaded(block) if len(shared) > 1 else block.value
+        for k, (_, _, data, offsets) in enumerate(parts):
+            counts[k], hits = shard_matches(items, data, offsets, window)
+            fresh: dict[int, tuple[list, set]] = {}
+            for row, at, size, owner in hits:
+                spans, names = fresh.setdefault(row, ([], set()))
+                spans.append((at, at + size))
+                names.add(items.names[owner])
+            for row, (spans, names) in fresh.items():
+                old = by_row[k].get(row, ([], set()))
+                by_row[k][row] = (_merged(old[0] + spans), old[1] | names)
+    for (a, b, _, _), n, found in zip(parts, counts, by_row, strict=True):
+        yield a, b, _judge(n, found, share)
+
+
+def _loaded(block) -> TestItems:
+    """A broadcast block, not kept by the worker, so that a task holds one of several at a time."""
+    path = getattr(block, "_path", None)
+    return block.load_from_path(path) if path else block.value
+
+
+def _shared_blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int) -> list:
+    """All blocks of items as broadcasts, one at least; the driver holds one block at a time."""
+    context = docs.sparkSession.sparkContext
+    return [context.broadcast(x) for x in _item_blocks(benchmark, item_col, item_text_col, window)] or [context.broadcast(TestItems([], window))]
+
+
 _FIELDS = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, share: int = 20) -> DataFrame:
     """Per document: its words, hit words, items found, their digest, and whether ``share`` * hits >= words."""
     kind = docs.schema[id_col].dataType.simpleString()
-    found = list(_item_blocks(benchmark, item_col, item_text_col, window))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    if len(found) <= 1:
-        shared = docs.sparkSession.sparkContext.broadcast(found[0] if found else TestItems([], window))
+    shared = _shared_blocks(docs, benchmark, item_col, item_text_col, window)
 
-        def run(batches):
-            for batch in batches:
-                for a, b, data, offsets in blocks(batch.column(1)):
-                    counts, hits = shard_matches(shared.value, data, offsets, window)
-                    columns = list(zip(*_judge(counts, hits, shared.value.names, share), strict=True))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()))], names=["id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+    def run(batches):
+        for batch in batches:
+            for a, b, judged in _judged(batch.column(1), shared, window, share):
+                columns = list(zip(*judged, strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()))], names=["id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-        return rows.mapInArrow(run, f"id {kind}, {_FIELDS}").withColumnRenamed("id", id_col)
-    return _judge_blocks(rows, found, kind, window, share).withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, {_FIELDS}").withColumnRenamed("id", id_col)
 
 
 def find_matches(docs: DataFrame, items: TestItems, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -217,45 +246,13 @@ def find_matches(docs: DataFrame, items: TestItems, id_col: str = "doc_id", text
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def _judge_blocks(rows: DataFrame, found: list[TestItems], kind: str, window: int, share: int) -> DataFrame:
-    """More than one block of items: hits of all blocks meet by document before they are judged."""
-    parts = [find_matches(rows, items, "id", "text", window) for items in found]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    merged = union.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"))
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, share: int = 20) -> DataFrame:
+    """The documents that are not contaminated, with all their columns, without moving a row."""
+    shared, at = _shared_blocks(docs, benchmark, item_col, item_text_col, window), docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            out = []
-            for n, matches in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                hit = _covered([(m["at"], m["at"] + m["words"]) for m in matches])
-                ids = sorted({m["item"] for m in matches})
-                out.append((n, hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), hit > 0 and share * hit >= n))
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()))], names=["id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            for a, b, judged in _judged(batch.column(at), shared, window, share):
+                yield batch.slice(a, b - a).filter(pa.array([not x[4] for x in judged], pa.bool_()))
 
-    return merged.mapInArrow(run, f"id {kind}, {_FIELDS}")
-
-
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, share: int = 20) -> DataFrame:
-    """The documents that are not contaminated, with all their columns, without moving a row."""
-    found = list(_item_blocks(benchmark, item_col, item_text_col, window))
-    for items in found if len(found) <= 1 else []:
-        shared = docs.sparkSession.sparkContext.broadcast(items)
-        at = docs.columns.index(text_col)
-
-        def run(batches, shared=shared, at=at):
-            for batch in batches:
-                for a, b, data, offsets in blocks(batch.column(at)):
-                    counts, hits = shard_matches(shared.value, data, offsets, window)
-                    clean = [not x[4] for x in _judge(counts, hits, shared.value.names, share)]
-                    yield batch.slice(a, b - a).filter(pa.array(clean, pa.bool_()))
-
-        return docs.mapInArrow(run, docs.schema)
-    if not found:
-        return docs
-    key = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
-    texts = docs.select(key.alias("id"), F.col(text_col).alias("text")).dropDuplicates(["id"])
-    bad = _judge_blocks(texts, found, "string", window, share).where("contaminated").select("id")
-    return docs.join(bad, key == bad["id"], "left_anti")
+    return docs.mapInArrow(run, docs.schema)

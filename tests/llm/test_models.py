@@ -52,6 +52,19 @@ def test_decontamination(spark, monkeypatch, block):
     assert decontaminate.judge(table.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("block", [2_000_000, 10])
+def test_decontamination_row_by_row(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "ITEM_WORDS", block)
+    one, two, three = (" ".join(f"{c}{k}" for k in range(20)) for c in "abc")
+    bench = spark.createDataFrame([(1, one), (2, two), (None, three), (None, "lone")], "item_id long, text string")
+    texts = [(5, one), (5, two + " x"), (5, "x y"), (None, one + " " + two), (None, "x"), (None, three), (6, one + " lone " + three), (None, None)]
+    table = spark.createDataFrame([(d, t, n) for n, (d, t) in enumerate(texts)], "doc_id long, text string, n long")
+    digest = lambda *ids: hashlib.sha256(",".join(ids).encode()).hexdigest()
+    want = [(5, 20, 20, 1, digest("1"), True), (5, 21, 20, 1, digest("2"), True), (5, 2, 0, 0, digest(), False), (None, 40, 40, 2, digest("1", "2"), True), (None, 1, 0, 0, digest(), False), (None, 20, 20, 1, digest(), True), (6, 41, 41, 2, digest("1"), True), (None, 0, 0, 0, digest(), False)]
+    assert sorted(map(str, map(tuple, decontaminate.judge(table, bench).collect()))) == sorted(map(str, want))
+    assert sorted(r.n for r in decontaminate.remove_contaminated(table, bench).collect()) == [2, 4, 7]
+
+
 def test_languages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.fit(docs)
