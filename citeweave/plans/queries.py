@@ -377,6 +377,16 @@ def dense_topk(spark, sf):
     return found.select("qid", "doc", "score")
 
 
+@query("""SELECT qid, doc, round(score, 6) AS score FROM (
+    SELECT q.vec_id AS qid, p.vec_id AS doc, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])) AS score,
+        row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])) DESC, p.vec_id) AS rank
+    FROM embeddings q, embeddings p WHERE q.vec_id % 100 = 0) WHERE rank <= 10""")
+def dense_topk_all_rows(spark, sf):
+    rows = B.table(spark, sf, "embeddings")
+    found = retrieval.dense_topk(rows, rows.where("vec_id % 100 = 0"), 10, "vec_id", "vec_id", "embedding")
+    return found.select("qid", "doc", "score")
+
+
 @query(f"WITH {B.RUNS} SELECT run, qid, doc, score, rank FROM ranked")
 def run_ranking(spark, sf):
     return retrieval.ranked(B.runs(spark, sf)).select("run", "qid", "doc", "score", "rank")
