@@ -41,7 +41,8 @@ from .text_blocks import blocks, prefix_hashes, span_hashes
 # Fixed value: the splitting pattern of byte-level vocabularies.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-CACHE_ENTRIES = 400_000
+SLOTS_LOG2 = 20
+CACHE_ENTRIES = 400_000  # well under the slots, so that every probe meets a free one
 
 def byte_alphabet() -> dict[str, int]:
     """The printable characters that stand for bytes in byte-level vocabularies."""
@@ -208,7 +209,7 @@ _KINDS[10] = 3
 class TextEncoder:
     """Whole texts to ids: special tokens, then chunks between spaces, then a function for each piece.
 
-    The ids of the CACHE_ENTRIES chunks seen first stand in a hash table that is
+    The ids of at most CACHE_ENTRIES chunks, those seen first, stand in a hash table that is
     probed for a whole block of texts at once; chunks are known by a 64-bit hash.
     """
 
@@ -218,7 +219,7 @@ class TextEncoder:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.marks = tuple(special)
         self.mark_bytes = _byte_set(*{m.encode()[0] for m in special if m})
-        self.slots = 1 << 20
+        self.slots, self.shift = 1 << SLOTS_LOG2, 64 - SLOTS_LOG2
         self.keys = np.zeros(self.slots, np.uint64)
         self.where, self.sizes = np.zeros(self.slots, np.int64), np.zeros(self.slots, np.int64)
         self.entries, self.pool = 0, np.zeros(0, self.kind)
@@ -263,15 +264,18 @@ class TextEncoder:
         pool = self.pool
         if not found.all():
             missing, first, inverse = np.unique(hashes[~found], return_index=True, return_inverse=True)
+            order = np.argsort(first)
+            missing, first, inverse = missing[order], first[order], np.argsort(order)[inverse]
             at = np.flatnonzero(~found)
             new = [self.chunk(data[starts[k] : ends[k]].tobytes().decode()) for k in at[first].tolist()]
             count = np.array([len(x) for x in new], np.int64)
             place = len(pool) + np.cumsum(count) - count
             pool = np.concatenate([pool, np.fromiter((t for x in new for t in x), self.kind, int(count.sum()))])
             where[at], sizes[at] = place[inverse], count[inverse]
-            if self.entries < CACHE_ENTRIES:
-                self._insert(missing, place, count)
-                self.pool = pool
+            room = min(max(CACHE_ENTRIES - self.entries, 0), len(missing))
+            if room:  # ids of the others are needed in this block only
+                self._insert(missing[:room], place[:room], count[:room])
+                self.pool = pool if room == len(missing) else pool[: place[room - 1] + count[room - 1]].copy()
         total = np.cumsum(sizes)
         flat = pool[np.repeat(where - (total - sizes), sizes) + np.arange(int(total[-1]))]
         bounds = np.concatenate([[0], total])[np.searchsorted(starts, offsets)]
@@ -306,7 +310,7 @@ class TextEncoder:
     def _probe(self, hashes: np.ndarray):
         where, sizes = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
         found = np.zeros(len(hashes), bool)
-        slot = (hashes >> np.uint64(44)).astype(np.int64)
+        slot = (hashes >> np.uint64(self.shift)).astype(np.int64)
         on = np.arange(len(hashes))
         while len(on):
             key = self.keys[slot]
@@ -319,7 +323,7 @@ class TextEncoder:
 
     def _insert(self, hashes, place, count) -> None:
         for h, w, n in zip(hashes.tolist(), place.tolist(), count.tolist(), strict=True):
-            slot = h >> 44
+            slot = h >> self.shift
             while self.keys[slot]:
                 slot = (slot + 1) & (self.slots - 1)
             self.keys[slot], self.where[slot], self.sizes[slot] = h, w, n

@@ -53,6 +53,18 @@ def test_long_pieces_need_only_the_lookahead(library, transducer, alphabet):
         assert by_block([text], encoder)[0] == library.encode(text, add_special_tokens=False).ids
 
 
+def test_more_chunks_than_slots(library, transducer, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 40)
+    monkeypatch.setattr(bpe, "SLOTS_LOG2", 6)
+    merges, _ = transducer
+    machine = bpe.Encoder(merges)
+    encoder = bpe.TextEncoder(merges.special, len(merges.token_bytes), lambda p: machine.piece(p.encode()))
+    texts = [" ".join(f"{k * 7919:x}" for k in range(n)) for n in (10, 500, 300)]
+    for text in [*texts, *texts]:
+        assert by_block([text], encoder)[0] == library.encode(text, add_special_tokens=False).ids
+        assert encoder.entries <= 40
+
+
 def test_stream_in_small_parts(transducer):
     merges, _ = transducer
     data = b"theinganorst" * 500
