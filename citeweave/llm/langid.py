@@ -42,6 +42,9 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     low = points < 0x10000
     points = np.where(low, _FOLD[points & np.uint32(0xFFFF)], points)
+    if not low.all():
+        others = [c for c in np.unique(points[~low]).tolist() if not chr(c).isalpha()]
+        points[np.isin(points, others)] = 32
     keep = np.ones(len(points), bool)
     keep[1:] = (points[1:] != 32) | (points[:-1] != 32)
     points = points[keep]

@@ -76,6 +76,16 @@ def test_languages(spark):
     assert langid.keep_identified(odd, model).columns == odd.columns
 
 
+@pytest.mark.parametrize("text", ["🙂", "🙂🙂 !! 🎉", "🙂 123", "𝟙𝟚𝟛 🀄", "\U0010ffff"])
+def test_high_code_points_without_letters_are_no_language(text):
+    assert not len(langid.gram_counts(text)[0])
+    assert [x.tolist() for x in langid.gram_counts(f"the{text}of")] == [x.tolist() for x in langid.gram_counts("the of")]
+
+
+def test_high_letters_stay():
+    assert len(langid.gram_counts("𐌰𐌱")[0]) and len(langid.gram_counts("𠀀")[0])
+
+
 def test_labels_meet_texts_either_way(spark, monkeypatch):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     sent = toxicity.fit(docs, labels)
