@@ -11,6 +11,12 @@ a merge of a lower rank that takes its last part away, so a disturbance travels
 left through merges of strictly rising rank.  One pass over the merges in rank
 order adds up the longest such chain in bytes.
 
+Every piece goes through the transducer, and texts longer than ``WINDOW`` are
+cut into pieces window by window, so what a task holds besides the text itself
+does not grow with it (a text without any safe place to cut in ``_LONGEST``
+bytes is read piece by piece instead).  Chunks between spaces that a worker has
+met before are looked up by a hash and compared byte by byte.
+
 Decoding.  Bytes of tokens go through an incremental UTF-8 state machine that
 holds at most one unfinished character.
 
@@ -36,13 +42,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text_blocks import blocks, prefix_hashes, span_hashes
+from .text_blocks import blocks, random_base, span_hasher
 
 # Fixed value: the splitting pattern of byte-level vocabularies.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 SLOTS_LOG2 = 20
 CACHE_ENTRIES = 400_000  # well under the slots, so that every probe meets a free one
+WINDOW = 1 << 20
+
 
 def byte_alphabet() -> dict[str, int]:
     """The printable characters that stand for bytes in byte-level vocabularies."""
@@ -77,7 +85,6 @@ class MergeList:
         self.all_bytes = np.frombuffer(b"".join(self.token_bytes), np.uint8)
         self.lookahead = sufficient_lookahead(self.merges, [len(b) for b in self.token_bytes])
 
-
     def joined(self, ids: np.ndarray) -> bytes:
         """The bytes of tokens, one after another."""
         count = self.byte_count[ids]
@@ -170,8 +177,6 @@ class Encoder:
         return rest
 
     def piece(self, data: bytes) -> list[int]:
-        if len(data) < self.window:  # never leaves the window
-            return merge_window([*map(self.merges.byte_ids.__getitem__, data)], self.merges.follow, self.merges.wholes)
         return [*self.feed(data), *self.finish()]
 
 
@@ -210,43 +215,98 @@ class TextEncoder:
     """Whole texts to ids: special tokens, then chunks between spaces, then a function for each piece.
 
     The ids of at most CACHE_ENTRIES chunks, those seen first, stand in a hash table that is
-    probed for a whole block of texts at once; chunks are known by a 64-bit hash.
+    probed for a whole block of texts at once.  A hash only proposes an entry: lengths and
+    bytes are compared, and a text with a chunk that differs is cut and encoded by itself.
     """
 
-    def __init__(self, special: dict[str, int], size: int, piece_ids):
+    def __init__(self, special: dict[str, int], size: int, piece_ids, base: int | None = None):
         self.kind, self.code = ("<u2", "H") if size <= 1 << 16 else ("<u4", "I")
-        self.split, self.piece_ids, self.special = regex.compile(PIECES).findall, piece_ids, special
+        self.split, self.piece_ids, self.special = regex.compile(PIECES), piece_ids, special
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.marks = tuple(special)
         self.mark_bytes = _byte_set(*{m.encode()[0] for m in special if m})
         self.slots, self.shift = 1 << SLOTS_LOG2, 64 - SLOTS_LOG2
-        self.keys = np.zeros(self.slots, np.uint64)
-        self.where, self.sizes = np.zeros(self.slots, np.int64), np.zeros(self.slots, np.int64)
-        self.entries, self.pool = 0, np.zeros(0, self.kind)
+        self.base = random_base() if base is None else base
+        self.keys, self.entry = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int64)
+        # entry k: ids pool[id_at[k]:id_at[k + 1]] of the bytes text[text_at[k]:text_at[k + 1]]
+        self.pool, self.id_at = np.zeros(0, self.kind), np.zeros(1, np.int64)
+        self.text, self.text_at = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+
+    @property
+    def entries(self) -> int:
+        return len(self.id_at) - 1
 
     def chunk(self, chunk: str) -> list[int]:
         """Ids of a part of a text that the pattern never joins with its neighbours."""
         if chunk.isascii() and chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
             return self.piece_ids(chunk)
-        return [k for p in self.split(chunk) for k in self.piece_ids(p)]
+        return [k for p in self.split.findall(chunk) for k in self.piece_ids(p)]
 
-    def ids(self, text: str) -> np.ndarray:
-        """One text's ids, piece by piece."""
+    def piecewise(self, text: str, step: int = 1 << 16) -> Iterator[np.ndarray]:
+        """One text's ids, piece by piece, about ``step`` at a time."""
         out: list[int] = []
         for k, part in enumerate(self.cut.split(text) if any(m in text for m in self.marks) else [text]):
             if k % 2:
                 out.append(self.special[part])
-            else:
-                for piece in self.split(part):
-                    out += self.piece_ids(piece)
-        return np.array(out, self.kind)
+                continue
+            for piece in self.split.finditer(part):
+                out += self.piece_ids(piece[0])
+                if len(out) >= step:
+                    yield np.array(out, self.kind)
+                    out = []
+        yield np.array(out, self.kind)
+
+    def ids(self, text: str) -> np.ndarray:
+        """One text's ids, piece by piece."""
+        return np.concatenate([*self.piecewise(text)])
+
+    def stream(self, data: np.ndarray) -> Iterator[np.ndarray]:
+        """One text's ids, window by window; a window ends where every splitting of the text would."""
+        at = 0
+        while at < len(data):
+            end = self._safe_cut(data, at)
+            if end is None:
+                yield from self.piecewise(data[at:].tobytes().decode())
+                return
+            yield self._window_ids(data[at:end], np.array([0, end - at]))[0]
+            at = end
+
+    def _safe_cut(self, data: np.ndarray, at: int) -> int | None:
+        """The end of the window from ``at``: before a lone space or after a lone line feed, outside special tokens."""
+        if len(data) - at <= WINDOW:
+            return len(data)
+        size = WINDOW
+        while size <= _LONGEST:
+            part = data[at : at + size]
+            lone = ~_MAY_END_SPACE[part[:-2]] & ((part[1:-1] == 32) | (part[1:-1] == 10)) & ~_MAY_BEGIN_SPACE[part[2:]]
+            for k in (np.flatnonzero(lone)[::-1] + 1).tolist():
+                end = at + k + int(part[k] == 10)
+                if not any(m.encode() in data[max(at, end - len(m.encode()) + 1) : end + len(m.encode()) - 1].tobytes() for m in self.marks):
+                    return end
+            if at + size >= len(data):
+                return len(data)
+            size *= 2
+        return None
+
+    def rows(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[Iterator[np.ndarray]]:
+        """For each text of a block, its ids in parts; long texts are streamed."""
+        if len(data) > WINDOW:
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                yield self.stream(data[a:b])
+            return
+        flat, at = self._window_ids(data, offsets)
+        for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            yield iter((flat[x:y],))
 
     def block_ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a block and the offsets of each text's ids."""
+        if len(data) <= WINDOW:
+            return self._window_ids(data, offsets)
+        each = [np.concatenate([np.zeros(0, self.kind), *parts]) for parts in self.rows(data, offsets)]
+        return np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
+
+    def _window_ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = len(offsets) - 1
-        if len(data) > _LONGEST:
-            each = [self.ids(data[offsets[k] : offsets[k + 1]].tobytes().decode()) for k in range(rows)]
-            return np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
         space = data == 32
         kind = _KINDS[data]
         before = np.append(np.uint8(0), kind[:-1])
@@ -259,27 +319,40 @@ class TextEncoder:
         if not len(starts):
             return np.zeros(0, self.kind), np.zeros(rows + 1, np.int64)
         ends = np.append(starts[1:], len(data))
-        hashes = span_hashes(prefix_hashes(data), starts, ends) | np.uint64(1)
-        where, sizes, found = self._probe(hashes)
-        pool = self.pool
-        if not found.all():
-            missing, first, inverse = np.unique(hashes[~found], return_index=True, return_inverse=True)
+        length = ends - starts
+        hasher = span_hasher(self.base)
+        hashes = hasher.hashes(hasher.sums(data), starts, ends) | np.uint64(1)
+        entry = self._probe(hashes)
+        pool, id_at, text, text_at = self.pool, self.id_at, self.text, self.text_at
+        at = np.flatnonzero(entry < 0)
+        if len(at):
+            missing, first, inverse = np.unique(hashes[at], return_index=True, return_inverse=True)
             order = np.argsort(first)
             missing, first, inverse = missing[order], first[order], np.argsort(order)[inverse]
-            at = np.flatnonzero(~found)
-            new = [self.chunk(data[starts[k] : ends[k]].tobytes().decode()) for k in at[first].tolist()]
+            on = at[first]
+            new = [self.chunk(data[a:b].tobytes().decode()) for a, b in zip(starts[on].tolist(), ends[on].tolist(), strict=True)]
             count = np.array([len(x) for x in new], np.int64)
-            place = len(pool) + np.cumsum(count) - count
             pool = np.concatenate([pool, np.fromiter((t for x in new for t in x), self.kind, int(count.sum()))])
-            where[at], sizes[at] = place[inverse], count[inverse]
+            id_at = np.concatenate([id_at, id_at[-1] + np.cumsum(count)])
+            text = np.concatenate([text, data[_ranges(starts[on], length[on])]])
+            text_at = np.concatenate([text_at, text_at[-1] + np.cumsum(length[on])])
+            entry[at] = self.entries + inverse
             room = min(max(CACHE_ENTRIES - self.entries, 0), len(missing))
             if room:  # ids of the others are needed in this block only
-                self._insert(missing[:room], place[:room], count[:room])
-                self.pool = pool if room == len(missing) else pool[: place[room - 1] + count[room - 1]].copy()
-        total = np.cumsum(sizes)
-        flat = pool[np.repeat(where - (total - sizes), sizes) + np.arange(int(total[-1]))]
-        bounds = np.concatenate([[0], total])[np.searchsorted(starts, offsets)]
+                self._insert(missing[:room])
+                n = self.entries + room + 1
+                self.id_at, self.text_at = id_at[:n], text_at[:n]
+                self.pool, self.text = pool[: id_at[n - 1]].copy(), text[: text_at[n - 1]].copy()
         odd = self._odd_rows(data, offsets, space)
+        differ = text_at[entry + 1] - text_at[entry] != length
+        if not differ.any():
+            differ = text[_ranges(text_at[entry], length)] != data[starts[0] :]
+            odd |= set((np.searchsorted(offsets, np.flatnonzero(differ) + starts[0], "right") - 1).tolist())
+        else:
+            odd |= set(range(rows))
+        sizes = id_at[entry + 1] - id_at[entry]
+        flat = pool[_ranges(id_at[entry], sizes)]
+        bounds = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(starts, offsets)]
         if not len(odd):
             return flat, bounds
         parts, sizes = [], np.diff(bounds)
@@ -307,27 +380,31 @@ class TextEncoder:
                 rows.add(k)
         return rows
 
-    def _probe(self, hashes: np.ndarray):
-        where, sizes = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
-        found = np.zeros(len(hashes), bool)
+    def _probe(self, hashes: np.ndarray) -> np.ndarray:
+        """The entry that each hash proposes, -1 for none."""
+        entry = np.full(len(hashes), -1, np.int64)
         slot = (hashes >> np.uint64(self.shift)).astype(np.int64)
         on = np.arange(len(hashes))
         while len(on):
             key = self.keys[slot]
             hit = key == hashes[on]
-            where[on[hit]], sizes[on[hit]] = self.where[slot[hit]], self.sizes[slot[hit]]
-            found[on[hit]] = True
+            entry[on[hit]] = self.entry[slot[hit]]
             more = ~hit & (key != 0)
             on, slot = on[more], (slot[more] + 1) & (self.slots - 1)
-        return where, sizes, found
+        return entry
 
-    def _insert(self, hashes, place, count) -> None:
-        for h, w, n in zip(hashes.tolist(), place.tolist(), count.tolist(), strict=True):
+    def _insert(self, hashes: np.ndarray) -> None:
+        for k, h in enumerate(hashes.tolist(), self.entries):
             slot = h >> self.shift
             while self.keys[slot]:
                 slot = (slot + 1) & (self.slots - 1)
-            self.keys[slot], self.where[slot], self.sizes[slot] = h, w, n
-        self.entries += len(hashes)
+            self.keys[slot], self.entry[slot] = h, k
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all ranges, one range after another."""
+    total = np.cumsum(sizes)
+    return np.repeat(starts - (total - sizes), sizes) + np.arange(int(total[-1]) if len(total) else 0)
 
 
 def read_vocabulary(path: str) -> str:
@@ -386,22 +463,24 @@ def decode(encoded: DataFrame, vocabulary_path: str, id_col: str = "doc_id", ids
 
 
 def round_trip(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) in one pass: encode, decode and digest, text by text."""
+    """(id, n_tokens, ids_sha256, decoded_sha256) in one pass: encode, decode and digest, window by window."""
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
 
     def run(batches):
         merges, texts = _transducer(shared.value)
         for batch in batches:
             for a, b, data, offsets in blocks(batch.column(1)):
-                flat, at = texts.block_ids(data, offsets)
-                counts, of_ids, of_text = np.diff(at), [], []
-                for x, y in zip(at[:-1], at[1:], strict=True):
-                    ids = flat[x:y]
-                    of_ids.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                    digest = hashlib.sha256()
-                    for piece in decoded_text(ids, merges):
-                        digest.update(piece.encode())
-                    of_text.append(digest.hexdigest())
+                counts, of_ids, of_text = [], [], []
+                for parts in texts.rows(data, offsets):
+                    count, ids_digest, text_digest, machine = 0, hashlib.sha256(), hashlib.sha256(), Decoder(merges)
+                    for ids in parts:
+                        count += len(ids)
+                        ids_digest.update(ids.astype("<u4").tobytes())
+                        text_digest.update(machine.feed(ids).encode())
+                    text_digest.update(machine.finish().encode())
+                    counts.append(count)
+                    of_ids.append(ids_digest.hexdigest())
+                    of_text.append(text_digest.hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()

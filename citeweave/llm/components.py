@@ -4,8 +4,9 @@ Each round maps every node to the node of least priority among itself and its
 neighbours, with fresh pseudo-random priorities, and replaces links by links
 between images.  A constant share of the nodes disappears per round on any
 graph, long paths and huge stars included, so the rounds are logarithmic in
-the nodes.  Every round's tables are written to shared storage; only whether
-links are left is ever asked by the driver.
+the nodes.  Every round's tables are written to shared storage, and so is each
+step of the way back from the last round's roots; only whether links are left
+is ever asked by the driver.
 
 Cases: no links give no rows; links from a node to itself and repeated links
 are allowed; null ends are ignored.
@@ -52,10 +53,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b", seed: int = 0) -> t
     if edge_path:
         kept.append(edge_path)
     if not maps:
-        return spark.createDataFrame([], "node long, component long"), kept
-    root = maps[-1]
+        discard(spark, *kept)
+        return spark.createDataFrame([], "node long, component long"), []
+    # the last maps are the smallest; each composition is written, so no plan holds more than one of them
+    root, last = maps[-1], None
     for step in reversed(maps[:-1]):
         later = root.select(F.col("node").alias("to"), F.col("to").alias("later"))
-        root = step.join(later, "to", "left").select("node", F.coalesce("later", "to").alias("to"))
-    least = root.groupBy("to").agg(F.min("node").alias("component"))
-    return root.join(least, "to").select("node", "component"), kept
+        root, path = settle(step.join(later, "to", "left").select("node", F.coalesce("later", "to").alias("to")), "roots")
+        if last:
+            discard(spark, last)
+        last = path
+    least, least_path = settle(root.groupBy("to").agg(F.min("node").alias("component")), "least")
+    found, found_path = settle(root.join(least, "to").select("node", "component"), "components")
+    discard(spark, least_path, *kept, *([last] if last else []))
+    return found, [found_path]

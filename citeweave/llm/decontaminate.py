@@ -1,12 +1,16 @@
 """Benchmark decontamination by suffix arrays over shards of the training text.
 
-Each shard of documents gets an array of its word suffixes; every suffix of the
-test items is looked up in it by binary search, which gives the longest verbatim
-match and its places.  A window of ``window`` consecutive item words (a shorter
-item is one window) counts as occurring where the match is that long.
-
-Only suffixes that begin with some item's first few words can match at all, so
-only those enter a shard's array: the array is sparse and exact.
+Each shard of documents gets an array of its word suffixes.  Every suffix of a
+test item that is long enough for a window (``window`` consecutive words; a
+shorter item is one window) is looked up in it by binary search, which tells how
+far it matches and where.  Matches that go on from one suffix to the next make
+the longest verbatim matches of :func:`find_matches`; shorter ones than a window
+count nowhere and are not reported.
+
+A suffix can only match where the text has its first few words, its seed.  Only
+places with some seed enter a shard's array, which is so sparse and exact, and
+only suffixes whose seed the shard has are looked up.  Words are known by hashes
+in a secret base drawn for the run.
 
 The test items are read in blocks of at most ``ITEM_WORDS`` words and sent out
 block by block.  A task judges each row by all blocks before it goes on, so the
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text_blocks import U64, blocks, mix, prefix_hashes, span_hashes, word_spans
+from .text_blocks import U64, blocks, mix, random_base, span_hasher, word_spans
 
 ITEM_WORDS = 2_000_000
 WINDOW = 13
@@ -42,10 +46,11 @@ _IS_WORD[0x5B:0x61] = False
 _IS_WORD[0x7B:0x80] = False
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the folded words of a block, and where each row's words begin."""
     starts, ends, first = word_spans(data, offsets, _IS_WORD)
-    return span_hashes(prefix_hashes(data, fold_case=True), starts, ends), first
+    hasher = span_hasher(base)
+    return hasher.hashes(hasher.sums(data, fold_case=True), starts, ends), first
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -57,38 +62,50 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 
 class TestItems:
-    """The words of one block of items, its windows and the seeds by which they begin."""
+    """The words of one block of items, its windows and the seeds (first few words) by which they begin."""
 
-    def __init__(self, items: list[tuple[str | None, str]], window: int):
+    def __init__(self, items: list[tuple[str | None, str]], window: int, base: int):
         packed = [t.encode() for _, t in items]
         data = np.frombuffer(b"".join(packed), np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(p) for p in packed])]).astype(np.int64)
-        self.words, first = word_hashes(data, offsets)
+        self.base = base
+        self.words, self.first = word_hashes(data, offsets, base)
         self.names = [name for name, _ in items]
         starts, lengths, owners = [], [], []
         for k in range(len(items)):
-            a, b = int(first[k]), int(first[k + 1])
+            a, b = int(self.first[k]), int(self.first[k + 1])
             size = min(window, b - a)
             if size:
                 starts += range(a, b - size + 1)
                 owners += [k] * (b - a - size + 1)
                 lengths += [size] * (b - a - size + 1)
         self.starts, self.lengths, self.owners = (np.array(x, np.int64) for x in (starts, lengths, owners))
-        self.seed = min([SEED_WORDS, *lengths]) if lengths else 0
-        if self.seed:
-            self.seeds = np.unique(gram_hashes(self.words, self.seed)[self.starts])
-            self.filter = np.zeros(1 << 20, bool)
-            self.filter[(self.seeds >> U64(44)).astype(np.int64)] = True
-
-    def places(self, words: np.ndarray, row_of_word: np.ndarray) -> np.ndarray:
-        """Positions whose seed is that of some window, within one row."""
-        if not self.seed or len(words) < self.seed:
-            return np.zeros(0, np.int64)
-        grams = gram_hashes(words, self.seed)
-        at = np.flatnonzero(self.filter[(grams >> U64(44)).astype(np.int64)])
-        at = at[row_of_word[at] == row_of_word[at + self.seed - 1]]
-        found = np.minimum(np.searchsorted(self.seeds, grams[at]), len(self.seeds) - 1)
-        return at[self.seeds[found] == grams[at]]
+        # short items have shorter seeds of their own: (words, sorted seeds, their windows, a filter)
+        self.seeds = []
+        for n in np.unique(np.minimum(self.lengths, SEED_WORDS)).tolist():
+            on = np.flatnonzero(np.minimum(self.lengths, SEED_WORDS) == n)
+            seeds = gram_hashes(self.words, n)[self.starts[on]]
+            order = np.argsort(seeds, kind="stable")
+            maybe = np.zeros(1 << 20, bool)
+            maybe[(seeds >> U64(44)).astype(np.int64)] = True
+            self.seeds.append((n, seeds[order], on[order], maybe))
+
+    def occurring(self, words: np.ndarray, row_of_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions that begin with the seed of some window within their row, and the windows of those seeds."""
+        places, windows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n, seeds, of_seed, maybe in self.seeds:
+            if len(words) < n:
+                continue
+            grams = gram_hashes(words, n)
+            at = np.flatnonzero(maybe[(grams >> U64(44)).astype(np.int64)])
+            at = at[row_of_word[at] == row_of_word[at + n - 1]]
+            found = np.minimum(np.searchsorted(seeds, grams[at]), len(seeds) - 1)
+            at = at[seeds[found] == grams[at]]
+            places.append(at)
+            met = np.unique(grams[at])
+            low, high = np.searchsorted(seeds, met, "left"), np.searchsorted(seeds, met, "right")
+            windows += [of_seed[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+        return np.unique(np.concatenate(places)), np.sort(np.concatenate(windows))
 
 
 class SuffixArray:
@@ -120,17 +137,17 @@ class SuffixArray:
         return out
 
 
-def shard_matches(items: TestItems, data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
-    """Words of each row, and (row, first word, words, item) of every window's occurrence in a shard."""
-    words, first = word_hashes(data, offsets)
+def shard_matches(items: TestItems, data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, list[tuple[int, int, int, int, int]]]:
+    """Words of each row, and (row, first word, words, item, first word in the item) of every window's occurrence in a shard."""
+    words, first = word_hashes(data, offsets, items.base)
     counts = np.diff(first)
     row_of_word = np.repeat(np.arange(len(counts)), counts)
-    places = items.places(words, row_of_word)
+    places, windows = items.occurring(words, row_of_word)
     if not len(places):
         return counts, []
     array = SuffixArray(words, np.repeat(first[1:], counts), places, window)
     out, known = [], {}
-    for start, size, owner in zip(items.starts.tolist(), items.lengths.tolist(), items.owners.tolist(), strict=True):
+    for start, size, owner in zip(items.starts[windows].tolist(), items.lengths[windows].tolist(), items.owners[windows].tolist(), strict=True):
         suffix = items.words[start : start + size]
         key = suffix.tobytes()
         if key not in known:
@@ -138,22 +155,36 @@ def shard_matches(items: TestItems, data: np.ndarray, offsets: np.ndarray, windo
             known[key] = array.places[slice(*ranges[-1])].tolist() if len(ranges) == size else []
         for place in known[key]:
             row = int(row_of_word[place])
-            out.append((row, place - int(first[row]), size, owner))
+            out.append((row, place - int(first[row]), size, owner, start - int(items.first[owner])))
     return counts, out
 
 
+def longest(hits: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(row, first word, words, item) of the longest verbatim matches: windows that go on in text and item alike are one."""
+    out: list[tuple[int, int, int, int]] = []
+    before = None
+    for row, at, size, owner, start in sorted(hits, key=lambda h: (h[0], h[3], h[1] - h[4], h[1])):
+        now = (row, owner, at - start)
+        if before == now and at == last + 1:
+            out[-1] = (row, out[-1][1], at + size - out[-1][1], owner)
+        else:
+            out.append((row, at, size, owner))
+        before, last = now, at
+    return sorted(out)
+
+
 def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int):
     """The test items, read by the driver one block at a time."""
     rows = benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).where(F.col(text_col).isNotNull())
-    block, size = [], 0
+    base, block, size = random_base(), [], 0
     for name, text in rows.toLocalIterator():
         block.append((name, text))
         size += len(text) // 2 + 1
         if size >= ITEM_WORDS:
-            yield TestItems(block, window)
+            yield TestItems(block, window, base)
             block, size = [], 0
     if block:
-        yield TestItems(block, window)
+        yield TestItems(block, window, base)
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -186,7 +217,7 @@ def _judged(column: pa.Array, shared: list, window: int, share: int):
         for k, (_, _, data, offsets) in enumerate(parts):
             counts[k], hits = shard_matches(items, data, offsets, window)
             fresh: dict[int, tuple[list, set]] = {}
-            for row, at, size, owner in hits:
+            for row, at, size, owner, _ in hits:
                 spans, names = fresh.setdefault(row, ([], set()))
                 spans.append((at, at + size))
                 names.add(items.names[owner])
@@ -206,7 +237,7 @@ def _loaded(block) -> TestItems:
 def _shared_blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int) -> list:
     """All blocks of items as broadcasts, one at least; the driver holds one block at a time."""
     context = docs.sparkSession.sparkContext
-    return [context.broadcast(x) for x in _item_blocks(benchmark, item_col, item_text_col, window)] or [context.broadcast(TestItems([], window))]
+    return [context.broadcast(x) for x in _item_blocks(benchmark, item_col, item_text_col, window)] or [context.broadcast(TestItems([], window, random_base()))]
 
 
 _FIELDS = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -227,19 +258,21 @@ def judge(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return rows.mapInArrow(run, f"id {kind}, {_FIELDS}").withColumnRenamed("id", id_col)
 
 
-def find_matches(docs: DataFrame, items: TestItems, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(id, n_words, matches): the places (first word, words, item) where windows of one block of items occur."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """(id, n_words, matches): the longest verbatim matches (first word, words, item) of ``window`` words or a whole shorter item."""
+    shared = _shared_blocks(docs, benchmark, item_col, item_text_col, window)
     kind = docs.schema[id_col].dataType.simpleString()
     fields = pa.list_(pa.struct([("at", pa.int64()), ("words", pa.int64()), ("item", pa.string())]))
 
     def run(batches):
         for batch in batches:
             for a, b, data, offsets in blocks(batch.column(1)):
-                counts, hits = shard_matches(shared.value, data, offsets, window)
-                lists: list[list] = [[] for _ in counts]
-                for row, at, size, owner in hits:
-                    lists[row].append({"at": at, "words": size, "item": shared.value.names[owner]})
+                lists: list[list] = [[] for _ in range(b - a)]
+                for block in shared:
+                    items = _loaded(block) if len(shared) > 1 else block.value
+                    counts, hits = shard_matches(items, data, offsets, window)
+                    for row, at, size, owner in longest(hits):
+                        lists[row].append({"at": at, "words": size, "item": items.names[owner]})
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(lists, fields)], names=["id", "n_words", "matches"])
 
     schema = f"id {kind}, n_words long, matches array<struct<at: long, words: long, item: string>>"

@@ -3,34 +3,40 @@
 Two documents whose sets have a Jaccard similarity of num/den or more share at
 least T = ceil(num * n / den) shingles, n being the size of either set.
 DivideSkip splits a document's inverted lists into the T - 1 longest and the
-rest: a partner must occur in one of the short lists, so only those are merged,
-and the occurrences in the long lists are found by binary search afterwards.
-Lengths are ranked by the counts of the corpus's most frequent shingles; any
-fixed ranking gives whole results, a good one gives short lists.
-
-1. Documents with equal sets become one class; classes carry everything on.
-2. The short lists' postings are dealt by shingle and merged; a list in which
-   one class stands alone is dropped.
-3. A list of up to ``SMALL`` classes gives all its pairs; of a longer one the
-   first class is paired with all others.  Linked classes become components.
-4. A longer list that still spans several components is searched in full, pairs
-   within one component excepted, since those change nothing.
-
-A pair is only kept where sizes allow the similarity, and where the shingle
-could be the first that both have: what is left of both sets from there on
-must still hold the overlap they need.
-
-Comparisons probe the sorted set of one class for each shingle of the other.
-Before that, a parity sketch of a few bits per shingle rules most pairs out
-for certain: each bit in which two sketches differ is a shingle only one has.
-Lists of more than ``BLOCK`` classes are searched as pairs of blocks.
+rest: a partner must occur in one of the short lists, so only those are merged
+by a heap, and the long ones are probed by binary search for what the merge
+found.
+
+The index of a corpus fits no task, so the search has two steps.
+
+Who may meet.  Documents with equal sets become one class.  The postings of
+the short lists (lengths are ranked by counts of the corpus's most frequent
+shingles; any fixed ranking gives whole results) are dealt by shingle.  A list
+of up to ``SMALL`` classes brings all its classes together; of a longer one,
+first the smallest class is brought together with all others, and once the
+links found have made components, the classes of different components are,
+``BLOCK`` by ``BLOCK``.  Lists of the most frequent shingles are dealt in
+parts of about ``PART`` postings, each with a smallest class of its own.
+Sizes, places in the lists and a parity sketch (each differing bit is a
+shingle that only one set has) rule most meetings out for certain.
+
+The search.  Each class is a query against the classes it may meet, ``GROUP``
+of them at a time: their inverted lists are built, and :func:`divide_skip`
+merges the short ones and probes the long ones.
+
+Components need no link inside a component, so such pairs are not searched and
+numbers of links are not returned.
+
+Shingles are known by hashes in a secret base drawn for the run; a class by a
+63-bit digest of its set, checked against a second digest: names that two sets
+share are found in the first pass and replaced.
 
 Cases: text without words, null text included, has the empty set and links
 with nothing; fewer words than n-grams need are one shingle together; equal
 sets always link; repeated rows are documents of one class; rows with a null
-id form no component of their own (their component is null unless they share
-a class or links); an empty table gives an empty table; other columns are
-dropped, except by :func:`keep_one_each`.
+id take part, but name no class or component: theirs is null unless a document
+with an id belongs to it; an empty table gives an empty table; other columns
+are dropped, except by :func:`keep_one_each`.
 """
 
 from __future__ import annotations
@@ -45,7 +51,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .storage import discard, partitions, settle
 from .suffix_dedup import _by_shard, _dealt
-from .text_blocks import U64, blocks, mix, prefix_hashes, span_hashes, word_spans
+from .text_blocks import U64, blocks, mix, random_base, span_hasher, word_spans
 
 FREQUENT = 1 << 16
 FREQUENT_PER_CHUNK = 4096
@@ -53,6 +59,8 @@ CHUNK = 1 << 20
 FILTER_WORDS = 1 << 17
 BLOCK = 1024
 SMALL = 32
+PART = 4096
+GROUP = 128
 
 # Word bytes: everything but \x20 and \x09-\x0D, after folding A-Z.
 _IS_WORD = np.ones(256, bool)
@@ -60,10 +68,11 @@ _IS_WORD[0x20] = False
 _IS_WORD[0x09:0x0E] = False
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int, base: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each row of a block."""
     starts, ends, first = word_spans(data, offsets, _IS_WORD)
-    words = span_hashes(prefix_hashes(data, fold_case=True), starts, ends)
+    hasher = span_hasher(base)
+    words = hasher.hashes(hasher.sums(data, fold_case=True), starts, ends)
     grams = np.zeros(max(0, len(words) - size + 1), U64)
     for k in range(size):
         grams = mix(grams + words[k : len(words) - size + 1 + k]) if len(grams) else grams
@@ -81,9 +90,18 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.nd
     return out
 
 
-def class_of(grams: np.ndarray) -> int:
-    """A 63-bit name of a set, the same for equal sets."""
-    return int(mix(np.array([mix(grams).sum(dtype=U64) + U64(len(grams))], U64))[0] >> U64(1))
+def names_of(grams: np.ndarray) -> tuple[int, int]:
+    """Two independent 63-bit digests of a set, the same for equal sets."""
+    n = U64(len(grams))
+    sums = np.array([mix(grams).sum(dtype=U64) + n, mix(grams ^ U64(0xA0761D6478BD642F)).sum(dtype=U64) + n], U64)
+    first, second = (mix(sums) >> U64(1)).tolist()
+    return first, second
+
+
+def class_of(grams: np.ndarray, shared_names: frozenset[int] = frozenset()) -> int:
+    """The name of a set's class: its first digest, or the second if unequal sets share the first."""
+    first, second = names_of(grams)
+    return second if first in shared_names else first
 
 
 def sketch_of(grams: np.ndarray) -> bytes:
@@ -113,17 +131,25 @@ def needed(n: int, num: int, den: int) -> int:
     return -(-num * n // den)
 
 
-def divide_skip(lists: list[list[int]], least: int, long: int | None = None) -> dict[int, int]:
+def divide_skip(lists: list, least: int, long: int | None = None) -> dict[int, int]:
     """Ids that occur in at least ``least`` of the sorted lists, with their counts.
 
     The ``long`` longest lists (least - 1 unless given) are left out of the
-    merge by a heap and probed by binary search for the ids the merge found.
+    merge by a heap and probed by binary search for the ids the merge found,
+    all of them at once: they stand one after another as (list, id).
     """
     long = max(0, min(least - 1 if long is None else long, least - 1, len(lists)))
     by_length = sorted(lists, key=len)
-    short, rest = by_length[: len(lists) - long], [np.asarray(x) for x in by_length[len(lists) - long :]]
+    short = [x if isinstance(x, list) else x.tolist() for x in by_length[: len(lists) - long]]
+    rest = by_length[len(lists) - long :]
     heap = [(x[0], k, 0) for k, x in enumerate(short) if x]
+    if not heap:
+        return {}
     heapq.heapify(heap)
+    if rest:
+        span = 1 + max(max(int(x[-1]) for x in rest if len(x)) if any(map(len, rest)) else 0, max(x[-1] for x in short if x))
+        first_of = np.arange(long, dtype=np.int64) * span
+        probed = np.concatenate([np.asarray(x, np.int64) for x in rest]) + np.repeat(first_of, [len(x) for x in rest])
     found = {}
     while heap:
         value, count = heap[0][0], 0
@@ -136,18 +162,32 @@ def divide_skip(lists: list[list[int]], least: int, long: int | None = None) ->
                 heapq.heappop(heap)
         if count < least - long:
             continue
-        for k, x in enumerate(rest):
-            at = int(np.searchsorted(x, value))
-            count += at < len(x) and x[at] == value
-            if count + len(rest) - k - 1 < least:
-                break
+        if rest and len(probed):
+            wanted = first_of + value
+            at = np.minimum(np.searchsorted(probed, wanted), len(probed) - 1)
+            count += int((probed[at] == wanted).sum())
         if count >= least:
-            found[value] = int(count)
+            found[value] = count
     return found
 
 
+def search(query: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[int]:
+    """Which of the sets reach the similarity with ``query``: T-occurrence search over their inverted lists."""
+    least, sizes = needed(len(query), num, den), np.array([len(x) for x in sets])
+    fit = np.flatnonzero((den * sizes >= num * len(query)) & (num * sizes <= den * len(query))).tolist()
+    if not fit:
+        return []
+    grams = np.concatenate([sets[k] for k in fit])
+    owner = np.repeat(np.array(fit), sizes[fit])
+    order = np.argsort(grams, kind="stable")  # ids stay rising within a list
+    grams, owner = grams[order], owner[order]
+    low, high = np.searchsorted(grams, query, "left"), np.searchsorted(grams, query, "right")
+    counts = divide_skip([owner[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)], least)
+    return [k for k, both in counts.items() if den * both >= num * (len(query) + int(sizes[k]) - both)]
+
+
 def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
-    """Whether two sorted sets reach the similarity: the shorter is probed in the longer."""
+    """Whether two sorted sets reach the similarity, by comparison of the sets."""
     if len(x) > len(y):
         x, y = y, x
     if den * len(x) < num * len(y):
@@ -157,8 +197,8 @@ def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(x) + len(y) - both)
 
 
-def _classes(size: int):
-    """(kind 0: id, class, n, sketch of a class new to the task; kind 1: frequent shingle, count) from one pass over the texts."""
+def _classes(size: int, base: int):
+    """(kind 0: id, class, second name, n, sketch of a class new to the task; kind 1: frequent shingle, count) from one pass over the texts."""
 
     def run(batches):
         seen, waiting, held = set(), [], 0
@@ -171,22 +211,22 @@ def _classes(size: int):
             top = np.argsort(-counts, kind="stable")[:FREQUENT_PER_CHUNK]
             top = top[counts[top] >= 4]
             n = len(top)
-            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(values[top].view(np.int64)), pa.array(counts[top], pa.int64()), pa.array(np.ones(n), pa.int32()), pa.nulls(n, pa.binary())], names=["id", "value", "n", "kind", "sketch"])
+            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(values[top].view(np.int64)), pa.nulls(n, pa.int64()), pa.array(counts[top], pa.int64()), pa.array(np.ones(n), pa.int32()), pa.nulls(n, pa.binary())], names=["id", "value", "second", "n", "kind", "sketch"])
 
         for batch in batches:
             ids = batch.column(0)
             for a, b, data, offsets in blocks(batch.column(1)):
                 names, sizes, sketches = [], [], []
-                for grams in shingle_sets(data, offsets, size):
-                    names.append(class_of(grams))
+                for grams in shingle_sets(data, offsets, size, base):
+                    names.append(both := names_of(grams))
                     sizes.append(len(grams))
                     sketches.append(None)
-                    if len(grams) and names[-1] not in seen:
-                        seen.add(names[-1])
+                    if len(grams) and both not in seen:
+                        seen.add(both)
                         waiting.append(grams)
                         held += len(grams)
                         sketches[-1] = sketch_of(grams)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.zeros(b - a), pa.int32()), pa.array(sketches, pa.binary())], names=["id", "value", "n", "kind", "sketch"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([x for x, _ in names], pa.int64()), pa.array([x for _, x in names], pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.zeros(b - a), pa.int32()), pa.array(sketches, pa.binary())], names=["id", "value", "second", "n", "kind", "sketch"])
                 if held >= CHUNK:
                     yield frequent()
                     waiting, held = [], 0
@@ -203,49 +243,55 @@ def _posting_type() -> np.dtype:
     return _POSTING
 
 
-def short_prefix(grams: np.ndarray, keep: int, frequent: np.ndarray, weight: np.ndarray, maybe: np.ndarray) -> np.ndarray:
-    """The ``keep`` shingles with the shortest lists, ties by value."""
+def short_prefix(grams: np.ndarray, keep: int, frequent: np.ndarray, counts: np.ndarray, maybe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ``keep`` shingles with the shortest lists, ties by value, and how many postings each is known to have."""
     hot = np.flatnonzero(maybe[(grams >> U64(44)).astype(np.int64)])
     if len(hot):
         at = np.minimum(np.searchsorted(frequent, grams[hot]), len(frequent) - 1)
         is_hot = frequent[at] == grams[hot]
         hot, at = hot[is_hot], at[is_hot]
-    if not len(hot):
-        return grams[:keep]
     cost = np.zeros(len(grams), np.int64)
-    cost[hot] = weight[at]
-    return grams[np.lexsort((grams, cost))[:keep]]
+    if not len(hot):
+        return grams[:keep], cost[:keep]
+    cost[hot] = counts[at]
+    best = np.lexsort((grams, np.log2(cost + 1).astype(np.int64)))[:keep]
+    return grams[best], cost[best]
 
 
-def _postings(size: int, num: int, den: int, shards: int, shared):
+def _postings(size: int, num: int, den: int, shards: int, base: int, shared_names: frozenset, shared):
+    """Packed postings of the short lists by shard: kind 0 of whole lists, kind 1 of lists dealt in parts."""
+
     def run(batches):
-        frequent, weight = shared.value
+        frequent, counts = shared.value
         maybe = np.zeros(1 << 20, bool)
         maybe[(frequent >> U64(44)).astype(np.int64)] = True
         seen, waiting, held = set(), [], 0
 
         def flush():
-            rows = np.concatenate(waiting)
-            return _dealt(rows["gram"], rows, shards, 0)
+            rows, known = np.concatenate([r for r, _ in waiting]), np.concatenate([k for _, k in waiting])
+            parted = known > PART
+            yield _dealt(rows["gram"][~parted], rows[~parted], shards, 0)
+            part = rows["cls"][parted].astype(U64) % (known[parted] // PART + 1).astype(U64)
+            yield _dealt(mix(rows["gram"][parted] + part), rows[parted], shards, 1)
 
         for batch in batches:
             for _, _, data, offsets in blocks(batch.column(0)):
-                for grams in shingle_sets(data, offsets, size):
-                    name = class_of(grams) if len(grams) else -1
+                for grams in shingle_sets(data, offsets, size, base):
+                    name = class_of(grams, shared_names) if len(grams) else -1
                     if name < 0 or name in seen:
                         continue
                     seen.add(name)
                     n = len(grams)
-                    part = short_prefix(grams, n - needed(n, num, den) + 1, frequent, weight, maybe)
+                    part, known = short_prefix(grams, n - needed(n, num, den) + 1, frequent, counts, maybe)
                     rows = np.empty(len(part), _posting_type())
                     rows["gram"], rows["cls"], rows["n"], rows["place"] = part, name, n, np.arange(len(part))
-                    waiting.append(rows)
+                    waiting.append((rows, known))
                     held += len(rows)
                 if held >= CHUNK:
-                    yield flush()
+                    yield from flush()
                     waiting, held = [], 0
         if held:
-            yield flush()
+            yield from flush()
 
     return run
 
@@ -257,35 +303,50 @@ def could_link(n_x, n_y, at_x, at_y, num: int, den: int) -> np.ndarray:
 
 
 def _merged_lists(num: int, den: int):
-    """Pairs (kind 1: a, b) of short lists, and the postings (kind 0: gram, cls, n, place) of longer ones."""
+    """From the postings of a shard: pairs to search (kind 1: a, b), the postings of long lists (kind 0: gram, cls, n, place) and the heads of parts (kind 2: gram, cls)."""
 
-    def handle(held):
-        rows = np.concatenate([np.frombuffer(d, _posting_type()) for _, d in held])
+    def rows_of(kind, x, y, *more):
+        none = pa.nulls(len(x), pa.int64())
+        more = [pa.array(m.astype(np.int64)) for m in more] or [none, none]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind), pa.int32()), pa.array(x.view(np.int64)), pa.array(y), *more], names=["kind", "a", "b", "n", "place"])
+
+    def of_kind(chunks, parted):
+        rows = np.concatenate([np.frombuffer(d, _posting_type()) for d in chunks])
         rows = rows[np.lexsort((rows["cls"], rows["gram"]))]
         fresh = np.ones(len(rows), bool)
         fresh[1:] = (rows["gram"][1:] != rows["gram"][:-1]) | (rows["cls"][1:] != rows["cls"][:-1])
         rows = rows[fresh]
         start = np.flatnonzero(np.concatenate([[True], rows["gram"][1:] != rows["gram"][:-1]]))
         size = np.diff(np.append(start, len(rows)))
-        of = np.repeat(size, size)
+        of, head = np.repeat(size, size), np.repeat(start, size)
         n, place, cls = rows["n"].astype(np.int64), rows["place"].astype(np.int64), rows["cls"]
-        found = []
+        is_long = (of > SMALL) | parted
+        i = np.flatnonzero(is_long & (head != np.arange(len(rows))))
+        i = i[could_link(n[head[i]], n[i], place[head[i]], place[i], num, den)]
+        found = [np.stack([cls[head[i]], cls[i]], 1)]
         for step in range(1, SMALL):
             # the pairs of rows that stand ``step`` apart in one short list
             i = np.arange(len(rows) - step) if len(rows) > step else np.zeros(0, np.int64)
-            i = i[(rows["gram"][i] == rows["gram"][i + step]) & (of[i] <= SMALL)]
+            i = i[(head[i] == head[i + step]) & ~is_long[i]]
             i = i[could_link(n[i], n[i + step], place[i], place[i + step], num, den)]
             found.append(np.stack([cls[i], cls[i + step]], 1))
         pairs = np.unique(np.concatenate(found), axis=0)
-        long = rows[of > SMALL]
-        none = pa.nulls(len(pairs), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(pairs)), pa.int32()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none, none], names=["kind", "a", "b", "n", "place"])
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(long)), pa.int32()), pa.array(long["gram"].view(np.int64)), pa.array(long["cls"]), pa.array(long["n"].astype(np.int64)), pa.array(long["place"].astype(np.int64))], names=["kind", "a", "b", "n", "place"])
+        yield rows_of(1, pairs[:, 0], pairs[:, 1])
+        long = rows[is_long]
+        yield rows_of(0, long["gram"], long["cls"], long["n"], long["place"])
+        if parted:
+            yield rows_of(2, rows["gram"][start], rows["cls"][start])
+
+    def handle(held):
+        for kind in (0, 1):
+            chunks = [d for k, d in held if k == kind]
+            if chunks:
+                yield from of_kind(chunks, kind == 1)
 
     return handle
 
 
-def _sets(size: int, shared):
+def _sets(size: int, base: int, shared_names: frozenset, shared):
     def run(batches):
         words = shared.value
         for batch in batches:
@@ -299,17 +360,40 @@ def _sets(size: int, shared):
                 # only the rows asked for are cut into words
                 pieces = [data[offsets[k] : offsets[k + 1]] for k in wanted]
                 short = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
-                sets = shingle_sets(np.concatenate(pieces), short, size)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).take(pa.array(wanted)), pa.array([class_of(g) for g in sets], pa.int64()), pa.array([g.tobytes() for g in sets], pa.binary())], names=["id", "cls", "grams"])
+                sets = shingle_sets(np.concatenate(pieces), short, size, base)
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).take(pa.array(wanted)), pa.array([class_of(g, shared_names) for g in sets], pa.int64()), pa.array([g.tobytes() for g in sets], pa.binary())], names=["id", "cls", "grams"])
 
     return run
 
 
-def _verify(num: int, den: int):
+def _search(num: int, den: int):
+    """Links of each query (kind 0, first of its part) with the sets of its part (kind 1), ``GROUP`` sets at a time."""
+
     def run(batches):
+        key, query, names, sets = None, None, [], []
+
+        def flush():
+            hits = search(query, sets, num, den)
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(hits), pa.int64()), pa.array([names[k] for k in hits], pa.int64())], names=["a", "b"])
+
         for batch in batches:
-            out = [linked(np.frombuffer(x, U64), np.frombuffer(y, U64), num, den) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], names=["a", "b", "linked"])
+            heads = zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True)
+            for k, (a, part, kind, cls) in enumerate(heads):
+                if (a, part) != key:
+                    if sets:
+                        yield flush()
+                    key, query, names, sets = (a, part), None, [], []
+                values = np.frombuffer(batch.column(4)[k].as_py(), U64)
+                if kind == 0:
+                    query = values
+                    continue
+                names.append(cls)
+                sets.append(values)
+                if len(sets) == GROUP:
+                    yield flush()
+                    names, sets = [], []
+        if sets:
+            yield flush()
 
     return run
 
@@ -368,6 +452,8 @@ def _within_lists(num: int, den: int):
 
         def flush():
             fresh = pairs(pd.concat(held) if len(held) > 1 else held[0]) - done
+            if len(done) > 1 << 18:  # only spares work: pairs are made distinct afterwards
+                done.clear()
             done.update(fresh)
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in fresh], pa.int64()), pa.array([y for _, y in fresh], pa.int64())], names=["a", "b"])
 
@@ -389,9 +475,10 @@ def _within_lists(num: int, den: int):
     return run
 
 
-def pairs_within(lists: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct pairs of the lists' classes across components that could link; ``lists`` has gram, cls, n, place and component."""
-    sizes = lists.groupBy("gram").agg(F.count("*").alias("m"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+def pairs_within(lists: DataFrame, classes: DataFrame, num: int, den: int) -> tuple[DataFrame, list[str]]:
+    """Distinct pairs of the lists' classes across components that could link, and the tables it reads; ``lists`` has gram, cls, n, place and component."""
+    # written first, so that the join can split a long list
+    sizes, path = settle(lists.groupBy("gram").agg(F.count("*").alias("m"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y"), "list-sizes")
     blocks_ = F.ceil(F.col("m") / BLOCK).cast("int")
     rows = lists.join(sizes.select("gram", "m"), "gram").withColumn("blocks", blocks_).withColumn("block", F.pmod(F.col("cls"), F.col("blocks").cast("long")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -399,10 +486,10 @@ def pairs_within(lists: DataFrame, classes: DataFrame, num: int, den: int) -> Da
     rows = rows.join(classes.select("cls", "sketch"), "cls")
     key = ["gram", "first", "second"]
     dealt = rows.repartition(partitions(lists.sparkSession), *key).sortWithinPartitions(*key).select(*key, "block", "cls", "n", "place", "component", "sketch")
-    return dealt.mapInArrow(_within_lists(num, den), "a long, b long").distinct()
+    return dealt.mapInArrow(_within_lists(num, den), "a long, b long").distinct(), [path]
 
 
-def fetch_sets(texts: DataFrame, of_doc: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+def fetch_sets(texts: DataFrame, of_doc: DataFrame, wanted: DataFrame, sets) -> DataFrame:
     """(cls, grams) of the wanted classes, from one document each.
 
     A filter of fixed size tells which texts to cut into words; what it lets
@@ -415,66 +502,96 @@ def fetch_sets(texts: DataFrame, of_doc: DataFrame, wanted: DataFrame, size: int
     bits = bits.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("bits")).toPandas()
     words = np.zeros(FILTER_WORDS, np.int64)
     words[bits["word"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
-    found = texts.where("id is not null").withColumn("key", key).mapInArrow(_sets(size, spark.sparkContext.broadcast(words)), "id long, cls long, grams binary")
+    found = texts.where("id is not null").withColumn("key", key).mapInArrow(sets(spark.sparkContext.broadcast(words)), "id long, cls long, grams binary")
     return found.join(reps, ["id", "cls"], "left_semi").select("cls", "grams").dropDuplicates(["cls"])
 
 
-def compare(pairs: DataFrame, texts: DataFrame, of_doc: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(a, b) of the pairs of classes that reach the similarity."""
+def compare(pairs: DataFrame, texts: DataFrame, of_doc: DataFrame, cut, num: int, den: int) -> tuple[DataFrame, list[str]]:
+    """(a, b) of the pairs of classes that reach the similarity, and the tables it reads: ``a`` is searched against its partners."""
+    spark = pairs.sparkSession
+    n = partitions(spark)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    sets = fetch_sets(texts, of_doc, ends, size)
-    of_a = sets.select(F.col("cls").alias("a"), F.col("grams").alias("of_a"))
-    of_b = sets.select(F.col("cls").alias("b"), F.col("grams").alias("of_b"))
-    rows = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "of_a", "of_b")
-    return rows.mapInArrow(_verify(num, den), "a long, b long, linked boolean").where("linked").select("a", "b")
+    sets, path = settle(fetch_sets(texts, of_doc, ends, cut), "sets")
+    # a query with many partners is dealt in parts
+    most = pairs.groupBy("a").count().agg(F.max("count")).first()[0] or 0
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(-(-most // (4 * GROUP)) or 1)).cast("int").alias("part"))
+    asked = dealt.select("a", "part").distinct().join(sets.withColumnRenamed("cls", "a"), "a").select("a", "part", F.lit(0).alias("kind"), F.col("a").alias("cls"), "grams")
+    met = dealt.join(sets.withColumnRenamed("cls", "b"), "b").select("a", "part", F.lit(1).alias("kind"), F.col("b").alias("cls"), "grams")
+    rows = asked.unionByName(met).repartition(n, "a", "part").sortWithinPartitions("a", "part", "kind")
+    return rows.mapInArrow(_search(num, den), "a long, b long"), [path]
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """(id, n_shingles, class_id, component_id) of every document."""
+    """(id, n_shingles, class_id, component_id) of every document; a class is named by its smallest document."""
     spark = docs.sparkSession
     n = partitions(spark)
     shards = 4 * n
-    paths = []
+    base = random_base()
+    paths, sent = [], []
 
     def keep(df, name):
         out, path = settle(df, name)
         paths.append(path)
         return out
 
+    def send(value):
+        sent.append(spark.sparkContext.broadcast(value))
+        return sent[-1]
+
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    first = keep(texts.mapInArrow(_classes(size), "id long, value long, n long, kind int, sketch binary"), "classes")
-    of_doc = first.where("kind = 0").select("id", F.col("value").alias("cls"), "n")
-    classes = first.where("kind = 0 and sketch is not null").groupBy(F.col("value").alias("cls")).agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"))
+    first = keep(texts.mapInArrow(_classes(size, base), "id long, value long, second long, n long, kind int, sketch binary"), "classes")
+    # names that unequal sets share: as good as none, and few at any size
+    several = first.where("kind = 0 and sketch is not null").groupBy("value").agg(F.min("second").alias("x"), F.max("second").alias("y")).where("x <> y").select("value")
+    shared_names = frozenset(r[0] for r in several.collect())
+    name = F.when(F.col("value").isin(*shared_names), F.col("second")).otherwise(F.col("value")) if shared_names else F.col("value")
+    of_doc = first.where("kind = 0").select("id", name.alias("cls"), "n")
+    classes = keep(first.where("kind = 0 and sketch is not null").groupBy(name.alias("cls")).agg(F.first("sketch").alias("sketch"), F.first("n").alias("n")), "class-sketches")
     top = first.where("kind = 1").groupBy("value").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "value").limit(FREQUENT).toPandas()
     frequent = top["value"].to_numpy(np.int64).view(U64)
     order = np.argsort(frequent)
-    shared = spark.sparkContext.broadcast((frequent[order], np.log2(np.maximum(1, top["n"].to_numpy(np.int64)[order])).astype(np.int64) * 4 + 1))
-    dealt = texts.select("text").mapInArrow(_postings(size, num, den, shards, shared), "shard int, kind int, data binary")
+    shared = send((frequent[order], top["n"].to_numpy(np.int64)[order]))
+    dealt = texts.select("text").mapInArrow(_postings(size, num, den, shards, base, shared_names, shared), "shard int, kind int, data binary")
     merged = keep(dealt.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_by_shard(_merged_lists(num, den)), "kind int, a long, b long, n long, place long"), "lists")
     lists = merged.where("kind = 0").select(F.col("a").alias("gram"), F.col("b").alias("cls"), "n", "place")
 
-    heads = lists.groupBy("gram").agg(F.min("cls").alias("head"))
-    stars = lists.join(heads, "gram").where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b"))
-    first_pairs = merged.where("kind = 1").select("a", "b").unionByName(stars).distinct()
+    # heads of the parts of one list meet the smallest of them
+    heads = merged.where("kind = 2").select(F.col("a").alias("gram"), F.col("b").alias("cls"))
+    smallest = heads.groupBy("gram").agg(F.min("cls").alias("head"))
+    across = heads.join(smallest, "gram").where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b"))
+    first_pairs = merged.where("kind = 1").select("a", "b").unionByName(across).distinct()
     tested = keep(screened(first_pairs, classes, num, den), "first-pairs")
-    links = keep(compare(tested, texts, of_doc, size, num, den), "star-links")
+    cut = lambda words: _sets(size, base, shared_names, words)
+    found, temporary = compare(tested, texts, of_doc, cut, num, den)
+    links = keep(found, "star-links")
+    discard(spark, *temporary)
     groups, temporary = components(links)
     paths += temporary
 
-    # lists that still span components: every pair across them that could link and was not yet compared
+    # long lists that still span components: every pair across them that could link and was not yet searched
     named = lists.join(groups.select(F.col("node").alias("cls"), "component"), "cls", "left").select("gram", "cls", "n", "place", F.coalesce("component", "cls").alias("component"))
-    pairs = keep(pairs_within(named, classes, num, den).join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+    spanning, temporary = pairs_within(keep(named, "named-lists"), classes, num, den)
+    paths += temporary
+    pairs = keep(spanning.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
-        more = keep(compare(pairs, texts, of_doc, size, num, den), "other-links")
+        found, temporary = compare(pairs, texts, of_doc, cut, num, den)
+        more = keep(found, "other-links")
+        discard(spark, *temporary)
         groups, temporary = components(links.unionByName(more))
         paths += temporary
 
-    # documents of a class, then of linked classes
-    placed = of_doc.join(groups.select(F.col("node").alias("cls"), "component"), "cls", "left").select("id", "cls", "n", F.coalesce("component", "cls").alias("component"))
-    least = placed.where("n > 0").groupBy("component").agg(F.min("id").alias("least"))
-    result = placed.join(least, "component", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    # documents of a class, then of linked classes; the tables by class and component are
+    # written first, so that a class with many documents can be split in the joins
+    of_class = keep(of_doc.where("n > 0").groupBy("cls").agg(F.min("id").alias("class_id")), "class-ids")
+    of_class = of_class.join(groups.select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", "class_id", F.coalesce("component", "cls").alias("component"))
+    of_class = keep(of_class, "class-components")
+    least = keep(of_class.groupBy("component").agg(F.min("class_id").alias("component_id")), "component-ids")
+    of_class = keep(of_class.join(least, "component").select("cls", "class_id", "component_id"), "class-results")
+    empty = F.col("n") == 0
+    result = of_doc.join(of_class, "cls", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(empty, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.when(empty, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
     result, _ = settle(result, "similar")
     discard(spark, *paths)
+    for b in sent:
+        b.destroy()
     return result
 
 

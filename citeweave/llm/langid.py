@@ -153,7 +153,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         keys = [f"g{k}" for k in at.tolist()] + [f"l{x}" for x in langs]
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([*total[at].tolist(), *langs.values()], pa.int64())], names=["key", "n"])
 
-    # buckets and languages only: both bounded
+    # one row for each bucket and language: the driver and the model grow with the number of languages alone
     rows = fold.select("text", "lang").mapInArrow(frequencies, "key string, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
     counts = dict(zip(rows["key"], rows["n"], strict=True))
     sizes = {k[1:]: int(n) for k, n in counts.items() if k[0] == "l"}
@@ -169,14 +169,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     # about sample_per_language rows of each language, by a hash of the id
     rate = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample_per_language / n))]), F.col("lang"))
     draw = (F.xxhash64(F.lit(seed), F.col("id").cast("string")) % 1_000_003 + 1_000_003) % 1_000_003 / 1_000_003
-    sample = fold.where(draw < rate).orderBy(F.xxhash64(F.lit(seed + 1), F.col("id").cast("string")), "id").limit(2 * sample_per_language * len(languages))
+    order = F.xxhash64(F.lit(seed + 1), F.col("id").cast("string"), "text")
+    sample = fold.where(draw < rate).select(order.alias("key"), F.col("id").cast("string").alias("id"), "lang", "text")
 
     def features(batches):
         for batch in batches:
-            found = [gram_counts(t or "") for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([a.astype(np.int32).tobytes() for a, _ in found], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in found], pa.binary())], names=["lang", "at", "counts"])
+            found = [gram_counts(t or "") for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([a.astype(np.int32).tobytes() for a, _ in found], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in found], pa.binary())], names=["key", "id", "lang", "at", "counts"])
 
-    drawn = sample.select("text", "lang").mapInArrow(features, "lang string, at binary, counts binary").toPandas()
+    # features are made where the texts are, so only rows of bounded size are ordered
+    drawn = sample.mapInArrow(features, "key long, id string, lang string, at binary, counts binary").orderBy("key", "id").limit(2 * sample_per_language * len(languages)).toPandas()
     rows = [(np.frombuffer(a, np.int32), np.frombuffer(c, np.int32), languages.index(x)) for a, c, x in zip(drawn["at"], drawn["counts"], drawn["lang"], strict=True) if len(a)]
     rows = [(a, weighted(a, c, idf), k) for a, c, k in rows]
     order = np.random.default_rng(seed).permutation(len(rows))

@@ -8,27 +8,55 @@ a task retry, not data.
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of one Arrow batch that goes to Python, so that a worker holds a few of them at any row size.
+BATCH_BYTES = 8 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The folder named by ``spark.checkpoint.dir``, or else the context's checkpoint folder.
+
+    Where neither is set, a run within one process gets a temporary folder and
+    a run on a cluster an error.
+    """
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         current = context._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            root = current.get()
-        else:
-            root = "file://" + tempfile.mkdtemp(prefix="citeweave-")
-            context.setCheckpointDir(root)
+        if not current.isDefined():
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="citeweave-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            context.setCheckpointDir("file://" + folder)
+            current = context._jsc.sc().getCheckpointDir()
+        root = current.get()
     return root.rstrip("/")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most ``BATCH_BYTES`` (or one row) in the jobs run meanwhile."""
+    before = spark.conf.get(_BATCH_KEY)
+    spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_KEY, before)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name in shared storage; nothing is created."""
     return f"{shared_root(spark)}/citeweave/{name}-{uuid.uuid4().hex}"
@@ -38,7 +66,8 @@ def settle(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write a table to shared storage and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -60,4 +89,5 @@ def write_records(df: DataFrame, record: str, path: str, end: str) -> None:
     Spark's text sink writes a string's bytes as they are; casting binary to
     string does not change them.  The files go through Spark's commit protocol.
     """
-    df.select(F.col(record).cast("string").alias("value")).write.option("lineSep", end).text(path)
+    with small_batches(df.sparkSession):
+        df.select(F.col(record).cast("string").alias("value")).write.option("lineSep", end).text(path)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import partitions
-from .text_blocks import U64, blocks, prefix_hashes, span_hashes
+from .text_blocks import U64, blocks, quick_hashes, quick_sums
 
 LENGTH = 100
 GRAM = 32
@@ -69,9 +69,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> dict
     valid = np.ones(starts, bool)
     for b in offsets[1:-1].tolist():
         valid[max(0, b - length + 1) : b] = False
-    sums = prefix_hashes(data)
+    sums = quick_sums(data)
     at = np.arange(len(data) - GRAM + 1)
-    hashes = span_hashes(sums, at, at + GRAM)
+    hashes = quick_hashes(sums, at, at + GRAM)
     least = (hashes & ~U64(limit - 1)) | at.astype(U64)
     width = 1
     while width * 2 <= span:

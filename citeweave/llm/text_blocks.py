@@ -6,6 +6,7 @@ does not depend on how many rows an Arrow batch holds.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,11 @@ import pyarrow.compute as pc
 BLOCK_BYTES = 1 << 19
 U64 = np.uint64
 
+PRIME = (1 << 61) - 1
+SEGMENT = 1 << 20
+
+# A quick hash modulo 2**64 for candidate search alone: unequal strings can share it
+# (some do for every base), so whoever uses it compares bytes afterwards.
 _BASE = U64(0x9E3779B97F4A7C15 | 3)
 _BASE_INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
 
@@ -30,14 +36,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE_VALUES = mix(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95))
-_FOLDED = np.arange(256)
-_FOLDED[65:91] += 32
-_FOLDED_VALUES = _BYTE_VALUES[_FOLDED]
+_PLAIN = np.arange(1, 257, dtype=U64)
+_FOLDED = _PLAIN.copy()
+_FOLDED[65:91] += U64(32)
 _powers = [np.ones(1, U64), np.ones(1, U64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the hash base and of its inverse modulo 2**64."""
+    """The first ``n`` powers of the quick hash's base and of its inverse modulo 2**64."""
     if len(_powers[0]) < n:
         size = max(n, BLOCK_BYTES * 2)
         for k, base in enumerate((_BASE, _BASE_INVERSE)):
@@ -47,20 +53,102 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def prefix_hashes(data: np.ndarray, fold_case: bool = False) -> np.ndarray:
-    """Sums s with s[j] - s[i] a hash of bytes i..j, shifted by the base's i-th power."""
+def quick_sums(data: np.ndarray) -> np.ndarray:
+    """Sums s with s[j] - s[i] a quick hash of bytes i..j, shifted by the base's i-th power."""
     forward, _ = powers(len(data))
     out = np.zeros(len(data) + 1, U64)
-    np.cumsum((_FOLDED_VALUES if fold_case else _BYTE_VALUES)[data] * forward, out=out[1:])
+    np.cumsum(_BYTE_VALUES[data] * forward, out=out[1:])
     return out
 
 
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of byte spans that depend on their content alone."""
+def quick_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Quick hashes of byte spans that depend on their content alone."""
     _, backward = powers(len(sums))
     return mix((sums[ends] - sums[starts]) * backward[starts])
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & U64(PRIME)) + (x >> U64(61))
+    return np.where(x >= U64(PRIME), x - U64(PRIME), x)
+
+
+def times(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Products modulo 2**61 - 1 of numbers below it."""
+    low, thirty = U64((1 << 31) - 1), U64((1 << 30) - 1)
+    x1, x0, y1, y0 = x >> U64(31), x & low, y >> U64(31), y & low
+    middle = x1 * y0 + x0 * y1
+    return _reduced(((x1 * y1) << U64(1)) + (middle >> U64(30)) + ((middle & thirty) << U64(31)) + x0 * y0)
+
+
+def random_base() -> int:
+    """A base of span hashes: one for all tasks whose hashes meet, a new one for each run."""
+    return secrets.randbelow(PRIME - 1000) + 500
+
+
+class SpanHasher:
+    """Polynomial hashes of byte spans modulo the prime 2**61 - 1, in a secret base, with the span's length.
+
+    Two given unequal spans of up to n bytes share a hash for at most n of the
+    2**61 bases, whatever their content, and no text can be made to fit a base
+    that is drawn when the operator runs.
+    """
+
+    def __init__(self, base: int):
+        self.base = base
+        self.power = self._powers(base)
+        self.back = self._powers(pow(base, -1, PRIME))
+        self.low, self.high = self.power & U64(0xFFFFFFFF), self.power >> U64(32)
+
+    @staticmethod
+    def _powers(base: int) -> np.ndarray:
+        out = np.ones(SEGMENT, U64)
+        size = 1
+        while size < SEGMENT:
+            out[size : 2 * size] = times(out[:size], np.full(size, pow(base, size, PRIME), U64))
+            size *= 2
+        return out
+
+    def sums(self, data: np.ndarray, fold_case: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Running sums of bytes times the halves of the base's powers; powers begin anew in each segment."""
+        n = len(data)
+        value = (_FOLDED if fold_case else _PLAIN)[data]
+        out = np.zeros((2, n + 1), U64)
+        for half, row in zip((self.low, self.high), out, strict=True):
+            np.cumsum(value * (half[:n] if n <= SEGMENT else np.resize(half, n)), out=row[1:])
+        return out[0], out[1]
+
+    def hashes(self, sums: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of spans, equal for equal bytes wherever they stand."""
+        low, high = sums[0][ends] - sums[0][starts], sums[1][ends] - sums[1][starts]
+        shifted = ((high & U64((1 << 29) - 1)) << U64(32)) + (high >> U64(29))
+        out = times(_reduced(_reduced(low) + _reduced(shifted)), self.back[starts & (SEGMENT - 1)])
+        if len(sums[0]) > SEGMENT:
+            for k in np.flatnonzero(starts // SEGMENT != (ends - 1) // SEGMENT).tolist():
+                out[k] = self._across(sums, int(starts[k]), int(ends[k]))
+        return mix(out + mix((ends - starts).astype(U64)))
+
+    def _across(self, sums, start: int, end: int) -> int:
+        """The hash of a span that lies in several segments."""
+        total, at = 0, start
+        while at < end:
+            stop = min(end, (at // SEGMENT + 1) * SEGMENT)
+            low, high = (int(s[stop] - s[at]) for s in sums)
+            total += ((high << 32) + low) * int(self.back[at % SEGMENT]) * pow(self.base, at - start, PRIME)
+            at = stop
+        return total % PRIME
+
+
+_hashers: dict[int, SpanHasher] = {}
+
+
+def span_hasher(base: int) -> SpanHasher:
+    """The hasher of a base; a worker keeps the last one."""
+    if base not in _hashers:
+        _hashers.clear()
+        _hashers[base] = SpanHasher(base)
+    return _hashers[base]
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the offsets of its rows; null counts as empty."""
     if column.null_count:

@@ -6,8 +6,11 @@ expected severity, the sum of those probabilities.
 
 Words are hashed into buckets.  How many toxic and other labelled documents
 hold each bucket is counted over all labelled documents; buckets that tell the
-two apart significantly are the features.  Weights are fitted on at most
-``SAMPLE`` labelled documents (a documented bound).
+two apart significantly (``LEAST_Z`` standard errors, by chance fewer than one
+bucket of all) are the features, the ``MOST_FEATURES`` most telling ones at
+most, which bounds the model.  Weights are fitted on at most ``SAMPLE`` labelled
+documents (documented bounds).  Labels go to the texts as a broadcast up to
+``MOST_SENT`` of them (20 MB) and beyond by a join; both count the same.
 
 Where labels only say toxic or not, :func:`graded` derives grades: 0 for
 others, and for toxic documents the third in which their number of distinct
@@ -34,6 +37,7 @@ from pyspark.sql import functions as F
 from .decontaminate import word_hashes
 from .text_blocks import U64, blocks
 
+FEATURE_BASE = 0x1B873593CC9E2D51 % (1 << 60)  # fixed, so that models can be kept
 BUCKETS_LOG2 = 18
 SAMPLE = 6000
 GRADES = 4
@@ -68,7 +72,7 @@ class Model:
 
 def _features(data: np.ndarray, offsets: np.ndarray, feature: np.ndarray):
     """(row, features of its words in order) of rows with any."""
-    words, first = word_hashes(data, offsets)
+    words, first = word_hashes(data, offsets, FEATURE_BASE)
     found = feature[(words >> U64(64 - BUCKETS_LOG2)).astype(np.int64)]
     on = np.flatnonzero(found >= 0)
     row = np.searchsorted(first, on, "right") - 1
@@ -131,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for a, b, data, offsets in blocks(batch.column(1)):
                 if (toxic[a:b] < 0).all():
                     continue
-                words, first = word_hashes(data, offsets)
+                words, first = word_hashes(data, offsets, FEATURE_BASE)
                 bucket = (words >> U64(64 - BUCKETS_LOG2)).astype(np.int64)
                 for k in np.flatnonzero(toxic[a:b] >= 0).tolist():
                     kind = int(toxic[a + k] > 0)
@@ -167,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def features(batches):
         for batch in batches:
             for a, b, data, offsets in blocks(batch.column(0)):
-                words, first = word_hashes(data, offsets)
+                words, first = word_hashes(data, offsets, FEATURE_BASE)
                 out = [np.zeros(0, np.int64)] * (b - a)
                 for row, found in _features(data, offsets, shared.value):
                     out[row] = found

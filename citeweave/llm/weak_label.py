@@ -196,16 +196,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     def features(batches):
         for batch in batches:
             out = []
-            for text in batch.column(0).to_pylist():
+            for text in batch.column(2).to_pylist():
                 raw = _raw(text)
                 at, x = shape_counts(text, raw)
                 out.append((_pattern_code(votes(text, raw)), at.astype("<i4").tobytes(), x.astype("<f4").tobytes()))
             columns = list(zip(*out, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns, (pa.int64(), pa.binary(), pa.binary()))], names=["pattern", "at", "x"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *map(pa.array, columns, (pa.int64(), pa.binary(), pa.binary()))], names=["key", "id", "pattern", "at", "x"])
 
-    draw = (F.xxhash64(F.lit(seed), "id", F.length("text")) % 1_000_003 + 1_000_003) % 1_000_003 / 1_000_003
-    drawn = texts.where(draw < min(1.0, 1.2 * sample / max(1, total))).orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id").limit(sample)
-    found = drawn.select("text").mapInArrow(features, "pattern long, at binary, x binary").toPandas()
+    draw = (F.xxhash64(F.lit(seed), "id", "text") % 1_000_003 + 1_000_003) % 1_000_003 / 1_000_003
+    # features are made where the texts are, so only rows of bounded size are ordered
+    drawn = texts.where(draw < min(1.0, 1.2 * sample / max(1, total))).select(F.xxhash64(F.lit(seed + 1), "id", "text").alias("key"), "id", "text")
+    found = drawn.mapInArrow(features, "key long, id string, pattern long, at binary, x binary").orderBy("key", "id").limit(sample).toPandas()
     rows = [(np.frombuffer(a, "<i4"), np.frombuffer(x, "<f4").astype(float)) for a, x in zip(found["at"], found["x"], strict=True)]
     target = labels.posterior(np.array([_pattern(c) for c in found["pattern"]], np.int64).reshape(-1, LABELLERS)) if rows else np.zeros(0)
     return Model(labels, fit_scorer(rows, target))

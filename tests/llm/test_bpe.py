@@ -65,6 +65,55 @@ def test_more_chunks_than_slots(library, transducer, monkeypatch):
         assert encoder.entries <= 40
 
 
+def thue_morse(n):
+    """Two unequal strings of n bytes that every polynomial hash modulo 2**64 takes for equal."""
+    bits = [bin(k).count("1") & 1 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_strings_that_weak_hashes_confuse(spark, library):
+    texts = [t for n in (1024, 2048, 4096) for t in thue_morse(n)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = {d: library.encode(t, add_special_tokens=False).ids for d, t in enumerate(texts)}
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in bpe.encode(docs, PATH).collect()} == want
+    found = {r.doc_id: r.ids_crc32 for r in rans.digests(docs, PATH, 2).collect()}
+    assert found == {d: zlib.crc32(np.array([*ids, 2], "<u4").tobytes()) for d, ids in want.items()}
+
+
+def test_equal_hashes_are_compared(library, transducer, monkeypatch):
+    merges, _ = transducer
+    machine = bpe.Encoder(merges)
+    encoder = bpe.TextEncoder(merges.special, len(merges.token_bytes), lambda p: machine.piece(p.encode()))
+
+    class Weak:
+        def sums(self, data):
+            return data
+
+        def hashes(self, data, starts, ends):
+            return data[starts].astype(np.uint64) << np.uint64(50)
+
+    monkeypatch.setattr(bpe, "span_hasher", lambda base: Weak())
+    texts = ["the cat", "the cow then", "a dog", "the cat sat", "the", "cat cat cow"]
+    for _ in range(2):
+        assert by_block(texts, encoder) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_long_texts_go_window_by_window(library, transducer, monkeypatch):
+    monkeypatch.setattr(bpe, "WINDOW", 64)
+    merges, _ = transducer
+    machine = bpe.Encoder(merges)
+    encoder = bpe.TextEncoder(merges.special, len(merges.token_bytes), lambda p: machine.piece(p.encode()))
+    draw = random.Random(8)
+    for longest in (1 << 24, 256):
+        monkeypatch.setattr(bpe, "_LONGEST", longest)
+        for _ in range(200):
+            text = "".join(draw.choice(PARTS) for _ in range(draw.randint(0, 300)))
+            parts = list(encoder.stream(np.frombuffer(text.encode(), np.uint8)))
+            assert [t for p in parts for t in p.tolist()] == library.encode(text, add_special_tokens=False).ids
+    words = " ".join(f"word{k}" for k in range(500))
+    assert max(map(len, encoder.stream(np.frombuffer(words.encode(), np.uint8)))) <= 64
+
+
 def test_stream_in_small_parts(transducer):
     merges, _ = transducer
     data = b"theinganorst" * 500

@@ -88,11 +88,70 @@ def test_similar(spark):
 
 
 def test_blocks_of_a_long_list(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "GROUP", 5)
+    monkeypatch.setattr(jaccard_join, "CHUNK", 500)
     words = [f"w{k}" for k in range(40)]
     docs = [(d, " ".join([*words, f"x{d}"])) for d in range(60)] + [(100, " ".join(words[:20]))]
+    # one list of many classes in several components
+    docs += [(200 + d, " ".join([*words[:3], *(f"{d % 7}y{k}" for k in range(4)), *(["z"] * (d % 3))])) for d in range(90)]
     table = spark.createDataFrame(docs, "doc_id long, text string")
-    found = {r.doc_id: r.component_id for r in jaccard_join.similar(table, size=3, num=80, den=100).collect()}
-    assert found == {d: g for d, (_, g) in jaccard_groups(docs, 3, 80, 100).items()}
+    for small, part in ((32, 4096), (4, 16), (1, 4)):
+        monkeypatch.setattr(jaccard_join, "SMALL", small)
+        monkeypatch.setattr(jaccard_join, "PART", part)
+        for num in (60, 80):
+            found = {r.doc_id: r.component_id for r in jaccard_join.similar(table, size=3, num=num, den=100).collect()}
+            assert found == {d: g for d, (_, g) in jaccard_groups(docs, 3, num, 100).items()}
+
+
+def test_search_finds_what_comparison_finds():
+    rng = np.random.default_rng(2)
+    for _ in range(100):
+        pool = np.unique(rng.integers(0, 1 << 62, 60).astype(np.uint64))
+        sets = [np.sort(rng.choice(pool, rng.integers(1, len(pool)), replace=False)) for _ in range(12)]
+        for query in sets:
+            for num in (30, 70, 90, 100):
+                assert sorted(jaccard_join.search(query, sets, num, 100)) == [k for k, x in enumerate(sets) if jaccard_join.linked(query, x, num, 100)]
+
+
+def test_every_link_is_found_by_the_search(monkeypatch):
+    """The Arrow function of the registered query takes its links from divide_skip alone."""
+    import pyarrow as pa
+
+    calls, real = [], jaccard_join.divide_skip
+    monkeypatch.setattr(jaccard_join, "divide_skip", lambda lists, least, long=None: calls.append(len(lists)) or real(lists, least, long))
+    monkeypatch.setattr(jaccard_join, "GROUP", 3)
+    sets = [np.arange(k, 50 + k % 3, dtype=np.uint64) for k in range(8)]
+    rows = [(q, 0, kind, c, sets[c].tobytes()) for q in (0, 1) for kind, c in [(0, q), *((1, c) for c in range(q + 1, 8))]]
+    batch = pa.RecordBatch.from_pylist([dict(zip("apkcg", r, strict=True)) for r in rows])
+    found = {(r["a"], r["b"]) for cut in (4, 9) for b in jaccard_join._search(80, 100)([batch.slice(0, cut), batch.slice(cut)]) for r in b.to_pylist()}
+    assert found == {(q, c) for q in (0, 1) for c in range(q + 1, 8) if jaccard_join.linked(sets[q], sets[c], 80, 100)}
+    assert calls == [50] * 10
+
+
+def test_texts_that_weak_hashes_confuse(spark):
+    docs = []
+    for n in (1024, 2048, 4096):
+        bits = [bin(k).count("1") & 1 for k in range(n)]
+        docs += [(n, "".join("ab"[b] for b in bits)), (n + 1, "".join("ba"[b] for b in bits)), (n + 2, "".join("ab"[b] for b in bits))]
+    found = {r.doc_id: r.component_id for r in jaccard_join.similar(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found == {d: d - (d % 1024 == 2) * 2 for d, _ in docs}
+
+
+def test_names_shared_by_unequal_sets(spark, monkeypatch):
+    real = jaccard_join.names_of
+    docs = [(d, f"{w} b c d e") for d, w in enumerate("xyxzy")] + [(9, "other words here now")]
+    table = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(jaccard_join, "names_of", lambda grams: (7, real(grams)[1]))
+    found = {r.doc_id: (r.class_id, r.component_id) for r in jaccard_join.similar(table, size=3).collect()}
+    assert found == {0: (0, 0), 1: (1, 1), 2: (0, 0), 3: (3, 3), 4: (1, 1), 9: (9, 9)}
+
+
+def test_rows_without_id(spark):
+    same = "one two three four five six"
+    docs = [(None, same), (4, same), (3, same), (None, "lone text is here"), (None, None), (8, None)]
+    rows = jaccard_join.similar(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in rows) == sorted([("None", 4, "3"), ("4", 4, "3"), ("3", 4, "3"), ("None", 2, "None"), ("None", 0, "None"), ("8", 0, "8")])
 
 
 def test_deep_shallow_sort():

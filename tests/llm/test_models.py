@@ -65,6 +65,25 @@ def test_decontamination_row_by_row(spark, monkeypatch, block):
     assert sorted(r.n for r in decontaminate.remove_contaminated(table, bench).collect()) == [2, 4, 7]
 
 
+def test_words_that_weak_hashes_confuse(spark):
+    bits = [bin(k).count("1") & 1 for k in range(2048)]
+    x, y = ("".join(c[b] for b in bits) for c in ("ab", "ba"))
+    bench = spark.createDataFrame([(1, x)], "item_id long, text string")
+    docs = [(1, f"a {x} b"), (2, f"a {y} b")]
+    rows = decontaminate.judge(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {r[0]: tuple(r[1:]) for r in rows} == brute(docs, [(1, x)])
+
+
+@pytest.mark.parametrize("block", [2_000_000, 10])
+def test_longest_matches(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "ITEM_WORDS", block)
+    one, two = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(15))
+    bench = spark.createDataFrame([("p", one), ("q", two), ("r", "lone")], "item_id string, text string")
+    texts = [(1, f"x {one} y lone"), (2, " ".join(one.split()[5:25]) + " z " + two), (3, " ".join(one.split()[:12])), (4, None)]
+    rows = decontaminate.find_matches(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()
+    assert {r.doc_id: sorted((m.at, m.words, m.item) for m in r.matches) for r in rows} == {1: [(1, 40, "p"), (42, 1, "r")], 2: [(0, 20, "p"), (21, 15, "q")], 3: [], 4: []}
+
+
 def test_languages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.fit(docs)
