@@ -13,10 +13,11 @@ Who may meet.  Documents with equal sets become one class.  The postings of
 the short lists (lengths are ranked by counts of the corpus's most frequent
 shingles; any fixed ranking gives whole results) are dealt by shingle.  A list
 of up to ``SMALL`` classes brings all its classes together; of a longer one,
-first the smallest class is brought together with all others, and once the
-links found have made components, the classes of different components are,
-``BLOCK`` by ``BLOCK``.  Lists of the most frequent shingles are dealt in
-parts of about ``PART`` postings, each with a smallest class of its own.
+first ``HEADS`` of its classes are brought together with all others (the same
+ones in all lists that have them, by a hash), and once the links found have made
+components, the classes of different components are, ``BLOCK`` by ``BLOCK``.
+Lists of the most frequent shingles are dealt in parts of about ``PART``
+postings, each with heads of its own.
 Sizes, places in the lists and a parity sketch (each differing bit is a
 shingle that only one set has) rule most meetings out for certain.
 
@@ -60,6 +61,7 @@ FILTER_WORDS = 1 << 17
 BLOCK = 1024
 SMALL = 32
 PART = 4096
+HEADS = 6
 GROUP = 128
 
 # Word bytes: everything but \x20 and \x09-\x0D, after folding A-Z.
@@ -303,7 +305,7 @@ def could_link(n_x, n_y, at_x, at_y, num: int, den: int) -> np.ndarray:
 
 
 def _merged_lists(num: int, den: int):
-    """From the postings of a shard: pairs to search (kind 1: a, b), the postings of long lists (kind 0: gram, cls, n, place) and the heads of parts (kind 2: gram, cls)."""
+    """From the postings of a shard: pairs to search (kind 1: a, b), the postings of long lists (kind 0: gram, cls, n, place) and the first head of each part (kind 2: gram, cls)."""
 
     def rows_of(kind, x, y, *more):
         none = pa.nulls(len(x), pa.int64())
@@ -316,21 +318,25 @@ def _merged_lists(num: int, den: int):
         fresh = np.ones(len(rows), bool)
         fresh[1:] = (rows["gram"][1:] != rows["gram"][:-1]) | (rows["cls"][1:] != rows["cls"][:-1])
         rows = rows[fresh]
+        rows = rows[np.lexsort((mix(rows["cls"].astype(U64)), rows["gram"]))]  # heads first
         start = np.flatnonzero(np.concatenate([[True], rows["gram"][1:] != rows["gram"][:-1]]))
         size = np.diff(np.append(start, len(rows)))
         of, head = np.repeat(size, size), np.repeat(start, size)
         n, place, cls = rows["n"].astype(np.int64), rows["place"].astype(np.int64), rows["cls"]
         is_long = (of > SMALL) | parted
-        i = np.flatnonzero(is_long & (head != np.arange(len(rows))))
-        i = i[could_link(n[head[i]], n[i], place[head[i]], place[i], num, den)]
-        found = [np.stack([cls[head[i]], cls[i]], 1)]
+        found = []
+        for k in range(HEADS):
+            i = np.flatnonzero(is_long & (np.arange(len(rows)) - head > k))
+            h = head[i] + k
+            ok = could_link(n[h], n[i], place[h], place[i], num, den)
+            found.append(np.stack([cls[h[ok]], cls[i[ok]]], 1))
         for step in range(1, SMALL):
             # the pairs of rows that stand ``step`` apart in one short list
             i = np.arange(len(rows) - step) if len(rows) > step else np.zeros(0, np.int64)
             i = i[(head[i] == head[i + step]) & ~is_long[i]]
             i = i[could_link(n[i], n[i + step], place[i], place[i + step], num, den)]
             found.append(np.stack([cls[i], cls[i + step]], 1))
-        pairs = np.unique(np.concatenate(found), axis=0)
+        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
         yield rows_of(1, pairs[:, 0], pairs[:, 1])
         long = rows[is_long]
         yield rows_of(0, long["gram"], long["cls"], long["n"], long["place"])
@@ -554,7 +560,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     merged = keep(dealt.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_by_shard(_merged_lists(num, den)), "kind int, a long, b long, n long, place long"), "lists")
     lists = merged.where("kind = 0").select(F.col("a").alias("gram"), F.col("b").alias("cls"), "n", "place")
 
-    # heads of the parts of one list meet the smallest of them
+    # the first heads of the parts of one list meet the smallest of them
     heads = merged.where("kind = 2").select(F.col("a").alias("gram"), F.col("b").alias("cls"))
     smallest = heads.groupBy("gram").agg(F.min("cls").alias("head"))
     across = heads.join(smallest, "gram").where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b"))

@@ -16,7 +16,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -71,6 +71,19 @@ def settle(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Rows of a narrow intermediate table that one task may hold or write.
+TASK_ROWS = 1 << 18
+
+
+def counted(df: DataFrame, name: str, rows: int | None = None) -> tuple[DataFrame, str, int]:
+    """:func:`settle` for narrow tables, with the number of rows written and one task for each ``TASK_ROWS`` of at most ``rows``."""
+    seen = Observation()
+    if rows is not None:
+        df = df.coalesce(min(partitions(df.sparkSession), 1 + rows // TASK_ROWS))
+    out, path = settle(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+    return out, path, seen.get["rows"]
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete intermediate tables that nothing reads any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -79,6 +92,16 @@ def discard(spark: SparkSession, *paths: str) -> None:
         target.getFileSystem(conf).delete(target, True)
 
 
+def open_file(path: str):
+    """A file below shared storage for range reads in a task, by Arrow's file systems (local, HDFS, S3, GCS)."""
+    from pyarrow import fs
+
+    if path.startswith(("file:", "/")):
+        return fs.LocalFileSystem().open_input_file("/" + path.removeprefix("file:").lstrip("/"))
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_input_file(inner)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
