@@ -1,16 +1,20 @@
 """Near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
 
-A rotation of the principal components is learned so that signs of the rotated
-vectors form balanced binary codes (on at most ``sample`` vectors, a documented
-bound).  Codes are cut into substrings; each is the key of one hash table, and
-all vectors are in all tables.  Two vectors that share a substring are compared
-by the cosine of the originals in double precision.
-
-Substrings have about log2(vectors of the largest label) bits, so buckets stay
-small at any size; the number of tables (and of rotations, where one code has
-too few bits) follows from the chance that a pair at the threshold shares a
-substring, so that ``recall`` of such pairs is expected at least.  Closer pairs
-are found more surely.
+For each vector length, unit vectors are centred, and a rotation of their
+principal components is learned so that signs of the rotated vectors form
+balanced binary codes (on at most ``sample`` vectors, a documented bound).
+Codes are cut into substrings; each is the key of one hash table, and all
+vectors are in all tables.  Two vectors that share a substring are compared by
+the cosine of the originals in double precision.
+
+Each length has a plan of its own: substrings have about log2(vectors of its
+largest label) bits, so buckets stay small at any size, and there are as many
+tables (and rotations, where one code has too few bits) as it takes for the
+share ``recall`` of trial pairs just at the threshold to meet.  Trial pairs are
+sampled vectors moved in directions of any kind and in directions in which the
+data differ, whichever meet more rarely.  Closer pairs are found more surely.
+Where no label has more than ``BLOCK`` vectors of a length, one table with one
+bucket for each label does, and all pairs are found.
 
 Equal vectors of one label become one class with a count.  Buckets of more than
 ``BLOCK`` classes are dealt out as pairs of blocks, so no task holds more than
@@ -18,11 +22,12 @@ two blocks of a bucket.  Links are counted where they are found, in the first
 table in which both meet; tasks return counts and the local spanning forest,
 never all pairs.
 
-Cases: a null label, a null or zero vector and one with null or non-finite
-components link with nothing; vectors of different length are never compared;
-rows that repeat a vector count as other vectors; a null id keeps a null
-component unless linked; an empty table gives an empty table; extra columns
-are dropped.
+Cases: a null label, a null, empty or zero vector, one with null or non-finite
+components and a row without an id link with nothing (its component is its id);
+vectors of different length are never compared; rows that repeat a vector count
+as other vectors; an empty table gives an empty table; extra columns are
+dropped; vectors are scaled by powers of two, so large ones don't overflow.
+The driver holds one plan for each distinct length.
 """
 
 from __future__ import annotations
@@ -40,36 +45,33 @@ from .storage import discard, partitions, settle
 BLOCK = 512
 SAMPLE = 4096
 BITS = 64
+TRIALS = 1000
+MOST_TABLES = 64
+
+
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled by powers of two first, which is exact."""
+    _, exponent = np.frexp(np.abs(vectors).max(1, initial=0))
+    scaled = np.ldexp(vectors, -exponent[:, None])
+    return scaled / np.linalg.norm(scaled, axis=1)[:, None]
 
 
 def learn_rotation(vectors: np.ndarray, bits: int, seed: int, rounds: int = 30) -> np.ndarray:
-    """(dimension, bits) projection: principal components, rotated for least quantisation error."""
+    """(dimension, bits) projection of centred vectors: principal components, rotated for least quantisation error."""
     rng = np.random.default_rng(seed)
-    dimension = vectors.shape[1]
-    if len(vectors):
-        values, axes = np.linalg.eigh(vectors.T @ vectors / len(vectors))
-        axes = axes[:, np.argsort(-values)[:bits]]
-    else:
-        axes = np.eye(dimension)[:, :bits]
+    values, axes = np.linalg.eigh(vectors.T @ vectors / len(vectors))
+    axes = axes[:, np.argsort(-values)[:bits]]
     rotation, _ = np.linalg.qr(rng.standard_normal((bits, bits)))
     projected = vectors @ axes
-    for _ in range(rounds if len(vectors) else 0):
+    for _ in range(rounds):
         codes = np.where(projected @ rotation >= 0, 1.0, -1.0)
         u, _, v = np.linalg.svd(codes.T @ projected)
         rotation = (u @ v).T
     return axes @ rotation
 
 
-def plan_tables(vectors: int, threshold: float, bits: int, recall: float) -> tuple[int, int, int]:
-    """(substring bits, tables, rotations) for this many vectors of one label."""
-    width = max(1, min(bits, 31, max(8, round(math.log2(max(2, vectors))))))
-    same = (1 - math.acos(min(1.0, threshold)) / math.pi) ** width
-    tables = max(4, math.ceil(math.log(1 - recall) / math.log(1 - min(same, 0.999))))
-    return width, tables, math.ceil(tables / (bits // width))
-
-
 def substrings(vectors: np.ndarray, projections: list[np.ndarray], width: int, tables: int) -> np.ndarray:
-    """(vectors, tables) substrings of the binary codes."""
+    """(vectors, tables) substrings of the binary codes of centred vectors."""
     weights = 1 << np.arange(width)
     out = []
     for p in projections:
@@ -78,11 +80,54 @@ def substrings(vectors: np.ndarray, projections: list[np.ndarray], width: int, t
     return np.stack(out[:tables], 1)
 
 
+def trial_pairs(units: np.ndarray, threshold: float, rng) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sampled vectors and others just at the threshold, moved anyhow and as the data differ."""
+    x = units[rng.integers(0, len(units), TRIALS)]
+    out = []
+    for way in (rng.standard_normal(x.shape), x[rng.permutation(TRIALS)] - x[rng.permutation(TRIALS)] + 1e-9 * rng.standard_normal(x.shape)):
+        way = way - (way * x).sum(1)[:, None] * x
+        size = np.linalg.norm(way, axis=1)
+        on = size > 1e-12
+        out.append((x[on], threshold * x[on] + np.sqrt(max(0.0, 1 - threshold * threshold)) * way[on] / size[on][:, None]))
+    return out
+
+
+class Plan:
+    """How vectors of one length are cut into substrings."""
+
+    def __init__(self, units: np.ndarray, largest: int, threshold: float, recall: float, seed: int):
+        self.width, self.tables, self.recall, self.projections = 0, 1, 1.0, []
+        if largest <= BLOCK:  # one bucket holds all
+            return
+        rng = np.random.default_rng(seed)
+        self.mean = units.mean(0)
+        bits = min(BITS, units.shape[1])
+        trials = [(x - self.mean, y - self.mean) for x, y in trial_pairs(units, threshold, rng)]
+        width = max(1, min(bits, 31, max(8, round(math.log2(max(2, largest))))))
+        while True:
+            each = bits // width
+            while len(self.projections) * each < MOST_TABLES:
+                self.projections.append(learn_rotation(units - self.mean, bits, seed + len(self.projections)))
+            # the share of trial pairs that meet in the first 1, 2, ... tables
+            met = [np.logical_or.accumulate(substrings(x, self.projections, width, MOST_TABLES) == substrings(y, self.projections, width, MOST_TABLES), 1).mean(0) for x, y in trials if len(x)]
+            least = np.min(met, 0) if met else np.ones(MOST_TABLES)
+            enough = np.flatnonzero(least >= recall)
+            if len(enough) or width == 1:
+                break
+            width = max(1, width - 2)
+        self.width, self.tables = width, max(4, int(enough[0]) + 1 if len(enough) else MOST_TABLES)
+        self.recall = float(least[self.tables - 1])
+        del self.projections[math.ceil(self.tables / each) :]
+
+    def codes(self, units: np.ndarray) -> np.ndarray:
+        if not self.width:
+            return np.zeros((len(units), 1), np.int64)
+        return substrings(units - self.mean, self.projections, self.width, self.tables)
+
+
 def block_links(x: np.ndarray, y: np.ndarray, sub_x: np.ndarray, sub_y: np.ndarray, table: int, threshold: float) -> np.ndarray:
-    """Linked pairs of unit-free vectors that meet in this table first."""
-    with np.errstate(invalid="ignore"):
-        cosine = (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :])
-    found = cosine >= threshold
+    """Linked pairs of unit vectors that meet in this table first."""
+    found = x @ y.T >= threshold
     for k in range(table):
         found &= sub_x[:, k][:, None] != sub_y[:, k][None, :]
     return found
@@ -107,24 +152,25 @@ def forest(links: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _codes(projections: dict[int, list[np.ndarray]], width: int, tables: int):
+def _codes(plans: dict[int, Plan]):
     def run(batches):
         for batch in batches:
             size = np.asarray(batch.column(2))
-            sub = np.zeros((len(size), tables), np.int64)
-            rows = batch.column(3)
+            subs: list = [None] * len(size)
+            rows = batch.column(4)
             for dimension in np.unique(size).tolist():
                 on = np.flatnonzero(size == dimension)
                 flat = rows.take(pa.array(on)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(on), dimension)
-                sub[on] = substrings(flat / np.linalg.norm(flat, axis=1)[:, None], projections[dimension], width, tables)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(list(sub), pa.list_(pa.int64())), rows], names=["cls", "label", "size", "subs", "vector"])
+                for k, row in zip(on.tolist(), plans[dimension].codes(unit(flat)), strict=True):
+                    subs[k] = row
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(subs, pa.list_(pa.int64())), rows], names=["cls", "label", "size", "n", "subs", "vector"])
 
     return run
 
 
 def _match(threshold: float):
     def handle(table, first, second, rows):
-        vectors = np.array(rows["vector"].tolist(), np.float64)
+        vectors = unit(np.array(rows["vector"].tolist(), np.float64))
         subs = np.array(rows["subs"].tolist(), np.int64)
         cls, count, block = (np.asarray(rows[c], np.int64) for c in ("cls", "n", "block"))
         if first == second:
@@ -149,7 +195,9 @@ def _match(threshold: float):
         def emit():
             import pandas as pd
 
-            out = list(handle(key[0], key[2], key[3], pd.concat(held) if len(held) > 1 else held[0]))
+            rows = pd.concat(held) if len(held) > 1 else held[0]
+            # a bucket is a hash: labels and lengths decide who is compared
+            out = [x for _, part in rows.groupby(["label", "size"], sort=False) for x in handle(key[0], key[2], key[3], part)]
             columns = list(zip(*out, strict=True)) or [[]] * 3
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "links"])
 
@@ -178,42 +226,52 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     spark = vectors.sparkSession
     n = partitions(spark)
     limit = F.lit(float("inf"))
+    kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    paths = []
+
+    def keep(df, name):
+        out, path = settle(df, name)
+        paths.append(path)
+        return out
+
     sound = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < limit)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<float>").alias("vector"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast(f"array<{kind}>").alias("vector"))
     usable = F.col("label").isNotNull() & F.col("id").isNotNull() & F.coalesce(F.forall("vector", sound) & F.exists("vector", lambda v: v != 0), F.lit(False))
     key = [F.xxhash64(F.lit(1), "vector").alias("k1"), F.xxhash64(F.lit(2), "vector").alias("k2")]
     good = rows.where(usable).select("id", "label", F.size("vector").alias("size"), *key, "vector")
-    classes, p0 = settle(good.groupBy("label", "size", "k1", "k2").agg(F.min("id").alias("cls"), F.count("*").alias("n"), F.first("vector").alias("vector")), "vector-classes")
-    largest = classes.groupBy("label", "size").agg(F.count("*").alias("m")).agg(F.max("m")).first()[0] or 0
-    sizes = [r[0] for r in classes.select("size").distinct().limit(1000).collect()]
-    projections, width, tables = {}, 1, 4
-    smallest = min(BITS, *sizes) if sizes else BITS
-    width, tables, rotations = plan_tables(largest, threshold, smallest, recall)
-    for size in sizes:
-        drawn = classes.where(F.col("size") == size).orderBy(F.xxhash64("cls", F.lit(seed)), "cls").limit(sample).select("vector").toPandas()["vector"]
-        fit = np.array(drawn.tolist(), np.float64)
-        fit /= np.linalg.norm(fit, axis=1)[:, None]
-        projections[size] = [learn_rotation(fit, min(BITS, size), seed + k) for k in range(rotations)]
-
-    coded, p1 = settle(classes.select("cls", "label", "size", "vector").mapInArrow(_codes(projections, width, tables), "cls long, label string, size int, subs array<long>, vector array<float>").join(classes.select("cls", "n"), "cls"), "codes")
-    entries = coded.select("cls", "n", "subs", "vector", "label", "size", F.posexplode("subs").alias("tab", "part")).withColumn("bucket", F.xxhash64("label", "size", "tab", "part")).select("cls", "n", "tab", "bucket")
-    counts = entries.groupBy("tab", "bucket").agg(F.count("*").alias("m")).where("m > 1")
+    classes = keep(good.groupBy("label", "size", "k1", "k2").agg(F.min("id").alias("cls"), F.count("*").alias("n"), F.first("vector").alias("vector")), "vector-classes")
+    # one row for each label and length, then for each length; a vector alone in both has nobody to meet
+    members = keep(classes.groupBy("label", "size").agg(F.count("*").alias("m")).where("m > 1"), "vector-groups")
+    meeting = classes.join(members.select("label", "size"), ["label", "size"], "left_semi")
+    plans = {}
+    for size, largest, total in members.groupBy("size").agg(F.max("m"), F.sum("m")).collect():
+        drawn = meeting.where((F.col("size") == size) & (F.pmod(F.xxhash64("cls", F.lit(seed)), F.lit(1_000_003)) < min(1.0, 1.2 * sample / total) * 1_000_003 + 1))
+        fit = np.array(drawn.orderBy(F.xxhash64("cls", F.lit(seed)), "cls").limit(sample).select("vector").toPandas()["vector"].tolist(), np.float64)
+        if len(fit):
+            plans[size] = Plan(unit(fit), largest, threshold, recall, seed)
+    planned = meeting.where(F.col("size").isin(*plans)) if plans else meeting.where(F.lit(False))
+    coded = keep(planned.select("cls", "label", "size", "n", "vector").mapInArrow(_codes(plans), f"cls long, label string, size int, n long, subs array<long>, vector array<{kind}>"), "codes")
+    entries = coded.select("cls", "label", "size", F.posexplode("subs").alias("tab", "part")).select("cls", "tab", F.xxhash64("label", "size", "tab", "part").alias("bucket"))
+    # written first, so that the join can split a hot bucket
+    counts = keep(entries.groupBy("tab", "bucket").agg(F.count("*").alias("m")).where("m > 1"), "buckets")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("cls"), blocks.cast("long")).cast("int")
     placed = entries.join(counts, ["tab", "bucket"]).withColumn("blocks", blocks).withColumn("block", own)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = placed.withColumn("other", other).select("cls", "n", "tab", "bucket", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
+    dealt = placed.withColumn("other", other).select("cls", "tab", "bucket", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
     # a class meets its own block once: block pairs (b, b) come from other = b alone
-    full = dealt.join(coded.select("cls", "subs", "vector"), "cls")
+    full = dealt.join(coded, "cls")
     order = ["tab", "bucket", "first", "second"]
-    found, p2 = settle(full.repartition(n, *order).sortWithinPartitions(*order).select(*order, "block", "cls", "n", "subs", "vector").mapInArrow(_match(threshold), "a long, b long, links long"), "matches")
+    found = keep(full.repartition(n, *order).sortWithinPartitions(*order).select(*order, "block", "cls", "label", "size", "n", "subs", "vector").mapInArrow(_match(threshold), "a long, b long, links long"), "matches")
     groups, temporary = components(found.where("b is not null"))
+    paths += temporary
     number = found.where("b is null").groupBy("a").agg(F.sum("links").alias("others"))
     of_class = classes.select("label", "size", "k1", "k2", "cls", "n").join(number.withColumnRenamed("a", "cls"), "cls", "left").join(groups.withColumnRenamed("node", "cls"), "cls", "left")
-    of_class = of_class.select("label", "size", "k1", "k2", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component_id"))
+    # also written first, for vectors with many copies
+    of_class = keep(of_class.select("label", "size", "k1", "k2", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component_id")), "class-links")
     joined = good.select("id", "label", "size", "k1", "k2").join(of_class, ["label", "size", "k1", "k2"])
     alone = rows.where(~usable).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = joined.select("id", "n_links", "component_id").unionByName(alone)
     result, _ = settle(out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")), "vector-links")
-    discard(spark, p0, p1, p2, *temporary)
+    discard(spark, *paths)
     return result

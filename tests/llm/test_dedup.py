@@ -187,6 +187,47 @@ def removed(docs):
     return out
 
 
+def test_long_texts_have_the_same_anchors(monkeypatch):
+    draw = np.random.default_rng(6)
+    data = draw.integers(97, 101, 9000).astype(np.uint8)
+    data[5000:6000] = data[1000:2000]
+
+    def of_each_string():
+        found = suffix_dedup.anchors(data, np.array([0, len(data)]))
+        out = {}
+        for place, first, last in zip(found["place"], found["first"], found["last"], strict=True):
+            out |= {start: place for start in range(first, last + 1)}
+        return out
+
+    whole = of_each_string()
+    assert len(whole) == len(data) - 99
+    monkeypatch.setattr(suffix_dedup, "_PLACE_BITS", 10)
+    pieces = of_each_string()
+    assert len(pieces) == len(whole)
+    for start in range(1000, 1900):  # equal strings have equal anchors wherever pieces end
+        assert pieces[start] - start == pieces[start + 4000] - start - 4000
+
+
+def test_one_point_of_each_hash_goes_to_its_shard():
+    rows = np.zeros(7, suffix_dedup._POINT)
+    rows["doc"], rows["place"] = [3, 1, 2, 2, 9, 9, 4], [5, 5, 5, 5, 1, 1, 0]
+    hashes = np.array([7, 7, 7, 7, 8, 8, 6], np.uint64)
+    one, several = suffix_dedup.known_twice(rows, hashes)
+    assert sorted(hashes[one]) == [6, 7, 8] and sorted(zip(rows["doc"][several], rows["place"][several], strict=True)) == [(1, 5), (2, 5), (3, 5)]
+
+
+def test_rows_without_id_and_rows_left(spark):
+    passage = "".join(DRAW.choice("abcdefgh") for _ in range(250))
+    docs = [(None, passage), (5, passage), (7, "start " + passage), (8, "x" + passage[:120]), (9, passage), (None, None), (10, "short")]
+    table = spark.createDataFrame([(d, t, "e") for d, t in docs], "doc_id long, text string, extra string")
+    want = removed(sorted((d, t.encode()) for d, t in docs if d is not None))
+    rows = suffix_dedup.digests(table).collect()
+    assert {r[0]: tuple(r[1:]) for r in rows if r[0] is not None} == want
+    assert sorted((r[1], r[2]) for r in rows if r[0] is None) == [(0, 0), (250, 0)]
+    left = suffix_dedup.remove_repeats(table).collect()
+    assert sorted((str(r.doc_id), str(r.text), r.extra) for r in left) == sorted([("None", passage, "e"), ("5", passage, "e"), ("7", "start ", "e"), ("8", "x", "e"), ("None", "None", "e"), ("10", "short", "e")])
+
+
 def test_repeated_strings(spark):
     passages = ["".join(DRAW.choice("abcdeé ") for _ in range(DRAW.randint(90, 400))) for _ in range(6)] + ["x" * 300, "ab" * 200]
     docs = []
@@ -207,28 +248,77 @@ def test_repeated_strings(spark):
     assert left.columns == table.columns and {r.doc_id for r in left.collect()} <= {d for d, _ in docs}
 
 
-def test_near_vectors(spark):
+def vector_links(rows):
+    good = [(v, np.array(x, float), y) for v, x, y in rows if v is not None and y is not None and x is not None and None not in x and np.isfinite(x).all() and np.any(x)]
+    good = [(v, x / np.abs(x).max(), y) for v, x, y in good]
+    return [(a, b) for k, (a, x, s) in enumerate(good) for b, y, t in good[:k] if s == t and len(x) == len(y) and x @ y >= 0.98 * np.linalg.norm(x) * np.linalg.norm(y)]
+
+
+def test_near_vectors(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = []
     for v in range(400):
         x = rng.standard_normal(16) if v < 150 else np.array(rows[v - 150][1]) + rng.standard_normal(16) * 0.05
         rows.append((v, x.astype(np.float32).tolist(), v % 150 % 2))
-    rows += [(500, rows[0][1], 0), (501, rows[0][1], None), (502, None, 0), (503, [0.0] * 16, 0), (504, [float("nan")] * 16, 0), (505, [1.0, None], 0), (506, [1.0, 2.0], 0), (507, [1.0, 2.0], 0)]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in itq_dedup.near_duplicates(table).collect()}
-    good = [(v, np.array(x), y) for v, x, y in rows if y is not None and x is not None and None not in x and np.isfinite(x).all() and np.any(x)]
-    links = [(a, b) for k, (a, x, s) in enumerate(good) for b, y, t in good[:k] if s == t and len(x) == len(y) and x @ y >= 0.98 * np.linalg.norm(x) * np.linalg.norm(y)]
+    rows += [(500, rows[0][1], 0), (501, rows[0][1], None), (502, None, 0), (503, [0.0] * 16, 0), (504, [float("nan")] * 16, 0), (505, [1.0, None], 0), (506, [1.0, 2.0], 0), (507, [1.0, 2.0], 0), (508, [], 0), (509, [float("inf")] * 16, 1)]
+    table = spark.createDataFrame([(*r, "clash") for r in rows], "vec_id long, embedding array<float>, label int, n_links string")
+    links = vector_links(rows)
     degree = collections.Counter(x for p in links for x in p)
     groups = linked_groups([r[0] for r in rows], links)
-    assert sum(n for n, _, _ in found.values()) >= 0.9 * 2 * len(links)
-    for v, (n, component, kept) in found.items():
-        assert n <= degree[v] and component >= groups[v] and kept == (v == component)
-    assert found[506][:2] == (1, 506) and found[507][1] == 506 and all(found[v][0] == 0 for v in (501, 502, 503, 504, 505))
+    for block in (512, 7):
+        monkeypatch.setattr(itq_dedup, "BLOCK", block)
+        found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in itq_dedup.near_duplicates(table).collect()}
+        assert sum(n for n, _, _ in found.values()) >= 0.9 * 2 * len(links)
+        for v, (n, component, kept) in found.items():
+            assert n <= degree[v] and component >= groups[v] and kept == (v == component)
+        assert found[506][:2] == (1, 506) and found[507][1] == 506 and all(found[v][0] == 0 for v in (501, 502, 503, 504, 505, 508, 509))
     assert itq_dedup.near_duplicates(table.limit(0)).count() == 0
-
-
-def test_tables_keep_recall():
-    for n in (2, 500, 10_000, 10_000_000, 10**10):
-        width, tables, rotations = itq_dedup.plan_tables(n, 0.98, 64, 0.98)
-        same = (1 - np.arccos(0.98) / np.pi) ** width
-        assert 1 - (1 - same) ** tables >= 0.98 and rotations * (64 // width) >= tables
+    nobody = spark.createDataFrame([(None, rows[0][1], 0), (None, rows[0][1], 0), (1, rows[0][1], 0)], "vec_id long, embedding array<float>, label int")
+    assert sorted((str(r.vec_id), r.n_links, r.kept) for r in itq_dedup.near_duplicates(nobody).collect()) == [("1", 0, True), ("None", 0, False), ("None", 0, False)]
+
+
+def test_near_vectors_in_double_precision(spark):
+    """Doubles beyond floats, a difference floats can't hold, many lengths and repeated rows."""
+    angle = np.arccos(0.98)
+    pair = lambda a: [float(np.cos(a)), float(np.sin(a)), 0.0]
+    rows = [(1, [1.0, 0.0, 0.0], "x"), (2, pair(angle - 1e-10), "x"), (3, pair(angle + 1e-10), "y"), (4, [1.0, 0.0, 0.0], "y")]
+    rows += [(10, [1e300, 1e300], "x"), (11, [1e300, 1.01e300], "x"), (12, [1e-300, 1e-300], "x")]
+    rows += [(100 + k, [1.0] * (k + 4), "x") for k in range(40)] + [(200 + k, [1.0] * (k + 4), "x") for k in range(40)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in itq_dedup.near_duplicates(table).collect()}
+    assert found[1] == (1, 1) and found[2] == (1, 1) and found[3] == (0, 3) and found[4] == (0, 4)
+    assert [found[k] for k in (10, 11, 12)] == [(2, 10)] * 3
+    assert all(found[100 + k] == (1, 100 + k) and found[200 + k] == (1, 100 + k) for k in range(40))
+    twice = itq_dedup.near_duplicates(table.unionByName(table)).collect()
+    assert len(twice) == 2 * len(rows) and {r.n_links for r in twice if r.vec_id in (1, 2)} == {3}
+
+
+def planted(dimension, spectrum, offset, seed, n=1500):
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, dimension)) * spectrum + offset
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    way = rng.standard_normal((300, dimension)) * spectrum
+    way -= (way * x[:300]).sum(1)[:, None] * x[:300]
+    way /= np.linalg.norm(way, axis=1)[:, None]
+    cosine = rng.uniform(0.9801, 0.99, 300)[:, None]
+    return np.vstack([x, cosine * x[:300] + np.sqrt(1 - cosine**2) * way])
+
+
+def test_recall_and_buckets_of_many_kinds_of_data():
+    one = np.ones(64)
+    for name, (spectrum, offset) in {"isotropic": (one, 0), "decaying": (1 / np.arange(1, 65) ** 0.5, 0), "common offset": (one, 3 * one), "large offset": (one, 10 * np.eye(64)[0])}.items():
+        x = planted(64, spectrum, offset, 3)
+        plan = itq_dedup.Plan(x[:1500], 1800, 0.98, 0.98, 7)
+        codes = plan.codes(x)
+        met = (codes[:300] == codes[1500:]).any(1).mean()
+        largest = max(np.bincount(np.unique(codes[:1500, t], return_inverse=True)[1]).max() for t in range(plan.tables)) / 1500
+        assert met >= 0.93 and largest <= 0.2, (name, met, largest, plan.width, plan.tables)
+
+
+def test_a_length_is_planned_by_itself():
+    rng = np.random.default_rng(1)
+    x = itq_dedup.unit(rng.standard_normal((2000, 64)))
+    for largest in (600, 10_000, 10_000_000):
+        plan = itq_dedup.Plan(x, largest, 0.98, 0.98, 7)
+        assert plan.recall >= 0.98 and plan.width >= min(16, np.log2(largest)) - 2
+    assert itq_dedup.Plan(x, 512, 0.98, 0.98, 7).codes(x).shape == (2000, 1)
