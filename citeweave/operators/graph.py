@@ -2,35 +2,46 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _checkpointed(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="citeweave-"))
-    return df.checkpoint()
+from citeweave.operators.tables import discard, written
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(node, component) with the smallest node of each component, by contraction of links to least neighbours.
+    """(node, component) with the smallest node of each component, by randomised contraction.
 
-    Every round replaces each node by the least of its neighbourhood and then
-    follows the new pointer once more, which shortens paths by half.
+    Each round maps every node to the node of least priority among itself and
+    its neighbours (priorities are drawn anew by a hash) and links the images, so
+    a constant share of the nodes disappears on any graph, long paths and hubs
+    included.  Only minima are aggregated by node, which Spark combines before
+    the exchange, so a hub costs one row for each task.  Every round is written.
     """
+    spark = edges.sparkSession
+    nodes = edges.select(F.explode(F.array(src, dst)).alias("node")).where("node is not null").distinct()
     links = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b")
-    nodes = edges.select(F.col(src).alias("node")).unionByName(edges.select(F.col(dst).alias("node"))).where("node is not null").distinct()
-    labels = _checkpointed(nodes.withColumn("label", F.col("node")))
-    both = _checkpointed(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    maps, paths, turn = [], [], 0
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        stepped = labels.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
-        jump = stepped.select(F.col("node").alias("new"), F.col("new").alias("far"))
-        moved = _checkpointed(stepped.join(jump, "new", "left").select("node", "label", F.least("new", F.coalesce("far", "new")).alias("new")))
-        done = moved.where("label <> new").isEmpty()
-        labels = moved.select("node", F.col("new").alias("label"))
-        if done:
-            return labels.select("node", F.col("label").alias("component"))
+        turn += 1
+        rank = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("rank"), F.col(c).alias("node"))  # noqa: B023, E731
+        both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy("a").agg(F.min(rank("b")).alias("near"))
+        step, path = written(near.select(F.col("a").alias("node"), F.least(rank("a"), F.col("near"))["node"].alias("to")), "contraction")
+        paths.append(path)
+        if step.isEmpty():
+            break
+        maps.append(step)
+        image = lambda c: step.select(F.col("node").alias(c), F.col("to").alias(f"new_{c}"))  # noqa: B023, E731
+        moved = links.join(image("a"), "a").join(image("b"), "b").where("new_a <> new_b")
+        links, path = written(moved.select(F.least("new_a", "new_b").alias("a"), F.greatest("new_a", "new_b").alias("b")).distinct(), "links")
+        paths.append(path)
+    root = nodes.withColumn("to", F.col("node"))
+    for step in maps:
+        # the image of an image, settled each time so that plans stay short
+        moved = root.join(step.select(F.col("node").alias("to"), F.col("to").alias("next")), "to", "left")
+        root, path = written(moved.select("node", F.coalesce("next", "to").alias("to")), "roots")
+        paths.append(path)
+    least = root.groupBy("to").agg(F.min("node").alias("component"))
+    found, _ = written(root.join(least, "to").select("node", "component"), "components")
+    discard(spark, *paths)
+    return found

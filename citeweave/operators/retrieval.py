@@ -6,15 +6,15 @@ in one table and partition by query, never by run name alone.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from citeweave.functions import text as T
+from citeweave.operators.tables import written
 
 # Okapi parameters, fusion constant, vote thresholds.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -29,109 +29,221 @@ def ranked(runs: DataFrame, k: int | None = None, by=("run", "qid")) -> DataFram
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-def postings(passages: DataFrame, id_col: str = "doc", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc, term, tf) and (doc, dl) of passages that have a term."""
+def postings(passages: DataFrame, id_col: str = "doc", text_col: str = "text") -> DataFrame:
+    """(term, doc, tf, dl): how often each passage has a term, and its length."""
     terms = passages.select(F.col(id_col).alias("doc"), T.words(F.lower(F.col(text_col))).alias("terms"))
-    counts = terms.select("doc", F.explode("terms").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
-    return counts, terms.select("doc", F.size("terms").alias("dl")).where("dl > 0")
+    return terms.select("doc", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("term", "doc", "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25(passages: DataFrame, queries: DataFrame, k: int, id_col: str = "doc", text_col: str = "text", query_col: str = "qid", query_text: str = "text") -> DataFrame:
+def build_index(passages: DataFrame, id_col: str = "doc", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """The postings, written once: to ``path`` to be kept, else to the shared folder."""
+    if path is None:
+        return written(postings(passages, id_col, text_col), "postings")[0]
+    postings(passages, id_col, text_col).write.mode("overwrite").parquet(path)
+    return passages.sparkSession.read.parquet(path)
+
+
+def search_index(index: DataFrame, queries: DataFrame, k: int, query_col: str = "qid", query_text: str = "text") -> DataFrame:
     """Okapi BM25 top k of documents that share a term with the query.
 
     A term that most passages hold gets a quarter of the mean inverse frequency
-    of the whole vocabulary, and repeated query terms count repeatedly.
+    of the whole vocabulary, and repeated query terms count repeatedly.  Sizes
+    of the collection are scalar subqueries, so nothing runs before the result
+    is asked for.
     """
-    counts, lengths = postings(passages, id_col, text_col)
-    size = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    n, avgdl = size["n"] or 1, size["avgdl"] or 1.0
-    df = counts.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = df.agg(F.avg("raw")).first()[0] or 0.0
-    idf = df.select("term", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")).alias("idf"))
+    lengths = index.groupBy("doc").agg(F.first("dl").alias("dl"))
+    size = lengths.agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))).scalar()
+    n, avgdl = size["n"], size["avgdl"]
+    raw = lambda df: F.log(n - df + 0.5) - F.log(df + 0.5)
+    df = index.groupBy("term").agg(F.count("*").alias("df"))
+    mean = df.agg(F.avg(raw(F.col("df")))).scalar()
     asked = queries.select(F.col(query_col).alias("qid"), F.explode(T.words(F.lower(F.col(query_text)))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    weight = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
-    # the query's terms prune the postings before lengths are looked up
-    hits = counts.join(asked.join(idf, "term"), "term").join(lengths, "doc")
+    idf = df.join(asked.select("term").distinct(), "term", "left_semi").select("term", F.when(raw(F.col("df")) < 0, EPSILON * mean).otherwise(raw(F.col("df"))).alias("idf"))
+    weight = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
+    hits = index.join(asked.join(idf, "term"), "term")
     scores = hits.groupBy("qid", "doc").agg(F.round(F.sum(weight), 9).alias("score"))  # so that the order of addition can't break ties
     return ranked(scores, k, by=("qid",))
 
 
+def bm25(passages: DataFrame, queries: DataFrame, k: int, id_col: str = "doc", text_col: str = "text", query_col: str = "qid", query_text: str = "text") -> DataFrame:
+    """:func:`search_index` over an index written for the purpose."""
+    return search_index(build_index(passages, id_col, text_col), queries, k, query_col, query_text)
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def dense_topk(passages: DataFrame, queries: DataFrame, k: int, id_col: str = "doc", query_col: str = "qid", vector_col: str = "vector", block: int = 1024) -> DataFrame:
-    """Exhaustive cosine search: queries go out in blocks of fixed size, each partition keeps its best k.
+def _best(qid: np.ndarray, doc: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k first entries of each query by falling score and rising document."""
+    order = np.lexsort((doc, -score, qid))
+    qid, doc, score = qid[order], doc[order], score[order]
+    start = np.flatnonzero(np.concatenate([[True], qid[1:] != qid[:-1]])) if len(qid) else np.zeros(0, np.int64)
+    place = np.arange(len(qid)) - np.repeat(start, np.diff(np.append(start, len(qid))))
+    on = place < k
+    return qid[on], doc[on], score[on]
+
+
+QUERY_BYTES = 32 << 20
 
-    Only k rows for each query and task reach the final ranking.
+
+def dense_topk(passages: DataFrame, queries: DataFrame, k: int, id_col: str = "doc", query_col: str = "qid", vector_col: str = "vector", query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """Exhaustive cosine search of all passages for all queries.
+
+    Queries go out ``query_bytes`` at a time, which bounds the broadcast; for
+    each such part the passages are scanned once, and only k rows for each query
+    and task reach the final ranking.  Zero vectors and those that are null or
+    hold null or non-finite components are neither asked nor found; vectors of
+    different length are never compared.
     """
     spark = passages.sparkSession
-    asked = queries.select(F.col(query_col).alias("qid"), F.col(vector_col).alias("vector")).where("vector is not null")
-    rows, parts = [], []
-    side = passages.select(F.col(id_col).cast("long").alias("doc"), F.col(vector_col).alias("vector")).where("vector is not null")
+    sound = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    usable = F.coalesce(F.forall("vector", sound) & F.exists("vector", lambda v: v != 0), F.lit(False))
+    pick = lambda df, c: df.select(F.col(c).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where(usable)
+    side, schema = pick(passages, id_col), "qid long, doc long, score double"
 
     def search(chunk):
-        ids = np.array([r[0] for r in chunk], np.int64)
-        matrix = np.array([r[1] for r in chunk], np.float64)
-        shared = spark.sparkContext.broadcast((ids, matrix / np.linalg.norm(matrix, axis=1)[:, None]))
+        parts = {}
+        for size in sorted({len(v) for _, v in chunk}):
+            rows = [(q, v) for q, v in chunk if len(v) == size]
+            matrix = np.array([v for _, v in rows], np.float64)
+            parts[size] = np.array([q for q, _ in rows], np.int64), matrix / np.linalg.norm(matrix, axis=1)[:, None]
+        shared = spark.sparkContext.broadcast(parts)
 
         def run(batches):
-            ids, matrix = shared.value
-            best = [[] for _ in ids]
+            none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            best = {size: none for size in shared.value}
             for batch in batches:
-                docs = batch.column(0).to_numpy()
-                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(docs), -1)
-                scores = matrix @ (flat / np.linalg.norm(flat, axis=1)[:, None]).T
-                for q in range(len(ids)):
-                    top = np.lexsort((docs, -scores[q]))[:k]
-                    best[q] = sorted([*best[q], *zip((-scores[q][top]).tolist(), docs[top].tolist(), strict=True)])[:k]
-            out = [(int(ids[q]), d, -s) for q in range(len(ids)) for s, d in best[q]]
-            columns = list(zip(*out, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["qid", "doc", "score"])
-
-        return side.mapInArrow(run, "qid long, doc long, score double")
-
-    for row in asked.toLocalIterator():
-        rows.append(row)
-        if len(rows) == block:
-            parts.append(search(rows))
-            rows = []
-    if rows or not parts:
-        parts.append(search(rows) if rows else spark.createDataFrame([], "qid long, doc long, score double"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+                sizes = pc.list_value_length(batch.column(1)).to_numpy()
+                for size, (ids, matrix) in shared.value.items():
+                    on = np.flatnonzero(sizes == size)
+                    if not len(on):
+                        continue
+                    docs = batch.column(0).to_numpy()[on]
+                    flat = batch.column(1).take(pa.array(on)).flatten().to_numpy().reshape(len(on), size)
+                    unit = (flat / np.linalg.norm(flat, axis=1)[:, None]).T
+                    found = [best[size]]
+                    for a in range(0, len(ids), 256):
+                        scores = matrix[a : a + 256] @ unit
+                        least = np.partition(scores, len(on) - k, axis=1)[:, len(on) - k] if len(on) > k else np.full(len(scores), -np.inf)
+                        q, d = np.nonzero(scores >= least[:, None])
+                        found.append((a + q, docs[d], scores[q, d]))
+                    best[size] = _best(*map(np.concatenate, zip(*found, strict=True)), k)
+            for size, (q, doc, score) in best.items():
+                yield pa.RecordBatch.from_arrays([pa.array(shared.value[size][0][q]), pa.array(doc), pa.array(score)], names=["qid", "doc", "score"])
+
+        return side.mapInArrow(run, schema)
+
+    rows, held, found = [], 0, spark.createDataFrame([], schema)
+    for row in pick(queries, query_col).where("id is not null").toLocalIterator():
+        rows.append((row[0], row[1]))
+        held += 8 * len(row[1])
+        if held >= query_bytes:
+            found = found.unionByName(search(rows))
+            rows, held = [], 0
+    if rows:
+        found = found.unionByName(search(rows))
     return ranked(found, k, by=("qid",))
 
 
+def answered_by_all(runs: DataFrame) -> DataFrame:
+    """The queries that every run answers."""
+    every = runs.agg(F.countDistinct("run")).scalar()
+    return runs.groupBy("qid").agg(F.countDistinct("run").alias("runs")).where(F.col("runs") == every).select("qid")
+
+
 def rrf(runs: DataFrame, k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion over queries that every run answers; the list is not cut."""
-    names = runs.select("run").distinct().count()
-    common = runs.groupBy("qid").agg(F.countDistinct("run").alias("runs")).where(F.col("runs") == names).select("qid")
-    fused = runs.join(common, "qid", "left_semi").groupBy("qid", "doc").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"))
+    fused = runs.join(answered_by_all(runs), "qid", "left_semi").groupBy("qid", "doc").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"))
     return ranked(fused, by=("qid",))
 
 
 def union_candidates(runs: DataFrame, union_k: int) -> DataFrame:
     """Documents among the first ``union_k`` of any run, for queries that all runs answer, in order of first sight."""
-    names = runs.select("run").distinct().count()
-    common = runs.groupBy("qid").agg(F.countDistinct("run").alias("runs")).where(F.col("runs") == names).select("qid")
-    seen = runs.join(common, "qid", "left_semi").where(F.col("rank") <= union_k).groupBy("qid", "doc").agg(F.min(F.struct("run", "rank")).alias("first"))
+    seen = runs.join(answered_by_all(runs), "qid", "left_semi").where(F.col("rank") <= union_k).groupBy("qid", "doc").agg(F.min(F.struct("run", "rank")).alias("first"))
     place = F.row_number().over(W.partitionBy("qid").orderBy("first", "doc"))
     return seen.select("qid", "doc", place.alias("position"))
 
 
+def question_share(question: Column, passage: Column) -> Column:
+    """The share of a question's words that a passage holds: a stand-in for a cross-encoder."""
+    words = T.content_tokens(question)
+    return F.size(F.array_intersect(words, T.content_tokens(passage))) / F.greatest(F.lit(1), F.size(words))
+
+
 def rerank(candidates: DataFrame, queries: DataFrame, passages: DataFrame, scorer=None, k: int = 20) -> DataFrame:
     """Score (question, passage) pairs with ``scorer`` (two columns to a column) and rank; unknown passages drop out.
 
-    The default scorer is the share of question words the passage holds, a
-    stand-in for a cross-encoder.
+    A query without text is asked by its id.
     """
-    if scorer is None:
-        scorer = lambda q, p: F.size(F.array_intersect(T.content_tokens(q), T.content_tokens(p))) / F.greatest(F.lit(1), F.size(T.content_tokens(q)))
-    pairs = candidates.select("qid", "doc").join(queries.select("qid", F.col("text").alias("question")), "qid").join(passages.select("doc", F.col("text").alias("passage")), "doc")
-    return ranked(pairs.select("qid", "doc", scorer(F.col("question"), F.col("passage")).alias("score")), k, by=("qid",))
+    asked = candidates.select("qid", "doc").join(queries.select("qid", F.nullif(F.trim("text"), F.lit("")).alias("question")), "qid", "left")
+    pairs = asked.join(passages.select("doc", F.col("text").alias("passage")), "doc")
+    question = F.coalesce("question", F.col("qid").cast("string"))
+    return ranked(pairs.select("qid", "doc", (scorer or question_share)(question, F.col("passage")).alias("score")), k, by=("qid",))
+
+
+def rerank_union(runs: DataFrame, queries: DataFrame, passages: DataFrame, scorer=None, union_k: int = 200, k: int = 100) -> DataFrame:
+    """Rerank what any run has among its first ``union_k``, for queries that all runs answer."""
+    return rerank(union_candidates(runs, union_k), queries, passages, scorer, k)
+
+
+def rerank_debug(runs: DataFrame, reranked: DataFrame, gold: DataFrame, union_k: int = 200, sample: int = 10) -> DataFrame:
+    """Of the first ``sample`` queries: candidates, the first ten before and after, and where the gold pair is."""
+    union = union_candidates(runs, union_k)
+    of_union = union.groupBy("qid").agg(F.count("*").alias("n_candidates"), F.transform(F.slice(F.sort_array(F.collect_list(F.struct("position", "doc"))), 1, 10), lambda x: x["doc"]).alias("candidates"))
+    top = F.slice(F.sort_array(F.collect_list(F.struct("rank", "doc", "score"))), 1, 10)
+    of_top = reranked.groupBy("qid").agg(F.transform(top, lambda x: x["doc"]).alias("top_docs"), F.transform(top, lambda x: x["score"]).alias("top_scores"))
+    asked = of_union.orderBy("qid").limit(sample)
+    pair = asked.join(gold.select("qid", "src", "tgt"), "qid", "left")
+    inside = union.join(pair.select("qid", "src", "tgt"), "qid").groupBy("qid").agg(F.max(F.col("doc") == F.col("src")).alias("source_in_union"), F.max(F.col("doc") == F.col("tgt")).alias("target_in_union"))
+    ranks = reranked.join(pair.select("qid", "src", "tgt"), "qid").groupBy("qid").agg(F.min(F.when(F.col("doc") == F.col("src"), F.col("rank"))).alias("source_rank"), F.min(F.when(F.col("doc") == F.col("tgt"), F.col("rank"))).alias("target_rank"))
+    out = pair.join(inside, "qid", "left").join(of_top, "qid", "left").join(ranks, "qid", "left")
+    no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    return out.select("qid", "src", "tgt", no("source_in_union"), no("target_in_union"), "n_candidates", "candidates", "top_docs", "top_scores", "source_rank", "target_rank")
+
+
+def fused_runs(runs: DataFrame, name: str, k: int = RRF_K) -> DataFrame:
+    """A run fused from those given, under a name."""
+    return rrf(runs, k).select(F.lit(name).alias("run"), "qid", "doc", "score", "rank")
+
+
+def all_runs(named: dict[str, DataFrame], depth: int = 200, fused: str = "rrf") -> DataFrame:
+    """Several runs of the same queries, cut at ``depth``, and their fusion, in one table (run, qid, doc, score, rank)."""
+    out = None
+    for name, run in sorted(named.items()):
+        part = run.where(F.col("rank") <= depth).select(F.lit(name).alias("run"), "qid", "doc", "score", "rank")
+        out = part if out is None else out.unionByName(part)
+    return out.unionByName(fused_runs(out, fused))
+
+
+def workflow(lexical: DataFrame, dense: DataFrame, edges: DataFrame, queries: DataFrame, passages: DataFrame, gold: DataFrame, k: int = 20, keep: int = KEEP_VOTES, judge: int = JUDGE_VOTES, scorer=None, union_k: int = 200, **expansion) -> dict[str, DataFrame]:
+    """The whole retrieval step: seven runs, qrels, votes with decisions, expansion diagnostics.
+
+    Each of the two searches and of the runs is written once; everything else
+    reads what was written.
+    """
+    name = lambda run, x: run.select(F.lit(x).alias("run"), "qid", "doc", "score", "rank")
+    two, _ = written(name(lexical.where(F.col("rank") <= k), "bm25").unionByName(name(dense.where(F.col("rank") <= k), "dense")), "runs")
+    base, _ = written(two.unionByName(fused_runs(two, "rrf_bm25_dense")), "runs")
+    found = base
+    for run, wide in (("bm25", "bm25_xref_expand"), ("dense", "dense_xref_expand"), ("rrf_bm25_dense", "rrf_xref_expand")):
+        found = found.unionByName(name(expand(base.where(F.col("run") == run), edges, **expansion), wide))
+    found = found.unionByName(name(rerank_union(two, queries, passages, scorer, union_k, k), "ce_rerank_union"))
+    runs, _ = written(found, "runs")
+    of_items = votes(runs, gold).withColumn("n_runs", runs.agg(F.countDistinct("run")).scalar())
+    wanted = qrels(gold)
+    debug = None
+    for run in ("bm25", "dense", "rrf_bm25_dense"):
+        part = expansion_diagnostics(base.where(F.col("run") == run), edges, wanted, **expansion).withColumn("run", F.lit(run))
+        debug = part if debug is None else debug.unionByName(part)
+    return {
+        "runs": runs,
+        "qrels": wanted,
+        "votes": of_items.withColumn("decision", vote_decision(F.col("source_votes"), F.col("target_votes"), keep, judge)),
+        "expansion_debug": debug,
+        "rerank_debug": rerank_debug(two, runs.where("run = 'ce_rerank_union'"), gold, union_k),
+    }
 
 
 def graph_edges(refs: DataFrame, active: DataFrame, source_cols=("source_id", "source_passage_id"), target_cols=("target_id", "target_passage_id"), id_col: str = "id") -> DataFrame:
@@ -191,6 +303,11 @@ def qrels(items: DataFrame, item_col: str = "qid", source_col: str = "src", targ
     return items.select(F.col(item_col).alias("qid"), F.explode(F.array_compact(F.array(source_col, target_col))).alias("doc")).distinct().withColumn("relevance", F.lit(1))
 
 
+def each_run(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """The rows once for each name of a run, of which there are few: the sorted names are one value."""
+    return rows.withColumn("run", F.explode(runs.agg(F.sort_array(F.collect_set("run"))).scalar()))
+
+
 def metrics(runs: DataFrame, relevant: DataFrame, k: int = 10, all_queries: bool = True, descending_ties: bool = False) -> DataFrame:
     """Per run: recall, average precision, nDCG and precision at k, averaged over queries.
 
@@ -201,8 +318,7 @@ def metrics(runs: DataFrame, relevant: DataFrame, k: int = 10, all_queries: bool
     total = relevant.groupBy("qid").agg(F.countDistinct("doc").alias("r"))
     hits = top.join(relevant.select("qid", "doc").distinct(), ["qid", "doc"]).withColumn("nth", F.row_number().over(W.partitionBy("run", "qid").orderBy("rank")))
     each = hits.groupBy("run", "qid").agg(F.count("*").alias("found"), F.sum(F.col("nth") / F.col("rank")).alias("precisions"), F.sum(1.0 / F.log2(F.col("rank") + 1.0)).alias("gain"))
-    names = runs.select("run").distinct()
-    asked = total.join(F.broadcast(names)) if all_queries else runs.select("run", "qid").distinct().join(total, "qid")
+    asked = each_run(total, runs) if all_queries else runs.select("run", "qid").distinct().join(total, "qid")
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("r"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1.0))
     rows = asked.join(each, ["run", "qid"], "left").na.fill(0, ["found", "precisions", "gain"])
     return rows.groupBy("run").agg(
@@ -221,8 +337,7 @@ def outcome(src: Column, tgt: Column, k: int) -> Column:
 
 def pair_diagnostics(runs: DataFrame, gold: DataFrame, cutoffs=(5, 10, 20)) -> DataFrame:
     """(run, qid): ranks of source and target, the pair's rank and reciprocal rank, and outcomes at the cut-offs."""
-    names = runs.select("run").distinct()
-    asked = gold.select("qid", "src", "tgt").join(F.broadcast(names))
+    asked = each_run(gold.select("qid", "src", "tgt"), runs)
     both = ranked(runs).join(gold.select("qid", "src", "tgt"), "qid").where((F.col("doc") == F.col("src")) | (F.col("doc") == F.col("tgt")))
     found = both.groupBy("run", "qid").agg(F.min(F.when(F.col("doc") == F.col("src"), F.col("rank"))).alias("src_rank"), F.min(F.when(F.col("doc") == F.col("tgt"), F.col("rank"))).alias("tgt_rank"))
     pair = F.when(F.col("src_rank").isNotNull() & F.col("tgt_rank").isNotNull(), F.greatest("src_rank", "tgt_rank"))
@@ -230,6 +345,13 @@ def pair_diagnostics(runs: DataFrame, gold: DataFrame, cutoffs=(5, 10, 20)) -> D
     return out.select("run", "qid", "src_rank", "tgt_rank", "pair_rank", "pair_rr", *[outcome(F.col("src_rank"), F.col("tgt_rank"), k).alias(f"outcome_{k}") for k in cutoffs])
 
 
+def neither_sample(diagnostics: DataFrame, k: int, n: int, seed: int = 13) -> DataFrame:
+    """A sample of the queries for which no run has source or target among its first ``k``."""
+    missed = F.count(F.when(F.col(f"outcome_{k}") == "neither", 1))
+    rows = diagnostics.groupBy("qid").agg(F.count("*").alias("n_runs"), missed.alias("n_neither")).where("n_neither = n_runs")
+    return rows.orderBy(T.draw(seed, F.col("qid")), "qid").limit(n)
+
+
 def pair_metrics(diagnostics: DataFrame, k: int = 10) -> DataFrame:
     of = lambda name: F.avg(F.when(F.col(f"outcome_{k}") == name, 1.0).otherwise(0.0))
     return diagnostics.groupBy("run").agg(F.count("*").alias("n_queries"), of("both").alias("both"), of("src_only").alias("src_only"), of("tgt_only").alias("tgt_only"), of("neither").alias("neither"), F.avg("pair_rr").alias("pair_mrr"))
@@ -265,9 +387,3 @@ def difficulty_label(source: Column, target: Column, both: Column, runs: int) ->
 
 def difficulty_tier(label: Column) -> Column:
     return F.when(label.isin("hard", "source_only", "target_only", "neither"), "challenging").otherwise("retrievable")
-
-
-def idf_floor(n: int, df: int, mean: float) -> float:
-    """The inverse frequency of one term, for explanations and tests."""
-    raw = math.log(n - df + 0.5) - math.log(df + 0.5)
-    return raw if raw >= 0 else EPSILON * mean

@@ -58,6 +58,31 @@ def features(pairs: DataFrame) -> DataFrame:
     return out.withColumn("low_overlap", F.col("jaccard") < LOW_OVERLAP).withColumn("cross_doc", F.col("source_doc") != F.col("target_doc"))
 
 
+def document_features(docs: DataFrame, id_col: str = "doc", text_col: str = "text", origin_col: str = "origin") -> DataFrame:
+    """What features need of each document: content words, length and cues, computed once however often it is referred to."""
+    text = F.col(text_col)
+    cues = [T.cue(kind, text).alias(f"has_{kind}") for kind in T.CUES]
+    return docs.select(F.col(id_col).alias("doc"), F.col(origin_col).alias("origin"), T.content_tokens(text).alias("tokens"), F.size(T.words(text)).alias("words"), *cues)
+
+
+def features_of_references(refs: DataFrame, of_docs: DataFrame, docs: DataFrame, seq: str = "seq", id_col: str = "doc", text_col: str = "text") -> DataFrame:
+    """The features of :func:`features` for references by id, from features of documents.
+
+    References first, texts last: only for references with a reference text is
+    the source's text looked at, grouped by source, so no text is repeated.
+    """
+    end = lambda side, *more: of_docs.select(F.col("doc").alias(f"{side}_id"), F.col("origin").alias(f"{side}_doc"), F.col("tokens").alias(f"_{side}"), F.col("words").alias(f"{side}_words"), *more)
+    n_out = refs.groupBy("source_id").agg(F.count("*").alias("out_refs"))
+    n_in = refs.groupBy("target_id").agg(F.count("*").alias("in_refs"))
+    asked = refs.where(~T.absent(F.col("ref_text"))).groupBy("source_id").agg(F.collect_list(F.struct(F.col(seq).alias("seq"), F.lower(F.trim("ref_text")).alias("ref"))).alias("asked"))
+    texts = docs.select(F.col(id_col).alias("source_id"), F.lower(text_col).alias("text"))
+    inside = asked.join(texts, "source_id").select(F.explode(F.filter("asked", lambda a: F.col("text").contains(a["ref"]))).alias("hit")).select(F.col("hit.seq").alias(seq), F.lit(True).alias("_inside"))
+    rows = refs.join(n_out, "source_id").join(n_in, "target_id").join(inside, seq, "left")
+    rows = rows.join(end("source"), "source_id").join(end("target", *[f"has_{kind}" for kind in T.CUES]), "target_id")
+    rows = rows.withColumn("jaccard", T.jaccard(F.col("_source"), F.col("_target"))).withColumn("ref_in_source", F.coalesce("_inside", F.lit(False))).drop("_source", "_target", "_inside")
+    return rows.withColumn("low_overlap", F.col("jaccard") < LOW_OVERLAP).withColumn("cross_doc", F.col("source_doc") != F.col("target_doc"))
+
+
 def feature_summary(rows: DataFrame) -> DataFrame:
     flag = lambda c: F.count(F.when(c, 1))
     return rows.agg(
@@ -124,11 +149,11 @@ def sample_mixed(rows: DataFrame, n: int, seed: int, *key: str, weights: dict[st
 
 
 def hard_score(rows: DataFrame) -> DataFrame:
-    """0.6 dissimilarity, 0.25 length from 20 to 300 words, 0.15 for different documents."""
+    """0.6 dissimilarity, 0.25 length from 20 to 300 words, 0.15 for different documents, to six places."""
     mean = (F.col("source_words") + F.col("target_words")) / 2.0
     length = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (mean - 20.0) / 280.0))
     score = 0.6 * (1.0 - F.col("jaccard")) + 0.25 * length + 0.15 * F.when(F.col("cross_doc"), 1.0).otherwise(0.0)
-    return rows.withColumn("hard_score", score)
+    return rows.withColumn("hard_score", F.round(score, 6))
 
 
 def sample_hard(rows: DataFrame, n: int, *key: str) -> DataFrame:

@@ -20,7 +20,7 @@ def passages(spark, sf) -> DataFrame:
 def references(spark, sf) -> DataFrame:
     """(seq, source_id, target_id, ref_type): one or two references of each document."""
     docs = table(spark, sf, "documents").select("doc_id")
-    n = F.lit(docs.count())
+    n = docs.agg(F.count("*")).scalar()
     one = docs.select((F.col("doc_id") * 2).alias("seq"), F.col("doc_id").alias("source_id"), ((F.col("doc_id") * 7 + 13) % n).alias("target_id"))
     two = docs.where("doc_id % 3 = 0").select((F.col("doc_id") * 2 + 1).alias("seq"), F.col("doc_id").alias("source_id"), ((F.col("doc_id") * 11 + 5) % n).alias("target_id"))
     return one.unionByName(two).withColumn("ref_type", F.when(F.col("source_id") % 4 == 0, "External").otherwise("Internal"))
@@ -163,9 +163,11 @@ BM25 = """
 
 
 def edges(spark, sf) -> DataFrame:
-    """Distinct reference edges without loops, with both documents."""
-    rows = pairs(spark, sf).select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), F.col("source_doc").alias("src_doc"), F.col("target_doc").alias("dst_doc"))
-    return rows.where("src <> dst").distinct()
+    """Distinct reference edges without loops, with both documents; no text is read for them."""
+    docs = table(spark, sf, "documents")
+    side = lambda end: docs.select(F.col("doc_id").alias(end), F.col("source").alias(f"{end}_doc"))
+    refs = references(spark, sf).select(F.col("source_id").alias("src"), F.col("target_id").alias("dst")).where("src <> dst").distinct()
+    return refs.join(side("src"), "src").join(side("dst"), "dst").select("src", "dst", "src_doc", "dst_doc")
 
 
 EDGES = PAIRS + """,
@@ -174,10 +176,38 @@ EDGES = PAIRS + """,
 
 def text_gold(spark, sf) -> DataFrame:
     """(qid, src, tgt) of the benchmark's items over the documents."""
-    n = F.lit(table(spark, sf, "documents").select("doc_id").count())
+    n = table(spark, sf, "documents").agg(F.count("*")).scalar()
     src = (F.col("item_id") * 97) % n
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), src.alias("src"), ((src * 7 + 13) % n).alias("tgt"))
 
 
 TEXT_GOLD = """
     text_gold AS (SELECT item_id AS qid, (item_id * 97) % n AS src, ((item_id * 97) % n * 7 + 13) % n AS tgt FROM benchmark, (SELECT count(*) AS n FROM documents))"""
+
+
+def dense_run(spark, sf, k: int = 20) -> DataFrame:
+    """Cosine results over the embeddings as passages of the same number; an item asks with the vector of thrice its number."""
+    from citeweave.operators import retrieval
+
+    vectors = table(spark, sf, "embeddings")
+    n = vectors.agg(F.count("*")).scalar()
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), ((F.col("item_id") * 3) % n).alias("vec_id"))
+    queries = asked.join(vectors, "vec_id").select("qid", F.col("embedding").alias("vector"))
+    return retrieval.dense_topk(vectors.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vector")), queries, k)
+
+
+DENSE = """
+    dense_run AS (SELECT * FROM (SELECT qid, doc, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS rank FROM (
+        SELECT item_id AS qid, p.vec_id AS doc, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])) AS score
+        FROM benchmark JOIN embeddings q ON q.vec_id = (item_id * 3) % (SELECT count(*) FROM embeddings), embeddings p)) WHERE rank <= 20)"""
+
+
+def text_features(spark, sf) -> DataFrame:
+    """References with their features; texts are read once for each document, never for each reference."""
+    from citeweave.operators import xrefs
+
+    refs = references(spark, sf)
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text", F.col("source").alias("origin"))
+    of_docs = xrefs.document_features(docs)
+    first = docs.select(F.col("doc").alias("target_id"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("ref_text"))
+    return xrefs.features_of_references(refs.join(first, "target_id"), of_docs, docs)

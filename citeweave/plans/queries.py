@@ -198,7 +198,7 @@ _CASTS = "seq, source_id, target_id, out_refs, in_refs, CAST(source_words AS BIG
 
 
 def _features(spark, sf):
-    return xrefs.features(B.pairs(spark, sf))
+    return B.text_features(spark, sf)
 
 
 @query(f"WITH {_FEATURES} SELECT {_CASTS}, round(jaccard, 6) AS jaccard, jaccard < 0.15 AS low_overlap FROM feats")
@@ -322,10 +322,10 @@ def target_diagnostics(spark, sf):
     return statistics.top_values(B.references(spark, sf).withColumn("suffix", (F.col("target_id") % 20).cast("string")), "suffix", 10)
 
 
-@query(f"""WITH {B.PAIRS} SELECT ref_type, count(*) AS n, count(DISTINCT source_id * 1000000 + target_id) AS unique_pairs, round(avg(len({WORDS.format('source_text')})), 6) AS mean_words FROM pairs GROUP BY 1""")
+@query(f"""WITH {B.PAIRS} SELECT ref_type, count(*) AS n, count(DISTINCT (source_id, target_id)) AS unique_pairs, round(avg(len({WORDS.format('source_text')})), 6) AS mean_words FROM pairs GROUP BY 1""")
 def adapter_stats(spark, sf):
     rows = B.pairs(spark, sf).withColumn("w", F.size(T.words(F.col("source_text"))))
-    return rows.groupBy("ref_type").agg(F.count("*").alias("n"), F.countDistinct(F.col("source_id") * 1000000 + F.col("target_id")).alias("unique_pairs"), F.avg("w").alias("mean_words"))
+    return rows.groupBy("ref_type").agg(F.count("*").alias("n"), F.countDistinct("source_id", "target_id").alias("unique_pairs"), F.avg("w").alias("mean_words"))
 
 
 # ---------------------------------------------------------------- graph
@@ -367,21 +367,12 @@ def bm25_topk(spark, sf):
     return B.text_run(spark, sf).select("qid", "doc", "score")
 
 
-@query("""SELECT qid, doc, round(score, 6) AS score FROM (
-    SELECT q.vec_id AS qid, p.vec_id AS doc, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])) AS score,
-        row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])) DESC, p.vec_id) AS rank
-    FROM embeddings q, embeddings p WHERE q.vec_id % 25 = 0 AND p.vec_id % 25 <> 0) WHERE rank <= 10""")
-def dense_topk(spark, sf):
-    rows = B.table(spark, sf, "embeddings")
-    found = retrieval.dense_topk(rows.where("vec_id % 25 <> 0"), rows.where("vec_id % 25 = 0"), 10, "vec_id", "vec_id", "embedding")
-    return found.select("qid", "doc", "score")
-
-
 @query("""SELECT qid, doc, round(score, 6) AS score FROM (
     SELECT q.vec_id AS qid, p.vec_id AS doc, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])) AS score,
         row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])) DESC, p.vec_id) AS rank
     FROM embeddings q, embeddings p WHERE q.vec_id % 100 = 0) WHERE rank <= 10""")
-def dense_topk_all_rows(spark, sf):
+def dense_topk(spark, sf):
+    """Every vector is searched; every id divisible by 100 asks."""
     rows = B.table(spark, sf, "embeddings")
     found = retrieval.dense_topk(rows, rows.where("vec_id % 100 = 0"), 10, "vec_id", "vec_id", "embedding")
     return found.select("qid", "doc", "score")
@@ -432,19 +423,6 @@ def xref_expand_incoming(spark, sf):
     return retrieval.expand(B.text_run(spark, sf), B.edges(spark, sf), seed_k=10, direction="incoming").select("qid", "doc", "score")
 
 
-@query()
-def xref_expand_diagnostics(spark, sf):
-    gold = retrieval.qrels(B.text_gold(spark, sf))
-    return retrieval.expansion_diagnostics(B.text_run(spark, sf), B.edges(spark, sf), gold, seed_k=10)
-
-
-@query()
-def ce_rerank_standin(spark, sf):
-    run = B.text_run(spark, sf)
-    queries = B.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    return retrieval.rerank(run, queries, B.passages(spark, sf), k=10).select("qid", "doc", "score", "rank")
-
-
 @query(f"WITH {B.GOLD} SELECT DISTINCT qid, doc, CAST(1 AS BIGINT) AS relevance FROM (SELECT qid, src AS doc FROM gold UNION ALL SELECT qid, tgt FROM gold)")
 def qrels(spark, sf):
     return retrieval.qrels(B.gold(spark, sf))
@@ -521,16 +499,3 @@ def difficulty_labels(spark, sf):
     label = retrieval.difficulty_label(F.col("source_votes"), F.col("target_votes"), F.col("both_votes"), 3)
     rows = _votes(spark, sf).select(label.alias("label"))
     return rows.groupBy("label", retrieval.difficulty_tier(F.col("label")).alias("tier")).agg(F.count("*").alias("n"))
-
-
-def retrieval_pipeline(spark, sf) -> DataFrame:
-    """Lexical search, graph expansion and fusion of the benchmark over all documents, judged as pairs at 10."""
-    base = B.text_run(spark, sf)
-    widened = retrieval.expand(base, B.edges(spark, sf), seed_k=10, final_k=20)
-    named = base.select(F.lit("bm25").alias("run"), "qid", "doc", "score", "rank").unionByName(widened.select(F.lit("expanded").alias("run"), "qid", "doc", "score", "rank"))
-    fused = retrieval.rrf(named).select(F.lit("rrf").alias("run"), "qid", "doc", "score", "rank")
-    every = named.unionByName(fused).drop("rank")
-    return retrieval.pair_metrics(retrieval.pair_diagnostics(every, B.text_gold(spark, sf)))
-
-
-query()(retrieval_pipeline)

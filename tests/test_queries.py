@@ -39,7 +39,7 @@ def test_query(spark, duck, name):
 
 def test_some_dense_search_is_over_all_rows(spark):
     rows = spark.read.parquet(SMALL + "/embeddings.parquet").where("embedding is not null")
-    found = entry.queries()["dense_topk_all_rows"](spark, SMALL).toPandas()
+    found = entry.queries()["dense_topk"](spark, SMALL).toPandas()
     asked = {r.vec_id for r in rows.where("vec_id % 100 = 0").select("vec_id").collect()}
     assert set(found.qid) == asked and (found.groupby("qid").size() == min(10, rows.count())).all()
     assert asked <= set(found.doc[found.doc == found.qid])  # a query finds itself, which is divisible by 25
