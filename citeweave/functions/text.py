@@ -65,8 +65,8 @@ CORE_CLAUSE = r"(?i)(?:^|[.]\s+)((?:[^.]{10,220}?)\b(?:must|shall|may|is\s+requi
 HOOK_TAIL = r"(?i)\s*\(?(?:see|per|under|subject to)\s+[^)]*\)?$"
 HOOK_CITATION = r"(?i)(?:\b(?:rule|section|part|chapter|appendix|schedule)\b\s*[:\-]?\s*(?:\d+(?:\.\d+)*(?:\([a-z0-9]+\))*)(?:\s*[a-z])?)|\bFSMR\b|\b\d+(?:\.\d+)+(?:\([^)]+\))*\b"
 FREEFORM_CHARS = 220
-TRUE_WORDS = ("1", "true", "yes", "y", "t", "pass", "passed")
-FALSE_WORDS = ("0", "false", "no", "n", "f", "fail", "failed")
+TRUE_WORDS = ("yes", "y", "true", "1", "pass", "valid")
+FALSE_WORDS = ("no", "n", "false", "0", "fail", "invalid")
 
 
 def absent(c: Column) -> Column:
@@ -364,3 +364,57 @@ def uid(*parts: Column, caps=None, size: int = 16, separator: str = "||") -> Col
 def draw(seed: int, *key: Column) -> Column:
     """A fixed pseudo-random order of rows by their key."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in key]))
+
+
+def strict_bool(c: Column) -> Column:
+    """True, false or unknown in the narrow vocabulary of model replies."""
+    word = F.lower(F.trim(c.cast("string")))
+    return F.when(word.isin("true", "yes", "1"), True).when(word.isin("false", "no", "0"), False)
+
+
+def word_set(c: Column) -> Column:
+    """Distinct lower-case runs of letters, digits and underscores of any script."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+
+
+def word_overlap(a: Column, b: Column) -> Column:
+    """Shared words as a share of all words of two texts; null if either has none."""
+    x, y = word_set(a), word_set(b)
+    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+
+
+def question_key_unicode(c: Column) -> Column:
+    """Letters and digits of any script and question marks in lower case, single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}\s?]", " "), r"\s+", " "))
+
+
+def question_key_ascii(c: Column) -> Column:
+    """ASCII letters and digits and question marks in lower case; outer spaces are those that marks leave."""
+    return F.regexp_replace(F.regexp_replace(F.trim(F.lower(F.coalesce(c, F.lit("")))), r"[^a-z0-9\s?]", " "), r"\s+", " ")
+
+
+def question_key_tokens(c: Column) -> Column:
+    """Words without their marks, and question marks, as tokens."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"\?|[^\s?]+"), F.lit(0))
+    bare = F.transform(found, lambda t: F.when(t == "?", t).otherwise(F.regexp_replace(t, r"[^\p{L}\p{N}]", "")))
+    return F.array_join(F.filter(bare, lambda t: t != ""), " ")
+
+
+# Beginnings of target texts that are navigation, and the suffix of numbered passages.
+TARGET_NAVIGATION = (r"^legal instruments that change this part\b", r"^parts?\b", r"^policy statements?\b", r"^supervisory statements?\b")
+PASSAGE_SUFFIX = r"::p(\d{6})$"
+
+
+def navigation_reason(c: Column) -> Column:
+    """Why a target text looks like navigation: empty, a pattern it begins with, or capitals without a sentence; null if it does not."""
+    bare = F.coalesce(normal(c), F.lit(""))
+    reason = F.when(bare == "", "empty")
+    for pattern in TARGET_NAVIGATION:
+        reason = reason.when(bare.rlike("(?i)" + pattern), pattern)
+    small = F.length(F.regexp_replace(bare, r"[^\p{Ll}]", ""))
+    return reason.when(~bare.rlike("[.;:!?]") & (small < 3), "titlecase_no_punct")
+
+
+def first_text(*options: Column) -> Column:
+    """The first option that holds more than white space, trimmed."""
+    return F.coalesce(*[F.nullif(F.trim(o), F.lit("")) for o in options])

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from citeweave.functions import text as T
+from citeweave.operators.tables import written
 
 # Consensus limits, pass mark and reason codes.
 LEAST_MAJORITY, LEAST_WEIGHTED, LEAST_CONFIDENCE = 0.67, 0.70, 0.75
@@ -25,7 +26,7 @@ def score_10(c: Column) -> Column:
 def parse_judgement(raw: Column, pass_mark: int = PASS_MARK) -> Column:
     """One judge reply, fenced or not, of the current form or the older one, as a struct; null if unreadable."""
     reply = F.from_json(F.regexp_extract(F.coalesce(raw, F.lit("")), r"(?s)\{.*\}", 0), JUDGE_SCHEMA)
-    check = {c: T.tri_state(reply["binary_checks"][c]) for c in CHECKS}
+    check = {c: T.strict_bool(reply["binary_checks"][c]) for c in CHECKS}
     is_true = lambda c: F.coalesce(check[c], F.lit(False))
     is_false = lambda c: F.coalesce(~check[c], F.lit(False))
     score = score_10(reply["final_score"])
@@ -120,16 +121,9 @@ def cohorts(judged: DataFrame, answered: DataFrame, items: DataFrame) -> DataFra
     return rows.withColumn("cohort", F.when(F.col("valid"), "answer_valid").when(~F.col("valid"), "answer_dropped").otherwise("dependency_valid")).drop("valid")
 
 
-def judge_queue(items: DataFrame, required=("item", "question", "source_text", "target_text"), decision: str = "decision") -> DataFrame:
-    """Items still to be judged whose required fields are all present."""
-    ready = F.col(decision).isin("JUDGE", "JUDGE_IR")
-    for c in required:
-        ready &= ~T.absent(F.col(c).cast("string"))
-    return items.where(ready)
-
-
 def join_outcomes(answers: DataFrame, diagnostics: DataFrame) -> DataFrame:
     """Answers with their retrieval outcome by (item, run), else by item where that has one outcome only; others drop out."""
+    diagnostics = diagnostics.withColumn("outcome", normal_outcome(F.col("outcome")))
     exact = diagnostics.select("item", "run", F.col("outcome").alias("exact"))
     single = diagnostics.groupBy("item").agg(F.count("*").alias("n"), F.first("outcome").alias("single")).where("n = 1").select("item", "single")
     rows = answers.join(exact, ["item", "run"], "left").join(single, "item", "left")
@@ -137,8 +131,9 @@ def join_outcomes(answers: DataFrame, diagnostics: DataFrame) -> DataFrame:
 
 
 def normal_outcome(c: Column) -> Column:
-    word = F.lower(F.trim(c))
-    return F.when(word.isin("src_only", "source_only", "src-only"), "source_only").when(word.isin("tgt_only", "target_only", "tgt-only"), "target_only").when(word.isin("both", "neither"), word)
+    """The outcome's usual name; other words stay as they are, nothing is ``unknown``."""
+    word = F.replace(F.lower(F.trim(c)), F.lit("-"), F.lit("_"))
+    return F.when(word == "src_only", "source_only").when(word == "tgt_only", "target_only").otherwise(F.coalesce(F.nullif(word, F.lit("")), F.lit("unknown")))
 
 
 def sample_std(c: str) -> Column:
@@ -183,13 +178,30 @@ def split(items: DataFrame, key: str, group: list[str], seed: int = 42, train: f
     """train, dev and test by a pseudo-random order in each group, or the existing split where every row has one."""
     if existing is not None and items.where(T.absent(F.col(existing))).isEmpty():
         return items.where(F.col(existing).isin("train", "dev", "test")).withColumn("split", F.col(existing))
-    order = W.partitionBy(*group).orderBy(T.draw(seed, F.col(key)), F.col(key))
-    sizes = items.groupBy(*group).agg(F.count("*").alias("_n"))
-    placed = items.withColumn("_at", F.row_number().over(order)).join(sizes, group)
+    placed = numbered(items, group, [T.draw(seed, F.col(key)).alias("_draw"), F.col(key)])
     a, b = F.floor(F.col("_n") * train), F.floor(F.col("_n") * dev)
     return placed.withColumn("split", F.when(F.col("_at") <= a, "train").when(F.col("_at") <= a + b, "dev").otherwise("test")).drop("_at", "_n")
 
 
+def numbered(rows: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """Rows with ``_at``, their place in their group by the order, and ``_n``, the group's size.
+
+    Rows are dealt by ranges of the order, not by group: places within a range
+    are added to the sizes of the group's earlier ranges, so a group with most
+    of the rows is sorted by many tasks.
+    """
+    tagged = rows.select("*", *[c.alias(f"_o{k}") for k, c in enumerate(order)])
+    names = [f"_o{k}" for k in range(len(order))]
+    dealt, _ = written(tagged.repartitionByRange(*names).withColumn("_part", F.spark_partition_id()), "ranges")
+    same = " AND ".join([f"l.{g} <=> r.{g}" for g in group])
+    sizes = dealt.groupBy(*group, "_part").agg(F.count("*").alias("_m"))
+    w = W.partitionBy(*group).orderBy("_part")
+    before = sizes.withColumn("_before", F.sum("_m").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_m")).withColumn("_n", F.sum("_m").over(W.partitionBy(*group))).drop("_m")
+    inside = dealt.withColumn("_at", F.row_number().over(W.partitionBy(*group, "_part").orderBy(*names)))
+    joined = inside.alias("l").join(before.alias("r"), F.expr(f"l._part = r._part AND {same}"))
+    return joined.select("l.*", F.col("r._before"), F.col("r._n")).withColumn("_at", F.col("_at") + F.col("_before")).drop("_before", "_part", *names)
+
+
 def qa_errors(question: Column, answer: Column, pair: Column, source: Column, target: Column, least: int = 50, most: int = 1000, tags: bool = True, no_citations: bool = False, reference: Column | None = None) -> Column:
     """Error codes of a generated question and answer, in order."""
     count = F.size(T.words(answer))

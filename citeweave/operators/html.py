@@ -9,13 +9,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Elements that hold no content, and marks of page furniture.
+# Elements that hold no content, marks of page furniture, and texts that only lead elsewhere.
 SKIPPED = frozenset("script style noscript header footer nav aside".split())
-BAD_TOKENS = frozenset("nav navigation menu breadcrumb breadcrumbs footer header sidebar cookie banner ad share".split())
+BAD_TOKENS = frozenset("cookie consent sidebar advert advertisement promo banner".split())
 VOID = frozenset("br img hr meta link input area base col embed source track wbr".split())
 BLOCKS = frozenset(("p", "li"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LEAST_CHARS, LEAST_WORDS, CONTEXT = 25, 4, 4
+DOT_LEADER = re.compile(r"\.{4,}")
+NAVIGATION = re.compile(r"^(legal instruments that change this (part|rule|chapter)\b|parts?\b|policy statements?\b|annex(es)?\b|appendix\b)", re.IGNORECASE)
+
+
+def is_meaningful(text: str, chars: int = LEAST_CHARS, words: int = LEAST_WORDS) -> bool:
+    """Long enough, and neither a table of contents nor navigation."""
+    return len(text) >= chars and len(text.split()) >= words and not DOT_LEADER.search(text) and not NAVIGATION.match(text)
 
 
 class _Node:
@@ -124,7 +131,7 @@ def parse(html: str):
             inner = [n for n in _walk(node)]
             ids = [*waiting, *(x for n in inner if (x := n.attrs.get("id") or (n.attrs.get("name") if n.tag == "a" else None)))]
             text = _text(node)
-            if len(text) >= LEAST_CHARS and len(text.split()) >= LEAST_WORDS:
+            if is_meaningful(text):
                 waiting = []
                 name = anchor or f"{node.tag}-{len(passages) + 1}"
                 seen[name] = seen.get(name, 0) + 1
@@ -182,7 +189,7 @@ def decode(files: DataFrame, path_col: str = "path", content_col: str = "content
         for batch in batches:
             out = []
             for raw in batch.column(1).to_pylist():
-                for name in ("utf-8-sig", "utf-8", "cp1252", "latin-1"):
+                for name in ("utf-8-sig", "cp1252", "latin-1"):  # the last one fits anything
                     try:
                         out.append((raw or b"").decode(name))
                         break

@@ -49,8 +49,9 @@ def coverage(edges: DataFrame, passages: DataFrame) -> DataFrame:
     ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("s"), F.lit(0).alias("t")).unionByName(edges.select(F.col("dst").alias("node"), F.lit(0).alias("s"), F.lit(1).alias("t")))
     nodes = ends.groupBy("node").agg(F.max("s").alias("s"), F.max("t").alias("t")).agg(F.sum("s").alias("sources"), F.sum("t").alias("targets"), F.count("*").alias("touched"))
     counts = edges.agg(F.count("*").alias("edges"), F.count(F.when(F.col("src_doc") == F.col("dst_doc"), 1)).alias("within_doc"), F.count(F.when(F.col("src_doc") != F.col("dst_doc"), 1)).alias("cross_doc"))
-    total = passages.agg(F.count("*").alias("passages"))
-    return counts.join(F.broadcast(nodes)).join(F.broadcast(total)).withColumn("coverage_pct", 100.0 * F.col("touched") / F.col("passages"))
+    row = nodes.agg(F.struct(*[F.first(c).alias(c) for c in ("sources", "targets", "touched")])).scalar()
+    out = counts.withColumn("_n", row).select("*", "_n.*").drop("_n").withColumn("passages", passages.agg(F.count("*")).scalar())
+    return out.withColumn("coverage_pct", 100.0 * F.col("touched") / F.col("passages"))
 
 
 def question_types(questions: DataFrame) -> DataFrame:
@@ -109,15 +110,137 @@ def top_values(rows: DataFrame, column: str, n: int = 20) -> DataFrame:
     return rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(n)
 
 
+# The fields by which benchmark records are grouped, and the counts of their construction.
+GROUP_FIELDS = ("corpus", "method", "persona", "split", "ir_difficulty_label", "reference_type", "citation_leakage", "answer_validation_passed", "judge_schema_version")
+FLAG_FIELDS = ("citation_leakage", "answer_validation_passed")
+
+
+def benchmark_groups(records: DataFrame, fields=GROUP_FIELDS) -> DataFrame:
+    """(stat, field, value, cohort, n): records overall, by cohort, and by each field within a cohort; absent values read ``missing``."""
+    cohort = F.coalesce(F.nullif(F.col("cohort"), F.lit("")), F.lit("input"))
+
+    def value(f):
+        if f in FLAG_FIELDS:
+            flag = T.tri_state(F.col(f))
+            return F.when(flag, "true").when(~flag, "false").otherwise("missing")
+        return F.coalesce(F.nullif(F.col(f).cast("string"), F.lit("")), F.lit("missing"))
+
+    row = lambda stat, field, v, c: F.struct(F.lit(stat).alias("stat"), F.lit(field).alias("field"), v.alias("value"), c.alias("cohort"))
+    each = [row("cohort_count", "overall", F.lit("all"), F.lit("all")), row("cohort_count", "cohort", cohort, cohort), *[row("group_count", f, value(f), cohort) for f in fields if f in records.columns]]
+    return records.select(F.explode(F.array(*each)).alias("x")).select("x.*").groupBy("stat", "field", "value", "cohort").agg(F.count("*").alias("n"))
+
+
+def construction_counts(records: DataFrame) -> DataFrame:
+    """One row: how many records each step left; carried counts are the largest seen."""
+    of = lambda c: F.count(F.when(F.col("cohort") == c, 1))
+    carried = lambda c: F.max(F.col(c).try_cast("long")) if c in records.columns else F.lit(None).cast("long")
+    valid, failed, dependency = of("answer_valid"), of("answer_failed"), of("dependency_valid")
+    return records.agg(
+        carried("generated_count").alias("generated_count"),
+        carried("structurally_valid_count").alias("structurally_valid_count"),
+        F.count(F.when(T.tri_state(F.col("citation_leakage")), 1)).alias("citation_leakage_count"),
+        F.when(dependency > 0, dependency).otherwise(valid + failed).alias("citation_dependency_passed_count"),
+        valid.alias("answer_validation_passed_count"),
+        failed.alias("answer_validation_failed_count"),
+        dependency.alias("final_dependency_valid_count"),
+        valid.alias("final_answer_valid_count"),
+        failed.alias("final_answer_failed_count"),
+    )
+
+
+def difficulty_rows(records: DataFrame) -> DataFrame:
+    """Per cohort and label: count, share of the cohort, median lengths and overlap, and the rate of known passes."""
+    cohort = F.coalesce(F.nullif(F.col("cohort"), F.lit("")), F.lit("input")).alias("cohort")
+    label = F.coalesce(F.nullif(F.col("ir_difficulty_label"), F.lit("")), F.lit("missing")).alias("ir_difficulty_label")
+    words = lambda c: F.nullif(F.size(F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))), F.lit(0))
+    measured = F.coalesce(F.col("source_target_overlap").try_cast("double"), T.word_overlap(F.col("source_text"), F.col("target_text"))) if "source_target_overlap" in records.columns else T.word_overlap(F.col("source_text"), F.col("target_text"))
+    rows = records.select(cohort, label, words("question").alias("q"), words("gold_answer").alias("a"), measured.alias("overlap"), T.tri_state(F.col("answer_validation_passed")).cast("double").alias("passed"))
+    each = rows.groupBy("cohort", "ir_difficulty_label").agg(F.count("*").alias("n"), F.percentile("q", 0.5).alias("question_median"), F.percentile("a", 0.5).alias("answer_median"), F.percentile("overlap", 0.5).alias("overlap_median"), F.avg("passed").alias("pass_rate"))
+    totals = each.groupBy("cohort").agg(F.sum("n").alias("total"))
+    return each.join(totals, "cohort").withColumn("share", F.col("n") / F.col("total")).drop("total")
+
+
+def qa_word_stats(items: DataFrame) -> DataFrame:
+    """Per method and over all: items, and mean, least and most words of questions and answers."""
+    rows = items.select(F.coalesce("method", F.lit("unknown")).alias("method"), F.size(T.words(F.col("question"))).alias("q"), F.size(T.words(F.col("answer"))).alias("a"))
+    numbers = [f(c).alias(f"{n}_{name}") for c, n in (("q", "question"), ("a", "answer")) for f, name in ((lambda x: F.round(F.avg(x), 1), "mean"), (F.min, "least"), (F.max, "most"))]
+    return rows.rollup("method").agg(F.count("*").alias("n"), *numbers).withColumn("method", F.coalesce("method", F.lit("combined")))
+
+
+def percent(part, whole):
+    """A share in percent; 0 of nothing."""
+    return F.when(whole > 0, 100.0 * part / whole).otherwise(0.0)
+
+
+def corpus_table(passages: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The corpus and its resolved pairs in one row; pairs have ref_type, both texts' words and title_like."""
+    of = lambda kind: F.count(F.when(F.lower("ref_type") == kind, 1))
+    total = F.count("*")
+    docs = passages.agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("passages"))
+    rows = pairs.agg(total.alias("pairs"), of("internal").alias("internal"), of("external").alias("external"), percent(of("internal"), total).alias("internal_pct"), percent(of("external"), total).alias("external_pct"), F.count(F.when(F.col("title_like"), 1)).alias("title_targets"), F.round(F.avg("source_words"), 2).alias("source_words"), F.round(F.avg("target_words"), 2).alias("target_words"))
+    return docs.select(F.lit(1).alias("one"), "*").join(rows.select(F.lit(1).alias("one"), "*"), "one").drop("one").withColumn("title_pct", percent(F.col("title_targets"), F.col("pairs")))
+
+
+def yield_table(outcomes: DataFrame) -> DataFrame:
+    """Per method: rows seen, kept and dropped by reason, with the share kept; ``reason`` is null for kept rows."""
+    kept = F.count(F.when(F.col("reason").isNull(), 1))
+    head = outcomes.groupBy("method").agg(F.count("*").alias("seen"), kept.alias("kept"), F.round(percent(kept, F.count("*")), 2).alias("kept_pct"))
+    per = outcomes.where("reason is not null").groupBy("method", "reason").agg(F.count("*").alias("n"))
+    lists = per.groupBy("method").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), "reason", "n"))), lambda x: F.concat(x["reason"], F.lit("="), x["n"].cast("string"))), "; ").alias("dropped"))
+    return head.join(lists, "method", "left").withColumn("dropped", F.coalesce("dropped", F.lit("")))
+
+
+def quality_table(items: DataFrame) -> DataFrame:
+    """Per method: items, and the shares with both tags, with citation-like questions and with citation-like answers."""
+    share = lambda c: F.round(percent(F.count(F.when(F.col(c), 1)), F.count("*")), 2)
+    return items.groupBy("method").agg(F.count("*").alias("items"), share("both_tags").alias("both_tags_pct"), share("question_cites").alias("question_cites_pct"), share("answer_cites").alias("answer_cites_pct"))
+
+
+def pilot_rates(items: DataFrame) -> DataFrame:
+    """Items by method and in all, with rates of leakage, judge passes and answer passes; no rate of nothing."""
+    flag = lambda c: F.count(F.when(F.col(c), 1))
+    known = lambda c: F.count(F.col(c))
+    rate = lambda a, b: F.when(b > 0, F.round(a / b, 4))
+    out = items.rollup("method").agg(F.count("*").alias("n"), flag("leaks").alias("n_leaks"), rate(flag("leaks"), F.count("*")).alias("leak_rate"), flag("judged").alias("judge_passed"), rate(flag("judged"), known("judged")).alias("judge_rate"), flag("answered").alias("answer_passed"), rate(flag("answered"), known("answered")).alias("answer_rate"))
+    return out.withColumn("method", F.coalesce("method", F.lit("all")))
+
+
+def reason_counts(rows: DataFrame, column: str = "reason") -> DataFrame:
+    """How often each reason occurs, most frequent first, then by name."""
+    return rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("reason")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
+
+
+def target_report(refs: DataFrame) -> DataFrame:
+    """One row on references' targets: rows, distinct ids, distinct passage suffixes and how many point at the first passage."""
+    suffix = F.nullif(F.regexp_extract("target_id", T.PASSAGE_SUFFIX, 1), F.lit(""))
+    return refs.agg(F.count("*").alias("rows"), F.countDistinct(F.nullif(F.trim("target_id"), F.lit(""))).alias("targets"), F.countDistinct(suffix).alias("suffixes"), F.count(F.when(suffix == "000001", 1)).alias("to_first"))
+
+
+def report(tables: dict[str, DataFrame]) -> str:
+    """Small tables as one JSON document of lists of records."""
+    import json
+
+    return json.dumps({name: [r.asDict(recursive=True) for r in rows.collect()] for name, rows in tables.items()}, indent=2, default=str, ensure_ascii=False)
+
+
+def _small(rows: DataFrame, most: int) -> list:
+    """A result's rows, if it has no more than ``most``: a report is whole or fails."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows: write the table instead")
+    return found
+
+
 def markdown_table(rows: DataFrame, most: int = 1000) -> str:
-    """A small result as Markdown; for reports of at most ``most`` rows."""
-    found = rows.limit(most).collect()
+    """A small result as Markdown; more than ``most`` rows are an error."""
+    found = _small(rows, most)
     lines = ["| " + " | ".join(rows.columns) + " |", "|" + " --- |" * len(rows.columns)]
     return "\n".join([*lines, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in found)])
 
 
 def latex_table(rows: DataFrame, most: int = 1000) -> str:
-    found = rows.limit(most).collect()
+    """A small result as LaTeX; more than ``most`` rows are an error."""
+    found = _small(rows, most)
     escape = lambda v: "" if v is None else str(v).replace("\\", r"\textbackslash{}").replace("_", r"\_").replace("%", r"\%").replace("&", r"\&").replace("#", r"\#")
     body = [" & ".join(map(escape, r)) + r" \\" for r in found]
     head = " & ".join(map(escape, rows.columns)) + r" \\"

@@ -85,12 +85,6 @@ def cohort_overlap(spark, sf):
     return c.join(kept, "item", "left").groupBy((F.col("item") % 5).alias("bucket")).agg(F.count("*").alias("judged"), F.count("kept").alias("kept"))
 
 
-@query(f"WITH {B.TURNS} SELECT item FROM turns WHERE item % 3 <> 0 AND trim(question) <> '' AND trim(answer) <> ''")
-def judge_queue(spark, sf):
-    rows = B.turns(spark, sf).select("item", "question", F.col("question").alias("source_text"), F.col("answer").alias("target_text"), F.when(F.col("item") % 3 != 0, "JUDGE_IR").otherwise("KEEP").alias("decision"))
-    return curation.judge_queue(rows).select("item")
-
-
 # ---------------------------------------------------------------- generated questions and answers
 
 _ERRORS = f"""CONCAT_WS(',', CASE WHEN trim(question) = '' THEN 'empty_question' END, CASE WHEN trim(answer) = '' THEN 'empty_expected_answer' END,
@@ -185,15 +179,6 @@ def answer_eval_summary(spark, sf):
     return statistics.answer_summary(rows, ["method"], ["words", "score"])
 
 
-@query(f"""WITH {B.TURNS} SELECT item, array_to_string(list_slice(list_sort(list_distinct({_TOK.format('answer')})), 1, 3), ' ') AS context FROM turns WHERE item % 2 = 0
-    UNION ALL SELECT item, 'none' FROM turns WHERE item % 2 = 1""")
-def rag_context(spark, sf):
-    """The words of retrieved passages, or a fallback where nothing was retrieved."""
-    t = B.turns(spark, sf)
-    found = t.where("item % 2 = 0").select("item", F.explode(F.array_distinct(T.ascii_tokens(F.col("answer")))).alias("w")).groupBy("item").agg(F.array_join(F.slice(F.sort_array(F.collect_set("w")), 1, 3), " ").alias("context"))
-    return t.select("item").join(found, "item", "left").select("item", F.coalesce("context", F.when(F.col("item") % 2 == 0, "").otherwise("none")).alias("context"))
-
-
 @query("""SELECT doc_id AS item, doc_id % 4 < 3 AS valid FROM documents""")
 def span_validation(spark, sf):
     d, text = F.col("doc_id"), F.col("text")

@@ -40,12 +40,34 @@ def _parts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("p"), F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1), r"\.[A-Za-z0-9]+$", "").alias("file"))
 
 
-def read_run(spark: SparkSession, path: str, strip_hyphens: bool = False, run_from_file: bool = False) -> DataFrame:
-    """(run, qid, doc, rank, score) of six-column run files; malformed lines are skipped, of repeats the best counts."""
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, p): the columns of each line with its number; a run file is read by one task, as its order counts."""
+    files = spark.read.option("wholetext", True).text(path).select(F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1), r"\.[A-Za-z0-9]+$", "").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
+    return files.select("file", "line", F.split(F.trim("value"), r"\s+").alias("p"))
+
+
+def read_run(spark: SparkSession, path: str, strip_hyphens: bool = False, run_from_file: bool = False, columns: int = 6) -> DataFrame:
+    """(run, qid, doc, rank, score) of run files; malformed lines are skipped, of a document's repeats the last line counts.
+
+    ``columns`` of 6 takes lines of six columns; of 5 those of five and more, under
+    the file's name.
+    """
     p = F.col("p")
     doc = F.translate(p[2], "-", "") if strip_hyphens else p[2]
-    rows = _parts(spark, path).where(F.size("p") == 6).select((F.col("file") if run_from_file else p[5]).alias("run"), p[0].alias("qid"), doc.alias("doc"), F.expr("try_cast(p[3] as int)").alias("rank"), F.expr("try_cast(p[4] as double)").alias("score"))
-    return rows.where("score is not null").groupBy("run", "qid", "doc").agg(F.min("rank").alias("rank"), F.max("score").alias("score"))
+    fits = F.size("p") == 6 if columns == 6 else F.size("p") >= columns
+    name = F.col("file") if run_from_file or columns < 6 else p[5]
+    rows = _lines(spark, path).where(fits).select("file", "line", name.alias("run"), p[0].alias("qid"), doc.alias("doc"), F.expr("try_cast(p[3] as int)").alias("rank"), F.expr("try_cast(p[4] as double)").alias("score"))
+    last = rows.where("score is not null").groupBy("run", "qid", "doc").agg(F.max(F.struct("file", "line", "rank", "score")).alias("r"))
+    return last.select("run", "qid", "doc", "r.rank", "r.score")
+
+
+def read_ranked_lists(spark: SparkSession, path: str) -> DataFrame:
+    """(run, qid, doc, rank) of lines of three columns and more: the run is the file's name, the rank the place of the line."""
+    from pyspark.sql import Window as W
+
+    p = F.col("p")
+    rows = _lines(spark, path).where(F.size("p") >= 3).select(F.col("file").alias("run"), p[0].alias("qid"), p[2].alias("doc"), "line")
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy("run", "qid").orderBy("line"))).drop("line")
 
 
 def write_run(df: DataFrame, path: str) -> None:
@@ -67,6 +89,12 @@ def write_rankings(df: DataFrame, path: str) -> None:
     write_jsonl(lists, path)
 
 
+def write_verdicts(df: DataFrame, path: str, decision: str = "decision") -> None:
+    """All verdicts, and those of each decision, as JSON lines: ``all``, ``pass`` and ``drop`` below the path."""
+    for name, rows in (("all", df), ("pass", df.where(F.col(decision) == "PASS")), ("drop", df.where(F.col(decision) == "DROP"))):
+        write_jsonl(rows, f"{path}/{name}")
+
+
 def write_partitioned(df: DataFrame, path: str, keys: list[str]) -> None:
     """One folder for each value of the keys."""
     df.write.mode("overwrite").partitionBy(*keys).parquet(path)
