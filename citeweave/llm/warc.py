@@ -7,15 +7,26 @@ sink writes the members: it ends rows with a separator, which here is the zero
 byte by which a gzip member of less than 16 MiB ends anyway (a larger one is
 followed by an empty member, which does too).
 
-Index.  Captures are sorted by reversed-host URL key, cut into blocks of
-``BLOCK_LINES`` and compressed; a sparse directory holds each block's first key
-and place.  A lookup binary-searches the directory, then the block, and reads
-only the ranges found.
+Index.  Captures are sorted by reversed-host URL key and cut into compressed
+blocks of ``BLOCK_LINES``; index files are made of such blocks, range after
+range of keys.  A sparse directory holds each block's first and last key and its
+range of bytes.
+
+Lookup.  Keys are dealt to the index files whose key ranges hold them (one row
+for each file is known to all tasks).  A task binary-searches the file's part of
+the directory, reads the block's range, binary-searches the block, and so gets
+the ranges of the records, which are dealt anew and read from the archives:
+no archive is read but by ranges.  Tasks open files below the shared folder
+through Arrow's file systems; a store that Arrow can't open is an error.
+
+Payloads move at most once, by page id and digest: who revisits whom is found
+from ids and digests alone, and payloads too short for a revisit don't move.
 
 Cases: null payload counts as empty; a null URL has the empty key; control
 characters and spaces in URLs are percent-encoded; rows that repeat a page give
-records of their own, equal in type; a null page id is kept and never referred
-to; an empty table gives archives without records; extra columns are dropped.
+records of their own, equal in type; a null page id is kept, is a response and
+is never referred to; a URL with very many captures spans blocks and files; an
+empty table gives archives without records; extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -25,17 +36,20 @@ import hashlib
 import re
 import struct
 import zlib
+from collections.abc import Iterator
+from itertools import groupby
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import discard, new_path, partitions, settle, write_records
+from .storage import discard, new_path, open_file, partitions, settle, write_records
 
 REVISIT_BYTES = 100
 BLOCK_LINES = 3000
-FEW_CAPTURES = 1000
+READ_BYTES = 4 << 20  # neighbouring ranges are read together up to this size
+STRIPE_BYTES = 32 << 20  # ranges of one archive are dealt in stripes of this size
 DATE = "2024-01-01T00:00:00Z"
 
 # Fixed values of the archive format.
@@ -56,6 +70,16 @@ def url_key(url: str | None) -> str:
     return quote(f"{host}{f':{port}' if port else ''}){parts.path or '/'}{query}", safe="/?&=%:;,.~-_+)!$'(*@[]")
 
 
+def target_uri(url: str) -> str:
+    """A URL as it stands in a record: control characters, spaces and other scripts percent-encoded."""
+    return quote(url, safe="".join(map(chr, range(33, 127))))
+
+
+def lookup_key(url: str | None) -> str:
+    """The key under which a page's capture is indexed."""
+    return url_key(None if url is None else target_uri(url))
+
+
 def gzip_member(data: bytes) -> bytes:
     """A gzip member whose last byte is zero."""
     pack = zlib.compressobj(6, zlib.DEFLATED, -15)
@@ -69,7 +93,7 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
     page = "null" if page_id is None else page_id
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:capture:{page}>", f"WARC-Date: {DATE}"]
     if url is not None:
-        head.append("WARC-Target-URI: " + quote(url, safe="".join(map(chr, range(33, 127)))))
+        head.append("WARC-Target-URI: " + target_uri(url))
     head += [f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Payload-Length: {len(payload)}"]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     if refers_to is None:
@@ -81,30 +105,62 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def members(data: bytes):
-    """(offset, length, content) of each record in an archive; an empty member belongs to the record before."""
-    at, view, pending = 0, memoryview(data), None
-    while at < len(data):
-        machine, fed, parts = zlib.decompressobj(31), at, []
-        while not machine.eof:
-            if fed >= len(data):
+def members(pieces) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, content) of each record in an archive that comes piece by piece; an empty member belongs to the record before."""
+    pieces, rest, at, pending = iter(pieces), b"", 0, None
+    while True:
+        if not rest and not (rest := next(pieces, b"")):
+            break
+        machine, parts, size = zlib.decompressobj(31), [], 0
+        while True:
+            parts.append(machine.decompress(rest))
+            size += len(rest) - len(machine.unused_data)
+            rest = machine.unused_data
+            if machine.eof:
+                break
+            if not (rest := next(pieces, b"")):
                 raise ValueError("cut archive")
-            piece = view[fed : fed + 32768]
-            parts.append(machine.decompress(piece))
-            fed += len(piece)
-        end = fed - len(machine.unused_data)
         content = b"".join(parts)
         if pending and not content:
-            pending = (pending[0], end - pending[0], pending[2])
+            pending = (pending[0], at + size - pending[0], pending[2])
         else:
             if pending:
                 yield pending
-            pending = (at, end - at, content)
-        at = end
+            pending = (at, size, content)
+        at += size
     if pending:
         yield pending
 
 
+def pieces_of(path: str, size: int = 1 << 20) -> Iterator[bytes]:
+    """A file from its beginning, a piece at a time."""
+    with open_file(path) as stream:
+        while piece := stream.read(size):
+            yield piece
+
+
+def read_ranges(folder: str, ranges) -> Iterator[tuple[str, int, bytes]]:
+    """(file, offset, bytes) of (file, offset, length) in order; neighbours are read together."""
+    for file, group in groupby(ranges, key=lambda r: r[0]):
+        with open_file(f"{folder}/{file}") as stream:
+            held: list[tuple[int, int]] = []
+
+            def read(held, stream=stream, file=file):
+                start = held[0][0]
+                stream.seek(start)
+                data = stream.read(held[-1][0] + held[-1][1] - start)
+                for offset, length in held:
+                    yield file, offset, data[offset - start : offset - start + length]
+
+            for _, offset, length in group:
+                if held and (offset != held[-1][0] + held[-1][1] or offset + length - held[0][0] > READ_BYTES):
+                    yield from read(held)
+                    held = []
+                held.append((offset, length))
+            if held:
+                yield from read(held)
+
+
 def parse_record(content: bytes) -> tuple[dict[str, str], bytes]:
     """Headers and payload of a record."""
     cut = content.index(b"\r\n\r\n")
@@ -123,11 +179,16 @@ def _page(value: str | None) -> int | None:
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> str:
     """Write one record per page to archive files below ``path``."""
+    spark = pages.sparkSession
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     large = F.octet_length("payload") >= REVISIT_BYTES
-    firsts = rows.where(large).groupBy("digest").agg(F.min("page_id").alias("first"))
-    typed = rows.join(firsts, "digest", "left").select("page_id", "url", "payload", "digest", F.when(large & (F.col("page_id") != F.col("first")), F.col("first")).alias("refers_to"))
+    # who revisits whom, from ids and digests alone; written, so that joins can split a common digest
+    known, p0 = settle(rows.where(large & F.col("page_id").isNotNull()).select("page_id", "digest"), "payload-digests")
+    firsts, p1 = settle(known.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first"), "first-payloads")
+    revisits, p2 = settle(known.join(firsts, "digest").where("page_id <> first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct(), "revisits")
+    typed = rows.where(large).join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
+    typed = typed.unionByName(rows.where(~large).withColumn("refers_to", F.lit(None).cast("long")))
 
     def run(batches):
         for batch in batches:
@@ -137,27 +198,51 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     write_records(typed.mapInArrow(run, "record binary"), "record", path, "\0")
+    discard(spark, p0, p1, p2)
     return path
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    """The names of a folder's files; their content is not read."""
+    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"))
+
+
+_CAPTURE = "key string, page_id long, file string, offset long, length long"
+_DIRECTORY = "file string, first_key string, last_key string, captures long, offset long, length long"
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "long": pa.int64()}
+    fields = [f.split(" ") for f in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], names=[name for name, _ in fields])
+
+
+def _batches(rows, schema: str, size: int = 4096):
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield _batch(held, schema)
+            held = []
+    if held:
+        yield _batch(held, schema)
 
 
 def write_index(spark: SparkSession, archives: str, path: str) -> str:
-    """Index the archives: sorted compressed blocks and their sparse directory."""
+    """Index the archives: files of sorted compressed blocks and their sparse directory."""
 
     def scan(batches):
-        for batch in batches:
-            for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out = []
-                for offset, length, content in members(data):
-                    headers, _ = parse_record(content)
-                    out.append((url_key(headers.get("WARC-Target-URI")), _page(headers["WARC-Record-ID"]), file, offset, length))
-                columns = list(zip(*out, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["key", "page_id", "file", "offset", "length"])
-
-    captures, stage = settle(_files(spark, archives).mapInArrow(scan, "key string, page_id long, file string, offset long, length long"), "captures")
+        def rows():
+            for batch in batches:
+                for file in batch.column(0).to_pylist():
+                    for offset, length, content in members(pieces_of(f"{archives}/{file}")):
+                        headers, _ = parse_record(content)
+                        yield url_key(headers.get("WARC-Target-URI")), _page(headers["WARC-Record-ID"]), file, offset, length
+
+        yield from _batches(rows(), _CAPTURE)
+
+    captures, stage = settle(_files(spark, archives).mapInArrow(scan, _CAPTURE), "captures")
     order = ["key", "page_id", "file", "offset"]
     ordered = captures.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
 
@@ -165,7 +250,7 @@ def write_index(spark: SparkSession, archives: str, path: str) -> str:
         lines: list[str] = []
 
         def block(part):
-            return pa.RecordBatch.from_arrays([pa.array([part[0].split(" ", 1)[0]]), pa.array([part[-1].split(" ", 1)[0]]), pa.array([len(part)], pa.int64()), pa.array([zlib.compress("\n".join(part).encode())], pa.binary())], names=["first_key", "last_key", "captures", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([gzip_member("\n".join(part).encode())[:-1]], pa.binary())], names=["record"])
 
         for batch in batches:
             lines += [f"{k} {'-' if i is None else i} {f} {o} {n}" for k, i, f, o, n in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
@@ -175,127 +260,197 @@ def write_index(spark: SparkSession, archives: str, path: str) -> str:
         if lines:
             yield block(lines)
 
-    ordered.mapInArrow(pack, "first_key string, last_key string, captures long, data binary").write.parquet(f"{path}/blocks")
-    spark.read.parquet(f"{path}/blocks").select("first_key", "last_key", "captures").write.parquet(f"{path}/directory")
+    write_records(ordered.mapInArrow(pack, "record binary"), "record", f"{path}/blocks", "\0")
+
+    def places(batches):
+        def rows():
+            for batch in batches:
+                for file in batch.column(0).to_pylist():
+                    for offset, length, content in members(pieces_of(f"{path}/blocks/{file}")):
+                        lines = content.decode().split("\n")
+                        yield file, lines[0].split(" ", 1)[0], lines[-1].split(" ", 1)[0], len(lines), offset, length
+
+        yield from _batches(rows(), _DIRECTORY)
+
+    _files(spark, f"{path}/blocks").mapInArrow(places, _DIRECTORY).write.parquet(f"{path}/directory")
     discard(spark, stage)
     return path
 
 
-_RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, file string, offset long"
-_CAPTURE = "key string, page_id long, file string, offset long, length long"
+def directory(spark: SparkSession, index: str) -> DataFrame:
+    return spark.read.schema(_DIRECTORY).parquet(f"{index}/directory")
 
 
-def _lines(low: str | None, high: str | None):
-    def run(batches):
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                lines = zlib.decompress(data).decode().split("\n")
-                keys = [x[: x.index(" ")] for x in lines]
-                a = 0 if low is None else bisect.bisect_left(keys, low)
-                b = len(lines) if high is None else bisect.bisect_right(keys, high)
-                rows = [x.split(" ") for x in lines[a:b]]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([None if r[1] == "-" else int(r[1]) for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string()), pa.array([int(r[3]) for r in rows], pa.int64()), pa.array([int(r[4]) for r in rows], pa.int64())], names=["key", "page_id", "file", "offset", "length"])
+def block_captures(content: bytes, low: str | None, high: str | None) -> Iterator[tuple]:
+    """The captures of a block whose key lies between two keys, ends included, by binary search."""
+    lines = content.decode().split("\n")
+    key = lambda line: line[: line.index(" ")]
+    a = 0 if low is None else bisect.bisect_left(lines, low, key=key)
+    b = len(lines) if high is None else bisect.bisect_right(lines, high, key=key)
+    for line in lines[a:b]:
+        k, page, file, offset, length = line.split(" ")
+        yield k, None if page == "-" else int(page), file, int(offset), int(length)
+
 
-    return run
+def _unpacked(folder: str, ranges) -> Iterator[bytes]:
+    for _, _, data in read_ranges(folder, ranges):
+        ((_, _, content),) = members([data])
+        yield content
 
 
 def captures_between(spark: SparkSession, index: str, low: str | None = None, high: str | None = None) -> DataFrame:
-    """Captures whose key lies between two keys, ends included: only blocks that can hold them are read."""
-    blocks = spark.read.parquet(f"{index}/blocks")
+    """Captures whose key lies between two keys, ends included: only ranges of blocks that can hold them are read."""
+    wanted = directory(spark, index)
     if low is not None:
-        blocks = blocks.where(F.col("last_key") >= low)
+        wanted = wanted.where(F.col("last_key") >= low)
     if high is not None:
-        blocks = blocks.where(F.col("first_key") <= high)
-    return blocks.select("data").mapInArrow(_lines(low, high), _CAPTURE)
+        wanted = wanted.where(F.col("first_key") <= high)
+
+    def run(batches):
+        def rows():
+            for batch in batches:
+                for content in _unpacked(f"{index}/blocks", zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                    yield from block_captures(content, low, high)
+
+        yield from _batches(rows(), _CAPTURE)
+
+    return wanted.select("file", "offset", "length").mapInArrow(run, _CAPTURE)
+
+
+def search_blocks(entries: list[tuple], folder: str, keys) -> Iterator[tuple]:
+    """Captures of sorted keys in one index file: binary search in its directory, then in the blocks it names."""
+    lasts, at, content = [e[1] for e in entries], -1, b""
+    for key in keys:
+        k = bisect.bisect_left(lasts, key)
+        while k < len(entries) and entries[k][0] <= key:
+            if k != at:
+                at, (content,) = k, _unpacked(folder, [entries[k][2:]])
+            yield from block_captures(content, key, key)
+            k += 1
+
+
+def lookup_keys(spark: SparkSession, index: str, keys: DataFrame) -> DataFrame:
+    """Captures of all keys in the column ``key``, each key once."""
+    parts = directory(spark, index).groupBy("file").agg(F.min("first_key").alias("low"), F.max("last_key").alias("high")).collect()
+    files = sorted((r["low"], r["high"], r["file"]) for r in parts)  # one row for each index file
+    shared = spark.sparkContext.broadcast((files, [high for _, high, _ in files]))
+    schema = "file string, kind long, key string, last_key string, offset long, length long"
+
+    def deal(batches):
+        files, highs = shared.value
+
+        def rows():
+            for batch in batches:
+                for key in batch.column(0).to_pylist():
+                    k = bisect.bisect_left(highs, key)
+                    while k < len(files) and files[k][0] <= key:
+                        yield files[k][2], 1, key, None, None, None
+                        k += 1
+
+        yield from _batches(rows(), schema)
+
+    asked = keys.select("key").where("key is not null").distinct().mapInArrow(deal, schema)
+    entries = directory(spark, index).select("file", F.lit(0).cast("long").alias("kind"), F.col("first_key").alias("key"), "last_key", "offset", "length")
+    dealt = asked.unionByName(entries).repartition(partitions(spark), "file").sortWithinPartitions("file", "kind", "offset", "key")
+
+    def run(batches):
+        def lines():
+            for batch in batches:
+                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+        def rows():
+            for file, group in groupby(lines(), key=lambda r: r[0]):
+                found: list[tuple] = []
+
+                def sought(group=group, found=found, file=file):
+                    for _, kind, key, last, offset, length in group:
+                        if kind:
+                            yield key
+                        else:
+                            found.append((key, last, file, offset, length))
+
+                keys = sought()
+                first = next(keys, None)
+                if first is not None:
+                    yield from search_blocks(found, f"{index}/blocks", _after(first, keys))
+
+        yield from _batches(rows(), _CAPTURE)
+
+    return dealt.mapInArrow(run, _CAPTURE)
+
+
+def _after(first, rest):
+    yield first
+    yield from rest
 
 
 def lookup(spark: SparkSession, index: str, url: str) -> DataFrame:
-    """Captures of one URL: binary search in the directory, then in the one or few blocks."""
-    key = url_key(url)
-    directory = spark.read.parquet(f"{index}/directory").where(F.col("last_key") >= key).agg(F.min("first_key")).first()[0]
-    if directory is None or directory > key:
-        return spark.createDataFrame([], _CAPTURE)
-    return captures_between(spark, index, key, key)
+    """Captures of one URL."""
+    return lookup_keys(spark, index, spark.createDataFrame([(lookup_key(url),)], "key string"))
+
+
+_RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
 def read_captures(spark: SparkSession, archives: str, captures: DataFrame, payloads: bool = True) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of captures, by their ranges.
 
-    Up to ``FEW_CAPTURES`` ranges are sent to the tasks, which read only the files
-    that hold them.  More are matched to the records of all files by a join of
-    narrow rows, so no archive is ever shuffled; ``payloads`` can be left out of
-    it.  A response's digest and length must agree with what was read.
+    Ranges are dealt in stripes of the archives and read in order.  A response's
+    digest and length must agree with what was read.
     """
-    few = captures.select("file", "offset", "length").limit(FEW_CAPTURES + 1).collect()
-    if len(few) <= FEW_CAPTURES:
-        ranges: dict[str, list[tuple[int, int]]] = {}
-        for r in few:
-            ranges.setdefault(r["file"], []).append((r["offset"], r["length"]))
-        shared = spark.sparkContext.broadcast(ranges)
-
-        def read(batches):
-            for batch in batches:
-                for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    for at in range(0, len(found := sorted(shared.value.get(file, ()))), 256):
-                        yield _digested([(file, o, data[o : o + n]) for o, n in found[at : at + 256]], payloads)
 
-        # the path is filtered before any content is read
-        files = spark.read.format("binaryFile").load(archives).where(F.element_at(F.split("path", "/"), -1).isin(*ranges) if ranges else F.lit(False))
-        rows = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInArrow(read, _RECORD)
-        return rows.drop("file", "offset")
+    def run(batches):
+        def wanted():
+            for batch in batches:
+                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
-    def scan(batches):
-        for batch in batches:
-            for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held = []
-                for offset, length, _ in members(data):
-                    held.append((file, offset, data[offset : offset + length]))
-                    if len(held) == 256:
-                        yield _digested(held, payloads)
-                        held = []
-                if held:
-                    yield _digested(held, payloads)
+        held, size = [], 0
+        for _, _, data in read_ranges(archives, wanted()):
+            held.append(data)
+            size += len(data)
+            if len(held) == 256 or size >= READ_BYTES:
+                yield _digested(held, payloads)
+                held, size = [], 0
+        if held:
+            yield _digested(held, payloads)
 
-    rows = _files(spark, archives).mapInArrow(scan, _RECORD)
-    return rows.join(captures.select("file", "offset"), ["file", "offset"], "left_semi").drop("file", "offset")
+    stripe = F.floor(F.col("offset") / STRIPE_BYTES)
+    ranges = captures.select("file", "offset", "length").repartition(partitions(spark), "file", stripe).sortWithinPartitions("file", "offset")
+    return ranges.mapInArrow(run, _RECORD)
 
 
-def _digested(raw: list[tuple[str, int, bytes]], payloads: bool) -> pa.RecordBatch:
+def _digested(raw: list[bytes], payloads: bool) -> pa.RecordBatch:
     out = []
-    for file, offset, member in raw:
-        ((_, _, content),) = members(member)
+    for member in raw:
+        ((_, _, content),) = members([member])
         headers, payload = parse_record(content)
         digest, size = headers["WARC-Payload-Digest"].removeprefix("sha256:"), int(headers["WARC-Payload-Length"])
         kind = headers["WARC-Type"]
         if kind == "response" and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != size):
             raise ValueError("payload does not match its digest")
-        out.append((_page(headers["WARC-Record-ID"]), headers.get("WARC-Target-URI"), size, digest, kind, _page(headers.get("WARC-Refers-To")), payload if payloads else None, file, offset))
-    columns = list(zip(*out, strict=True)) or [[]] * 9
-    kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.int64())
-    return pa.RecordBatch.from_arrays([*map(pa.array, columns, kinds)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload", "file", "offset"])
+        out.append((_page(headers["WARC-Record-ID"]), headers.get("WARC-Target-URI"), size, digest, kind, _page(headers.get("WARC-Refers-To")), payload if payloads else None))
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
+    names = [f.split(" ")[0] for f in _RECORD.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
 
-def read_range(spark: SparkSession, archives: str, file: str, offset: int, length: int) -> tuple[dict[str, str], bytes]:
-    """One record by a range read through the file system, on the driver."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(f"{archives}/{file}")
-    stream = path.getFileSystem(conf).open(path)
-    try:
-        stream.seek(offset)
-        data = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, length))
-    finally:
-        stream.close()
-    ((_, _, content),) = members(data)
-    return parse_record(content)
+def page_keys(pages: DataFrame, url_col: str = "url") -> DataFrame:
+    """The index keys of pages' URLs."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([lookup_key(u) for u in batch.column(0).to_pylist()], pa.string())], names=["key"])
+
+    return pages.select(F.col(url_col).cast("string").alias("url")).mapInArrow(run, "key string")
 
 
 def archived(pages: DataFrame) -> DataFrame:
-    """Write, index, read back through the index: one row per page."""
+    """Write, index, look every page's URL up and read its captures back: one row per page."""
     spark = pages.sparkSession
     path = new_path(spark, "archives")
     archives = write_archives(pages, f"{path}/records")
     index = write_index(spark, archives, f"{path}/index")
-    found = read_captures(spark, archives, captures_between(spark, index), payloads=False)
+    found = read_captures(spark, archives, lookup_keys(spark, index, page_keys(pages)), payloads=False)
     result, _ = settle(found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "archived")
     discard(spark, path)
     return result

@@ -158,23 +158,53 @@ def test_labellers_by_expectation_maximisation():
 
 
 def test_archives(spark, tmp_path, monkeypatch):
-    path = str(tmp_path)
+    monkeypatch.setattr(warc, "BLOCK_LINES", 2)
+    path = f"file://{tmp_path}"
     big = "y" * (17 << 20)
-    pages = [(1, "http://www.b.org/x y", "a" * 200), (2, "http://a.b.org:8080/q?z=1\r\n", "a" * 200), (3, None, None), (4, "x", "é" * 60), (5, "http://b.org/x", "small"), (6, "u", "small"), (None, "n", "a" * 200), (8, "http://b.org/big", big), (9, "http://b.org/zero", "\0" * 500)]
+    pages = [(1, "http://www.b.org/x y", "a" * 200), (2, "http://a.b.org:8080/q?z=1\r\n", "a" * 200), (3, None, None), (4, "x", "é" * 60), (5, "http://b.org/x", "small"), (6, "u", "small"), (None, "n", "a" * 200), (8, "http://b.org/big", big), (9, "http://b.org/zero", "\0" * 500), (10, "", ""), (11, "http://[bad", "é")]
+    pages += [(20 + k, "http://b.org/hot", f"{k}" * 150) for k in range(9)]
     table = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, payload_bytes int")
-    warc.write_archives(table, f"file://{path}/records")
-    warc.write_index(spark, f"file://{path}/records", f"file://{path}/index")
-    every = warc.captures_between(spark, f"file://{path}/index")
-    rows = {r.page_id: r for r in warc.read_captures(spark, f"file://{path}/records", every).collect()}
-    assert len(rows) == len(pages) and rows[2].refers_to == 1 and rows[2].record_type == "revisit" and rows[6].record_type == "response"
+    warc.write_archives(table, f"{path}/records")
+    warc.write_index(spark, f"{path}/records", f"{path}/index")
+    every = warc.captures_between(spark, f"{path}/index")
+    rows = {r.page_id: r for r in warc.read_captures(spark, f"{path}/records", every).collect()}
+    assert len(rows) == len(pages) and rows[2].refers_to == 1 and rows[2].record_type == "revisit" and rows[6].record_type == "response" and rows[None].record_type == "response"
     for i, _, html in pages:
         raw = (html or "").encode()
         assert rows[i].payload_bytes == len(raw) and rows[i].payload_digest == hashlib.sha256(raw).hexdigest()
-    monkeypatch.setattr(warc, "FEW_CAPTURES", 2)
-    again = {r.page_id: r for r in warc.read_captures(spark, f"file://{path}/records", every).collect()}
-    assert again == rows
-    found = warc.lookup(spark, f"file://{path}/index", "http://b.org/big").first()
-    assert warc.read_range(spark, f"file://{path}/records", found.file, found.offset, found.length)[1] == big.encode()
-    assert warc.lookup(spark, f"file://{path}/index", "http://nowhere.org/").count() == 0
+    asked = warc.lookup_keys(spark, f"{path}/index", warc.page_keys(table.unionByName(table)))
+    assert {r.page_id: r for r in warc.read_captures(spark, f"{path}/records", asked).collect()} == rows and asked.count() == len(pages)
+    for url in {u for _, u, _ in pages if u}:
+        found = warc.lookup(spark, f"{path}/index", url)
+        key = warc.lookup_key(url)
+        assert {r.page_id for r in found.collect()} == {i for i, u, _ in pages if warc.lookup_key(u) == key}
+    (hit,) = warc.read_captures(spark, f"{path}/records", warc.lookup(spark, f"{path}/index", "http://b.org/big")).collect()
+    assert hit.payload == big.encode()
+    assert warc.lookup(spark, f"{path}/index", "http://nowhere.org/").count() == 0
+    between = warc.captures_between(spark, f"{path}/index", "org,b)/big", "org,b)/x")
+    assert {r.page_id for r in between.collect()} == {5, 8, *range(20, 29)}
     assert warc.archived(table.limit(0)).count() == 0
     assert warc.url_key("http://www.Example.org:80/a?b") == "org,example:80)/a?b"
+
+
+def test_repeated_pages(spark):
+    body = "b" * 120
+    pages = [(1, "u", body), (1, "u", body), (2, "u", body), (2, "v", "c" * 200), (None, "u", body), (None, None, body), (3, "u", "b" * 99), (4, "u", "b" * 99)]
+    rows = warc.archived(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert sorted((str(r.page_id), r.payload_bytes, r.record_type, str(r.refers_to)) for r in rows) == sorted([("1", 120, "response", "None")] * 2 + [("2", 120, "revisit", "1"), ("2", 200, "response", "None"), ("None", 120, "response", "None"), ("None", 120, "response", "None"), ("3", 99, "response", "None"), ("4", 99, "response", "None")])
+
+
+def test_a_lookup_reads_few_bytes(tmp_path, monkeypatch):
+    """A key is found by the ranges of one or two blocks, not by the index file as a whole."""
+    blocks = [[f"k{n:05d} {n} f 0 1" for n in range(a, a + 50)] for a in range(0, 5000, 50)]
+    data, entries = b"", []
+    for lines in blocks:
+        member = warc.gzip_member("\n".join(lines).encode())
+        entries.append((lines[0][:6], lines[-1][:6], "part", len(data), len(member)))
+        data += member
+    (tmp_path / "part").write_bytes(data)
+    read, real = [], warc.read_ranges
+    monkeypatch.setattr(warc, "read_ranges", lambda folder, ranges: real(folder, [read.append(r) or r for r in ranges]))
+    keys = ["k00007", "k02500", "k02501", "k09999"]
+    assert [c[1] for c in warc.search_blocks(entries, str(tmp_path), keys)] == [7, 2500, 2501]
+    assert len(read) == 2 and sum(r[2] for r in read) < len(data) / 20
