@@ -1,22 +1,30 @@
 """Token ids on disk: static range asymmetric numeral system in independent blocks.
 
 One frequency table, counted over the whole corpus, is shared by all files and
-blocks.  A block holds a fixed number of tokens in ``LANES`` interleaved coder
-states, so encoding and decoding run over all lanes at once, and carries a
-checkpoint (first token of the block in the corpus, final states) and checksums
-of its coded and decoded content.  Any block can be decoded alone and blocks in
-parallel.
-
-File layout, all integers little-endian; each record is followed by b"\\n":
+blocks.  A block holds up to ``BLOCK_TOKENS`` tokens in ``LANES`` interleaved
+coder states, so encoding and decoding run over all lanes at once.  It carries
+a checkpoint (its first token's place in the corpus and the final states),
+checksums of its coded and decoded content and the documents it has tokens of,
+so any block can be read by its range and decoded alone.  Readers list the
+blocks by their heads, deal them out one by one and decode them in parallel,
+whatever the size of the files; a document that spans blocks is put together
+from its parts in order.
+
+File layout, all integers little-endian; each record is followed by b"\n":
   table   b"RTB1", u32 byte length, zlib of u32 symbol count and (u32 id, u32 frequency) pairs
-  block   b"RBK1", u32 byte length, u64 first token, u32 tokens, u32 crc32 of ids,
-          u32 crc32 of the payload, payload: LANES u64 states, u32 words
-  docs    b"RDC1", u32 byte length, zlib of (i64 doc id, u64 first token, u64 tokens) triples
+  block   b"RBK1", u32 byte length, u64 first token, u32 tokens, u32 crc32 of ids, u32 crc32 of
+          the payload, u32 bytes of documents, documents: zlib of (i64 id, u64 first token, u64
+          tokens) of each document that has tokens in the block, payload: LANES u64 states, u32 words
+
+Ids come from the tokenizers library's model for the pieces of a text; pieces
+are cut by :class:`citeweave.llm.bpe.TextEncoder`, which tests hold against the
+library's encoding of whole texts.
 
 Cases: null text counts as empty and yields the end id alone; repeated doc ids
 are written one after another; null doc ids come first; an empty table gives
-files without blocks; a token the table doesn't know cannot occur, since the
-table is counted over the same ids; extra columns are dropped.
+files without blocks; a document without tokens (no end id) stands in the block
+before it; a token the table doesn't know cannot occur, since the table is
+counted over the same ids; extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -31,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import TextEncoder, byte_alphabet, read_vocabulary
-from .storage import discard, new_path, partitions, settle, write_records
+from .storage import discard, new_path, open_file, partitions, settle, write_records
 from .text_blocks import blocks
 
 LANES = 1024
@@ -39,7 +47,7 @@ BLOCK_TOKENS = 1 << 18
 SCALE_BITS = 24
 _LOW = 1 << 31  # coder states stay in [_LOW, _LOW << 32)
 _HEAD = "<4sI"
-_BLOCK = "<QIII"
+_BLOCK = "<QIIII"
 
 
 class FrequencyTable:
@@ -120,16 +128,45 @@ def record(kind: bytes, body: bytes) -> bytes:
     return struct.pack(_HEAD, kind, len(body)) + body
 
 
-def records(data: bytes):
-    """(kind, body) of a file's records; raises where the file is cut or damaged."""
-    at, view = 0, memoryview(data)
-    while at < len(data):
-        kind, size = struct.unpack_from(_HEAD, data, at)
-        body = view[at + struct.calcsize(_HEAD) : at + struct.calcsize(_HEAD) + size]
-        at += struct.calcsize(_HEAD) + size + 1
-        if len(body) != size or at > len(data) or data[at - 1] != 10 or kind not in (b"RTB1", b"RBK1", b"RDC1"):
+def heads(stream):
+    """(kind, offset of the body, its bytes) of a file's records, without reading the blocks; raises where the file is cut or damaged."""
+    at, size = 0, stream.size()
+    while at < size:
+        stream.seek(at)
+        head = stream.read(struct.calcsize(_HEAD))
+        if len(head) < struct.calcsize(_HEAD):
+            raise ValueError("damaged token file")
+        kind, length = struct.unpack(_HEAD, head)
+        at += struct.calcsize(_HEAD)
+        if kind not in (b"RTB1", b"RBK1") or at + length + 1 > size:
             raise ValueError("damaged token file")
-        yield kind, body
+        yield kind, at, length
+        at += length
+        stream.seek(at)
+        if stream.read(1) != b"\n":
+            raise ValueError("damaged token file")
+        at += 1
+
+
+def pack_block(first: int, ids: np.ndarray, docs: list[tuple[int, int, int]], table: FrequencyTable) -> bytes:
+    """A block's record from its ids and the (id, first token, tokens) of its documents."""
+    payload = encode_block(table.symbols(ids), table)
+    of_docs = zlib.compress(np.array(docs, "<i8").tobytes(), 1)
+    return record(b"RBK1", struct.pack(_BLOCK, first, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(payload), len(of_docs)) + of_docs + payload)
+
+
+def unpack_block(body: bytes, table: FrequencyTable) -> tuple[int, np.ndarray, np.ndarray]:
+    """(first token, ids, documents) of a block's body; checksums are verified."""
+    first, n, of_ids, of_payload, size = struct.unpack_from(_BLOCK, body)
+    at = struct.calcsize(_BLOCK)
+    docs = np.frombuffer(zlib.decompress(body[at : at + size]), "<i8").reshape(-1, 3)
+    payload = bytes(body[at + size :])
+    if zlib.crc32(payload) != of_payload:
+        raise ValueError("block payload does not match its checksum")
+    ids = table.ids[decode_block(payload, n, table)] if n else np.zeros(0, np.uint32)
+    if zlib.crc32(ids.astype("<u4").tobytes()) != of_ids:
+        raise ValueError("decoded ids do not match their checksum")
+    return first, ids, docs
 
 
 _NO_ID = -(1 << 63)
@@ -229,39 +266,34 @@ def write_files(tokens: DataFrame, path: str) -> None:
     def run(batches):
         packed, firsts = shared.value
         table = FrequencyTable.unpack(packed)
-        waiting, size, at, rows, opened, doc_at = [], 0, 0, [], False, 0
-
-        def block(ids):
-            symbols = table.symbols(ids)
-            payload = encode_block(symbols, table)
-            return record(b"RBK1", struct.pack(_BLOCK, at, len(ids), zlib.crc32(ids.tobytes()), zlib.crc32(payload)) + payload)
+        waiting, size, at, docs, opened, doc_at = [], 0, 0, [], False, 0
 
         def out(*parts):
             return pa.RecordBatch.from_arrays([pa.array(parts, pa.binary())], names=["record"])
 
         for batch in batches:
-            for part, doc, n, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part, doc, n, value in zip(*batch.columns, strict=True):
+                n = n.as_py()
                 if not opened:
-                    opened, at = True, firsts[part]
+                    opened, at = True, firsts[part.as_py()]
                     doc_at = at
                     yield out(record(b"RTB1", packed))
-                rows.append((_NO_ID if doc is None else doc, doc_at, n))
+                docs.append((doc.as_py() if doc.is_valid else _NO_ID, doc_at, n))
                 doc_at += n
-                waiting.append(unpack(value, n))
+                waiting.append(unpack(value.as_py(), n))
                 size += n
-                if size >= BLOCK_TOKENS:
-                    ids = np.concatenate(waiting)
-                    for k in range(0, size - BLOCK_TOKENS + 1, BLOCK_TOKENS):
-                        yield out(block(ids[k : k + BLOCK_TOKENS]))
-                        at += BLOCK_TOKENS
-                    waiting = [ids[size - size % BLOCK_TOKENS :]]
-                    size %= BLOCK_TOKENS
-                    yield out(record(b"RDC1", zlib.compress(np.array(rows, "<i8").tobytes(), 1)))
-                    rows = []
-        if size:
-            yield out(block(np.concatenate(waiting)))
-        if rows:
-            yield out(record(b"RDC1", zlib.compress(np.array(rows, "<i8").tobytes(), 1)))
+                if size < BLOCK_TOKENS:
+                    continue
+                ids = np.concatenate(waiting)
+                for k in range(0, size - BLOCK_TOKENS + 1, BLOCK_TOKENS):
+                    end = at + BLOCK_TOKENS
+                    yield out(pack_block(at, ids[k : k + BLOCK_TOKENS], [d for d in docs if d[1] < end or d[1] == end and not d[2]], table))
+                    docs = [d for d in docs if d[1] + d[2] > end]
+                    at = end
+                waiting = [ids[size - size % BLOCK_TOKENS :]]
+                size %= BLOCK_TOKENS
+        if size or docs:
+            yield out(pack_block(at, np.concatenate(waiting), docs, table))
 
     # one task for each range partition: its rows stay together and in order
     placed = tokens.select("part", "doc_id", "n", "ids").repartition(max(1, len(first)), "part").sortWithinPartitions("part", "doc_id")
@@ -286,43 +318,83 @@ def _by_part(run):
     return parts
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids, ids_crc32) of every document in coded files; checksums are verified."""
+def list_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """(file, table, table_bytes, offset, bytes) of every block of coded files and of the table it needs, from the heads alone."""
 
     def run(batches):
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                for docs, ids, first in decode_parts(data):
-                    cuts = [(s - first, s - first + n) for _, s, n in docs]
-                    packed = [ids[a:b].astype("<u4").tobytes() for a, b in cuts]
-                    yield pa.RecordBatch.from_arrays([pa.array([d for d, _, _ in docs], pa.int64()), pa.array([s for _, s, _ in docs], pa.int64()), pa.array([n for _, _, n in docs], pa.int64()), pa.array(packed, pa.binary()), pa.array(map(zlib.crc32, packed), pa.int64())], names=["doc_id", "start", "n_tokens", "ids", "ids_crc32"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
-
-
-def decode_parts(data: bytes):
-    """Each table's documents and ids: a file may hold several parts, one after another."""
-    table, docs, parts, first = None, [], [], None
-    for kind, body in records(data):
-        if kind == b"RTB1":
-            if docs:
-                yield docs, np.concatenate(parts) if parts else np.zeros(0, np.uint32), first or 0
-            table, docs, parts, first = FrequencyTable.unpack(bytes(body)), [], [], None
-        elif kind == b"RBK1":
-            at, n, of_ids, of_payload = struct.unpack_from(_BLOCK, body)
-            payload = bytes(body[struct.calcsize(_BLOCK) :])
-            if zlib.crc32(payload) != of_payload:
-                raise ValueError("block payload does not match its checksum")
-            ids = table.ids[decode_block(payload, n, table)]
-            if zlib.crc32(ids.astype("<u4").tobytes()) != of_ids:
-                raise ValueError("decoded ids do not match their checksum")
-            first = at if first is None else first
-            parts.append(ids)
-        else:
-            raw = np.frombuffer(zlib.decompress(body), "<i8").reshape(-1, 3)
-            docs += [(None if d == _NO_ID else d, s, n) for d, s, n in raw.tolist()]
-    if docs:
-        yield docs, np.concatenate(parts) if parts else np.zeros(0, np.uint32), first or 0
+            for file in batch.column(0).to_pylist():
+                table, rows = None, []
+                with open_file(f"{path}/{file}") as stream:
+                    for kind, at, length in heads(stream):
+                        if kind == b"RTB1":
+                            table = (at, length)
+                        else:
+                            rows.append((file, *table, at, length))
+                columns = list(zip(*rows, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["file", "table", "table_bytes", "offset", "bytes"])
+
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"))
+    return files.mapInArrow(run, "file string, table long, table_bytes long, offset long, bytes long")
+
+
+def read_parts(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, at, ids, ids_crc32): each document's tokens of each block it is in; ``at`` is where the part begins.
+
+    Blocks are dealt one by one.  ``ids`` of documents that are whole in a block are left out unless asked for.
+    """
+
+    def run(batches):
+        known, table = b"", None
+        for batch in batches:
+            for file, table_at, table_size, at, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with open_file(f"{path}/{file}") as stream:
+                    stream.seek(table_at)
+                    packed = stream.read(table_size)
+                    if packed != known:
+                        known, table = packed, FrequencyTable.unpack(packed)
+                    stream.seek(at)
+                    first, ids, docs = unpack_block(stream.read(size), table)
+                packed, rows = ids.astype("<u4").tobytes(), []
+                for doc, start, n in docs.tolist():
+                    a, b = max(start, first) - first, min(start + n, first + len(ids)) - first
+                    piece = packed[4 * a : 4 * b]
+                    rows.append((None if doc == _NO_ID else doc, start, n, first + a - start, piece if with_ids or b - a < n else None, zlib.crc32(piece)))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+                columns = list(zip(*rows, strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns, kinds)], names=["doc_id", "start", "n_tokens", "at", "ids", "ids_crc32"])
+
+    blocks_ = list_blocks(spark, path).repartition(partitions(spark), "file", "offset").sortWithinPartitions("file", "offset")
+    return blocks_.mapInArrow(run, "doc_id long, start long, n_tokens long, at long, ids binary, ids_crc32 long")
+
+
+def read_files(spark: SparkSession, path: str, with_ids: bool = True) -> tuple[DataFrame, list[str]]:
+    """(doc_id, start, n_tokens, ids, ids_crc32) of every document in coded files, and the tables it reads; documents of several blocks are put together."""
+    parts, stage = settle(read_parts(spark, path, with_ids), "token-parts")
+
+    def run(batches):
+        held, key = [], None
+
+        def whole():
+            ids = b"".join(x for *_, x in held)
+            doc, start, n, _ = held[0]
+            if len(ids) != 4 * n:
+                raise ValueError("a block is missing")
+            return pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([start], pa.int64()), pa.array([n], pa.int64()), pa.array([ids if with_ids else None], pa.binary()), pa.array([zlib.crc32(ids)], pa.int64())], names=["doc_id", "start", "n_tokens", "ids", "ids_crc32"])
+
+        for batch in batches:
+            for doc, start, n, ids in zip(*batch.columns, strict=True):
+                if start.as_py() != key and held:
+                    yield whole()
+                    held = []
+                key = start.as_py()
+                held.append((doc.as_py(), key, n.as_py(), ids.as_py()))
+        if held:
+            yield whole()
+
+    one = parts.where("octet_length(ids) = 4 * n_tokens or ids is null").select("doc_id", "start", "n_tokens", "ids", "ids_crc32")
+    more = parts.where("octet_length(ids) < 4 * n_tokens").repartition(partitions(spark), "start").sortWithinPartitions("start", "at")
+    return one.unionByName(more.select("doc_id", "start", "n_tokens", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")), [stage]
 
 
 def write_corpus(docs: DataFrame, path: str, vocabulary_path: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:
@@ -337,6 +409,7 @@ def digests(docs: DataFrame, vocabulary_path: str, end_id: int) -> DataFrame:
     """Write, read back and digest: (doc_id, start, n_tokens, ids_crc32) from the files."""
     spark = docs.sparkSession
     path = write_corpus(docs, new_path(spark, "token-files"), vocabulary_path, end_id)
-    result, _ = settle(read_files(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32"), "token-digests")
-    discard(spark, path)
+    found, stages = read_files(spark, path, with_ids=False)
+    result, _ = settle(found.select("doc_id", "start", "n_tokens", "ids_crc32"), "token-digests")
+    discard(spark, path, *stages)
     return result

@@ -146,19 +146,48 @@ def test_coder_round_trip():
     assert (rans.decode_block(rans.encode_block(np.zeros(3000, np.int64), one), 3000, one) == 0).all()
 
 
-def test_token_files(spark, library, tmp_path):
-    docs = [(k * 3 % 50, f"text {k} " * (k % 7)) for k in range(50)] + [(100, None), (101, "x" * 3000), (101, "x" * 3000)]
+@pytest.mark.parametrize("block", [1 << 18, 64])
+def test_token_files(spark, library, monkeypatch, block):
+    monkeypatch.setattr(rans, "BLOCK_TOKENS", block)
+    docs = [(k * 3 % 50, f"text {k} " * (k % 7)) for k in range(50)] + [(100, None), (101, "x" * 3000), (101, "x" * 3000), (None, "no id"), (102, "a b " * 64)]
     table = spark.createDataFrame([(d, t, "clash") for d, t in docs], "doc_id long, text string, start string").repartition(3)
     rows = rans.digests(table, PATH, 2).orderBy("start").collect()
     at = 0
-    for r, (d, t) in zip(rows, sorted(docs, key=lambda x: x[0]), strict=True):
+    for r, (d, t) in zip(rows, sorted(docs, key=lambda x: -1 if x[0] is None else x[0]), strict=True):
         ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (d, at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     assert rans.digests(table.limit(0), PATH, 2).count() == 0
 
 
+def test_blocks_are_read_by_their_ranges(spark, library, tmp_path, monkeypatch):
+    """Every block can be decoded alone, from the checkpoint it carries; documents without tokens are kept."""
+    monkeypatch.setattr(rans, "BLOCK_TOKENS", 32)
+    docs = [(k, "" if k % 5 == 0 else f"some words {k} " * (k % 9)) for k in range(60)]
+    path = rans.write_corpus(spark.createDataFrame(docs, "doc_id long, text string"), f"file://{tmp_path}/files", PATH)
+    ids = {d: library.encode(t, add_special_tokens=False).ids for d, t in docs}
+    listed = rans.list_blocks(spark, path).collect()
+    assert len(listed) >= sum(map(len, ids.values())) // 32
+    (folder,) = [tmp_path / "files"]
+    for r in listed[:20]:
+        data = (folder / r.file).read_bytes()
+        table = rans.FrequencyTable.unpack(data[r.table : r.table + r.table_bytes])
+        first, tokens, of = rans.unpack_block(data[r.offset : r.offset + r.bytes], table)
+        for d, start, n in of.tolist():
+            a, b = max(first, start), min(first + len(tokens), start + n)
+            assert tokens[a - first : b - first].tolist() == ids[d][a - start : b - start]
+    found, _ = rans.read_files(spark, path)
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in found.collect()} == ids
+
+
 def test_damage_is_found():
     table = rans.FrequencyTable(np.array([1, 2]), np.array([3, 5]))
+    good = rans.record(b"RTB1", table.pack()) + b"\n"
+    assert [k for k, *_ in rans.heads(pa.BufferReader(good))] == [b"RTB1"]
+    for bad in (good + b"x", good[:-1] + b"x", good[:-1], b"XXXX" + good[4:]):
+        with pytest.raises(ValueError):
+            list(rans.heads(pa.BufferReader(bad)))
+    body = rans.pack_block(0, np.array([1, 2, 2], np.uint32), [(5, 0, 3)], table)[8:]
+    assert rans.unpack_block(body, table)[1].tolist() == [1, 2, 2]
     with pytest.raises(ValueError):
-        list(rans.decode_parts(rans.record(b"RTB1", table.pack()) + b"x"))
+        rans.unpack_block(body[:-9] + b"\0" * 9, table)
