@@ -13,13 +13,15 @@ earlier: in a document with a smaller id, or further left in the same one.
    The arrays of common prefix lengths tell exactly which strings are equal.
 
 Anchors and their surroundings travel in packed blocks, dealt by their hash
-over more shards than tasks.  Equal surroundings within one task are merged
-before they are sent, which bounds what a passage common to many documents
-adds to its shard.
+over more shards than tasks.  Of equal hashes, and of equal surroundings, in a
+chunk of a task one goes to the hash's shard; what is known of the others goes
+to their documents.  So a passage common to many documents adds a row for each
+chunk to its shard, not one for each occurrence.
 
 Cases: null text counts as empty; texts shorter than ``length`` lose nothing;
 ids identify documents, so rows that repeat an id and its text get the same
-answer and are no copies of each other; rows without an id are left as they
+answer and are no copies of each other (of rows that repeat an id with other
+texts each is judged as that document); rows without an id are left as they
 are and make nothing else a repeat; an empty table gives an empty table; other
 columns are kept by :func:`remove_repeats` and dropped by :func:`digests`.
 """
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import partitions
-from .text_blocks import U64, blocks, quick_hashes, quick_sums
+from .text_blocks import U64, blocks, mix, quick_hashes, quick_sums
 
 LENGTH = 100
 GRAM = 32
@@ -286,12 +288,30 @@ _POINT = np.dtype([("hash", "<u4"), ("doc", "<i8"), ("place", "<u4")])
 _MARK = np.dtype([("doc", "<i8"), ("start", "<i8"), ("end", "<i8")])
 
 
+def known_twice(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the rows that stand for one hash each, places of the rows whose hash occurs at several places)."""
+    order = np.lexsort((rows["place"], rows["doc"], hashes))
+    same = np.zeros(len(rows), bool)  # as the row before in order
+    same[1:] = hashes[order[1:]] == hashes[order[:-1]]
+    again = same.copy()  # and at the same place, from repeated rows
+    again[1:] &= (rows["doc"][order[1:]] == rows["doc"][order[:-1]]) & (rows["place"][order[1:]] == rows["place"][order[:-1]])
+    order, same = order[~again], same[~again]
+    several = same.copy()
+    several[:-1] |= same[1:]
+    return order[~same], order[several]
+
+
 def _emit_points(length: int, shards: int):
+    """One point for each hash of a chunk goes to the hash's shard (kind 0); where a chunk has several, they are known repeats and go to their documents' shards (kind 1)."""
+
     def run(batches):
         waiting, hashes, size = [], [], 0
 
         def flush():
-            return _dealt(np.concatenate(hashes), np.concatenate(waiting), shards, 0)
+            rows, full = np.concatenate(waiting), np.concatenate(hashes)
+            one, several = known_twice(rows, full)
+            yield _dealt(full[one], rows[one], shards, 0)
+            yield _dealt(mix(rows["doc"][several].astype(U64)), rows[several], shards, 1)
 
         for batch in batches:
             docs = np.asarray(batch.column(0))
@@ -303,10 +323,10 @@ def _emit_points(length: int, shards: int):
                 hashes.append(found["hash"])
                 size += len(rows)
                 if size >= 5 * FLUSH_ROWS:
-                    yield flush()
+                    yield from flush()
                     waiting, hashes, size = [], [], 0
         if size:
-            yield flush()
+            yield from flush()
 
     return run
 
@@ -330,14 +350,15 @@ def _by_shard(handle):
 
 
 def _repeated_points(held):
-    rows = np.concatenate([np.frombuffer(d, _point_type()) for _, d in held])
+    of_kind = lambda kind: np.concatenate([np.zeros(0, _point_type()), *(np.frombuffer(d, _point_type()) for k, d in held if k == kind)])
+    rows = of_kind(0)
     rows = rows[np.argsort(rows["hash"], kind="stable")]
     same = rows["hash"][1:] == rows["hash"][:-1]
     twice = np.zeros(len(rows), bool)
     twice[1:] |= same
     twice[:-1] |= same
     rows = rows[twice]
-    rows = np.unique(rows)  # repeated rows of a table
+    rows = np.unique(np.concatenate([rows, of_kind(1)]))  # repeated rows of a table
     order = np.argsort(rows["doc"], kind="stable")
     rows = rows[order]
     cuts = np.flatnonzero(np.concatenate([[True], rows["doc"][1:] != rows["doc"][:-1]])) if len(rows) else []
@@ -363,7 +384,7 @@ def _emit_surroundings(length: int, shards: int):
             marks = np.zeros(len(others), _mark_type())
             marks["doc"], marks["start"], marks["end"] = _whole_range(others, length)
             if len(marks):
-                yield _dealt(others["hash"], marks, shards, 1)
+                yield _dealt(mix(marks["doc"].astype(U64)), marks, shards, 1)  # to their documents
 
         for batch in batches:
             docs, hits = np.asarray(batch.column(0)), batch.column(2)
@@ -442,20 +463,22 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     n = partitions(docs.sparkSession)
     shards = SHARDS_PER_TASK * n
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.col("doc").isNotNull())
+    # the first document of each text, by a digest; whoever is long enough and no first is a copy, so
+    # nothing is ever joined by the digest that many copies share
     digest = texts.where(F.octet_length("text") >= length).select("doc", F.sha2("text", 256).alias("digest"))
-    firsts = digest.groupBy("digest").agg(F.min("doc").alias("first"))
-    copies = digest.join(firsts, "digest").where(F.col("doc") != F.col("first")).select("doc").distinct().select("doc", F.lit(True).alias("copy"))
+    firsts = digest.groupBy("digest").agg(F.min("doc").alias("doc")).select("doc").distinct().withColumn("first", F.lit(True))
     # one exchange of the texts serves all three passes over them
-    dealt = texts.repartition(n, "doc")
+    dealt = texts.repartition(n, "doc").join(firsts, "doc", "left")
+    dealt = dealt.select("doc", "text", ((F.octet_length("text") >= length) & F.col("first").isNull()).alias("copy"))
     # an anti-join would be pushed below the exchange and so get one of its own
-    own = dealt.join(copies, "doc", "left").where(F.col("copy").isNull()).select("doc", "text")
+    own = dealt.where(~F.col("copy")).select("doc", "text")
     points = own.mapInArrow(_emit_points(length, shards), "shard int, kind int, data binary")
     hits = points.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_by_shard(_repeated_points), "doc long, places binary")
     hits = hits.groupBy("doc").agg(F.collect_list("places").alias("places"))
     around = dealt.join(hits, "doc").select("doc", "text", "places").mapInArrow(_emit_surroundings(length, shards), "shard int, kind int, data binary")
     marks = around.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_by_shard(_mark_shard(length)), "doc long, marks binary")
     marks = marks.groupBy("doc").agg(F.collect_list("marks").alias("marks"))
-    return dealt.join(copies, "doc", "left").join(marks, "doc", "left").select("doc", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "marks")
+    return dealt.join(marks, "doc", "left").select("doc", "text", "copy", "marks")
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
