@@ -197,7 +197,9 @@ def _match(threshold: float):
 
             rows = pd.concat(held) if len(held) > 1 else held[0]
             # a bucket is a hash: labels and lengths decide who is compared
-            out = [x for _, part in rows.groupby(["label", "size"], sort=False) for x in handle(key[0], key[2], key[3], part)]
+            label, size = rows["label"].to_numpy(), rows["size"].to_numpy()
+            parts = [rows] if (label == label[0]).all() and (size == size[0]).all() else [part for _, part in rows.groupby(["label", "size"], sort=False)]
+            out = [x for part in parts for x in handle(key[0], key[2], key[3], part)]
             columns = list(zip(*out, strict=True)) or [[]] * 3
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "links"])
 
