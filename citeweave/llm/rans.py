@@ -42,9 +42,10 @@ from .bpe import TextEncoder, byte_alphabet, read_vocabulary
 from .storage import discard, new_path, open_file, partitions, settle, write_records
 from .text_blocks import blocks
 
-LANES = 1024
+LANES = 2048
 BLOCK_TOKENS = 1 << 18
 SCALE_BITS = 24
+_COARSE_BITS = 10
 _LOW = 1 << 31  # coder states stay in [_LOW, _LOW << 32)
 _HEAD = "<4sI"
 _BLOCK = "<QIIII"
@@ -65,6 +66,23 @@ class FrequencyTable:
             freq = np.zeros(0, np.int64)
         self.freq = freq.astype(np.uint64)
         self.start = (np.cumsum(freq) - freq).astype(np.uint64)
+        self._index()
+
+    def _index(self) -> None:
+        """Where to look ids and slots up: a place for each id, and the symbol at the beginning of each range of slots."""
+        self.place = np.full(int(self.ids.max(initial=0)) + 1, -1, np.int64)
+        self.place[self.ids] = np.arange(len(self.ids))
+        edges = np.arange((1 << SCALE_BITS - _COARSE_BITS) + 1, dtype=np.uint64) << np.uint64(_COARSE_BITS)
+        edges[-1] -= np.uint64(1)
+        self.coarse = np.searchsorted(self.start, edges, "right") - 1
+
+    def symbol_of(self, slot: np.ndarray) -> np.ndarray:
+        """The symbols whose ranges hold the slots; most ranges of slots belong to one symbol."""
+        at = (slot >> np.uint64(_COARSE_BITS)).astype(np.int64)
+        symbol = self.coarse[at]
+        open_ = np.flatnonzero(symbol != self.coarse[at + 1])
+        symbol[open_] = np.searchsorted(self.start, slot[open_], "right") - 1
+        return symbol
 
     def pack(self) -> bytes:
         pairs = np.stack([self.ids, self.freq.astype(np.uint32)], 1) if len(self.ids) else np.zeros((0, 2), np.uint32)
@@ -77,11 +95,14 @@ class FrequencyTable:
         table = cls(np.zeros(0), np.zeros(0))
         table.ids, table.freq = pairs[:, 0].copy(), pairs[:, 1].astype(np.uint64)
         table.start = np.cumsum(table.freq) - table.freq
+        table._index()
         return table
 
     def symbols(self, ids: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.ids, ids)
-        if len(ids) and (at.max() >= len(self.ids) or (self.ids[at] != ids).any()):
+        if len(ids) and int(ids.max()) >= len(self.place):
+            raise ValueError("an id is not in the frequency table")
+        at = self.place[ids]
+        if len(ids) and at.min() < 0:
             raise ValueError("an id is not in the frequency table")
         return at
 
@@ -114,7 +135,7 @@ def decode_block(data: bytes, n: int, table: FrequencyTable) -> np.ndarray:
     for k in range(0, n, LANES):
         x = state[: min(LANES, n - k)]
         slot = x & mask
-        symbol = np.searchsorted(table.start, slot, "right") - 1
+        symbol = table.symbol_of(slot)
         out[k : k + len(x)] = symbol
         x = table.freq[symbol] * (x >> shift) + slot - table.start[symbol]
         need = np.flatnonzero(x < low)
@@ -170,6 +191,7 @@ def unpack_block(body: bytes, table: FrequencyTable) -> tuple[int, np.ndarray, n
 
 
 _NO_ID = -(1 << 63)
+COUNTS = -1
 _encoders: dict[int, TextEncoder] = {}
 
 
@@ -202,7 +224,8 @@ def range_bounds(docs: DataFrame, id_col: str) -> np.ndarray:
 def tokenize(docs: DataFrame, vocabulary_path: str, end_id: int | None, id_col: str, text_col: str) -> DataFrame:
     """(part, doc_id, n, ids): each text's packed ids with the end id, and the range of ids it belongs to.
 
-    Texts are encoded where they are read; only packed ids are ever moved.
+    Texts are encoded where they are read; only packed ids are ever moved.  Each
+    task's last row, of the part ``COUNTS``, holds how often it saw each id.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((read_vocabulary(vocabulary_path), range_bounds(docs, id_col)))
@@ -212,14 +235,22 @@ def tokenize(docs: DataFrame, vocabulary_path: str, end_id: int | None, id_col:
         vocabulary, bounds = shared.value
         encoder = _library_encoder(vocabulary)
         kind = encoder.kind if max(tail, default=0) < 1 << 16 else "<u4"
-        end = np.array(tail, kind)
+        end, seen = np.array(tail, kind), np.zeros(1 << 16, np.int64)
         for batch in batches:
             doc = np.asarray(batch.column(0).fill_null(_no_id()))
             parts = np.maximum(0, np.searchsorted(bounds, doc, "right") - 1).astype(np.int32)
             for a, b, data, offsets in blocks(batch.column(1)):
                 flat, at = encoder.block_ids(data, offsets)
+                found = np.bincount(flat, minlength=len(seen))
+                if len(found) > len(seen):
+                    seen = np.pad(seen, (0, len(found) - len(seen)))
+                seen += found
+                for k in tail:
+                    seen[k] += b - a
                 ids = [np.concatenate([flat[x:y].astype(kind), end]) for x, y in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(parts[a:b]), batch.column(0).slice(a, b - a), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["part", "doc_id", "n", "ids"])
+        on = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([COUNTS], pa.int32()), pa.nulls(1, pa.int64()), pa.array([0], pa.int64()), pa.array([np.stack([on, seen[on]]).astype("<i8").tobytes()], pa.binary())], names=["part", "doc_id", "n", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "part int, doc_id long, n long, ids binary")
@@ -235,20 +266,15 @@ def _no_id() -> int:
 
 
 def count_ids(tokens: DataFrame) -> FrequencyTable:
-    """Frequencies over the whole corpus; one row for each distinct id reaches the driver."""
+    """Frequencies over the whole corpus from the tasks' counts; one row for each distinct id reaches the driver."""
 
     def run(batches):
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            for n, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen = np.bincount(unpack(value, n))
-                if len(seen) > len(total):
-                    total = np.pad(total, (0, len(seen) - len(total)))
-                total[: len(seen)] += seen
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
-
-    rows = tokens.select("n", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+            for value in batch.column(0).to_pylist():
+                ids, counts = np.frombuffer(value, "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts)], names=["id", "n"])
+
+    rows = tokens.where(F.col("part") == COUNTS).select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     return FrequencyTable(rows["id"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
 
 
@@ -256,6 +282,7 @@ def write_files(tokens: DataFrame, path: str) -> None:
     """Write tokenised documents to coded files, one for each range partition of ids."""
     spark = tokens.sparkSession
     table = count_ids(tokens)
+    tokens = tokens.where(F.col("part") != COUNTS)
     totals = {r["part"]: r["n"] for r in tokens.groupBy("part").agg(F.sum("n").alias("n")).collect()}
     first, at = {}, 0
     for part in sorted(totals):
