@@ -4,6 +4,12 @@
     python -m citeweave.cli run ir_votes --tables DIR --out PATH [--format parquet|json|csv]
     python -m citeweave.cli report vote_distribution --tables DIR [--style markdown|latex]
     python -m citeweave.cli sql ir_votes
+    python -m citeweave.cli demo --tables DIR
+    python -m citeweave.cli stage search --items PATH --passages PATH --out DIR [--config FILE]
+
+The stages, in their order: adapter, generate, merge, search, vote, evaluate,
+judge (with --answers for answers), finalize, validate, audit-export,
+audit-aggregate, answer-eval.
 """
 
 from __future__ import annotations
@@ -12,6 +18,12 @@ import argparse
 import sys
 
 
+def _session():
+    from pyspark.sql import SparkSession
+
+    return SparkSession.builder.appName("citeweave").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="citeweave", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     commands = parser.add_subparsers(dest="command", required=True)
@@ -26,9 +38,37 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("--out", required=True)
     run.add_argument("--format", choices=("parquet", "json", "csv"), default="parquet")
     report.add_argument("--style", choices=("markdown", "latex"), default="markdown")
+    commands.add_parser("demo").add_argument("--tables", required=True)
+    stages = commands.add_parser("stage").add_subparsers(dest="stage", required=True)
+    from citeweave import commands as work
+
+    for name, (_, inputs) in work.STAGES.items():
+        p = stages.add_parser(name)
+        for i in inputs:
+            p.add_argument("--" + i.rstrip("*"), required=True, nargs="+" if i.endswith("*") else None)
+        for o in work.OPTIONS.get(name, ()):
+            p.add_argument("--" + o.removesuffix("_path"), dest=o)
+        if name == "judge":
+            p.add_argument("--answers", action="store_true")
+        p.add_argument("--out", required=True)
+        p.add_argument("--config")
     args = parser.parse_args(argv)
 
-    from citeweave.plans import queries, queries_curation  # noqa: F401
+    if args.command == "stage":
+        from citeweave.plans import config
+
+        run_stage, inputs = work.STAGES[args.stage]
+        given = {k: v for k, v in vars(args).items() if k not in ("command", "stage", "config") and v is not None}
+        run_stage(_session(), config.load(args.config) if args.config else config.Config(), **given)
+        return 0
+
+    from citeweave.plans import queries, queries_curation, queries_records, queries_retrieval  # noqa: F401
+
+    if args.command == "demo":
+        from citeweave.operators import statistics
+
+        print(statistics.markdown_table(queries.QUERIES["retrieval_pipeline"](_session(), args.tables)))
+        return 0
 
     if args.command == "list":
         print("\n".join(sorted(queries.QUERIES)))
@@ -40,10 +80,7 @@ def main(argv: list[str] | None = None) -> int:
         print(queries.ORACLES.get(args.name, "-- SQL cannot express this query"))
         return 0
 
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.builder.appName("citeweave").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    result = queries.QUERIES[args.name](spark, args.tables)
+    result = queries.QUERIES[args.name](_session(), args.tables)
     if args.command == "run":
         result.write.mode("overwrite").format(args.format).option("header", "true").save(args.out)
         return 0
