@@ -62,7 +62,7 @@ def main(argv: list[str] | None = None) -> int:
         run_stage(_session(), config.load(args.config) if args.config else config.Config(), **given)
         return 0
 
-    from citeweave.plans import queries, queries_curation, queries_records, queries_retrieval  # noqa: F401
+    from citeweave.plans import queries, queries_curation, queries_more, queries_records, queries_retrieval  # noqa: F401
 
     if args.command == "demo":
         from citeweave.operators import statistics

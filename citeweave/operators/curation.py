@@ -248,6 +248,36 @@ def span_valid(span: Column, text: Column) -> Column:
     return F.coalesce(inside & (F.substr(text, (span["start"] + 1).cast("int"), (span["end"] - span["start"]).cast("int")) == span["text"]), F.lit(False))
 
 
+SPAN = "struct<start:int,end:int,text:string,type:string>"
+# The kinds of answer spans.
+SPAN_TYPES = ("DURATION", "DATE", "MONEY", "PERCENT", "TERM", "SECTION", "FREEFORM")
+
+
+def coerced_spans(spans: Column, text: Column, is_title: Column, most: int = 3) -> Column:
+    """A target's answer spans: of the first ``most`` given the valid ones, unknown kinds as FREEFORM, long whole texts left out.
+
+    None for a title; where none is valid, the core clause, else the beginning.
+    """
+    long = F.length(text) > T.FREEFORM_CHARS
+    kind = lambda s: F.when(s["type"].isin(*SPAN_TYPES), s["type"]).otherwise("FREEFORM")
+    made = lambda a, b, t, k: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), t.alias("text"), k.alias("type"))
+    whole = lambda s: (s["type"] == "FREEFORM") & (s["end"] - s["start"] == F.length(text)) & long
+    given = F.transform(F.slice(F.coalesce(spans, F.array().cast(f"array<{SPAN}>")), 1, most), lambda s: made(s["start"], s["end"], s["text"], kind(s)))
+    valid = F.filter(given, lambda s: span_valid(s, text) & ~whole(s))
+    core = T.core_clause(text)
+    cut = F.when(core["end"] - core["start"] > T.FREEFORM_CHARS, F.rtrim(F.substr(text, core["start"] + 1, F.lit(T.FREEFORM_CHARS)))).otherwise(core["text"])
+    end = F.least(core["end"], core["start"] + T.FREEFORM_CHARS)
+    head = F.rtrim(F.substring(text, 1, T.FREEFORM_CHARS))
+    fallback = F.when(core.isNotNull(), made(core["start"], end, cut, F.lit("FREEFORM"))).otherwise(made(F.lit(0), F.length(head), head, F.lit("FREEFORM")))
+    return F.when(F.coalesce(is_title, F.lit(False)), F.array().cast(f"array<{SPAN}>")).when(F.size(valid) > 0, valid).otherwise(F.array(fallback))
+
+
+def tags_in(answer: Column, top: Column) -> Column:
+    """How many id tags of an answer, repeats included, name one of the retrieved passages."""
+    ids = F.transform(F.regexp_extract_all(answer, F.lit(r"\[#(?:SRC|TGT|ID):([^\]]+)\]"), F.lit(1)), lambda x: F.trim(x))
+    return F.size(F.filter(ids, lambda x: F.array_contains(top, x)))
+
+
 def leakage_route(action: str, leaks: Column) -> Column:
     """Where a question goes: the main output, beside it, or out."""
     if action not in ("keep", "filter", "separate"):

@@ -76,6 +76,40 @@ def first_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return best.select(*keys, F.col(f"best.{order}").alias(order), *[F.col(f"best.{c}").alias(c) for c in others])
 
 
+def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The last row of each key by an explicit order."""
+    others = [c for c in rows.columns if c not in keys and c != order]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(order, *others), order).alias("best"))
+    return best.select(*keys, *[F.col(f"best.{c}").alias(c) for c in (order, *others)])
+
+
+def first_wins_of_named(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """First rows of keys of which no part is empty; rows with an empty part all stay."""
+    named = F.lit(True)
+    for k in keys:
+        named &= ~T.absent(F.col(k).cast("string"))
+    return first_wins(rows.where(named), keys, order).select(*rows.columns).unionByName(rows.where(~named))
+
+
+def label_distribution(rows: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
+    """Per group and label: how many, their share of the group, and the mean score of those that have one."""
+    each = rows.where(F.col(label).isNotNull()).groupBy(*keys, F.col(label).alias("label")).agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"))
+    totals = rows.groupBy(*keys).agg(F.count("*").alias("total"))
+    return each.join(totals, keys).withColumn("share", F.col("n") / F.col("total")).drop("total")
+
+
+def generation_rates(items: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group and in all: items, and the shares with both tags, with citation-like sides and with leaking questions.
+
+    ``items``: question, answer, source_uid, target_uid and the keys.
+    """
+    tag = lambda t, uid: F.coalesce(F.col("answer").contains(F.concat(F.lit(f"[#{t}:"), F.col(uid), F.lit("]"))), F.lit(False))
+    bare = F.regexp_replace("answer", r"\[#[^\]]*\]", "")
+    rows = items.select(*keys, (tag("SRC", "source_uid") & tag("TGT", "target_uid")).alias("both"), T.is_citation_like(F.col("question")).alias("q"), T.is_citation_like(bare).alias("a"), (F.size(T.leakages(F.col("question"))) > 0).alias("leak"))
+    share = lambda c: F.avg(F.coalesce(F.col(c), F.lit(False)).cast("int"))
+    return rows.rollup(*keys).agg(F.count("*").alias("n"), share("both").alias("both_tags"), share("q").alias("question_cites"), share("a").alias("answer_cites"), share("leak").alias("leaks"))
+
+
 def group_counts(records: DataFrame, fields: list[str], cohort: str = "cohort") -> DataFrame:
     """Counts overall, by cohort and by each field within each cohort, in one pass over grouping sets."""
     stacked = records.select(cohort, F.explode(F.array(F.struct(F.lit("cohort").alias("field"), F.lit("all").alias("value")), *[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f).cast("string"), F.lit("unknown")).alias("value")) for f in fields])).alias("x")).select(cohort, "x.*")

@@ -227,6 +227,12 @@ def clean_references(refs: DataFrame, known: DataFrame, order: str = "seq") -> D
     return tagged.withColumn("verdict", verdict).drop("_known", "_first")
 
 
+def kept_references(refs: DataFrame, known: DataFrame, order: str = "seq", top_k: int = 0) -> DataFrame:
+    """The references that cleaning keeps; the first ``top_k`` of all, if given."""
+    kept = clean_references(refs, known, order).where("verdict = 'kept'").drop("verdict")
+    return kept.orderBy(order).limit(top_k) if top_k > 0 else kept
+
+
 def resume(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key was not yet processed."""
     return rows.join(done.select(key).distinct(), key, "left_anti")
