@@ -126,6 +126,54 @@ def test_toxicity(spark):
     assert toxicity.severity(odd, none).where("toxic").count() == 0 and toxicity.severity(odd, model).count() == 2
 
 
+def test_toxicity_of_documents_it_was_not_fitted_on(spark):
+    """Fitted on the labels of four of five documents, judged on the fifth; brute force over the same features gives the same scores."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels.where("doc_id % 5 <> 0"))
+    rows = toxicity.severity(docs, model).withColumnRenamed("toxic", "found").join(labels.where("doc_id % 5 = 0"), "doc_id").collect()
+    found, toxic = [r for r in rows if r.found], [r for r in rows if r.toxic]
+    assert len(toxic) > 20 and sum(r.found for r in toxic) / len(toxic) > 0.75 and sum(1 for r in found if r.toxic) / max(1, len(found)) > 0.85
+    text = docs.where("doc_id = 5").first().text
+    words = {w for w in WORD.findall(low(text))}
+    hashes = {w: decontaminate.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]), toxicity.FEATURE_BASE)[0][0] for w in words}
+    features = {int(model.feature[int(h >> np.uint64(64 - toxicity.BUCKETS_LOG2))]) for h in hashes.values()} - {-1}
+    score = sum(model.weights[k] for k in features)
+    (row,) = toxicity.severity(docs.where("doc_id = 5"), model).collect()
+    assert abs(row.expected_severity - toxicity.sigmoid(score - model.thresholds).sum()) < 1e-9
+
+
+def test_odd_tables_of_models(spark):
+    """Clashing columns, repeated rows, null ids and very long texts, for each of the three models."""
+    docs = [(k, f"plain words number {k % 7} of text. " * 3, "en" if k % 2 else "de") for k in range(40)] + [(k, f"vile nasty words {k % 5} of text. " * 3, "de") for k in range(40, 60)]
+    docs += [(3, docs[3][1], "en"), (None, "plain words", "en"), (70, None, "en"), (71, "", None), (72, "vile nasty " * 60_000, "de"), (73, "x" * 700_000, None)]
+    table = spark.createDataFrame([(*d, 9, 9.0, True, "z", 1) for d in docs], "doc_id long, text string, lang string, severity int, score double, keep boolean, posterior string, toxic int")
+    labels = spark.createDataFrame([(k, int(k >= 40)) for k in range(60)] + [(3, 0), (3, 1), (41, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(table, labels)
+    rows = toxicity.severity(table, model).collect()
+    assert len(rows) == len(docs) and len({r.expected_severity for r in rows if r.doc_id == 3}) == 1
+    of = {r.doc_id: r for r in rows}
+    assert of[72].toxic and of[45].toxic and not of[5].toxic and of[70].expected_severity == of[71].expected_severity
+    assert toxicity.severity(table.limit(0), model).count() == 0
+    one_kind = toxicity.fit(table, labels.where("toxic = 0"))
+    assert toxicity.severity(table, one_kind).where("toxic").count() == 0
+    weak = weak_label.fit(table)
+    rows = weak_label.score(table, weak).collect()
+    assert len(rows) == len(docs) and len({(r.posterior, r.score, r.keep) for r in rows if r.doc_id == 3}) == 1
+    assert all(0 <= r.score <= 1 and 0 <= r.posterior <= 1 for r in rows) and all((r.score, r.keep) == (0.0, False) for r in rows if r.doc_id in (70, 71))
+    assert weak_label.score(table.limit(0), weak).count() == 0
+    tongue = langid.fit(table)
+    rows = langid.predict(table, tongue).collect()
+    assert len(rows) == len(docs) and len({(r.lang_pred, r.score) for r in rows if r.doc_id == 3}) == 1
+    assert {r.doc_id for r in rows if r.lang_pred == "und"} == {70, 71} and all(r.lang_pred in ("en", "de", "und") for r in rows)
+    assert langid.predict(table.limit(0), tongue).count() == 0 and langid.keep_identified(table, tongue).columns == table.columns
+
+
+def test_ties_between_languages_go_by_the_alphabet(spark):
+    docs = spark.createDataFrame([(k, "same words here", lang) for k, lang in enumerate(["b", "a"] * 20)], "doc_id long, text string, lang string")
+    model = langid.Model(["a", "b"], np.ones(langid.BUCKETS), np.zeros((langid.BUCKETS, 2), np.float32), 1.0)
+    assert {(r.lang_pred, r.score) for r in langid.predict(docs, model).collect()} == {("a", 0.5)}
+
+
 def test_ordinal_thresholds_share_weights():
     rng = np.random.default_rng(2)
     rows = [rng.choice(6, rng.integers(0, 5), replace=False) for _ in range(600)]

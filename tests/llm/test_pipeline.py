@@ -82,3 +82,21 @@ def test_pipeline(spark, tmp_path):
     assert found == want and 30 < len(found) < 80
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, table.where("doc_id < 30"), folder).columns == table.columns, name
+
+
+def test_empty_tables_and_clashing_columns(spark, tmp_path):
+    """Stages keep all columns of documents, whatever their names, and take empty tables and rows without an id."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, cls long, copy boolean, marks string, component_id string, id string"
+    rows = [(k, f"the words of text number {k} with some more of them", "en", "s", 1, 5, True, "m", "c", "i") for k in range(12)]
+    rows += [(20, rows[0][1], "en", "s", 1, 5, True, "m", "c", "i"), (None, rows[1][1], "en", None, None, None, None, None, None, None), (21, None, None, None, None, None, None, None, None, None)]
+    table = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(1, "nothing of this occurs")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, table, str(tmp_path))
+        assert found.columns == table.columns, name
+        assert found.where("doc_id = 3").first().marks == "m", name
+        assert stage(spark, table.limit(0), str(tmp_path)).count() == 0, name
+    assert {r.doc_id for r in corpus_pipeline.join_near_duplicates(spark, table, str(tmp_path)).collect()} == {*range(12), None, 21}
+    assert corpus_pipeline.tokenize(spark, table.limit(0), str(tmp_path)).count() == 0
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
