@@ -483,10 +483,15 @@ def _within_lists(num: int, den: int):
 
 def pairs_within(lists: DataFrame, classes: DataFrame, num: int, den: int) -> tuple[DataFrame, list[str]]:
     """Distinct pairs of the lists' classes across components that could link, and the tables it reads; ``lists`` has gram, cls, n, place and component."""
+    # lists of the same classes (a passage gives one for each of its shingles) are searched once, by the
+    # shingle that stands first: its places rule out least.  Members are told by two sums of hashes
+    of = [F.sum(F.xxhash64(F.lit(k), "cls").cast("decimal(20,0)")).alias(f"s{k}") for k in (1, 2)]
+    each = lists.groupBy("gram").agg(F.count("*").alias("m"), F.min("component").alias("x"), F.max("component").alias("y"), F.min("place").alias("at"), *of).where("x <> y")
+    first = each.groupBy("m", "s1", "s2").agg(F.min(F.struct("at", "gram")).alias("first"))
     # written first, so that the join can split a long list
-    sizes, path = settle(lists.groupBy("gram").agg(F.count("*").alias("m"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y"), "list-sizes")
+    sizes, path = settle(first.select(F.col("first.gram").alias("gram"), "m"), "list-sizes")
     blocks_ = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = lists.join(sizes.select("gram", "m"), "gram").withColumn("blocks", blocks_).withColumn("block", F.pmod(F.col("cls"), F.col("blocks").cast("long")).cast("int"))
+    rows = lists.join(sizes, "gram").withColumn("blocks", blocks_).withColumn("block", F.pmod(F.col("cls"), F.col("blocks").cast("long")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("gram", "cls", "n", "place", "component", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
     rows = rows.join(classes.select("cls", "sketch"), "cls")
@@ -509,7 +514,8 @@ def fetch_sets(texts: DataFrame, of_doc: DataFrame, wanted: DataFrame, sets) ->
     words = np.zeros(FILTER_WORDS, np.int64)
     words[bits["word"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
     found = texts.where("id is not null").withColumn("key", key).mapInArrow(sets(spark.sparkContext.broadcast(words)), "id long, cls long, grams binary")
-    return found.join(reps, ["id", "cls"], "left_semi").select("cls", "grams").dropDuplicates(["cls"])
+    # by class alone, so that one exchange serves both the join and the distinct classes
+    return found.join(reps.withColumnRenamed("id", "rep"), "cls").where("id = rep").select("cls", "grams").dropDuplicates(["cls"])
 
 
 def compare(pairs: DataFrame, texts: DataFrame, of_doc: DataFrame, cut, num: int, den: int) -> tuple[DataFrame, list[str]]:
