@@ -322,8 +322,8 @@ def write_files(tokens: DataFrame, path: str) -> None:
         if size or docs:
             yield out(pack_block(at, np.concatenate(waiting), docs, table))
 
-    # one task for each range partition: its rows stay together and in order
-    placed = tokens.select("part", "doc_id", "n", "ids").repartition(max(1, len(first)), "part").sortWithinPartitions("part", "doc_id")
+    # one task for each range partition, by its number: its rows stay together and in order
+    placed = tokens.select("part", "doc_id", "n", "ids").repartitionById(1 + max(first, default=0), F.col("part")).sortWithinPartitions("part", "doc_id")
     write_records(placed.mapInArrow(_by_part(run), "record binary"), "record", path, "\n")
 
 
