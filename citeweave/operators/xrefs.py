@@ -159,34 +159,20 @@ def hard_score(rows: DataFrame) -> DataFrame:
 def sample_hard(rows: DataFrame, n: int, *key: str) -> DataFrame:
     """Pairs in order of the score that bring a new source or target document, then others by score.
 
-    Whether a row brings a new document depends on the rows taken before it.  A
-    row can only be taken in that scan if it is the first of its source or of its
-    target document, so only those few candidates are scanned, in order.
+    A row is the first of its source document exactly if no earlier row has it,
+    so the rows that bring a new document are the first rows of any source or
+    target document, whatever was taken before: two minima say which, and no
+    scan in order is needed.
     """
     scored = hard_score(rows)
     order = [F.desc("hard_score"), *[F.asc(k) for k in key]]
     rank = F.struct((-F.col("hard_score")).alias("s"), *[F.col(k) for k in key])
-    candidates = None
+    tagged = scored.withColumn("_rank", rank)
     for side in ("source_doc", "target_doc"):
-        first = scored.groupBy(side).agg(F.min(rank).alias("_first")).select("_first")
-        candidates = first if candidates is None else candidates.unionByName(first)
-    # no more than n documents can be new before n rows are taken
-    ordered = candidates.distinct().join(scored.withColumn("_first", rank), "_first").orderBy(*order)
-    seen_s, seen_t, taken = set(), set(), []
-    for r in ordered.select(*key, "source_doc", "target_doc").toLocalIterator():
-        if len(taken) >= n:
-            break
-        if r["source_doc"] not in seen_s or r["target_doc"] not in seen_t:
-            taken.append(tuple(r[k] for k in key))
-            seen_s.add(r["source_doc"])
-            seen_t.add(r["target_doc"])
-    spark = rows.sparkSession
-    kinds = [f for f in scored.schema.fields if f.name in key]
-    from pyspark.sql.types import StructType
-
-    chosen = spark.createDataFrame(taken, StructType(sorted(kinds, key=lambda f: key.index(f.name)))).withColumn("picked", F.lit(0))
-    tagged = scored.join(F.broadcast(chosen), list(key), "left").withColumn("picked", F.coalesce("picked", F.lit(1)))
-    return tagged.orderBy("picked", *order).limit(n)
+        first = tagged.groupBy(side).agg(F.min("_rank").alias("_first")).select(F.col("_first").alias("_rank"), F.lit(True).alias(f"_{side}"))
+        tagged = tagged.join(first.dropDuplicates(["_rank"]), "_rank", "left")
+    picked = F.when(F.coalesce("_source_doc", "_target_doc", F.lit(False)), 0).otherwise(1)
+    return tagged.withColumn("picked", picked).drop("_rank", "_source_doc", "_target_doc").orderBy("picked", *order).limit(n)
 
 
 def largest_remainder(pool: dict, n: int) -> dict:
@@ -213,7 +199,8 @@ def stratified_sample(rows: DataFrame, strata: list[str], n: int, seed: int, key
     short = sum(max(0, share[s] - pool[s]) for s in pool)
     table = spark.createDataFrame([(*s, m) for s, m in share.items()], rows.select(*strata).schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", _take long")
     w = W.partitionBy(*strata).orderBy(T.draw(seed, F.col(key)), F.col(key))
-    taken = rows.withColumn("_n", F.row_number().over(w)).join(F.broadcast(table), strata).where(F.col("_n") <= F.col("_take")).drop("_n", "_take")
+    # no stratum gives more than n rows, which tasks cut before the exchange
+    taken = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max(n, 1)).join(F.broadcast(table), strata).where(F.col("_n") <= F.col("_take")).drop("_n", "_take")
     numbered = taken.withColumn("audit_id", F.format_string("HA-%06d", F.row_number().over(W.orderBy(*strata, key))))
     return numbered, short
 

@@ -226,7 +226,9 @@ def hard_enriched_score(spark, sf):
     return xrefs.hard_score(_features(spark, sf)).select("seq", "hard_score")
 
 
-@query()
+@query(f"""WITH {_FEATURES}, h AS (SELECT seq, {_HARD} AS hard_score, source_doc, target_doc FROM feats),
+    p AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY source_doc ORDER BY hard_score DESC, seq) = 1 OR row_number() OVER (PARTITION BY target_doc ORDER BY hard_score DESC, seq) = 1 THEN 0 ELSE 1 END AS picked FROM h)
+    SELECT seq, hard_score, source_doc, target_doc FROM p ORDER BY picked, hard_score DESC, seq LIMIT 50""")
 def sample_hard_enriched(spark, sf):
     return xrefs.sample_hard(_features(spark, sf), 50, "seq").select("seq", "hard_score", "source_doc", "target_doc")
 
@@ -251,7 +253,11 @@ def sample_definition(spark, sf):
     return xrefs.sample_matching(_features(spark, sf), F.col("has_definition") | F.col("has_exception"), 50, 13, "seq").select("seq", "has_definition", "has_exception")
 
 
-@query()
+@query(f"""WITH {_FEATURES}, b AS (SELECT seq, CASE WHEN jaccard < 0.15 THEN 'low_overlap' WHEN out_refs > 1 THEN 'multi_ref' WHEN has_definition OR has_exception THEN 'definition_condition' ELSE 'random' END AS bucket FROM feats),
+    pool AS (SELECT k.bucket, w, pos, (SELECT count(*) FROM b WHERE b.bucket = k.bucket) AS n FROM (VALUES ('low_overlap', 0.3, 1), ('multi_ref', 0.2, 3), ('definition_condition', 0.3, 2), ('random', 0.2, 4)) k(bucket, w, pos)),
+    floors AS (SELECT *, least(n, CAST(floor(50 * w) AS BIGINT)) AS f FROM pool), short AS (SELECT *, least(50, (SELECT sum(n) FROM pool)) - (SELECT sum(f) FROM floors) AS spare FROM floors),
+    shares AS (SELECT bucket, f + greatest(0, least(n - f, spare - coalesce(sum(n - f) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS take FROM short)
+    SELECT seq, bucket FROM (SELECT seq, bucket, take, row_number() OVER (PARTITION BY bucket ORDER BY md5(concat('13|', seq)), seq) AS k FROM b JOIN shares USING (bucket)) WHERE k <= take""")
 def sample_mixed_difficulty(spark, sf):
     return xrefs.sample_mixed(_features(spark, sf), 50, 13, "seq").select("seq", "bucket")
 
