@@ -281,9 +281,8 @@ def directory(spark: SparkSession, index: str) -> DataFrame:
     return spark.read.schema(_DIRECTORY).parquet(f"{index}/directory")
 
 
-def block_captures(content: bytes, low: str | None, high: str | None) -> Iterator[tuple]:
-    """The captures of a block whose key lies between two keys, ends included, by binary search."""
-    lines = content.decode().split("\n")
+def block_captures(lines: list[str], low: str | None, high: str | None) -> Iterator[tuple]:
+    """The captures of a block's lines whose key lies between two keys, ends included, by binary search."""
     key = lambda line: line[: line.index(" ")]
     a = 0 if low is None else bisect.bisect_left(lines, low, key=key)
     b = len(lines) if high is None else bisect.bisect_right(lines, high, key=key)
@@ -292,10 +291,11 @@ def block_captures(content: bytes, low: str | None, high: str | None) -> Iterato
         yield k, None if page == "-" else int(page), file, int(offset), int(length)
 
 
-def _unpacked(folder: str, ranges) -> Iterator[bytes]:
+def block_lines(folder: str, ranges) -> Iterator[list[str]]:
+    """The lines of index blocks, read by their ranges."""
     for _, _, data in read_ranges(folder, ranges):
         ((_, _, content),) = members([data])
-        yield content
+        yield content.decode().split("\n")
 
 
 def captures_between(spark: SparkSession, index: str, low: str | None = None, high: str | None = None) -> DataFrame:
@@ -309,8 +309,8 @@ def captures_between(spark: SparkSession, index: str, low: str | None = None, hi
     def run(batches):
         def rows():
             for batch in batches:
-                for content in _unpacked(f"{index}/blocks", zip(*(c.to_pylist() for c in batch.columns), strict=True)):
-                    yield from block_captures(content, low, high)
+                for lines in block_lines(f"{index}/blocks", zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                    yield from block_captures(lines, low, high)
 
         yield from _batches(rows(), _CAPTURE)
 
@@ -319,13 +319,13 @@ def captures_between(spark: SparkSession, index: str, low: str | None = None, hi
 
 def search_blocks(entries: list[tuple], folder: str, keys) -> Iterator[tuple]:
     """Captures of sorted keys in one index file: binary search in its directory, then in the blocks it names."""
-    lasts, at, content = [e[1] for e in entries], -1, b""
+    lasts, at, lines = [e[1] for e in entries], -1, []
     for key in keys:
         k = bisect.bisect_left(lasts, key)
         while k < len(entries) and entries[k][0] <= key:
             if k != at:
-                at, (content,) = k, _unpacked(folder, [entries[k][2:]])
-            yield from block_captures(content, key, key)
+                at, (lines,) = k, block_lines(folder, [entries[k][2:]])
+            yield from block_captures(lines, key, key)
             k += 1
 
 
