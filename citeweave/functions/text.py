@@ -222,6 +222,27 @@ def row_score(reference: Column, source: Column, target: Column, duty: str = "no
     )
 
 
+def row_signals(c: Column, repeated_tail: bool = True) -> Column:
+    """What :func:`row_score` needs of one passage, as a struct, so that it is computed once for each passage."""
+    text = normal(c)
+    return F.struct(rule_signal_score(c, repeated_tail).alias("signal"), any_phrase(c, OBLIGATIONS).alias("duty"), text.rlike("[.;:]").alias("marks"), F.substring(text, 1, 300).alias("head"), F.sha2(text, 256).alias("digest"), (text == "").alias("empty"))
+
+
+def score_of_signals(reference: Column, source: Column, target: Column, duty: str = "none") -> Column:
+    """:func:`row_score` from both passages' :func:`row_signals`."""
+    a, b = source["duty"], target["duty"]
+    bonus = {"none": F.lit(0), "either": F.when(a | b, 3).otherwise(-2), "both": F.when(a & b, 6).when(a | b, 1).otherwise(-5)}[duty]
+    glossary = F.concat_ws(" ", normal(reference), source["head"], target["head"]).rlike(GLOSSARY_TERM)
+    return (
+        source["signal"]
+        + target["signal"]
+        + bonus
+        + F.when(glossary, -50).otherwise(0)
+        + F.when(source["marks"] & target["marks"], 1).otherwise(0)
+        + F.when(~source["empty"] & (source["digest"] == target["digest"]), -5).otherwise(0)
+    )
+
+
 def cue(kind: str, c: Column) -> Column:
     return F.coalesce(c.rlike(CUES[kind]), F.lit(False))
 

@@ -128,9 +128,9 @@ def rule_signal_score(spark, sf):
         + CAST(regexp_matches(s.t, '[.;:]') AND regexp_matches(d.t, '[.;:]') AS INT) - 5 * CAST(s.t <> '' AND s.t = d.t AS INT) AS BIGINT) AS score
     FROM refs JOIN scored s ON s.doc = source_id JOIN scored d ON d.doc = target_id ORDER BY score DESC, seq LIMIT 100""")
 def xref_rank_topk(spark, sf):
-    texts = B.regulated(spark, sf)
-    rows = B.references(spark, sf).join(texts.select(F.col("doc").alias("source_id"), F.col("text").alias("s")), "source_id").join(texts.select(F.col("doc").alias("target_id"), F.col("text").alias("t")), "target_id")
-    scored = rows.select("seq", T.row_score(F.lit(""), F.col("s"), F.col("t"), "both", repeated_tail=False).alias("score"))
+    of = B.regulated(spark, sf).select("doc", T.row_signals(F.col("text"), repeated_tail=False).alias("x"))
+    rows = B.references(spark, sf).join(of.select(F.col("doc").alias("source_id"), F.col("x").alias("s")), "source_id").join(of.select(F.col("doc").alias("target_id"), F.col("x").alias("t")), "target_id")
+    scored = rows.select("seq", T.score_of_signals(F.lit(""), F.col("s"), F.col("t"), "both").alias("score"))
     return scored.orderBy(F.desc("score"), "seq").limit(100)
 
 
