@@ -70,11 +70,6 @@ def bm25(passages: DataFrame, queries: DataFrame, k: int, id_col: str = "doc", t
     return search_index(build_index(passages, id_col, text_col), queries, k, query_col, query_text)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
 def _best(qid: np.ndarray, doc: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k first entries of each query by falling score and rising document."""
     order = np.lexsort((doc, -score, qid))
