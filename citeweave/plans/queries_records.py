@@ -216,7 +216,7 @@ def rag_context(spark, sf):
     return out.select("qid", F.md5("context").alias("context_md5"), "n_passages", "fallback")
 
 
-@query("""SELECT doc_id AS item, CASE WHEN a >= b AND a >= c THEN 'contradiction' WHEN b >= c THEN 'neutral' ELSE 'entailment' END AS label, greatest(a, b, c) AS confidence
+@query("""SELECT doc_id AS item, CASE WHEN a >= b AND a >= c THEN 'contradiction' WHEN b >= c THEN 'neutral' ELSE 'entailment' END AS label, round(greatest(a, b, c), 6) AS confidence
     FROM (SELECT doc_id, (doc_id % 7) / 3.0 AS a, (doc_id % 5) / 3.0 AS b, (doc_id % 4) / 3.0 AS c FROM documents)""")
 def nli_argmax(spark, sf):
     d = F.col("doc_id")
