@@ -42,7 +42,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text_blocks import blocks, random_base, span_hasher
+from .text_blocks import blocks, keep_only, kept, random_base, span_hasher
 
 # Fixed value: the splitting pattern of byte-level vocabularies.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -413,16 +413,14 @@ def read_vocabulary(path: str) -> str:
         return f.read()
 
 
-_loaded: dict[int, tuple[str, MergeList, TextEncoder]] = {}
-
-
 def _transducer(vocabulary: str) -> tuple[MergeList, TextEncoder]:
-    key = hash(vocabulary)
-    if key not in _loaded:
+    loaded, key = kept("bpe"), hash(vocabulary)
+    keep_only("bpe", "hashers")
+    if key not in loaded:
         merges = MergeList(vocabulary)
         encoder = Encoder(merges)
-        _loaded[key] = (vocabulary, merges, TextEncoder(merges.special, len(merges.token_bytes), lambda p: encoder.piece(p.encode())))
-    return _loaded[key][1:]
+        loaded[key] = (merges, TextEncoder(merges.special, len(merges.token_bytes), lambda p: encoder.piece(p.encode())))
+    return loaded[key]
 
 
 def decoded_text(ids: np.ndarray, merges: MergeList, step: int = 1 << 16) -> Iterator[str]:

@@ -52,11 +52,11 @@ from pyspark.sql import functions as F
 from .components import components
 from .storage import discard, partitions, settle
 from .suffix_dedup import _by_shard, _dealt
-from .text_blocks import U64, blocks, mix, random_base, span_hasher, word_spans
+from .text_blocks import U64, blocks, keep_only, mix, random_base, span_hasher, word_spans
 
 FREQUENT = 1 << 16
 FREQUENT_PER_CHUNK = 4096
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 FILTER_WORDS = 1 << 17
 BLOCK = 1024
 SMALL = 32
@@ -203,6 +203,7 @@ def _classes(size: int, base: int):
     """(kind 0: id, class, second name, n, sketch of a class new to the task; kind 1: frequent shingle, count) from one pass over the texts."""
 
     def run(batches):
+        keep_only("hashers")
         seen, waiting, held = set(), [], 0
 
         def frequent():
@@ -264,6 +265,7 @@ def _postings(size: int, num: int, den: int, shards: int, base: int, shared_name
     """Packed postings of the short lists by shard: kind 0 of whole lists, kind 1 of lists dealt in parts."""
 
     def run(batches):
+        keep_only("hashers")
         frequent, counts = shared.value
         maybe = np.zeros(1 << 20, bool)
         maybe[(frequent >> U64(44)).astype(np.int64)] = True
@@ -354,6 +356,7 @@ def _merged_lists(num: int, den: int):
 
 def _sets(size: int, base: int, shared_names: frozenset, shared):
     def run(batches):
+        keep_only("hashers")
         words = shared.value
         for batch in batches:
             ids = batch.column(0)
@@ -376,6 +379,7 @@ def _search(num: int, den: int):
     """Links of each query (kind 0, first of its part) with the sets of its part (kind 1), ``GROUP`` sets at a time."""
 
     def run(batches):
+        keep_only("hashers")
         key, query, names, sets = None, None, [], []
 
         def flush():

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text_blocks import keep_only
+
 BUCKETS_LOG2 = 15
 BUCKETS = 1 << BUCKETS_LOG2
 SAMPLE_PER_LANGUAGE = 600
@@ -140,6 +142,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     fold = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
 
     def frequencies(batches):
+        keep_only()
         total, n = np.zeros(BUCKETS, np.int64), 0
         langs: dict[str, int] = {}
         for batch in batches:

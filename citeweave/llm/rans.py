@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .bpe import TextEncoder, byte_alphabet, read_vocabulary
 from .storage import discard, new_path, open_file, partitions, settle, write_records
-from .text_blocks import blocks
+from .text_blocks import blocks, keep_only, kept
 
 LANES = 2048
 BLOCK_TOKENS = 1 << 18
@@ -192,13 +192,13 @@ def unpack_block(body: bytes, table: FrequencyTable) -> tuple[int, np.ndarray, n
 
 _NO_ID = -(1 << 63)
 COUNTS = -1
-_encoders: dict[int, TextEncoder] = {}
 
 
 def _library_encoder(vocabulary: str) -> TextEncoder:
     """Whole texts to ids by the tokenizers library's own model, called once for each distinct piece."""
-    key = hash(vocabulary)
-    if key not in _encoders:
+    encoders, key = kept("rans"), hash(vocabulary)
+    keep_only("rans", "hashers")
+    if key not in encoders:
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_str(vocabulary)
@@ -209,8 +209,8 @@ def _library_encoder(vocabulary: str) -> TextEncoder:
         def piece(text: str) -> list[int]:
             return [t.id for t in model.tokenize(text.encode().decode("latin-1").translate(alphabet))]
 
-        _encoders[key] = TextEncoder(special, library.get_vocab_size(), piece)
-    return _encoders[key]
+        encoders[key] = TextEncoder(special, library.get_vocab_size(), piece)
+    return encoders[key]
 
 
 def range_bounds(docs: DataFrame, id_col: str) -> np.ndarray:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 
 #: Bytes of one Arrow batch that goes to Python, so that a worker holds a few of them at any row size.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import partitions
-from .text_blocks import U64, blocks, mix, quick_hashes, quick_sums
+from .text_blocks import U64, blocks, keep_only, mix, quick_hashes, quick_sums
 
 LENGTH = 100
 GRAM = 32
@@ -305,6 +305,7 @@ def _emit_points(length: int, shards: int):
     """One point for each hash of a chunk goes to the hash's shard (kind 0); where a chunk has several, they are known repeats and go to their documents' shards (kind 1)."""
 
     def run(batches):
+        keep_only("powers")
         waiting, hashes, size = [], [], 0
 
         def flush():
@@ -376,6 +377,7 @@ def _mark_type() -> np.dtype:
 
 def _emit_surroundings(length: int, shards: int):
     def run(batches):
+        keep_only("powers")
         waiting, size = [], 0
 
         def flush():

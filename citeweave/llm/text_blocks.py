@@ -39,18 +39,31 @@ _BYTE_VALUES = mix(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95))
 _PLAIN = np.arange(1, 257, dtype=U64)
 _FOLDED = _PLAIN.copy()
 _FOLDED[65:91] += U64(32)
-_powers = [np.ones(1, U64), np.ones(1, U64)]
+_kept: dict[str, dict] = {}
+
+
+def kept(name: str) -> dict:
+    """What a worker keeps from task to task under this name."""
+    return _kept.setdefault(name, {})
+
+
+def keep_only(*names: str) -> None:
+    """Forget what other operators left in this worker, which may serve many of them."""
+    for name, things in _kept.items():
+        if name not in names:
+            things.clear()
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the quick hash's base and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
+    found = kept("powers")
+    if not found or len(found[0]) < n:
         size = max(n, BLOCK_BYTES * 2)
         for k, base in enumerate((_BASE, _BASE_INVERSE)):
             steps = np.full(size, base, U64)
             steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+            found[k] = np.multiply.accumulate(steps)
+    return found[0][:n], found[1][:n]
 
 
 def quick_sums(data: np.ndarray) -> np.ndarray:
@@ -111,10 +124,15 @@ class SpanHasher:
     def sums(self, data: np.ndarray, fold_case: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Running sums of bytes times the halves of the base's powers; powers begin anew in each segment."""
         n = len(data)
-        value = (_FOLDED if fold_case else _PLAIN)[data]
+        values = _FOLDED if fold_case else _PLAIN
         out = np.zeros((2, n + 1), U64)
-        for half, row in zip((self.low, self.high), out, strict=True):
-            np.cumsum(value * (half[:n] if n <= SEGMENT else np.resize(half, n)), out=row[1:])
+        for at in range(0, n, SEGMENT):
+            value = values[data[at : at + SEGMENT]]
+            for half, row in zip((self.low, self.high), out, strict=True):
+                part = row[at + 1 : at + 1 + len(value)]
+                np.multiply(value, half[: len(value)], out=part)
+                np.cumsum(part, out=part)
+                part += row[at]
         return out[0], out[1]
 
     def hashes(self, sums: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -138,15 +156,13 @@ class SpanHasher:
         return total % PRIME
 
 
-_hashers: dict[int, SpanHasher] = {}
-
-
 def span_hasher(base: int) -> SpanHasher:
     """The hasher of a base; a worker keeps the last one."""
-    if base not in _hashers:
-        _hashers.clear()
-        _hashers[base] = SpanHasher(base)
-    return _hashers[base]
+    found = kept("hashers")
+    if base not in found:
+        found.clear()
+        found[base] = SpanHasher(base)
+    return found[base]
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
