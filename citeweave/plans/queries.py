@@ -161,12 +161,16 @@ def citation_like_rates(spark, sf):
     return rows.groupBy((F.col("doc") % 5 == 0).alias("ruled")).agg(F.count("*").alias("n"), F.avg(T.is_citation_like(F.col("text")).cast("int")).alias("citation_like"))
 
 
-@query()
+@query(rf"""WITH {B.REGULATED}, m AS (SELECT doc, coalesce(text, '') AS t, trim(regexp_extract(coalesce(text, ''), '(?i)(?:^|[.]\s+)((?:[^.]{{10,220}}?)\b(?:must|shall|may|is\s+required\s+to|subject\s+to|provided\s+that)\b[^.]{{0,220}})(?:[.]|$)', 1)) AS modal FROM regulated),
+    f AS (SELECT *, rtrim(substr(regexp_extract(trim(t), '(?s)^[^.?!]*[.?!]?'), 1, 220)) AS first FROM m), c AS (SELECT *, CASE WHEN modal <> '' THEN modal ELSE nullif(first, '') END AS clause FROM f)
+    SELECT doc, CASE WHEN clause IS NOT NULL THEN CASE WHEN modal <> '' THEN instr(t, modal) - 1 ELSE 0 END END AS start, CASE WHEN clause IS NOT NULL THEN CASE WHEN modal <> '' THEN instr(t, modal) - 1 ELSE 0 END + length(clause) END AS "end", clause AS text FROM c""")
 def core_clause(spark, sf):
     return B.regulated(spark, sf).select("doc", T.core_clause(F.col("text")).alias("c")).select("doc", "c.start", "c.end", "c.text")
 
 
-@query()
+@query(rf"""WITH {B.REGULATED}, a AS (SELECT doc, regexp_replace(trim(coalesce(text, '')), '(?i)\s*\(?(?:see|per|under|subject to)\s+[^)]*\)?$', '', 'g') AS t FROM regulated),
+    b AS (SELECT doc, regexp_replace(regexp_replace(t, '(?i)(?:\b(?:rule|section|part|chapter|appendix|schedule)\b\s*[:\-]?\s*(?:\d+(?:\.\d+)*(?:\([a-z0-9]+\))*)(?:\s*[a-z])?)|\bFSMR\b|\b\d+(?:\.\d+)+(?:\([^)]+\))*\b', '', 'g'), '\s+', ' ', 'g') AS t FROM a),
+    c AS (SELECT doc, regexp_replace(regexp_replace(t, '^[ ,.;:\-]+', ''), '[ ,.;:\-]+$', '') AS t FROM b) SELECT doc, array_to_string(list_slice(list_filter(string_split(t, ' '), lambda w: w <> ''), 1, 12), ' ') AS hook FROM c""")
 def semantic_hook(spark, sf):
     return B.regulated(spark, sf).select("doc", T.semantic_hook(F.col("text")).alias("hook"))
 
@@ -180,7 +184,9 @@ def source_only_hints(spark, sf):
     return B.pairs(spark, sf).select("seq", F.array_join(T.source_only_hints(F.col("source_text"), F.col("target_text")), " ").alias("hints"))
 
 
-@query()
+@query(r"""WITH u AS (SELECT page_id, url, regexp_replace(trim(url), '[#?].*$', '') AS bare FROM pages), n AS (SELECT *, regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/]*') AS head FROM u),
+    f AS (SELECT page_id, url, lower(head) || regexp_replace(substr(bare, length(head) + 1), '/+$', '') AS normal FROM n)
+    SELECT page_id, normal, regexp_replace(normal, '/\d{2}-\d{2}-\d{4}/?$', '') AS undated, regexp_replace(lower(url_decode(replace(regexp_extract(url, '#(.*)$', 1), '+', '%2B'))), '[^a-z0-9]+', '', 'g') AS anchor FROM f""")
 def url_normalize(spark, sf):
     url = F.col("url")
     return B.table(spark, sf, "pages").select("page_id", T.normal_url(url).alias("normal"), T.undated_url(T.normal_url(url)).alias("undated"), T.anchor_key(F.regexp_extract("url", "#(.*)$", 1)).alias("anchor"))
