@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import turn_sql
+
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 
@@ -84,7 +86,24 @@ def op10_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ordinal_toxicity, op2_itq_near_dedup, op3_warc_capture_index, op4_divide_skip_join, op5_rans_token_files, op6_streaming_bpe, op7_weak_label_quality, op8_deep_shallow_dedup, op9_language_id, op10_suffix_decontamination)}
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat_format
+
+    talks = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    # the contract's own conversation, whose texts look like the template's marks
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat_format.round_trip(talks.unionByName(extra))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import turn_repair
+
+    return turn_repair.repair_damage(_table(spark, sf_dir, "conversations"))
+
+
+_ALL = (op1_ordinal_toxicity, op2_itq_near_dedup, op3_warc_capture_index, op4_divide_skip_join, op5_rans_token_files, op6_streaming_bpe, op7_weak_label_quality, op8_deep_shallow_dedup, op9_language_id, op10_suffix_decontamination, op11_chat_format, op13_turn_repair)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _REACH = """both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
@@ -116,6 +135,8 @@ ORACLES: dict[str, str] = {
             coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
     """,
+    "op11_chat_format": turn_sql.chat_format(),
+    "op13_turn_repair": turn_sql.turn_repair(),
     "op3_warc_capture_index": """
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
