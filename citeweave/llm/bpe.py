@@ -242,6 +242,19 @@ class TextEncoder:
             return self.piece_ids(chunk)
         return [k for p in self.split.findall(chunk) for k in self.piece_ids(p)]
 
+    def chunks(self, chunks: list[str]) -> list[list[int]]:
+        return [self.chunk(c) for c in chunks]
+
+    def _begins(self, data: np.ndarray, space: np.ndarray) -> np.ndarray:
+        """Where chunks begin inside texts."""
+        kind = _KINDS[data]
+        before = np.append(np.uint8(0), kind[:-1])
+        # always cut by the pattern: letter|mark, visible|line feed, and a line feed between those and a letter
+        broken = (kind == 3) & ((before == 1) | (before == 2))
+        begins = space | ((kind == 2) & (before == 1)) | broken
+        begins[1:] |= broken[:-1] & (kind[1:] == 1)
+        return begins
+
     def piecewise(self, text: str, step: int = 1 << 16) -> Iterator[np.ndarray]:
         """One text's ids, piece by piece, about ``step`` at a time."""
         out: list[int] = []
@@ -308,12 +321,7 @@ class TextEncoder:
     def _window_ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = len(offsets) - 1
         space = data == 32
-        kind = _KINDS[data]
-        before = np.append(np.uint8(0), kind[:-1])
-        # always cut by the pattern: letter|mark, visible|line feed, and a line feed between those and a letter
-        broken = (kind == 3) & ((before == 1) | (before == 2))
-        begins = space | ((kind == 2) & (before == 1)) | broken
-        begins[1:] |= broken[:-1] & (kind[1:] == 1)
+        begins = self._begins(data, space)
         begins[offsets[:-1][offsets[:-1] < len(data)]] = True
         starts = np.flatnonzero(begins)
         if not len(starts):
@@ -330,7 +338,7 @@ class TextEncoder:
             order = np.argsort(first)
             missing, first, inverse = missing[order], first[order], np.argsort(order)[inverse]
             on = at[first]
-            new = [self.chunk(data[a:b].tobytes().decode()) for a, b in zip(starts[on].tolist(), ends[on].tolist(), strict=True)]
+            new = self.chunks([data[a:b].tobytes().decode() for a, b in zip(starts[on].tolist(), ends[on].tolist(), strict=True)])
             count = np.array([len(x) for x in new], np.int64)
             pool = np.concatenate([pool, np.fromiter((t for x in new for t in x), self.kind, int(count.sum()))])
             id_at = np.concatenate([id_at, id_at[-1] + np.cumsum(count)])

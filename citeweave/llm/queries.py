@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import turn_sql
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 END_ID = 2
 
 
@@ -96,13 +97,21 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.round_trip(talks.unionByName(extra))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import token_alignment
+
+    return token_alignment.alignment(_table(spark, sf_dir, "documents"), tokenizer_path(), public_tokenizers.path(PIECES))
+
+
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import turn_repair
 
     return turn_repair.repair_damage(_table(spark, sf_dir, "conversations"))
 
 
-_ALL = (op1_ordinal_toxicity, op2_itq_near_dedup, op3_warc_capture_index, op4_divide_skip_join, op5_rans_token_files, op6_streaming_bpe, op7_weak_label_quality, op8_deep_shallow_dedup, op9_language_id, op10_suffix_decontamination, op11_chat_format, op13_turn_repair)
+_ALL = (op1_ordinal_toxicity, op2_itq_near_dedup, op3_warc_capture_index, op4_divide_skip_join, op5_rans_token_files, op6_streaming_bpe, op7_weak_label_quality, op8_deep_shallow_dedup, op9_language_id, op10_suffix_decontamination, op11_chat_format, op12_token_alignment, op13_turn_repair)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
