@@ -11,6 +11,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,13 +42,36 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """A table as it was written to shared storage, with its path."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/citeweave/{name}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what :func:`written` wrote meanwhile; results must have been stored by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        discard(spark, *_scratch.pop())
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete tables that nothing reads any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(conf).delete(target, True)
+
+
+def list_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly below a folder of any Hadoop file system; none if it is missing."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(conf)
+    return sorted(f.getPath().getName() for f in system.listStatus(target)) if system.exists(target) else []

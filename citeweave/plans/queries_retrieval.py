@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from citeweave.operators import retrieval
+from citeweave.operators import kept_index, retrieval
 from citeweave.plans import bindings as B
+from citeweave.operators.tables import shared_root
 from citeweave.plans.queries import TOKENS, query
 
 _QRELS = "wanted AS (SELECT DISTINCT qid, doc FROM (SELECT qid, src AS doc FROM text_gold UNION ALL SELECT qid, tgt FROM text_gold))"
@@ -33,6 +36,16 @@ def xref_expand_diagnostics(spark, sf):
     return retrieval.expansion_diagnostics(run, B.edges(spark, sf), gold, seed_k=10)
 
 
+@query(f"WITH {B.BM25} SELECT qid, doc, round(score, 6) AS score, rank FROM text_run")
+def bm25_kept_index(spark, sf):
+    """The benchmark's passages searched in a kept index of blocks, in two generations, with block maxima."""
+    docs = B.passages(spark, sf)
+    path = f"{shared_root(spark)}/citeweave/index-{uuid.uuid4().hex}"
+    first = F.crc32(F.col("doc").cast("string")) % 4 > 0
+    index = kept_index.build(docs.where(first), path).append(docs.where(~first))
+    return index.search(_queries(spark, sf), 20).select("qid", "doc", "score", "rank")
+
+
 _WORKFLOW = f"""{B.EDGES}, {B.BM25}, {B.DENSE}, {B.TEXT_GOLD}, {_QRELS}, {_NEAR},
     two AS (SELECT 'bm25' AS run, qid, doc, score, rank FROM text_run UNION ALL SELECT 'dense', qid, doc, score, rank FROM dense_run),
     shared AS (SELECT qid FROM two GROUP BY 1 HAVING count(DISTINCT run) = 2),
