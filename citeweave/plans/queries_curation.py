@@ -366,15 +366,32 @@ def pilot_report(spark, sf):
 # ---------------------------------------------------------------- pages
 
 
-@query()
+# In SQL: the given pages hold their content as paragraphs of one article, some of them unclosed, under one heading.
+_NO_MARKUP = "trim(regexp_replace(regexp_replace(replace(regexp_replace({}, '<[^>]*>', ' ', 'g'), '&quot;', '\"'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g'))"
+_PARAGRAPHS = f"""articles AS (SELECT page_id, regexp_extract(html, '<article>(.*?)</article>', 1, 's') AS article FROM {{pages}}),
+    parts AS (SELECT page_id, {_NO_MARKUP.format("regexp_extract(article, '<h1>(.*?)</h1>', 1, 's')")} AS headings, (string_split(article, '<p>'))[2:] AS parts FROM articles),
+    chunks AS (SELECT page_id, headings, unnest(range(len(parts))) AS k, unnest(parts) AS part FROM parts),
+    blocks AS (SELECT page_id, headings, k, part, {_NO_MARKUP.format("regexp_replace(part, '</p>.*', '', 's')")} AS text FROM chunks),
+    kept AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS position FROM blocks
+        WHERE length(text) >= 25 AND len(string_split(text, ' ')) >= 4 AND NOT regexp_matches(text, '\\.{{{{4,}}}}')
+        AND NOT regexp_matches(text, '^(legal instruments that change this (part|rule|chapter)\\b|parts?\\b|policy statements?\\b|annex(es)?\\b|appendix\\b)', 'i'))"""
+
+
+@query(f"""WITH {_PARAGRAPHS.format(pages="pages")}
+    SELECT page_id, CAST(position AS INT) AS position, 'p' AS tag, format('p{{:06d}}', position + 1) AS anchor, headings, text FROM kept""")
 def html_passages(spark, sf):
     rows = html.passages(B.table(spark, sf, "pages"))
     return rows.select("page_id", "position", "tag", "anchor", F.array_join("headings", " > ").alias("headings"), "text")
 
 
-@query()
+@query(f"""WITH linked AS (SELECT page_id, replace(html, '<br>', concat(' <a href="../to/', page_id, '#x">page <i>', page_id, '</i></a> ')) AS html FROM pages), {_PARAGRAPHS.format(pages="linked")}
+    SELECT page_id, CAST(position AS INT) AS position, concat('../to/', page_id, '#x') AS href, concat('https://h.example/to/', page_id, '#x') AS absolute, concat('page ', page_id) AS text
+    FROM kept WHERE contains(part, '<a href')""")
 def html_links(spark, sf):
-    return html.links(B.table(spark, sf, "pages"))
+    """The pages' own content with a link in place of each line break."""
+    link = F.concat(F.lit(' <a href="../to/'), "page_id", F.lit('#x">page <i>'), "page_id", F.lit("</i></a> "))
+    pages = B.table(spark, sf, "pages").select("page_id", F.concat(F.lit("https://h.example/from/"), "page_id").alias("url"), F.replace("html", F.lit("<br>"), link).alias("html"))
+    return html.links(pages)
 
 
 @query()

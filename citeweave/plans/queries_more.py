@@ -89,7 +89,7 @@ def _marked_pages(spark, sf):
 
 @query("""SELECT page_id, position, tag, anchor, concat('Chapter ', page_id) AS headings, text FROM (
     SELECT page_id, 0 AS position, 'p' AS tag, 'a' AS anchor, concat('First paragraph of page number ', page_id, ' with a link ', page_id) AS text FROM pages
-    UNION ALL SELECT page_id, 1, 'li', 'li-2', concat('Second block of page number ', page_id, ' and back') FROM pages)""")
+    UNION ALL SELECT page_id, 1, 'li', 'p000001', concat('Second block of page number ', page_id, ' and back') FROM pages)""")
 def html_blocks(spark, sf):
     return html.passages(_marked_pages(spark, sf)).select("page_id", "position", "tag", "anchor", F.array_join("headings", " > ").alias("headings"), "text")
 

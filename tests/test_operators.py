@@ -110,7 +110,7 @@ def test_components_and_partitions(spark):
 def test_html_and_links(spark):
     page = '<html><nav><p>Menu entry that is long enough to count</p></nav><article><h1>Title</h1><a id="x"></a><p>Short</p><p id="one">This is a paragraph with words, see <a href="../b#c">there</a>.</p><div class="advert"><p>Advertisement with quite many words in it</p></div><p>Another paragraph of sufficient length here</article></html>'
     rows = html.passages(spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")).orderBy("position").collect()
-    assert [(r.anchor, r.headings) for r in rows] == [("one", ["Title"]), ("p-2", ["Title"])] and rows[0].anchors == ["x", "one"]
+    assert [(r.anchor, r.headings) for r in rows] == [("one", ["Title"]), ("p000001", ["Title"])] and rows[0].anchors == ["one", "x"]
     found = html.links(spark.createDataFrame([(1, "http://h.org/a/p", page)], "page_id long, url string, html string")).collect()
     assert [(r.href, r.absolute) for r in found] == [("../b#c", "http://h.org/b#c")]
     docs = spark.createDataFrame([(1, "http://h.org/b", 0), (2, "http://h.org/d/01-02-2020", 1)], "doc long, url string, load_order int")
