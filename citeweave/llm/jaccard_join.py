@@ -200,7 +200,7 @@ def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
 
 
 def _classes(size: int, base: int):
-    """(kind 0: id, class, second name, n, sketch of a class new to the task; kind 1: frequent shingle, count) from one pass over the texts."""
+    """(kind 0: id, alias, class, second name, n, sketch of a class new to the task; kind 1: frequent shingle, count) from one pass over the texts."""
 
     def run(batches):
         keep_only("hashers")
@@ -214,10 +214,11 @@ def _classes(size: int, base: int):
             top = np.argsort(-counts, kind="stable")[:FREQUENT_PER_CHUNK]
             top = top[counts[top] >= 4]
             n = len(top)
-            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(values[top].view(np.int64)), pa.nulls(n, pa.int64()), pa.array(counts[top], pa.int64()), pa.array(np.ones(n), pa.int32()), pa.nulls(n, pa.binary())], names=["id", "value", "second", "n", "kind", "sketch"])
+            none = pa.nulls(n, pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, pa.array(values[top].view(np.int64)), pa.nulls(n, pa.int64()), pa.array(counts[top], pa.int64()), pa.array(np.ones(n), pa.int32()), pa.nulls(n, pa.binary())], names=["id", "alias", "value", "second", "n", "kind", "sketch"])
 
         for batch in batches:
-            ids = batch.column(0)
+            ids, aliases = batch.column(0), batch.column(2)
             for a, b, data, offsets in blocks(batch.column(1)):
                 names, sizes, sketches = [], [], []
                 for grams in shingle_sets(data, offsets, size, base):
@@ -229,7 +230,8 @@ def _classes(size: int, base: int):
                         waiting.append(grams)
                         held += len(grams)
                         sketches[-1] = sketch_of(grams)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([x for x, _ in names], pa.int64()), pa.array([x for _, x in names], pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.zeros(b - a), pa.int32()), pa.array(sketches, pa.binary())], names=["id", "value", "second", "n", "kind", "sketch"])
+                facts = [pa.array([x for x, _ in names], pa.int64()), pa.array([x for _, x in names], pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.zeros(b - a), pa.int32()), pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), aliases.slice(a, b - a), *facts], names=["id", "alias", "value", "second", "n", "kind", "sketch"])
                 if held >= CHUNK:
                     yield frequent()
                     waiting, held = [], 0
@@ -357,20 +359,21 @@ def _merged_lists(num: int, den: int):
 def _sets(size: int, base: int, shared_names: frozenset, shared):
     def run(batches):
         keep_only("hashers")
-        words = shared.value
+        words, seen = shared.value, set()
         for batch in batches:
-            ids = batch.column(0)
-            for a, b, data, offsets in blocks(batch.column(1)):
-                on = (np.asarray(batch.column(2)[a:b]) & (FILTER_WORDS - 1)).astype(np.int64)
-                bit = (np.asarray(batch.column(2)[a:b]) >> 40) & 63
-                wanted = np.flatnonzero((words[on] >> bit) & 1)
+            for a, b, data, offsets in blocks(batch.column(0)):
+                keys = np.asarray(batch.column(1)[a:b])
+                on = (keys & (FILTER_WORDS - 1)).astype(np.int64)
+                wanted = np.flatnonzero((words[on] >> ((keys >> 40) & 63)) & 1)
+                # a task sends a text once, however many rows without an id have it
+                wanted = np.array([k for k in wanted.tolist() if not (keys[k] in seen or seen.add(keys[k]))], np.int64)
                 if not len(wanted):
                     continue
                 # only the rows asked for are cut into words
                 pieces = [data[offsets[k] : offsets[k + 1]] for k in wanted]
                 short = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
                 sets = shingle_sets(np.concatenate(pieces), short, size, base)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).take(pa.array(wanted)), pa.array([class_of(g, shared_names) for g in sets], pa.int64()), pa.array([g.tobytes() for g in sets], pa.binary())], names=["id", "cls", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[wanted]), pa.array([class_of(g, shared_names) for g in sets], pa.int64()), pa.array([g.tobytes() for g in sets], pa.binary())], names=["key", "cls", "grams"])
 
     return run
 
@@ -513,15 +516,15 @@ def fetch_sets(texts: DataFrame, of_doc: DataFrame, wanted: DataFrame, sets) ->
     through in error is dropped by the join.
     """
     spark = texts.sparkSession
-    reps = of_doc.where("n > 0").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id"))
-    key = F.xxhash64("id")
-    bits = reps.select(key.bitwiseAND(F.lit(FILTER_WORDS - 1)).alias("word"), F.shiftright(key, 40).bitwiseAND(F.lit(63)).alias("bit"))
+    key = F.coalesce("alias", F.xxhash64("id"))
+    reps = of_doc.where("n > 0").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min(key).alias("rep"))
+    bits = reps.select(F.col("rep").bitwiseAND(F.lit(FILTER_WORDS - 1)).alias("word"), F.shiftright("rep", 40).bitwiseAND(F.lit(63)).alias("bit"))
     bits = bits.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("bits")).toPandas()
     words = np.zeros(FILTER_WORDS, np.int64)
     words[bits["word"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
-    found = texts.where("id is not null").withColumn("key", key).mapInArrow(sets(spark.sparkContext.broadcast(words)), "id long, cls long, grams binary")
+    found = texts.select("text", key.alias("key")).mapInArrow(sets(spark.sparkContext.broadcast(words)), "key long, cls long, grams binary")
     # by class alone, so that one exchange serves both the join and the distinct classes
-    return found.join(reps.withColumnRenamed("id", "rep"), "cls").where("id = rep").select("cls", "grams").dropDuplicates(["cls"])
+    return found.join(reps, "cls").where("key = rep").select("cls", "grams").dropDuplicates(["cls"])
 
 
 def compare(pairs: DataFrame, texts: DataFrame, of_doc: DataFrame, cut, num: int, den: int) -> tuple[DataFrame, list[str]]:
@@ -557,12 +560,14 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
         return sent[-1]
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    first = keep(texts.mapInArrow(_classes(size, base), "id long, value long, second long, n long, kind int, sketch binary"), "classes")
+    # rows without an id are known by their texts
+    texts = texts.withColumn("alias", F.when(F.col("id").isNull(), F.xxhash64("text")))
+    first = keep(texts.mapInArrow(_classes(size, base), "id long, alias long, value long, second long, n long, kind int, sketch binary"), "classes")
     # names that unequal sets share: as good as none, and few at any size
     several = first.where("kind = 0 and sketch is not null").groupBy("value").agg(F.min("second").alias("x"), F.max("second").alias("y")).where("x <> y").select("value")
     shared_names = frozenset(r[0] for r in several.collect())
     name = F.when(F.col("value").isin(*shared_names), F.col("second")).otherwise(F.col("value")) if shared_names else F.col("value")
-    of_doc = first.where("kind = 0").select("id", name.alias("cls"), "n")
+    of_doc = first.where("kind = 0").select("id", "alias", name.alias("cls"), "n")
     classes = keep(first.where("kind = 0 and sketch is not null").groupBy(name.alias("cls")).agg(F.first("sketch").alias("sketch"), F.first("n").alias("n")), "class-sketches")
     top = first.where("kind = 1").groupBy("value").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "value").limit(FREQUENT).toPandas()
     frequent = top["value"].to_numpy(np.int64).view(U64)

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from citeweave.llm import components, itq_dedup, jaccard_join, suffix_dedup
 
@@ -154,6 +155,27 @@ def test_rows_without_id(spark):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in rows) == sorted([("None", 4, "3"), ("4", 4, "3"), ("3", 4, "3"), ("None", 2, "None"), ("None", 0, "None"), ("8", 0, "8")])
 
 
+def test_chains_through_rows_without_id(spark):
+    """A row without an id may be all that joins two others, whichever of them the drawn base makes the query."""
+    docs = []
+    for c in range(12):
+        words = [f"c{c}w{k}" for k in range(120)]
+        one, between, two = words[:102], words[1:103], words[3:105]
+        docs += [(10 * c + 1, one), (10 * c + 2, two), (10 * c + 5, words[20:60]), (None, words[21:61]), (None, words[22:62]), (10 * c + 6, words[23:63])] + [(None, between)] * 3
+    docs = [(d, " ".join(w)) for d, w in docs]
+    DRAW.shuffle(docs)
+    rows = jaccard_join.similar(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), size=3, num=94, den=100).collect()
+    sets = [frozenset(zip(t.split(), t.split()[1:], t.split()[2:], strict=False)) for _, t in docs]
+    group = list(range(len(docs)))
+    for a in range(len(docs)):
+        for b in range(len(docs)):
+            if 100 * len(sets[a] & sets[b]) >= 94 * len(sets[a] | sets[b]):
+                group = [group[a] if g == group[b] else g for g in group]
+    least = {g: min((d for (d, _), h in zip(docs, group, strict=True) if h == g and d is not None), default=None) for g in group}
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in rows) == sorted((str(d), str(least[g])) for (d, _), g in zip(docs, group, strict=True))
+    assert all(least[group[k]] == d - 1 for k, (d, _) in enumerate(docs) if d is not None and d % 10 == 2)
+
+
 def test_deep_shallow_sort():
     for t in range(150):
         width, n = DRAW.choice([5, 8, 12, 40, 100]), DRAW.randint(1, 60)
