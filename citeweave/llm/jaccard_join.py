@@ -15,7 +15,9 @@ shingles; any fixed ranking gives whole results) are dealt by shingle.  A list
 of up to ``SMALL`` classes brings all its classes together; of a longer one,
 first ``HEADS`` of its classes are brought together with all others (the same
 ones in all lists that have them, by a hash), and once the links found have made
-components, the classes of different components are, ``BLOCK`` by ``BLOCK``.
+components, the classes of different components are if their sizes allow a link:
+lists are cut into parts by size, and a part meets itself and the next one,
+``BLOCK`` by ``BLOCK``.
 Lists of the most frequent shingles are dealt in parts of about ``PART``
 postings, each with heads of its own.
 Sizes, places in the lists and a parity sketch (each differing bit is a
@@ -43,6 +45,7 @@ are dropped, except by :func:`keep_one_each`.
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -431,7 +434,7 @@ def _within_lists(num: int, den: int):
     """Pairs across components of one list, or of two blocks of it, that sketches do not rule out."""
 
     def pairs(frame):
-        cls, n, place, component, block = (frame[c].to_numpy() for c in ("cls", "n", "place", "component", "block"))
+        cls, n, place, component, block, upper = (frame[c].to_numpy() for c in ("cls", "n", "place", "component", "block", "upper"))
         first, second = int(frame["first"].iloc[0]), int(frame["second"].iloc[0])
         words = np.array([len(x) // 8 for x in frame["sketch"]])
         kinds = np.unique(words).tolist()
@@ -447,7 +450,7 @@ def _within_lists(num: int, den: int):
                     i = x[at : at + 256]
                     total = n[i][:, None] + n[y][None, :]
                     close = could_link(n[i][:, None], n[y][None, :], place[i][:, None], place[y][None, :], num, den)
-                    close &= component[i][:, None] != component[y][None, :]
+                    close &= (component[i][:, None] != component[y][None, :]) & ((upper[i][:, None] & upper[y][None, :]) == 0)
                     if first != second:
                         close &= block[i][:, None] != block[y][None, :]
                     a, b = np.nonzero(close)
@@ -472,7 +475,7 @@ def _within_lists(num: int, den: int):
 
         for batch in batches:
             frame = batch.to_pandas()
-            keys = frame[["gram", "first", "second"]].to_numpy()
+            keys = frame[["gram", "part", "first", "second"]].to_numpy()
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(frame)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
@@ -490,22 +493,28 @@ def _within_lists(num: int, den: int):
 
 def pairs_within(lists: DataFrame, classes: DataFrame, num: int, den: int) -> tuple[DataFrame, list[str]]:
     """Distinct pairs of the lists' classes across components that could link, and the tables it reads; ``lists`` has gram, cls, n, place and component."""
+    # a list is searched in parts by size: linked sets differ in size by less than den / num, so a class
+    # meets its own part and the next one only; ``upper`` rows are guests from the next part
+    part = F.floor(F.log("n") / (math.log(den / num) * (1 + 1e-9))) if num < den else F.col("n")
+    home = lists.withColumn("part", part.cast("long"))
+    rows = home.withColumn("upper", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("part", F.col("part") - F.col("upper"))
     # lists of the same classes (a passage gives one for each of its shingles) are searched once, by the
     # shingle that stands first: its places rule out least.  Members are told by two sums of hashes
-    of = [F.sum(F.xxhash64(F.lit(k), "cls").cast("decimal(20,0)")).alias(f"s{k}") for k in (1, 2)]
-    each = lists.groupBy("gram").agg(F.count("*").alias("m"), F.min("component").alias("x"), F.max("component").alias("y"), F.min("place").alias("at"), *of).where("x <> y")
-    first = each.groupBy("m", "s1", "s2").agg(F.min(F.struct("at", "gram")).alias("first"))
+    of = [F.sum(F.xxhash64(F.lit(k), "cls", "upper").cast("decimal(20,0)")).alias(f"s{k}") for k in (1, 2)]
+    facts = [F.count("*").alias("m"), F.min("upper").alias("u"), F.min("component").alias("x"), F.max("component").alias("y"), F.min("place").alias("at")]
+    each = rows.groupBy("gram", "part").agg(*facts, *of).where("x <> y and u = 0")
+    first = each.groupBy("m", "s1", "s2").agg(F.min(F.struct("at", "gram", "part")).alias("first"))
     # written first, so that the join can split a long list
-    sizes, path = settle(first.select(F.col("first.gram").alias("gram"), "m"), "list-sizes")
+    sizes, path = settle(first.select(F.col("first.gram").alias("gram"), F.col("first.part").alias("part"), "m"), "list-sizes")
     blocks_ = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = lists.join(sizes, "gram").withColumn("blocks", blocks_).withColumn("block", F.pmod(F.col("cls"), F.col("blocks").cast("long")).cast("int"))
+    rows = rows.join(sizes, ["gram", "part"]).withColumn("blocks", blocks_).withColumn("block", F.pmod(F.col("cls"), F.col("blocks").cast("long")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("gram", "cls", "n", "place", "component", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
+    rows = rows.select("gram", "part", "upper", "cls", "n", "place", "component", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
     # one row of the sketches is enough here: what it lets through meets both rows before any set is fetched
     half = F.expr("substring(sketch, 1, cast(octet_length(sketch) / 2 as int))")
     rows = rows.join(classes.select("cls", half.alias("sketch")), "cls")
-    key = ["gram", "first", "second"]
-    dealt = rows.repartition(partitions(lists.sparkSession), *key).sortWithinPartitions(*key).select(*key, "block", "cls", "n", "place", "component", "sketch")
+    key = ["gram", "part", "first", "second"]
+    dealt = rows.repartition(partitions(lists.sparkSession), *key).sortWithinPartitions(*key).select(*key, "block", "upper", "cls", "n", "place", "component", "sketch")
     return dealt.mapInArrow(_within_lists(num, den), "a long, b long").distinct(), [path]
 
 
