@@ -30,8 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from citeweave.functions import text as T
-from citeweave.operators.retrieval import B, EPSILON, K1, postings, ranked
+from citeweave.operators.retrieval import B, EPSILON, K1, asked_terms, postings, ranked
 from citeweave.operators.tables import list_folders, written
 
 SLICE = 4096
@@ -117,7 +116,7 @@ class KeptIndex:
         terms = self.terms()
         raw = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
         floor = terms.agg(F.avg(raw) * EPSILON).scalar()
-        asked = queries.select(F.col(query_col).alias("qid"), F.explode(T.words(F.lower(F.col(query_text)))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
+        asked = asked_terms(queries, query_col, query_text)
         weight = F.col("times") * F.when(raw < 0, floor).otherwise(raw)
         most = F.col("weight") * _impact(F.col("max_tf"), F.col("min_dl"), mean)
         return asked.join(terms, "term").withColumn("weight", weight).withColumn("most", F.greatest(F.lit(0.0), most)).select("qid", "term", "df", "weight", "most")

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from citeweave.functions import text as T
+from citeweave.operators.models import Model, pair_scores, tokenized
 from citeweave.operators.tables import written
 
 # Okapi parameters, fusion constant, vote thresholds.
@@ -29,21 +29,35 @@ def ranked(runs: DataFrame, k: int | None = None, by=("run", "qid")) -> DataFram
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-def postings(passages: DataFrame, id_col: str = "doc", text_col: str = "text") -> DataFrame:
+def terms_of(rows: DataFrame, text_col: str = "text", tokenizer: Model | None = None) -> DataFrame:
+    """The rows with their terms in place of the text: lower-case words, or what a tokenizer makes of it."""
+    if tokenizer is not None:
+        return tokenized(rows, tokenizer, text_col, "terms").drop(text_col)
+    return rows.withColumn("terms", T.words(F.lower(F.col(text_col)))).drop(text_col)
+
+
+def postings(passages: DataFrame, id_col: str = "doc", text_col: str = "text", tokenizer: Model | None = None) -> DataFrame:
     """(term, doc, tf, dl): how often each passage has a term, and its length."""
-    terms = passages.select(F.col(id_col).alias("doc"), T.words(F.lower(F.col(text_col))).alias("terms"))
+    terms = terms_of(passages.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), "text", tokenizer)
     return terms.select("doc", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("term", "doc", "dl").agg(F.count("*").alias("tf"))
 
 
-def build_index(passages: DataFrame, id_col: str = "doc", text_col: str = "text", path: str | None = None) -> DataFrame:
+def build_index(passages: DataFrame, id_col: str = "doc", text_col: str = "text", path: str | None = None, tokenizer: Model | None = None) -> DataFrame:
     """The postings, written once: to ``path`` to be kept, else to the shared folder."""
+    rows = postings(passages, id_col, text_col, tokenizer)
     if path is None:
-        return written(postings(passages, id_col, text_col), "postings")[0]
-    postings(passages, id_col, text_col).write.mode("overwrite").parquet(path)
+        return written(rows, "postings")[0]
+    rows.write.mode("overwrite").parquet(path)
     return passages.sparkSession.read.parquet(path)
 
 
-def search_index(index: DataFrame, queries: DataFrame, k: int, query_col: str = "qid", query_text: str = "text") -> DataFrame:
+def asked_terms(queries: DataFrame, query_col: str = "qid", query_text: str = "text", tokenizer: Model | None = None) -> DataFrame:
+    """(qid, term, times) of the queries."""
+    rows = terms_of(queries.select(F.col(query_col).alias("qid"), F.col(query_text).alias("text")), "text", tokenizer)
+    return rows.select("qid", F.explode("terms").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
+
+
+def search_index(index: DataFrame, queries: DataFrame, k: int, query_col: str = "qid", query_text: str = "text", tokenizer: Model | None = None) -> DataFrame:
     """Okapi BM25 top k of documents that share a term with the query.
 
     A term that most passages hold gets a quarter of the mean inverse frequency
@@ -57,7 +71,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, query_col: str =
     raw = lambda df: F.log(n - df + 0.5) - F.log(df + 0.5)
     df = index.groupBy("term").agg(F.count("*").alias("df"))
     mean = df.agg(F.avg(raw(F.col("df")))).scalar()
-    asked = queries.select(F.col(query_col).alias("qid"), F.explode(T.words(F.lower(F.col(query_text)))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
+    asked = asked_terms(queries, query_col, query_text, tokenizer)
     idf = df.join(asked.select("term").distinct(), "term", "left_semi").select("term", F.when(raw(F.col("df")) < 0, EPSILON * mean).otherwise(raw(F.col("df"))).alias("idf"))
     weight = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
     hits = index.join(asked.join(idf, "term"), "term")
@@ -65,9 +79,9 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, query_col: str =
     return ranked(scores, k, by=("qid",))
 
 
-def bm25(passages: DataFrame, queries: DataFrame, k: int, id_col: str = "doc", text_col: str = "text", query_col: str = "qid", query_text: str = "text") -> DataFrame:
+def bm25(passages: DataFrame, queries: DataFrame, k: int, id_col: str = "doc", text_col: str = "text", query_col: str = "qid", query_text: str = "text", tokenizer: Model | None = None) -> DataFrame:
     """:func:`search_index` over an index written for the purpose."""
-    return search_index(build_index(passages, id_col, text_col), queries, k, query_col, query_text)
+    return search_index(build_index(passages, id_col, text_col, tokenizer=tokenizer), queries, k, query_col, query_text, tokenizer)
 
 
 def _best(qid: np.ndarray, doc: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,66 +94,84 @@ def _best(qid: np.ndarray, doc: np.ndarray, score: np.ndarray, k: int) -> tuple[
     return qid[on], doc[on], score[on]
 
 
-QUERY_BYTES = 32 << 20
-
-
-def dense_topk(passages: DataFrame, queries: DataFrame, k: int, id_col: str = "doc", query_col: str = "qid", vector_col: str = "vector", query_bytes: int = QUERY_BYTES) -> DataFrame:
-    """Exhaustive cosine search of all passages for all queries.
-
-    Queries go out ``query_bytes`` at a time, which bounds the broadcast; for
-    each such part the passages are scanned once, and only k rows for each query
-    and task reach the final ranking.  Zero vectors and those that are null or
-    hold null or non-finite components are neither asked nor found; vectors of
-    different length are never compared.
+#: Vectors of a block of queries and of a block of passages.
+QUERY_ROWS, PASSAGE_ROWS = 2048, 16384
+
+
+def _nearest(k: int):
+    """The k nearest passages of each query of a pair of blocks, whose queries come first; passages are streamed."""
+
+    def run(batches):
+        key, ids, vectors, matrix, best, docs, flat = None, [], [], None, None, [], []
+
+        def compare():
+            nonlocal best, docs, flat, matrix
+            if ids and docs:
+                if matrix is None:
+                    matrix = np.array(vectors, np.float64)
+                    matrix /= np.linalg.norm(matrix, axis=1)[:, None]
+                other = np.array(flat, np.float64)
+                unit, names, found = (other / np.linalg.norm(other, axis=1)[:, None]).T, np.array(docs), [best]
+                for a in range(0, len(ids), 256):
+                    scores = matrix[a : a + 256] @ unit
+                    least = np.partition(scores, len(names) - k, axis=1)[:, len(names) - k] if len(names) > k else np.full(len(scores), -np.inf)
+                    q, d = np.nonzero(scores >= least[:, None])
+                    found.append((a + q, names[d], scores[q, d]))
+                best = _best(*map(np.concatenate, zip(*found, strict=True)), k)
+            docs, flat = [], []
+
+        def finish():
+            compare()
+            q, doc, score = best
+            return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[q]), pa.array(doc), pa.array(score)], names=["qid", "doc", "score"])
+
+        for batch in batches:
+            for *now, kind, name, vector in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != key:
+                    if key is not None:
+                        yield finish()
+                    key, ids, vectors, matrix = now, [], [], None
+                    best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+                if kind == 0:
+                    ids.append(name)
+                    vectors.append(vector)
+                elif ids:
+                    docs.append(name)
+                    flat.append(vector)
+                    if len(docs) == 1024:
+                        compare()
+        if key is not None:
+            yield finish()
+
+    return run
+
+
+def dense_topk(passages: DataFrame, queries: DataFrame, k: int, id_col: str = "doc", query_col: str = "qid", vector_col: str = "vector", query_rows: int = QUERY_ROWS, passage_rows: int = PASSAGE_ROWS) -> DataFrame:
+    """Exhaustive cosine search of all passages for all queries, dealt in two dimensions.
+
+    Blocks of about ``query_rows`` queries meet blocks of about ``passage_rows``
+    passages of the same vector length, so a task holds one block of queries
+    whatever the tables' sizes; of each pair of blocks at most k rows per query
+    reach the final ranking.  Numbers of blocks are scalar subqueries: nothing
+    runs before the result is asked for, and the plan does not depend on the
+    number of queries.  Zero vectors and those that are null or hold null or
+    non-finite components are neither asked nor found; vectors of different
+    length are never compared.
     """
-    spark = passages.sparkSession
     sound = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
     usable = F.coalesce(F.forall("vector", sound) & F.exists("vector", lambda v: v != 0), F.lit(False))
     pick = lambda df, c: df.select(F.col(c).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where(usable)
-    side, schema = pick(passages, id_col), "qid long, doc long, score double"
-
-    def search(chunk):
-        parts = {}
-        for size in sorted({len(v) for _, v in chunk}):
-            rows = [(q, v) for q, v in chunk if len(v) == size]
-            matrix = np.array([v for _, v in rows], np.float64)
-            parts[size] = np.array([q for q, _ in rows], np.int64), matrix / np.linalg.norm(matrix, axis=1)[:, None]
-        shared = spark.sparkContext.broadcast(parts)
-
-        def run(batches):
-            none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-            best = {size: none for size in shared.value}
-            for batch in batches:
-                sizes = pc.list_value_length(batch.column(1)).to_numpy()
-                for size, (ids, matrix) in shared.value.items():
-                    on = np.flatnonzero(sizes == size)
-                    if not len(on):
-                        continue
-                    docs = batch.column(0).to_numpy()[on]
-                    flat = batch.column(1).take(pa.array(on)).flatten().to_numpy().reshape(len(on), size)
-                    unit = (flat / np.linalg.norm(flat, axis=1)[:, None]).T
-                    found = [best[size]]
-                    for a in range(0, len(ids), 256):
-                        scores = matrix[a : a + 256] @ unit
-                        least = np.partition(scores, len(on) - k, axis=1)[:, len(on) - k] if len(on) > k else np.full(len(scores), -np.inf)
-                        q, d = np.nonzero(scores >= least[:, None])
-                        found.append((a + q, docs[d], scores[q, d]))
-                    best[size] = _best(*map(np.concatenate, zip(*found, strict=True)), k)
-            for size, (q, doc, score) in best.items():
-                yield pa.RecordBatch.from_arrays([pa.array(shared.value[size][0][q]), pa.array(doc), pa.array(score)], names=["qid", "doc", "score"])
-
-        return side.mapInArrow(run, schema)
-
-    rows, held, found = [], 0, spark.createDataFrame([], schema)
-    for row in pick(queries, query_col).where("id is not null").toLocalIterator():
-        rows.append((row[0], row[1]))
-        held += 8 * len(row[1])
-        if held >= query_bytes:
-            found = found.unionByName(search(rows))
-            rows, held = [], 0
-    if rows:
-        found = found.unionByName(search(rows))
-    return ranked(found, k, by=("qid",))
+    blocks = lambda side, rows: side.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / rows)).cast("int").alias("n")).scalar()
+    asked, known = pick(queries, query_col).where("id is not null"), pick(passages, id_col)
+    n_q, n_p = blocks(asked, query_rows), blocks(known, passage_rows)
+    own = lambda n: F.pmod(F.xxhash64("id"), n.cast("long")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    size = F.size("vector").alias("size")
+    dealt = asked.select(size, own(n_q).alias("q"), every(n_p).alias("p"), F.lit(0).alias("kind"), "id", "vector")
+    dealt = dealt.unionByName(known.select(size, every(n_q).alias("q"), own(n_p).alias("p"), F.lit(1).alias("kind"), "id", "vector"))
+    key = ["size", "q", "p"]
+    met = dealt.repartition(*key).sortWithinPartitions(*key, "kind")
+    return ranked(met.mapInArrow(_nearest(k), "qid long, doc long, score double"), k, by=("qid",))
 
 
 def answered_by_all(runs: DataFrame) -> DataFrame:
@@ -168,13 +200,15 @@ def question_share(question: Column, passage: Column) -> Column:
 
 
 def rerank(candidates: DataFrame, queries: DataFrame, passages: DataFrame, scorer=None, k: int = 20) -> DataFrame:
-    """Score (question, passage) pairs with ``scorer`` (two columns to a column) and rank; unknown passages drop out.
+    """Score (question, passage) pairs with ``scorer`` (a model, or two columns to a column) and rank; unknown passages drop out.
 
     A query without text is asked by its id.
     """
     asked = candidates.select("qid", "doc").join(queries.select("qid", F.nullif(F.trim("text"), F.lit("")).alias("question")), "qid", "left")
     pairs = asked.join(passages.select("doc", F.col("text").alias("passage")), "doc")
     question = F.coalesce("question", F.col("qid").cast("string"))
+    if isinstance(scorer, Model):
+        return ranked(pair_scores(pairs.select("qid", "doc", question.alias("question"), "passage"), scorer).select("qid", "doc", "score"), k, by=("qid",))
     return ranked(pairs.select("qid", "doc", (scorer or question_share)(question, F.col("passage")).alias("score")), k, by=("qid",))
 
 
