@@ -23,9 +23,10 @@ postings, each with heads of its own.
 Sizes, places in the lists and a parity sketch (each differing bit is a
 shingle that only one set has) rule most meetings out for certain.
 
-The search.  Each class is a query against the classes it may meet, ``GROUP``
-of them at a time: their inverted lists are built, and :func:`divide_skip`
-merges the short ones and probes the long ones.
+The search.  Classes that many others may meet are heads; the inverted lists of up
+to about ``GROUP`` heads are built once in a task, and every class that may meet one
+of them is a query: :func:`divide_skip` merges its short lists by a heap and probes
+its long ones.  A class meets all its heads in one place where it can.
 
 Components need no link inside a component, so such pairs are not searched and
 numbers of links are not returned.
@@ -176,19 +177,21 @@ def divide_skip(lists: list, least: int, long: int | None = None) -> dict[int, i
     return found
 
 
-def search(query: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[int]:
-    """Which of the sets reach the similarity with ``query``: T-occurrence search over their inverted lists."""
-    least, sizes = needed(len(query), num, den), np.array([len(x) for x in sets])
-    fit = np.flatnonzero((den * sizes >= num * len(query)) & (num * sizes <= den * len(query))).tolist()
-    if not fit:
-        return []
-    grams = np.concatenate([sets[k] for k in fit])
-    owner = np.repeat(np.array(fit), sizes[fit])
-    order = np.argsort(grams, kind="stable")  # ids stay rising within a list
-    grams, owner = grams[order], owner[order]
-    low, high = np.searchsorted(grams, query, "left"), np.searchsorted(grams, query, "right")
-    counts = divide_skip([owner[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)], least)
-    return [k for k, both in counts.items() if den * both >= num * (len(query) + int(sizes[k]) - both)]
+class Inverted:
+    """Inverted lists of some sets: which of them hold each shingle, places rising within a list."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        grams = np.concatenate([np.zeros(0, U64), *sets])
+        order = np.argsort(grams, kind="stable")
+        self.grams, self.owner = grams[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def similar(self, query: np.ndarray, num: int, den: int) -> list[int]:
+        """Which sets reach the similarity with ``query``: T-occurrence search over the lists of its shingles."""
+        low, high = np.searchsorted(self.grams, query, "left"), np.searchsorted(self.grams, query, "right")
+        lists = [self.owner[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+        counts = divide_skip(lists, needed(len(query), num, den))
+        return [k for k, both in counts.items() if den * both >= num * (len(query) + int(self.sizes[k]) - both)]
 
 
 def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
@@ -382,34 +385,32 @@ def _sets(size: int, base: int, shared_names: frozenset, shared):
 
 
 def _search(num: int, den: int):
-    """Links of each query (kind 0, first of its part) with the sets of its part (kind 1), ``GROUP`` sets at a time."""
+    """Links of the members of each group (kind 1) with its heads (kind 0), whose lists are built once and searched by each member."""
 
     def run(batches):
         keep_only("hashers")
-        key, query, names, sets = None, None, [], []
+        key, names, sets, index, found = None, [], [], None, []
 
-        def flush():
-            hits = search(query, sets, num, den)
-            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(hits), pa.int64()), pa.array([names[k] for k in hits], pa.int64())], names=["a", "b"])
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            heads = zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True)
-            for k, (a, part, kind, cls) in enumerate(heads):
-                if (a, part) != key:
-                    if sets:
-                        yield flush()
-                    key, query, names, sets = (a, part), None, [], []
-                values = np.frombuffer(batch.column(4)[k].as_py(), U64)
+            heads = zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True)
+            for k, (*group, kind, cls) in enumerate(heads):
+                if group != key:
+                    key, names, sets, index = group, [], [], None
+                values = np.frombuffer(batch.column(5)[k].as_py(), U64)
                 if kind == 0:
-                    query = values
+                    names.append(cls)
+                    sets.append(values)
                     continue
-                names.append(cls)
-                sets.append(values)
-                if len(sets) == GROUP:
-                    yield flush()
-                    names, sets = [], []
-        if sets:
-            yield flush()
+                if index is None:
+                    index = Inverted(sets)
+                    sets = []
+                found += [(names[x], cls) for x in index.similar(values, num, den) if names[x] != cls]
+            if found:
+                yield rows()
+                found = []
 
     return run
 
@@ -519,10 +520,10 @@ def pairs_within(lists: DataFrame, classes: DataFrame, num: int, den: int) -> tu
 
 
 def fetch_sets(texts: DataFrame, of_doc: DataFrame, wanted: DataFrame, sets) -> DataFrame:
-    """(cls, grams) of the wanted classes, from one document each.
+    """(cls, grams) of the wanted classes, from one document each, where it is read.
 
-    A filter of fixed size tells which texts to cut into words; what it lets
-    through in error is dropped by the join.
+    A filter of fixed size tells which texts to cut into words.  What it lets
+    through in error are sets of other classes, or one of these once more.
     """
     spark = texts.sparkSession
     key = F.coalesce("alias", F.xxhash64("id"))
@@ -531,24 +532,39 @@ def fetch_sets(texts: DataFrame, of_doc: DataFrame, wanted: DataFrame, sets) ->
     bits = bits.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("bits")).toPandas()
     words = np.zeros(FILTER_WORDS, np.int64)
     words[bits["word"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
-    found = texts.select("text", key.alias("key")).mapInArrow(sets(spark.sparkContext.broadcast(words)), "key long, cls long, grams binary")
-    # by class alone, so that one exchange serves both the join and the distinct classes
-    return found.join(reps, "cls").where("key = rep").select("cls", "grams").dropDuplicates(["cls"])
+    return texts.select("text", key.alias("key")).mapInArrow(sets(spark.sparkContext.broadcast(words)), "key long, cls long, grams binary").select("cls", "grams")
+
+
+def grouped(pairs: DataFrame) -> DataFrame:
+    """(g, piece, salt, h, b): pairs of a head and a member, in groups of one task each.
+
+    Of two classes that with more pairs is the head; a member belongs to its head of most
+    pairs, ``g``, where it meets its other heads too, so its set is sent once and not once
+    for each pair.  Heads of a group are dealt in pieces of ``GROUP``, members in parts.
+    """
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("d"))
+    side = lambda c: degree.select(F.col("cls").alias(c), F.col("d").alias(f"d_{c}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b")
+    x, y = F.struct((-F.col("d_a")).alias("d"), F.col("a").alias("cls")), F.struct((-F.col("d_b")).alias("d"), F.col("b").alias("cls"))
+    rows = rows.select(F.least(x, y).alias("h"), F.greatest(x, y)["cls"].alias("b"))
+    of_member = rows.groupBy("b").agg(F.min("h")["cls"].alias("g"))
+    rows = rows.select(F.col("h.cls").alias("h"), "b").join(of_member, "b")
+    sizes = rows.groupBy("g").agg(F.approx_count_distinct("h").alias("heads"), F.count("*").alias("members"))
+    spread = lambda c, n, room: F.pmod(F.xxhash64(c), F.ceil(F.col(n) / room)).cast("int")
+    return rows.join(sizes, "g").select("g", spread("h", "heads", GROUP).alias("piece"), spread("b", "members", 16 * GROUP).alias("salt"), "h", "b")
 
 
 def compare(pairs: DataFrame, texts: DataFrame, of_doc: DataFrame, cut, num: int, den: int) -> tuple[DataFrame, list[str]]:
-    """(a, b) of the pairs of classes that reach the similarity, and the tables it reads: ``a`` is searched against its partners."""
-    spark = pairs.sparkSession
-    n = partitions(spark)
+    """(a, b) of classes that reach the similarity, all of the pairs among them, and the tables it reads."""
+    n = partitions(pairs.sparkSession)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     sets, path = settle(fetch_sets(texts, of_doc, ends, cut), "sets")
-    # a query with many partners is dealt in parts
-    most = pairs.groupBy("a").count().agg(F.max("count")).first()[0] or 0
-    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(-(-most // (4 * GROUP)) or 1)).cast("int").alias("part"))
-    asked = dealt.select("a", "part").distinct().join(sets.withColumnRenamed("cls", "a"), "a").select("a", "part", F.lit(0).alias("kind"), F.col("a").alias("cls"), "grams")
-    met = dealt.join(sets.withColumnRenamed("cls", "b"), "b").select("a", "part", F.lit(1).alias("kind"), F.col("b").alias("cls"), "grams")
-    rows = asked.unionByName(met).repartition(n, "a", "part").sortWithinPartitions("a", "part", "kind")
-    return rows.mapInArrow(_search(num, den), "a long, b long"), [path]
+    groups, of_groups = settle(grouped(pairs), "groups")
+    key = ["g", "piece", "salt"]
+    side = lambda c, kind: groups.select(*key, F.lit(kind).alias("kind"), F.col(c).alias("cls")).distinct()
+    rows = side("h", 0).unionByName(side("b", 1)).join(sets, "cls").select(*key, "kind", "cls", "grams")
+    rows = rows.repartition(n, *key).sortWithinPartitions(*key, "kind")
+    return rows.mapInArrow(_search(num, den), "a long, b long"), [path, of_groups]
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 90, den: int = 100) -> DataFrame:

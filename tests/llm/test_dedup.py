@@ -110,9 +110,10 @@ def test_search_finds_what_comparison_finds():
     for _ in range(100):
         pool = np.unique(rng.integers(0, 1 << 62, 60).astype(np.uint64))
         sets = [np.sort(rng.choice(pool, rng.integers(1, len(pool)), replace=False)) for _ in range(12)]
+        index = jaccard_join.Inverted(sets)
         for query in sets:
             for num in (30, 70, 90, 100):
-                assert sorted(jaccard_join.search(query, sets, num, 100)) == [k for k, x in enumerate(sets) if jaccard_join.linked(query, x, num, 100)]
+                assert sorted(index.similar(query, num, 100)) == [k for k, x in enumerate(sets) if jaccard_join.linked(query, x, num, 100)]
 
 
 def test_every_link_is_found_by_the_search(monkeypatch):
@@ -121,13 +122,20 @@ def test_every_link_is_found_by_the_search(monkeypatch):
 
     calls, real = [], jaccard_join.divide_skip
     monkeypatch.setattr(jaccard_join, "divide_skip", lambda lists, least, long=None: calls.append(len(lists)) or real(lists, least, long))
-    monkeypatch.setattr(jaccard_join, "GROUP", 3)
     sets = [np.arange(k, 50 + k % 3, dtype=np.uint64) for k in range(8)]
-    rows = [(q, 0, kind, c, sets[c].tobytes()) for q in (0, 1) for kind, c in [(0, q), *((1, c) for c in range(q + 1, 8))]]
-    batch = pa.RecordBatch.from_pylist([dict(zip("apkcg", r, strict=True)) for r in rows])
-    found = {(r["a"], r["b"]) for cut in (4, 9) for b in jaccard_join._search(80, 100)([batch.slice(0, cut), batch.slice(cut)]) for r in b.to_pylist()}
-    assert found == {(q, c) for q in (0, 1) for c in range(q + 1, 8) if jaccard_join.linked(sets[q], sets[c], 80, 100)}
-    assert calls == [50] * 10
+    rows = [(7, piece, 0, kind, c, sets[c].tobytes()) for piece in (0, 1) for kind, c in [*((0, h) for h in (piece, piece + 2)), *((1, c) for c in range(8))]]
+    batch = pa.RecordBatch.from_pylist([dict(zip("gpskci", r, strict=True)) for r in rows])
+    found = [(r["a"], r["b"]) for cut in (4, 9, 13) for b in jaccard_join._search(80, 100)([batch.slice(0, cut), batch.slice(cut)]) for r in b.to_pylist()]
+    want = [(h, c) for h in (0, 2, 1, 3) for c in range(8) if h != c and jaccard_join.linked(sets[h], sets[c], 80, 100)]
+    assert sorted(found) == sorted(want * 3) and calls == [len(sets[c]) for c in range(8)] * 6
+
+
+def test_members_meet_their_heads_in_one_place(spark):
+    pairs = [(1, k) for k in range(10, 3000)] + [(k, 5000) for k in range(10, 3000, 2)] + [(8000, 8001), (8001, 8002)]
+    rows = jaccard_join.grouped(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert sorted((min(r.h, r.b), max(r.h, r.b)) for r in rows) == sorted(pairs)
+    assert {r.g for r in rows if r.b < 3000} == {1} and {r.h for r in rows if r.b < 3000} == {1, 5000}
+    assert len({r.salt for r in rows if r.g == 1}) > 1 and {(r.g, r.h, r.b) for r in rows if r.h > 8000} == {(8001, 8001, 8000), (8001, 8001, 8002)}
 
 
 def test_texts_that_weak_hashes_confuse(spark):
