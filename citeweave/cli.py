@@ -7,7 +7,7 @@
     python -m citeweave.cli demo --tables DIR
     python -m citeweave.cli stage search --items PATH --passages PATH --out DIR [--config FILE]
 
-The stages, in their order: adapter, generate, merge, search, vote, evaluate,
+The stages, in their order: adapter, generate, merge, search, stage, vote, evaluate,
 judge (with --answers for answers), finalize, validate, audit-export,
 audit-aggregate, answer-eval.
 """
@@ -47,7 +47,7 @@ def main(argv: list[str] | None = None) -> int:
         for i in inputs:
             p.add_argument("--" + i.rstrip("*"), required=True, nargs="+" if i.endswith("*") else None)
         for o in work.OPTIONS.get(name, ()):
-            p.add_argument("--" + o.removesuffix("_path"), dest=o)
+            p.add_argument("--" + o.removesuffix("_path").replace("_", "-"), dest=o)
         if name == "judge":
             p.add_argument("--answers", action="store_true")
         p.add_argument("--out", required=True)

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeweave.functions import text as T
-from citeweave.operators import curation, html, links, records, replies, retrieval, sampling, statistics, xrefs
+from citeweave.operators import curation, html, kept_index, links, records, replies, retrieval, sampling, statistics, tables, xrefs
 from citeweave.plans.config import Config
-from citeweave.sources import io
+from citeweave.sources import io, publish
 
 PASSAGE = "passage_uid string, doc_id string, passage string"
 REFERENCE = "source_uid string, target_uid string, ref_type string, ref_text string, source_inline string, target_inline string, seq long"
@@ -16,6 +16,8 @@ REPLY = "pair_uid string, source_uid string, target_uid string, content string"
 ITEM = "item string, question string, gold_answer string, source_passage_id string, target_passage_id string, method string, persona string, pair_uid string, split string"
 PASS = "item string, pass_no int, decision string, reason string, confidence double, score double, " + ", ".join(f"{c} boolean" for c in dict.fromkeys((*records.JUDGE_CHECKS, *records.ANSWER_CHECKS)))
 LABEL = "item string, criterion string, annotator string, label string"
+STAGED = ("bm25", "dense", "rrf_bm25_dense", "bm25_xref_expand", "dense_xref_expand", "rrf_xref_expand", "ce_rerank_union")
+ALIASES = {"e5": "dense", "rrf": "rrf_bm25_dense"}
 ANSWER = "item string, run string, question string, answer string, reference string, context string"
 
 
@@ -75,20 +77,42 @@ def merge(spark: SparkSession, config: Config, items: list[str], passages: str,
     io.write_jsonl(records.passages_needed(every, known), f"{out}/passages")
 
 
-def search(spark: SparkSession, config: Config, items: str, passages: str, out: str, edges: str | None = None, index: str | None = None) -> None:
-    """Lexical search of all items, its graph expansion where edges are given, and qrels, as run files."""
+def search(spark: SparkSession, config: Config, items: str, passages: str, out: str, edges: str | None = None, index: str | None = None, vectors: str | None = None, query_vectors: str | None = None) -> None:
+    """The searches of all items as run files, and qrels.
+
+    Lexical search, in the index kept at ``index`` if one is named (built there at the first call; one of other
+    passages is an error); dense search and its fusion with the lexical one, where vectors of passages (doc, vector)
+    and of items (qid, vector) are given; and the graph expansion of each where edges are given.
+    """
     rows, known = io.read_jsonl(spark, items, ITEM), _pairs_as_passages(io.read_jsonl(spark, passages, PASSAGE))
-    queries = rows.select(F.col("item").alias("qid"), F.col("question").alias("text"))
-    base, _ = retrieval.written(retrieval.search_index(retrieval.build_index(known, path=index), queries, config.retrieval.top_k).withColumn("run", F.lit("bm25")), "run")
-    io.write_run(base, f"{out}/bm25")
-    if edges:
-        graph = io.read_jsonl(spark, edges, "src string, dst string")
-        e = config.expansion
-        wide = retrieval.expand(base, graph, e.seed_k, e.final_k, e.direction, e.weight, e.mode, e.cap).withColumn("run", F.lit("bm25_xref_expand"))
-        io.write_run(wide, f"{out}/bm25_xref_expand")
+    queries, k = rows.select(F.col("item").alias("qid"), F.col("question").alias("text")), config.retrieval.top_k
+    name = lambda run, x: run.select(F.lit(x).alias("run"), "qid", "doc", "score", "rank")
+    with tables.scratch(spark):
+        lexical = kept_index.kept(known, index).search(queries, k) if index else retrieval.bm25(known, queries, k)
+        found = name(lexical, "bm25")
+        if vectors and query_vectors:
+            side = lambda path, c: io.read_jsonl(spark, path, f"{c} string, vector array<double>")
+            found = found.unionByName(name(retrieval.dense_topk(side(vectors, "doc"), side(query_vectors, "qid"), k), "dense"))
+        found, _ = tables.written(found, "run")
+        if vectors and query_vectors:
+            found, _ = tables.written(found.unionByName(retrieval.fused_runs(found, "rrf_bm25_dense")), "run")
+        runs = ("bm25", "dense", "rrf_bm25_dense") if vectors and query_vectors else ("bm25",)
+        if edges:
+            graph, e = io.read_jsonl(spark, edges, "src string, dst string"), config.expansion
+        for run in runs:
+            base = found.where(F.col("run") == run)
+            io.write_run(base, f"{out}/{run}")
+            if edges:
+                wide = f"{run.removesuffix('_bm25_dense')}_xref_expand"
+                io.write_run(name(retrieval.expand(base, graph, e.seed_k, e.final_k, e.direction, e.weight, e.mode, e.cap), wide), f"{out}/{wide}")
     io.write_qrels(retrieval.qrels(rows, "item", "source_passage_id", "target_passage_id"), f"{out}/qrels")
 
 
+def stage(spark: SparkSession, config: Config, runs: list[str], out: str, restage: str | None = None) -> None:
+    """Publish run files under the names evaluation expects, with the aliases of the configuration's layout."""
+    publish.stage_runs(_runs(spark, runs), out, STAGED, ALIASES, restage is not None)
+
+
 def vote(spark: SparkSession, config: Config, items: str, runs: list[str], out: str) -> None:
     """Votes of run files on each item, with decisions and labels."""
     rows = io.read_jsonl(spark, items, ITEM).select(F.col("item").alias("qid"), F.col("source_passage_id").alias("src"), F.col("target_passage_id").alias("tgt"))
@@ -166,6 +190,7 @@ STAGES = {
     "generate": (generate, ("references", "passages")),
     "merge": (merge, ("items*", "passages")),
     "search": (search, ("items", "passages")),
+    "stage": (stage, ("runs*",)),
     "vote": (vote, ("items", "runs*")),
     "evaluate": (evaluate, ("runs*", "qrels")),
     "judge": (judge, ("passes",)),
@@ -175,4 +200,4 @@ STAGES = {
     "validate": (validate, ("items",)),
     "answer-eval": (answer_eval, ("answers",)),
 }
-OPTIONS = {"generate": ("replies_path",), "search": ("edges", "index")}
+OPTIONS = {"generate": ("replies_path",), "search": ("edges", "index", "vectors", "query_vectors"), "stage": ("restage",)}

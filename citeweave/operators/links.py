@@ -1,4 +1,4 @@
-"""Resolution of links to passages by a cascade of equality joins."""
+"""Resolution of links to passages: keys of several levels meet at once, the lowest level counts."""
 
 from __future__ import annotations
 
@@ -14,6 +14,17 @@ def host(c: Column) -> Column:
     return F.lower(F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/:?#]*)", 1))
 
 
+def _least(hits: DataFrame, by: list[str], value: list[str]) -> DataFrame:
+    """Of each reference's hits that of the lowest level, then of the least order."""
+    return hits.groupBy(*by).agg(F.min(F.struct("level", "order", *value)).alias("hit")).select(*by, "hit.level", *[f"hit.{v}" for v in value])
+
+
+def _keyed(rows: DataFrame, keep: list[str], keys: list[Column]) -> DataFrame:
+    """The rows once for each key they have, with its level; keys that are null or empty meet nothing and are left out."""
+    pairs = F.array(*[F.struct(F.lit(level).alias("level"), key.alias("key")) for level, key in enumerate(keys)])
+    return rows.select(*keep, F.explode(pairs).alias("k")).select(*keep, "k.level", "k.key").where("key <> ''")
+
+
 def resolve(references: DataFrame, documents: DataFrame, anchors: DataFrame, to_document: bool = True) -> DataFrame:
     """Each reference's document, passage and how it was found.
 
@@ -21,26 +32,38 @@ def resolve(references: DataFrame, documents: DataFrame, anchors: DataFrame, to_
     anchors (doc, anchor, passage, position).  A link matches a document by its
     normal URL, else without its date; then a passage by its fragment as it is,
     in lower case, and by letters and digits alone; ``to_document`` falls back
-    to the document's first passage.  Each index has one row per key, so no
-    join multiplies references.
+    to the document's first passage.
+
+    Each of the two steps is one equality join: a reference stands in it once
+    for each key it has, under the key's level, and the lowest level it met
+    counts.  References without a key, and those without a document, take no
+    part, so no null or empty key gathers rows; each index has one row per
+    level and key, so no join multiplies references.
     """
-    exact = documents.groupBy(T.normal_url(F.col("url")).alias("key")).agg(F.min(F.struct("load_order", "doc")).alias("d")).select("key", F.col("d.doc").alias("doc_exact"))
-    undated = documents.groupBy(T.undated_url(T.normal_url(F.col("url"))).alias("key2")).agg(F.min(F.struct("load_order", "doc")).alias("d")).select("key2", F.col("d.doc").alias("doc_undated"))
+    name = ["ref", "page_url", "href"]
+    refs = references.select(*name).distinct()
     bad = T.is_bad_href(F.col("href"))
-    refs = references.withColumn("bad", bad).withColumn("key", T.normal_url(F.col("href"))).withColumn("key2", T.undated_url(T.normal_url(F.col("href")))).withColumn("fragment", F.nullif(F.regexp_extract("href", "#(.*)$", 1), F.lit("")))
-    found = refs.join(exact, "key", "left").join(undated, "key2", "left").withColumn("doc", F.when(~F.col("bad"), F.coalesce("doc_exact", "doc_undated")))
-    rows = found.select("ref", "page_url", "href", "bad", "doc", "fragment", F.lower("fragment").alias("f_lower"), T.anchor_key(F.col("fragment")).alias("f_key"))
-    for name, column in (("exact", F.col("anchor")), ("lower", F.lower("anchor")), ("normalised", T.anchor_key(F.col("anchor")))):
-        on = {"exact": "fragment", "lower": "f_lower", "normalised": "f_key"}[name]
-        index = anchors.groupBy("doc", column.alias(on)).agg(F.min(F.struct("position", "passage")).alias("p")).where(F.col(on) != "").select("doc", on, F.col("p.passage").alias(f"by_{name}"))
-        rows = rows.join(index, ["doc", on], "left")
-    first = anchors.groupBy("doc").agg(F.min(F.struct("position", "passage")).alias("p")).select("doc", F.col("p.passage").alias("by_document"))
-    rows = rows.join(first, "doc", "left")
-    levels = [c for c in LEVELS if to_document or c != "document"]
-    passage = F.coalesce(*[F.col(f"by_{c}") for c in levels])
+    url, href = T.normal_url(F.col("url")), T.normal_url(F.col("href"))
+
+    by_url = _keyed(documents, ["doc", "load_order"], [url, T.undated_url(url)])
+    by_url = by_url.groupBy("level", "key").agg(F.min(F.struct("load_order", "doc")).alias("d")).select("level", "key", F.col("d.load_order").alias("order"), F.col("d.doc").alias("doc"))
+    asked = _keyed(refs.where(~bad), name, [href, T.undated_url(href)])
+    of_doc = _least(asked.join(by_url, ["level", "key"]), name, ["doc"]).drop("level")
+
+    # a mark tells the keys of fragments from the one that every document has
+    mark = lambda c: F.concat(F.lit("#"), F.nullif(c, F.lit("")))
+    forms = lambda c: [mark(c), mark(F.lower(c)), mark(T.anchor_key(c))]
+    whole = [F.lit("document")] if to_document else []
+    by_anchor = _keyed(anchors, ["doc", "position", "passage"], [*forms(F.col("anchor")), *whole])
+    by_anchor = by_anchor.groupBy("doc", "level", "key").agg(F.min(F.struct("position", "passage")).alias("p")).select("doc", "level", "key", F.col("p.position").alias("order"), F.col("p.passage").alias("passage"))
+    fragment = F.regexp_extract("href", "#(.*)$", 1)
+    asked = _keyed(of_doc, [*name, "doc"], [*forms(fragment), *whole])
+    of_passage = _least(asked.join(by_anchor, ["doc", "level", "key"]), name, ["passage"])
+
+    same = lambda other: [F.col(f"r.{c}").eqNullSafe(F.col(f"{other}.{c}")) for c in name]
+    rows = references.alias("r").join(of_doc.alias("d"), same("d"), "left").join(of_passage.alias("p"), same("p"), "left").select("r.*", "d.doc", "p.level", "p.passage")
     same_host = (host(F.col("href")) == "") | (host(F.col("href")) == host(F.col("page_url")))
-    reason = F.when(F.col("bad"), "bad_href").when(F.col("doc").isNull() & ~same_host, "off_site").when(F.col("doc").isNull(), "unknown_document")
-    for c in levels:
-        reason = reason.when(F.col(f"by_{c}").isNotNull(), c)
-    kind = F.when(F.col("bad"), "bad").when(F.col("doc").isNotNull() & (T.normal_url(F.col("href")) == T.normal_url(F.col("page_url"))), "internal").when(F.col("doc").isNotNull(), "external").when(same_host, "outsource_same_host").otherwise("outsource")
-    return rows.select("ref", "doc", passage.alias("passage"), reason.otherwise("unknown_anchor").alias("reason"), kind.alias("kind"))
+    found = F.element_at(F.array(*map(F.lit, LEVELS)), F.col("level") + 1)
+    reason = F.when(bad, "bad_href").when(F.col("doc").isNull() & ~same_host, "off_site").when(F.col("doc").isNull(), "unknown_document")
+    kind = F.when(bad, "bad").when(F.col("doc").isNotNull() & (href == T.normal_url(F.col("page_url"))), "internal").when(F.col("doc").isNotNull(), "external").when(same_host, "outsource_same_host").otherwise("outsource")
+    return rows.select("ref", "doc", "passage", reason.when(F.col("level").isNotNull(), found).otherwise("unknown_anchor").alias("reason"), kind.alias("kind"))

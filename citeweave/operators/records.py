@@ -121,29 +121,48 @@ def _either(first: DataFrame, second: DataFrame, key: str = "item") -> DataFrame
     return rows
 
 
-def cohort_records(judge_passed: DataFrame, judge_all: DataFrame, answer_passed: DataFrame, answer_dropped: DataFrame, answer_all: DataFrame, ir_items: DataFrame, generated: DataFrame, constants: dict[str, object] | None = None) -> DataFrame:
+def _winners(df: DataFrame, order: str, by_field: bool = False) -> DataFrame:
+    """One row per item: the last by ``order``, or of each field the last value that is not null.
+
+    Without that column, and among equal ones, the row of the greatest hash counts, which
+    depends on the rows alone.
+    """
+    fields = [c for c in df.columns if c not in ("item", order)]
+    place = F.struct(F.col(order) if order in df.columns else F.lit(0), F.xxhash64(*fields) if fields else F.lit(0))
+    rows = df.where("item is not null")
+    if by_field:
+        last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(c)
+        return rows.groupBy("item").agg(*map(last, fields)) if fields else rows.select("item").distinct()
+    return rows.groupBy("item").agg(F.max_by(F.struct("item", *fields), place).alias("row")).select("row.*")
+
+
+def cohort_records(judge_passed: DataFrame, judge_all: DataFrame, answer_passed: DataFrame, answer_dropped: DataFrame, answer_all: DataFrame, ir_items: DataFrame, generated: DataFrame, constants: dict[str, object] | None = None, order: str = "seq") -> DataFrame:
     """The full record of every item that passed the judge.
 
     Generated fields come before those of retrieval, aggregated verdicts before
     those of the pass files.  ``cohort`` is answer_valid, answer_failed or
     dependency_valid; an item in both answer files counts as valid.  Missing
-    columns of an input count as null.
+    columns of an input count as null.  Of an item's repeats the last row by the
+    column ``order`` counts, of the two answer files the dropped one's, and of
+    aggregated verdicts the last value of each field.
     """
 
     def of(df: DataFrame, prefix: str, fields) -> DataFrame:
         pick = [(F.col(c) if c in df.columns else F.lit(None)).alias(f"{prefix}_{c}") for c in fields]
-        return df.where("item is not null").select("item", *pick).dropDuplicates(["item"])
+        return df.select("item", *pick)
 
     ids = judge_passed.where("decision = 'PASS'").select("item").distinct()
     valid = answer_passed.where("decision = 'PASS'").select("item").distinct().withColumn("_valid", F.lit(True))
     failed = answer_dropped.where("decision = 'DROP'").select("item").distinct().withColumn("_failed", F.lit(True))
     judge_fields = ("judge_schema_version", "source_alone_sufficient", "target_alone_sufficient", "target_adds_essential_information", "citation_dependent", "answer_supported_by_judge")
     answer_fields = ("confidence_mean", "reason", "runs", "unsupported_claims", "answer_responsive", "answer_addresses_question", "answer_supported", "answer_grounded_in_passages")
-    judge = of(_either(judge_passed, judge_all), "j", judge_fields)
-    answer = of(_either(answer_passed.unionByName(answer_dropped, allowMissingColumns=True).dropDuplicates(["item"]), answer_all), "a", answer_fields)
+    judge = of(_either(_winners(judge_passed.where("decision = 'PASS'"), order), _winners(judge_all, order, by_field=True)), "j", judge_fields)
+    passed_rows, dropped_rows = _winners(answer_passed.where("decision = 'PASS'"), order), _winners(answer_dropped.where("decision = 'DROP'"), order)
+    answered = passed_rows.join(dropped_rows.select("item"), "item", "left_anti").unionByName(dropped_rows, allowMissingColumns=True)
+    answer = of(_either(answered, _winners(answer_all, order, by_field=True)), "a", answer_fields)
     leak_fields = ("citation_leakage", "citation_leakage_matches", "citation_leakage_types")
-    gen = of(generated, "g", (*TEXT_FIELDS, *leak_fields))
-    ir = of(ir_items, "i", (*TEXT_FIELDS, *leak_fields, *COUNT_FIELDS, *LIST_FIELDS, "ir_difficulty_label", *judge_fields))
+    gen = of(_winners(generated, order), "g", (*TEXT_FIELDS, *leak_fields))
+    ir = of(_winners(ir_items, order), "i", (*TEXT_FIELDS, *leak_fields, *COUNT_FIELDS, *LIST_FIELDS, "ir_difficulty_label", *judge_fields))
     rows = ids.join(judge, "item", "left").join(answer, "item", "left").join(gen, "item", "left").join(ir, "item", "left").join(valid, "item", "left").join(failed, "item", "left")
 
     first = lambda c, default: F.coalesce(F.col(f"g_{c}"), F.col(f"i_{c}"), default)

@@ -8,10 +8,14 @@ or :func:`replay` answers from a table.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import time
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,8 +42,46 @@ def lenient_json(text: str):
     return None
 
 
-def one_call(model: Callable[[str], str], prompt: str, retries: int, wants_json: bool, wait: float) -> tuple[bool, str, str | None, int]:
-    """A call with its retries: (ok, content, error, attempts)."""
+class ReplyLog:
+    """Replies by a digest of their prompt, one small file each, below a folder that all executors share.
+
+    A file is written under another name and then moved, so it is there whole or not at all.
+    Failed calls are not logged: they are asked again.
+    """
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def _place(self, prompt: str):
+        from pyarrow import fs
+
+        name = hashlib.sha256(prompt.encode()).hexdigest()
+        path = f"{self.folder.rstrip('/')}/{name[:2]}/{name}"
+        if path.startswith(("file:", "/")):
+            return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+        return fs.FileSystem.from_uri(path)
+
+    def get(self, prompt: str) -> str | None:
+        system, path = self._place(prompt)
+        try:
+            with system.open_input_file(path) as f:
+                return f.read().decode()
+        except FileNotFoundError:
+            return None
+
+    def put(self, prompt: str, content: str) -> None:
+        system, path = self._place(prompt)
+        system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        draft = f"{path}.{uuid.uuid4().hex}"
+        with system.open_output_stream(draft) as f:
+            f.write(content.encode())
+        system.move(draft, path)
+
+
+def one_call(model: Callable[[str], str], prompt: str, retries: int, wants_json: bool, wait: float, log: ReplyLog | None = None) -> tuple[bool, str, str | None, int]:
+    """A call with its retries: (ok, content, error, attempts); each wait is twice the one before, a logged reply takes no attempt."""
+    if log is not None and (known := log.get(prompt)) is not None:
+        return True, known, None, 0
     error = None
     for attempt in range(1, retries + 2):
         try:
@@ -48,24 +90,35 @@ def one_call(model: Callable[[str], str], prompt: str, retries: int, wants_json:
                 raise ValueError("invalid_json")
             if not content:
                 raise ValueError("empty_response")
+            if log is not None:
+                log.put(prompt, content)
             return True, content, None, attempt
         except Exception as e:  # whatever a model raises becomes the row's error
             error = str(e)
             if attempt <= retries and wait:
-                time.sleep(wait)
+                time.sleep(wait * 2 ** (attempt - 1))
     return False, "", error, retries + 1
 
 
-def ask(prompts: DataFrame, model: Callable[[str], str], key: str = "item", prompt_col: str = "prompt", retries: int = 2, wants_json: bool = True, wait: float = 0.0) -> DataFrame:
-    """(key, ok, content, error, attempts) of each prompt."""
+def ask(prompts: DataFrame, model: Callable[[str], str], key: str = "item", prompt_col: str = "prompt", retries: int = 2, wants_json: bool = True, wait: float = 0.0, at_once: int = 1, log: ReplyLog | None = None) -> DataFrame:
+    """(key, ok, content, error, attempts) of each prompt.
+
+    A task has up to ``at_once`` calls under way, and asks equal prompts of an
+    Arrow batch once.  With a log, what was answered before, by a task that was
+    lost too, is not asked again; attempts are then 0.
+    """
     kind = prompts.schema[key].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
-            out = [one_call(model, p or "", retries, wants_json, wait) for p in batch.column(1).to_pylist()]
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            kinds = (pa.bool_(), pa.string(), pa.string(), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["key", "ok", "content", "error", "attempts"])
+        call = partial(one_call, model, retries=retries, wants_json=wants_json, wait=wait, log=log)
+        with ThreadPoolExecutor(at_once) as pool:
+            for batch in batches:
+                asked = [p or "" for p in batch.column(1).to_pylist()]
+                once = list(dict.fromkeys(asked))
+                answers = dict(zip(once, pool.map(call, once) if at_once > 1 else map(call, once), strict=True))
+                columns = list(zip(*(answers[p] for p in asked), strict=True)) or [[]] * 4
+                kinds = (pa.bool_(), pa.string(), pa.string(), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["key", "ok", "content", "error", "attempts"])
 
     return prompts.select(F.col(key).alias("key"), prompt_col).mapInArrow(run, f"key {kind}, {REPLY}").withColumnRenamed("key", key)
 

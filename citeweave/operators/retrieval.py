@@ -110,8 +110,8 @@ def _nearest(k: int):
                 if matrix is None:
                     matrix = np.array(vectors, np.float64)
                     matrix /= np.linalg.norm(matrix, axis=1)[:, None]
-                other = np.array(flat, np.float64)
-                unit, names, found = (other / np.linalg.norm(other, axis=1)[:, None]).T, np.array(docs), [best]
+                other, names = np.array(flat, np.float64), np.array(docs)
+                unit, found = (other / np.linalg.norm(other, axis=1)[:, None]).T, [best] if best else []
                 for a in range(0, len(ids), 256):
                     scores = matrix[a : a + 256] @ unit
                     least = np.partition(scores, len(names) - k, axis=1)[:, len(names) - k] if len(names) > k else np.full(len(scores), -np.inf)
@@ -122,26 +122,26 @@ def _nearest(k: int):
 
         def finish():
             compare()
-            q, doc, score = best
-            return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[q]), pa.array(doc), pa.array(score)], names=["qid", "doc", "score"])
+            if best:
+                q, doc, score = best
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[q]), pa.array(doc), pa.array(score)], names=["qid", "doc", "score"])
 
         for batch in batches:
-            for *now, kind, name, vector in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *now, kind, qid, doc, vector in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if now != key:
                     if key is not None:
-                        yield finish()
-                    key, ids, vectors, matrix = now, [], [], None
-                    best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+                        yield from finish()
+                    key, ids, vectors, matrix, best = now, [], [], None, None
                 if kind == 0:
-                    ids.append(name)
+                    ids.append(qid)
                     vectors.append(vector)
-                elif ids:
-                    docs.append(name)
+                elif ids and doc is not None:
+                    docs.append(doc)
                     flat.append(vector)
                     if len(docs) == 1024:
                         compare()
         if key is not None:
-            yield finish()
+            yield from finish()
 
     return run
 
@@ -156,22 +156,24 @@ def dense_topk(passages: DataFrame, queries: DataFrame, k: int, id_col: str = "d
     runs before the result is asked for, and the plan does not depend on the
     number of queries.  Zero vectors and those that are null or hold null or
     non-finite components are neither asked nor found; vectors of different
-    length are never compared.
+    length are never compared.  Ids are numbers or strings.
     """
+    kind = lambda df, c: "string" if df.schema[c].dataType.simpleString() == "string" else "long"
     sound = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
     usable = F.coalesce(F.forall("vector", sound) & F.exists("vector", lambda v: v != 0), F.lit(False))
-    pick = lambda df, c: df.select(F.col(c).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where(usable)
+    pick = lambda df, c: df.select(F.col(c).cast(kind(df, c)).alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where(usable)
     blocks = lambda side, rows: side.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / rows)).cast("int").alias("n")).scalar()
     asked, known = pick(queries, query_col).where("id is not null"), pick(passages, id_col)
     n_q, n_p = blocks(asked, query_rows), blocks(known, passage_rows)
     own = lambda n: F.pmod(F.xxhash64("id"), n.cast("long")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     size = F.size("vector").alias("size")
-    dealt = asked.select(size, own(n_q).alias("q"), every(n_p).alias("p"), F.lit(0).alias("kind"), "id", "vector")
-    dealt = dealt.unionByName(known.select(size, every(n_q).alias("q"), own(n_p).alias("p"), F.lit(1).alias("kind"), "id", "vector"))
+    none = lambda df, c: F.lit(None).cast(kind(df, c))
+    dealt = asked.select(size, own(n_q).alias("q"), every(n_p).alias("p"), F.lit(0).alias("kind"), F.col("id").alias("qid"), none(passages, id_col).alias("doc"), "vector")
+    dealt = dealt.unionByName(known.select(size, every(n_q).alias("q"), own(n_p).alias("p"), F.lit(1).alias("kind"), none(queries, query_col).alias("qid"), F.col("id").alias("doc"), "vector"))
     key = ["size", "q", "p"]
     met = dealt.repartition(*key).sortWithinPartitions(*key, "kind")
-    return ranked(met.mapInArrow(_nearest(k), "qid long, doc long, score double"), k, by=("qid",))
+    return ranked(met.mapInArrow(_nearest(k), f"qid {kind(queries, query_col)}, doc {kind(passages, id_col)}, score double"), k, by=("qid",))
 
 
 def answered_by_all(runs: DataFrame) -> DataFrame:

@@ -242,7 +242,10 @@ def cohen_kappa(spark, sf):
     return curation.cohen_kappa(B.annotations(spark, sf))
 
 
-@query()
+@query(f"""WITH {B.TURNS}, pool AS (SELECT method, persona, count(*) AS c FROM turns GROUP BY 1, 2), exact AS (SELECT *, CAST(20 AS DOUBLE) * c / (SELECT sum(c) FROM pool) AS x FROM pool),
+    base AS (SELECT *, greatest(floor(x), 1) AS least FROM exact), share AS (SELECT *, least + CAST(row_number() OVER (ORDER BY x - least DESC, method DESC, persona DESC) <= 20 - (SELECT sum(least) FROM base) AS INT) AS take FROM base),
+    picked AS (SELECT item, t.method, t.persona FROM (SELECT *, row_number() OVER (PARTITION BY method, persona ORDER BY md5(concat('13|', item)), item) AS k FROM turns) t JOIN share s ON s.method = t.method AND s.persona = t.persona WHERE k <= take)
+    SELECT format('HA-{{:06d}}', row_number() OVER (ORDER BY method, persona, item)) AS audit_id, item, method, persona FROM picked""")
 def stratified_audit_sample(spark, sf):
     rows = B.turns(spark, sf).select("item", "method", "persona")
     return xrefs.stratified_sample(rows, ["method", "persona"], 20, 13, "item")[0].select("audit_id", "item", "method", "persona")
@@ -394,7 +397,28 @@ def html_links(spark, sf):
     return html.links(pages)
 
 
-@query()
+def _normal(c: str) -> str:
+    bare = f"regexp_replace(trim({c}), '[#?].*$', '')"
+    head = f"regexp_extract({bare}, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/]*')"
+    return f"(lower({head}) || regexp_replace(substr({bare}, length({head}) + 1), '/+$', ''))"
+
+
+_UNDATED = "regexp_replace({}, '/\\d{{2}}-\\d{{2}}-\\d{{4}}/?$', '')"
+_HOST = "lower(regexp_extract({}, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/:?#]*)', 1))"
+
+
+@query(f"""WITH links AS (SELECT p.page_id AS ref, p.url AS page_url, CASE WHEN p.page_id % 11 = 0 THEN 'mailto:a@b.c' WHEN p.page_id % 13 = 0 THEN 'https://elsewhere.example/x'
+        ELSE regexp_replace(t.url, '#.*$', '') || ['#Sec-1', '#SEC-2', '#Sec%2D3', '#nowhere', ''][CAST(p.page_id % 5 + 1 AS INT)] END AS href
+        FROM pages p JOIN pages t ON t.page_id = (p.page_id * 7 + 3) % (SELECT count(*) FROM pages)),
+    known AS (SELECT page_id, {_normal("url")} AS k FROM pages), exact AS (SELECT k, min(page_id) AS doc FROM known WHERE k <> '' GROUP BY 1),
+    undated AS (SELECT {_UNDATED.format("k")} AS k, min(page_id) AS doc FROM known WHERE k <> '' GROUP BY 1),
+    asked AS (SELECT *, coalesce(trim(href) = '' OR regexp_matches(lower(trim(href)), '^(mailto:|javascript:|tel:|data:|#$)'), true) AS bad, {_normal("href")} AS k, regexp_extract(href, '#(.*)$', 1) AS f FROM links),
+    found AS (SELECT a.*, CASE WHEN NOT bad THEN coalesce(e.doc, u.doc) END AS doc, list_position(['Sec-0', 'Sec-1', 'Sec-2', 'Sec-3'], f) - 1 AS p1, list_position(['sec-0', 'sec-1', 'sec-2', 'sec-3'], lower(f)) - 1 AS p2,
+        list_position(['sec0', 'sec1', 'sec2', 'sec3'], regexp_replace(lower(url_decode(f)), '[^a-z0-9]+', '', 'g')) - 1 AS p3 FROM asked a LEFT JOIN exact e ON e.k = a.k LEFT JOIN undated u ON u.k = {_UNDATED.format("a.k")}),
+    hosts AS (SELECT *, {_HOST.format("href")} = '' OR {_HOST.format("href")} = {_HOST.format("page_url")} AS same FROM found)
+    SELECT ref, doc, CASE WHEN doc IS NOT NULL THEN doc * 10 + coalesce(p1, p2, p3, 0) END AS passage,
+        CASE WHEN bad THEN 'bad_href' WHEN doc IS NULL AND NOT same THEN 'off_site' WHEN doc IS NULL THEN 'unknown_document' WHEN p1 IS NOT NULL THEN 'exact' WHEN p2 IS NOT NULL THEN 'lower' WHEN p3 IS NOT NULL THEN 'normalised' ELSE 'document' END AS reason,
+        CASE WHEN bad THEN 'bad' WHEN doc IS NOT NULL AND k = {_normal("page_url")} THEN 'internal' WHEN doc IS NOT NULL THEN 'external' WHEN same THEN 'outsource_same_host' ELSE 'outsource' END AS kind FROM hosts""")
 def link_resolution(spark, sf):
     pages = B.table(spark, sf, "pages")
     n = pages.count()

@@ -30,12 +30,14 @@ def named_dedup(spark, sf):
     return statistics.first_wins_of_named(rows, ["s", "t"], "seq")
 
 
-@query(f"""WITH {B.TURNS} SELECT item, CASE item % 4 WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE 2 END AS n_in_top FROM turns""")
+@query(f"""WITH {B.BM25}, {B.TEXT_GOLD}, best AS (SELECT qid, min(doc) AS doc FROM text_run WHERE rank = 1 GROUP BY 1), top AS (SELECT qid, list(doc) AS docs FROM text_run WHERE rank <= 5 GROUP BY 1)
+    SELECT qid, 2 * CAST(list_contains(docs, best.doc) AS INT) + CAST(list_contains(docs, src) AS INT) + CAST(list_contains(docs, tgt) AS INT) AS n_in_top FROM text_gold JOIN top USING (qid) JOIN best USING (qid)""")
 def answer_tags_in_top(spark, sf):
-    """Tags of retrieved passages; a repeated tag counts each time."""
-    i = F.col("item")
-    tags = F.when(i % 4 == 0, "x [#SRC:a] y [#ID:a] [#TGT:b]").when(i % 4 == 1, "[#SRC:a][#TGT:z]").when(i % 4 == 2, "none").otherwise("[#ID: c ] [#ID:b]")
-    return B.turns(spark, sf).select("item", curation.tags_in(tags, F.array(*map(F.lit, "abc"))).alias("n_in_top"))
+    """Answers that cite the best passage found, twice, and the gold pair; how many of the tags name one of the first five."""
+    run, gold = B.text_run(spark, sf).where("rank <= 5"), B.text_gold(spark, sf)
+    found = run.groupBy("qid").agg(F.collect_list(F.col("doc").cast("string")).alias("docs"), F.min(F.when(F.col("rank") == 1, F.col("doc"))).alias("best"))
+    answer = F.concat(F.lit("It must [#SRC:"), "src", F.lit("] be so [#ID: "), "best", F.lit(" ], see [#TGT:"), "tgt", F.lit("] [#ID:"), "best", F.lit("]."))
+    return gold.join(found, "qid").select("qid", curation.tags_in(answer, F.col("docs")).alias("n_in_top"))
 
 
 @query("""SELECT doc_id AS item, CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 3 = 0 THEN 'TERM:Firms|FREEFORM:must' WHEN doc_id % 3 = 1 THEN 'FREEFORM:must' ELSE concat('FREEFORM:Firms must report ', doc_id, '.') END AS spans FROM documents""")

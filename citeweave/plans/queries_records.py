@@ -217,11 +217,14 @@ def rag_context(spark, sf):
 
 
 @query("""SELECT doc_id AS item, CASE WHEN a >= b AND a >= c THEN 'contradiction' WHEN b >= c THEN 'neutral' ELSE 'entailment' END AS label, round(greatest(a, b, c), 6) AS confidence
-    FROM (SELECT doc_id, (doc_id % 7) / 3.0 AS a, (doc_id % 5) / 3.0 AS b, (doc_id % 4) / 3.0 AS c FROM documents)""")
+    FROM (SELECT doc_id, (n - length(replace(t, 'e', ''))) / greatest(n, 1) AS a, (n - length(replace(t, 'n', ''))) / greatest(n, 1) AS b, (n - length(replace(t, 't', ''))) / greatest(n, 1) AS c
+        FROM (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents))""")
 def nli_argmax(spark, sf):
-    d = F.col("doc_id")
-    label, top = records.nli_argmax(F.array((d % 7) / 3.0, (d % 5) / 3.0, (d % 4) / 3.0))
-    return B.table(spark, sf, "documents").select(d.alias("item"), label.alias("label"), top.alias("confidence"))
+    """Three scores of every text: its shares of three letters."""
+    text = F.coalesce("text", F.lit(""))
+    share = lambda c: (F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))) / F.greatest(F.length(text), F.lit(1))
+    label, top = records.nli_argmax(F.array(share("e"), share("n"), share("t")))
+    return B.table(spark, sf, "documents").select(F.col("doc_id").alias("item"), label.alias("label"), top.alias("confidence"))
 
 
 @query(f"""WITH {B.TURNS}, ir AS (SELECT method, avg(item % 10) AS recall FROM turns GROUP BY 1), a AS (SELECT method, avg(item % 3) AS score FROM turns WHERE method = 'direct' GROUP BY 1)

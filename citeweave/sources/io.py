@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from citeweave.sources.lines import placed_lines
+
 BROKEN = "_corrupt_record"
 
 
@@ -41,9 +43,9 @@ def _parts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, p): the columns of each line with its number; a run file is read by one task, as its order counts."""
-    files = spark.read.option("wholetext", True).text(path).select(F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1), r"\.[A-Za-z0-9]+$", "").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
-    return files.select("file", "line", F.split(F.trim("value"), r"\s+").alias("p"))
+    """(file, line, p): the columns of each line and its place, by which the lines of a file can be ordered."""
+    rows = placed_lines(spark, path)
+    return rows.select("file", F.struct("path", "split", "turn").alias("line"), F.split(F.trim("value"), r"\s+").alias("p"))
 
 
 def read_run(spark: SparkSession, path: str, strip_hyphens: bool = False, run_from_file: bool = False, columns: int = 6) -> DataFrame:
