@@ -8,13 +8,14 @@ vectors are in all tables.  Two vectors that share a substring are compared by
 the cosine of the originals in double precision.
 
 Each length has a plan of its own: substrings have about log2(vectors of its
-largest label) bits, so buckets stay small at any size, and there are as many
+largest label) bits, five fewer where that label fits one block, so buckets stay
+small at any size, and there are as many
 tables (and rotations, where one code has too few bits) as it takes for the
 share ``recall`` of trial pairs just at the threshold to meet.  Trial pairs are
 sampled vectors moved in directions of any kind and in directions in which the
 data differ, whichever meet more rarely.  Closer pairs are found more surely.
-Where no label has more than ``BLOCK`` vectors of a length, one table with one
-bucket for each label does, and all pairs are found.
+Where even substrings of one bit reach less than ``LEAST_RECALL`` in
+``MOST_TABLES`` tables, all pairs of each label are compared, by blocks.
 
 Equal vectors of one label become one class with a count.  Buckets of more than
 ``BLOCK`` classes are dealt out as pairs of blocks, so no task holds more than
@@ -47,6 +48,7 @@ SAMPLE = 4096
 BITS = 64
 TRIALS = 1000
 MOST_TABLES = 64
+LEAST_RECALL = 0.9
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -93,31 +95,41 @@ def trial_pairs(units: np.ndarray, threshold: float, rng) -> list[tuple[np.ndarr
 
 
 class Plan:
-    """How vectors of one length are cut into substrings."""
+    """How vectors of one length are cut into substrings; ``recall`` is that of the trial pairs."""
 
     def __init__(self, units: np.ndarray, largest: int, threshold: float, recall: float, seed: int):
-        self.width, self.tables, self.recall, self.projections = 0, 1, 1.0, []
-        if largest <= BLOCK:  # one bucket holds all
-            return
-        rng = np.random.default_rng(seed)
+        self.projections: list[np.ndarray] = []
         self.mean = units.mean(0)
-        bits = min(BITS, units.shape[1])
-        trials = [(x - self.mean, y - self.mean) for x, y in trial_pairs(units, threshold, rng)]
-        width = max(1, min(bits, 31, max(8, round(math.log2(max(2, largest))))))
-        while True:
-            each = bits // width
-            while len(self.projections) * each < MOST_TABLES:
-                self.projections.append(learn_rotation(units - self.mean, bits, seed + len(self.projections)))
-            # the share of trial pairs that meet in the first 1, 2, ... tables
-            met = [np.logical_or.accumulate(substrings(x, self.projections, width, MOST_TABLES) == substrings(y, self.projections, width, MOST_TABLES), 1).mean(0) for x, y in trials if len(x)]
-            least = np.min(met, 0) if met else np.ones(MOST_TABLES)
-            enough = np.flatnonzero(least >= recall)
-            if len(enough) or width == 1:
+        self.bits, centred = min(BITS, units.shape[1]), units - self.mean
+        trials = [(x - self.mean, y - self.mean) for x, y in trial_pairs(units, threshold, np.random.default_rng(seed))]
+        trials = [(x, y) for x, y in trials if len(x)]
+        size = round(math.log2(max(2, largest)))
+        # what fits a block is compared in one piece, so buckets of small labels may hold some 32 vectors
+        self.width = min(self.bits, 31, max(0, size - 5) if largest <= BLOCK else max(8, size))
+        self.tables, self.recall = 1, 1.0
+        while self.width and not self._reach(recall, trials, lambda: learn_rotation(centred, self.bits, seed + len(self.projections))):
+            if self.width == 1:
                 break
-            width = max(1, width - 2)
-        self.width, self.tables = width, max(4, int(enough[0]) + 1 if len(enough) else MOST_TABLES)
-        self.recall = float(least[self.tables - 1])
-        del self.projections[math.ceil(self.tables / each) :]
+            self.width = max(1, self.width - 2)
+        if self.recall < LEAST_RECALL:  # all pairs of a label instead
+            self.width, self.tables, self.recall, self.projections = 0, 1, 1.0, []
+
+    def _reach(self, recall: float, trials, learn) -> bool:
+        """Add tables until trial pairs of each kind meet in one of them often enough; projections are learned as they are needed."""
+        each = self.bits // self.width
+        met = [np.zeros(len(x), bool) for x, _ in trials]
+        for k in range(MOST_TABLES):
+            if k // each == len(self.projections):
+                self.projections.append(learn())
+            if k % each == 0:
+                sides = [[substrings(v, [self.projections[k // each]], self.width, each) for v in pair] for pair in trials]
+            for seen, (x, y) in zip(met, sides, strict=True):
+                seen |= x[:, k % each] == y[:, k % each]
+            self.tables, self.recall = k + 1, float(min((m.mean() for m in met), default=1.0))
+            if self.recall >= recall and self.tables >= 4:
+                del self.projections[-(-self.tables // each) :]
+                return True
+        return False
 
     def codes(self, units: np.ndarray) -> np.ndarray:
         if not self.width:

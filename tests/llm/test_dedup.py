@@ -351,4 +351,31 @@ def test_a_length_is_planned_by_itself():
     for largest in (600, 10_000, 10_000_000):
         plan = itq_dedup.Plan(x, largest, 0.98, 0.98, 7)
         assert plan.recall >= 0.98 and plan.width >= min(16, np.log2(largest)) - 2
-    assert itq_dedup.Plan(x, 512, 0.98, 0.98, 7).codes(x).shape == (2000, 1)
+    # codes decide on small labels too, down to labels that one bucket of the usual size holds
+    for largest, width in ((20, 0), (60, 1), (512, 4)):
+        plan = itq_dedup.Plan(x, largest, 0.98, 0.98, 7)
+        assert plan.recall >= 0.98 and plan.width == width and plan.codes(x).shape == (2000, plan.tables)
+
+
+def test_a_plan_that_falls_short_compares_all_pairs(monkeypatch):
+    monkeypatch.setattr(itq_dedup, "MOST_TABLES", 1)
+    monkeypatch.setattr(itq_dedup, "LEAST_RECALL", 0.999)
+    x = itq_dedup.unit(np.random.default_rng(1).standard_normal((2000, 64)))
+    plan = itq_dedup.Plan(x, 1000, 0.9, 0.9999, 7)
+    assert (plan.width, plan.tables, plan.recall) == (0, 1, 1.0) and not plan.codes(x).any()
+
+
+def test_recall_of_the_whole_query(spark):
+    """Labels of 2,000 and more vectors with planted links, compared with all pairs."""
+    rows, want = [], set()
+    for label, (spectrum, offset) in enumerate([(np.ones(64), 0), (1 / np.arange(1, 65) ** 0.5, np.eye(64)[0])]):
+        x = planted(64, spectrum, offset, label, n=2000)
+        first = len(rows)
+        rows += [(first + k, v.tolist(), label) for k, v in enumerate(x)]
+        a, b = np.nonzero(np.triu(itq_dedup.unit(x) @ itq_dedup.unit(x).T >= 0.98, 1))
+        want |= {(first + i, first + j) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    degree = collections.Counter(v for pair in want for v in pair)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    found = {r.vec_id: r.n_links for r in itq_dedup.near_duplicates(table).collect()}
+    assert len(want) >= 600 and all(n <= degree[v] for v, n in found.items())
+    assert sum(found.values()) >= 0.95 * 2 * len(want)
