@@ -23,10 +23,10 @@ postings, each with heads of its own.
 Sizes, places in the lists and a parity sketch (each differing bit is a
 shingle that only one set has) rule most meetings out for certain.
 
-The search.  Classes that many others may meet are heads; the inverted lists of up
-to about ``GROUP`` heads are built once in a task, and every class that may meet one
-of them is a query: :func:`divide_skip` merges its short lists by a heap and probes
-its long ones.  A class meets all its heads in one place where it can.
+The search.  Classes that many others may meet are heads; every class that may meet
+some of them is a query against their inverted lists, which queries of the same heads
+share: :func:`divide_skip` merges the short ones by a heap and probes the long ones.
+A class meets all its heads in one place where it can, up to about ``GROUP`` there.
 
 Components need no link inside a component, so such pairs are not searched and
 numbers of links are not returned.
@@ -67,6 +67,7 @@ SMALL = 32
 PART = 4096
 HEADS = 6
 GROUP = 128
+KEPT_LISTS = 16
 
 # Word bytes: everything but \x20 and \x09-\x0D, after folding A-Z.
 _IS_WORD = np.ones(256, bool)
@@ -385,31 +386,31 @@ def _sets(size: int, base: int, shared_names: frozenset, shared):
 
 
 def _search(num: int, den: int):
-    """Links of the members of each group (kind 1) with its heads (kind 0), whose lists are built once and searched by each member."""
+    """Links of the members of each group (kind 1) with their heads (kind 0) in it; members of the same heads share inverted lists."""
 
     def run(batches):
         keep_only("hashers")
-        key, names, sets, index, found = None, [], [], None, []
+        key, sets, built, found = None, {}, {}, []
 
-        def rows():
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+        def lists_of(heads: tuple) -> Inverted:
+            if heads not in built:
+                if len(built) == KEPT_LISTS:
+                    built.clear()
+                built[heads] = Inverted([sets[h] for h in heads])
+            return built[heads]
 
         for batch in batches:
-            heads = zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True)
-            for k, (*group, kind, cls) in enumerate(heads):
+            for *group, kind, cls, heads, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if group != key:
-                    key, names, sets, index = group, [], [], None
-                values = np.frombuffer(batch.column(5)[k].as_py(), U64)
+                    key, sets, built = group, {}, {}
+                values = np.frombuffer(grams, U64)
                 if kind == 0:
-                    names.append(cls)
-                    sets.append(values)
+                    sets[cls] = values
                     continue
-                if index is None:
-                    index = Inverted(sets)
-                    sets = []
-                found += [(names[x], cls) for x in index.similar(values, num, den) if names[x] != cls]
+                heads = tuple(h for h in heads if h != cls and h in sets)
+                found += [(heads[x], cls) for x in lists_of(heads).similar(values, num, den)]
             if found:
-                yield rows()
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
                 found = []
 
     return run
@@ -561,8 +562,9 @@ def compare(pairs: DataFrame, texts: DataFrame, of_doc: DataFrame, cut, num: int
     sets, path = settle(fetch_sets(texts, of_doc, ends, cut), "sets")
     groups, of_groups = settle(grouped(pairs), "groups")
     key = ["g", "piece", "salt"]
-    side = lambda c, kind: groups.select(*key, F.lit(kind).alias("kind"), F.col(c).alias("cls")).distinct()
-    rows = side("h", 0).unionByName(side("b", 1)).join(sets, "cls").select(*key, "kind", "cls", "grams")
+    heads = groups.select(*key, F.lit(0).alias("kind"), F.col("h").alias("cls"), F.lit(None).cast("array<long>").alias("heads")).distinct()
+    members = groups.groupBy(*key, F.lit(1).alias("kind"), F.col("b").alias("cls")).agg(F.sort_array(F.collect_set("h")).alias("heads"))
+    rows = heads.unionByName(members).join(sets, "cls").select(*key, "kind", "cls", "heads", "grams")
     rows = rows.repartition(n, *key).sortWithinPartitions(*key, "kind")
     return rows.mapInArrow(_search(num, den), "a long, b long"), [path, of_groups]
 

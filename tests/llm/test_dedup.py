@@ -123,8 +123,10 @@ def test_every_link_is_found_by_the_search(monkeypatch):
     calls, real = [], jaccard_join.divide_skip
     monkeypatch.setattr(jaccard_join, "divide_skip", lambda lists, least, long=None: calls.append(len(lists)) or real(lists, least, long))
     sets = [np.arange(k, 50 + k % 3, dtype=np.uint64) for k in range(8)]
-    rows = [(7, piece, 0, kind, c, sets[c].tobytes()) for piece in (0, 1) for kind, c in [*((0, h) for h in (piece, piece + 2)), *((1, c) for c in range(8))]]
-    batch = pa.RecordBatch.from_pylist([dict(zip("gpskci", r, strict=True)) for r in rows])
+    heads = {0: [0, 2], 1: [1, 3]}
+    rows = [(7, piece, 0, kind, c, list(heads[piece]) if kind else None, sets[c].tobytes()) for piece in (0, 1) for kind, c in [*((0, h) for h in heads[piece]), *((1, c) for c in range(8))]]
+    kinds = [("g", pa.int64()), ("p", pa.int32()), ("s", pa.int32()), ("k", pa.int32()), ("c", pa.int64()), ("h", pa.list_(pa.int64())), ("i", pa.binary())]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], names=[n for n, _ in kinds])
     found = [(r["a"], r["b"]) for cut in (4, 9, 13) for b in jaccard_join._search(80, 100)([batch.slice(0, cut), batch.slice(cut)]) for r in b.to_pylist()]
     want = [(h, c) for h in (0, 2, 1, 3) for c in range(8) if h != c and jaccard_join.linked(sets[h], sets[c], 80, 100)]
     assert sorted(found) == sorted(want * 3) and calls == [len(sets[c]) for c in range(8)] * 6
