@@ -9,7 +9,8 @@
 
 The stages, in their order: adapter, generate, merge, search, stage, vote, evaluate,
 judge (with --answers for answers), finalize, validate, audit-export,
-audit-aggregate, answer-eval.
+audit-aggregate, answer-eval; curate runs those from merge to judge, and
+benchmark-statistics and quality-by-retrieval report on what they made.
 """
 
 from __future__ import annotations

@@ -185,6 +185,34 @@ def answer_eval(spark: SparkSession, config: Config, answers: str, out: str) ->
     io.write_jsonl(statistics.answer_summary(scored, ["run"], ["rouge_l", "passage_overlap", "words"]), f"{out}/summary")
 
 
+def curate(spark: SparkSession, config: Config, items: list[str], passages: str, out: str, edges: str | None = None, passes: str | None = None, index: str | None = None, vectors: str | None = None, query_vectors: str | None = None) -> None:
+    """Merging, searches, votes, metrics and, where passes of a judge are given, verdicts, one after another below ``out``."""
+    merge(spark, config, items, passages, f"{out}/merged")
+    search(spark, config, f"{out}/merged/items", passages, f"{out}/ir", edges, index, vectors, query_vectors)
+    runs = [f"{out}/ir/{n}" for n in tables.list_folders(spark, f"{out}/ir") if n != "qrels"]
+    vote(spark, config, f"{out}/merged/items", runs, f"{out}/votes")
+    evaluate(spark, config, runs, f"{out}/ir/qrels", f"{out}/metrics")
+    if passes:
+        judge(spark, config, passes, f"{out}/judge")
+
+
+def benchmark_statistics(spark: SparkSession, config: Config, records: str, out: str) -> None:
+    """Counts of benchmark records overall, by cohort and by each known field, and how many each step of construction left."""
+    rows = spark.read.json(records)
+    absent = [F.lit(None).cast("string").alias(c) for c in ("cohort", "citation_leakage") if c not in rows.columns]
+    rows = rows.select("*", *absent)
+    io.write_jsonl(statistics.benchmark_groups(rows), f"{out}/groups")
+    io.write_jsonl(statistics.construction_counts(rows), f"{out}/construction")
+
+
+def quality_by_retrieval(spark: SparkSession, config: Config, answers: str, out: str) -> None:
+    """Every numeric column of answers (run, outcome, ...) by run and outcome, with the contrast of ``both`` to the others."""
+    rows = spark.read.json(answers)
+    numeric = [f.name for f in rows.schema.fields if f.dataType.typeName() in ("double", "long", "boolean")]
+    known = rows.withColumn("outcome", curation.normal_outcome(F.col("outcome"))).select("run", "outcome", *[F.col(c).cast("double").alias(c) for c in numeric])
+    io.write_jsonl(curation.quality_by_outcome(known, ["run"], numeric), out)
+
+
 STAGES = {
     "adapter": (adapter, ("pages",)),
     "generate": (generate, ("references", "passages")),
@@ -199,5 +227,8 @@ STAGES = {
     "audit-aggregate": (audit_aggregate, ("labels",)),
     "validate": (validate, ("items",)),
     "answer-eval": (answer_eval, ("answers",)),
+    "curate": (curate, ("items*", "passages")),
+    "benchmark-statistics": (benchmark_statistics, ("records",)),
+    "quality-by-retrieval": (quality_by_retrieval, ("answers",)),
 }
-OPTIONS = {"generate": ("replies_path",), "search": ("edges", "index", "vectors", "query_vectors"), "stage": ("restage",)}
+OPTIONS = {"generate": ("replies_path",), "search": ("edges", "index", "vectors", "query_vectors"), "stage": ("restage",), "curate": ("edges", "passes", "index", "vectors", "query_vectors")}

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeweave import commands
-from citeweave.operators import html, replies
+from citeweave.operators import html, kept_index, replies
 from citeweave.plans.config import Config, Generation
+from citeweave.sources import io, publish
 
 
 def write(path, rows):
@@ -53,6 +54,37 @@ def test_from_references_to_metrics(spark, tmp_path, files):
     commands.audit_export(spark, config, f"{tmp_path}/m/items", f"{tmp_path}/a")
 
 
+def test_dense_and_kept_searches_are_staged(spark, tmp_path, files):
+    passages, _ = files
+    items = write(tmp_path / "i.jsonl", [{"item": f"i{k}", "question": f"What does rule {k} say of part number {k}?", "source_passage_id": f"p{k}", "target_passage_id": f"p{(k + 1) % 6}"} for k in range(3)])
+    vectors = write(tmp_path / "v.jsonl", [{"doc": f"p{k}", "vector": [1.0, k / 6]} for k in range(6)])
+    asked = write(tmp_path / "q.jsonl", [{"qid": f"i{k}", "vector": [1.0, k / 6]} for k in range(3)])
+    edges = write(tmp_path / "e.jsonl", [{"src": "p0", "dst": "p5"}])
+    passes = write(tmp_path / "j.jsonl", [{"item": "i0", "pass_no": 1, "decision": "PASS", "confidence": 0.9, "score": 8}])
+    for _ in range(2):  # the second time the index is there already
+        commands.curate(spark, Config(), [items], passages, f"{tmp_path}/c", edges, passes, f"{tmp_path}/index", vectors, asked)
+    names = ["bm25", "bm25_xref_expand", "dense", "dense_xref_expand", "rrf_bm25_dense", "rrf_xref_expand"]
+    runs = [f"{tmp_path}/c/ir/{n}" for n in names]
+    found = {(r.run, r.qid): r.doc for p in runs for r in io.read_run(spark, p).where("rank = 1").collect()}
+    assert {run for run, _ in found} == set(names) and all(found["dense", f"i{k}"] == found["bm25", f"i{k}"] == f"p{k}" for k in range(3))
+    assert {r.source_votes for r in read(spark, tmp_path / "c/votes/votes")} == {6}
+    assert {r.run for r in read(spark, tmp_path / "c/metrics/metrics-10")} == set(names)
+    commands.stage(spark, Config(), runs, f"{tmp_path}/staged")
+    assert publish.staged_names(spark, f"{tmp_path}/staged") == sorted([*names, "e5", "rrf"])
+    with pytest.raises(kept_index.StaleIndex):
+        commands.search(spark, Config(), items, write(tmp_path / "p2.jsonl", [{"passage_uid": "p0", "passage": "other text"}]), f"{tmp_path}/x", index=f"{tmp_path}/index")
+
+
+def test_reports_on_what_was_made(spark, tmp_path):
+    rows = [{"run": "r", "outcome": o, "f1": v, "cites": v > 0.5} for o, v in (("both", 0.9), ("SRC-only", 0.3), ("neither", 0.1))]
+    commands.quality_by_retrieval(spark, Config(), write(tmp_path / "a.jsonl", rows), f"{tmp_path}/q")
+    got = {(r.outcome, r.metric): (r["mean"], round(r.contrast, 6)) for r in read(spark, tmp_path / "q")}
+    assert got["both", "f1"] == (0.9, 0.7) and got["source_only", "cites"] == (0.0, 1.0)
+    made = [{"item": "a", "cohort": "answer_valid", "method": "x"}, {"item": "b", "cohort": "answer_failed", "method": None}]
+    commands.benchmark_statistics(spark, Config(), write(tmp_path / "b.jsonl", made), f"{tmp_path}/b")
+    assert {(r.field, r.value, r.cohort, r.n) for r in read(spark, tmp_path / "b/groups")} >= {("overall", "all", "all", 2), ("method", "missing", "answer_failed", 1)}
+
+
 def test_verdicts_audits_and_answers(spark, tmp_path):
     passes = [{"item": "a", "pass_no": 1, "decision": "PASS", "confidence": 0.9, "score": 8, "source_alone_sufficient": True}, {"item": "b", "pass_no": 1, "decision": "PASS", "confidence": 0.9}]
     commands.judge(spark, Config(), write(tmp_path / "j.jsonl", passes), f"{tmp_path}/j")
