@@ -521,12 +521,17 @@ def cut_text(raw: bytes, cut: list[tuple[int, int]]) -> str:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """The documents that have text left, repeated strings removed, with all their columns.
 
-    Rows without an id stay as they are; of rows that repeat an id, all get the
-    other columns of one of them.
+    Rows without an id stay as they are.  Rows that repeat an id keep their own
+    other columns, but those that repeat both id and text get the columns of one
+    of them.
     """
     others = [c for c in docs.columns if c not in (id_col, text_col)]
-    rest = docs.select(F.col(id_col).cast("long").alias("doc"), F.struct(F.lit(0).alias("_"), *others).alias("rest")).where(F.col("doc").isNotNull()).dropDuplicates(["doc"])
-    rows = marked(docs, id_col, text_col, length).join(rest, "doc").select("doc", "text", "copy", "marks", "rest")
+    hashed = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    rest = docs.select(F.col(id_col).cast("long").alias("doc"), hashed.alias("h"), F.struct(F.lit(0).alias("_"), *others).alias("rest")).where(F.col("doc").isNotNull())
+    # by id alone, as the texts are dealt; of the few texts of an id each has its columns
+    rest = rest.dropDuplicates(["doc", "h"]).groupBy("doc").agg(F.collect_list(F.struct("h", "rest")).alias("of_texts"))
+    own = F.filter("of_texts", lambda x: x["h"] == F.xxhash64("text"))[0]["rest"]
+    rows = marked(docs, id_col, text_col, length).join(rest, "doc").select("doc", "text", "copy", "marks", own.alias("rest"))
 
     def run(batches):
         for batch in batches:

@@ -280,6 +280,14 @@ def test_repeated_strings(spark):
     assert left.columns == table.columns and {r.doc_id for r in left.collect()} <= {d for d, _ in docs}
 
 
+def test_repeated_ids_keep_their_own_columns(spark):
+    rows = [(1, "hello", "en", "s1"), (1, "bonjour", "fr", "s2"), (1, None, "de", "s3"), (2, "hello", "en", "s4"), (1, "bonjour", "fr", "s2")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for parts in (1, 3):
+        left = suffix_dedup.remove_repeats(table.repartition(parts)).collect()
+        assert sorted((r.doc_id, r.text or "", r.lang, r.source) for r in left) == sorted((d, t or "", x, s) for d, t, x, s in rows)
+
+
 def vector_links(rows):
     good = [(v, np.array(x, float), y) for v, x, y in rows if v is not None and y is not None and x is not None and None not in x and np.isfinite(x).all() and np.any(x)]
     good = [(v, x / np.abs(x).max(), y) for v, x, y in good]
