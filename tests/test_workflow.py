@@ -1,5 +1,7 @@
 """Streams, and the retrieval step as a whole, on small tables."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +60,25 @@ def test_index_is_kept(spark, tmp_path):
     assert retrieval.bm25(docs.limit(0), queries, 5).count() == 0
 
 
+def test_search_adds_up_scores_where_a_document_is(spark):
+    """Rows of a query and a document are not shuffled: only each task's first k go to the ranking."""
+    docs = spark.createDataFrame([(1, "a b a"), (2, "a c c"), (3, None), (4, " "), (5, "b")], "doc long, text string")
+    queries = spark.createDataFrame([(8, "a a c"), (9, "b")], "qid long, text string")
+    counts = {(r.doc, r.dl): sorted((e.term, e.tf) for e in r.entries) for r in retrieval.term_counts(docs).collect()}
+    assert counts == {(1, 3): [("a", 2), ("b", 1)], (2, 3): [("a", 1), ("c", 2)], (5, 1): [("b", 1)]}
+    run = retrieval.bm25(docs, queries, 2)
+    assert sorted((r.qid, r.doc) for r in run.collect()) == [(8, 1), (8, 2), (9, 1), (9, 5)]
+    plan = run._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(qid#\d+L?, doc#", plan) and re.search(r"hashpartitioning\(doc#", plan)
+
+
+def test_runs_are_written_before_they_are_fused(spark):
+    one = spark.createDataFrame([(1, 10, 2.0, 1), (1, 11, 1.0, 2)], "qid long, doc long, score double, rank int")
+    rows = retrieval.all_runs({"a": one, "b": one.where("doc = 11")})
+    assert sorted((r.run, r.doc) for r in rows.collect()) == [("a", 10), ("a", 11), ("b", 11), ("rrf", 10), ("rrf", 11)]
+    assert "ExistingRDD" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_dense_search_of_odd_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (6, [1.0, None]), (7, [1.0, 0.0, 0.0]), (8, [2.0, 0.0])]
     table = spark.createDataFrame(rows, "doc long, vector array<float>")
