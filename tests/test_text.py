@@ -47,6 +47,18 @@ def test_titles_and_quality(spark):
     assert reason("a" * 50 + "....") == "contains_dot_leader" and reason("1" * 60) == "low_alpha_ratio" and reason("word " * 20) == "ok"
 
 
+def test_scores_normalise_a_text_once(spark):
+    def passes(column):
+        rows = spark.createDataFrame([("Part 1 x",)], "t string").select(column.alias("v"))
+        return rows._jdf.queryExecution().optimizedPlan().toString().count("(?U)")
+
+    t = F.col("t")
+    assert passes(T.title_score(t)) == 1 and passes(T.quality_reason(t)) == 1
+    assert passes(T.rule_signal_score(t)) == 2 and passes(T.row_signals(t)) == 2  # the words of short texts once more
+    assert one(spark, T.title_score(t), t="Part 1 of Scope") == 7 and one(spark, T.title_score(t), t=None) == 10
+    assert one(spark, T.rule_signal_score(t), t="A firm must not act; it shall keep records") == 16 and one(spark, T.rule_signal_score(t), t=None) == -999
+
+
 def test_navigation_needs_back_reference(spark):
     nav = lambda t: one(spark, T.looks_like_navigation(F.col("t")), t=t)
     assert nav("about some word some word") and nav("Contents of this") and nav("Home | Rules") and nav(None)
