@@ -48,7 +48,8 @@ def generate(spark: SparkSession, config: Config, references: str, passages: str
     judged = pairs.withColumn("reason", reason)
     io.write_jsonl(statistics.reason_counts(judged), f"{out}/dropped")
     kept = judged.where("reason is null").select("seq", F.col("source_uid").alias("source_id"), F.col("target_uid").alias("target_id"), "ref_type", "ref_text")
-    rows, report = sampling.sample(xrefs.features_of_references(kept, xrefs.document_features(docs), docs), config.generation.rows or config.sampling.n, config.sampling.mode, config.sampling.seed, low_overlap=config.sampling.low_overlap)
+    features, _ = tables.written(xrefs.features_of_references(kept, xrefs.document_features(docs), docs), "features")
+    rows, report = sampling.sample(features, config.generation.rows or config.sampling.n, config.sampling.mode, config.sampling.seed, low_overlap=config.sampling.low_overlap)
     rows = sampling.capped(rows, config.generation.pairs)
     text = lambda side: docs.select(F.col("doc").alias(f"{side}_id"), F.col("text").alias(f"{side}_text"))
     asked = rows.join(text("source"), "source_id").join(text("target"), "target_id")

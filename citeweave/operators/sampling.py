@@ -19,7 +19,10 @@ def any_of(*names: str) -> Column:
 
 
 def sample(rows: DataFrame, n: int, mode: str = "random", seed: int = 13, key: tuple[str, ...] = ("seq",), low_overlap: float = xrefs.LOW_OVERLAP, weights: dict[str, float] | None = None) -> tuple[DataFrame, dict]:
-    """Rows with features, sampled by one of ``MODES``, and a report; all rows where n is 0 or enough."""
+    """Rows with features, sampled by one of ``MODES``, and a report; all rows where n is 0 or enough.
+
+    The rows are read several times, so what is costly to compute should be written before.
+    """
     if mode not in MODES:
         raise ValueError(f"sampling mode must be one of {MODES}, not {mode!r}")
     tagged = rows.withColumn("low_overlap", F.col("jaccard") < low_overlap)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from citeweave.functions import text as T
 from citeweave.operators import curation, records, retrieval, sampling, statistics, xrefs
+from citeweave.plans import bindings
 from citeweave.streaming import verdicts
+from tests.conftest import SMALL
 
 
 def test_streams_skip_repeats_and_add_up(spark, tmp_path):
@@ -72,6 +74,13 @@ def test_search_adds_up_scores_where_a_document_is(spark):
     assert not re.search(r"hashpartitioning\(qid#\d+L?, doc#", plan) and re.search(r"hashpartitioning\(doc#", plan)
 
 
+def test_features_are_written_once_for_all_samples(spark):
+    rows = bindings.text_features(spark, SMALL)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" in plan and not re.search("Join|Exchange", plan)
+    assert xrefs.sample_mixed(rows, 50, 13, "seq").count() == 50 and sampling.sample(rows, 7, "hard_enriched")[1]["sampled"] == 7
+
+
 def test_runs_are_written_before_they_are_fused(spark):
     one = spark.createDataFrame([(1, 10, 2.0, 1), (1, 11, 1.0, 2)], "qid long, doc long, score double, rank int")
     rows = retrieval.all_runs({"a": one, "b": one.where("doc = 11")})
