@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from citeweave.operators.retrieval import B, EPSILON, K1, asked_terms, postings, ranked
+from citeweave.operators.retrieval import B, EPSILON, K1, asked_terms, ranked, sent_if_small, tasks_for, term_counts
 from citeweave.operators.tables import list_folders, written
 
 SLICE = 4096
@@ -61,13 +61,17 @@ def _manifests(spark: SparkSession, path: str) -> list[int]:
 
 def _write(passages: DataFrame, path: str, generation: int, id_col: str, text_col: str) -> tuple[int, int]:
     """Blocks and terms of one generation; (passages with words, total length)."""
-    rows, at = written(postings(passages, id_col, text_col), "postings")
+    rows, _ = written(term_counts(passages, id_col, text_col), "term-counts")
     lengths = rows.groupBy("doc").agg(F.first("dl").alias("dl")).agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0)))
     n, total = lengths.first()
     mean = total / n if n else 1.0
-    terms = rows.groupBy("term").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl")).withColumn("slices", F.ceil(F.col("df") / SLICE).cast("int"))
+    rows = rows.select("doc", "dl", F.explode("entries").alias("e")).select("e.term", "doc", "dl", "e.tf")
+    facts = rows.groupBy("term").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl")).withColumn("slices", F.ceil(F.col("df") / SLICE).cast("int"))
+    terms, _ = written(facts, "terms")
+    # terms of several slices are few: each has more than a slice of postings
+    frequent, _ = written(terms.where("slices > 1").select("term", "slices"), "frequent")
     level = F.least(F.lit(LEVELS - 1), F.floor(_impact(F.col("tf"), F.col("dl"), F.lit(mean)) / (K1 + 1) * LEVELS)).cast("int")
-    placed = rows.join(terms.select("term", "slices"), "term").withColumn("slice", _slice(F.col("doc"), F.col("slices"))).withColumn("level", level)
+    placed = rows.join(sent_if_small(frequent), "term", "left").withColumn("slices", F.coalesce("slices", F.lit(1))).withColumn("slice", _slice(F.col("doc"), F.col("slices"))).withColumn("level", level)
     entry = F.struct("doc", "tf", "dl")
     blocks = placed.groupBy("term", "slice", "level").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.collect_list(entry).alias("entries"))
     blocks.sortWithinPartitions("term", F.desc("level")).write.mode("overwrite").parquet(f"{path}/blocks/generation={generation}")
@@ -137,7 +141,8 @@ class KeptIndex:
         facts = weights.where("weight > 0").select("qid", "term", "weight").join(self._of("blocks").select(*key, "n", "max_tf", "min_dl"), "term")
         before = W.partitionBy("qid").orderBy(bound.desc(), *key).rowsBetween(W.unboundedPreceding, -1)
         head = facts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") < HEAD)
-        return head.select("qid", "weight", *key).join(self._of("blocks").select(*key, "n", "entries"), key)
+        head, _ = written(head.select("qid", "weight", *key), "head")
+        return self._of("blocks").select(*key, "n", "entries").join(sent_if_small(head), key)
 
     def thresholds(self, weights: DataFrame, k: int) -> DataFrame:
         """(qid, theta): a score that k documents reach at least; queries without k documents have none."""
@@ -156,27 +161,45 @@ class KeptIndex:
         return rows.withColumn("left_out", F.sum(F.when(F.col("leads"), 0.0).otherwise(F.col("most"))).over(whole))
 
     def candidate_blocks(self, split: DataFrame) -> DataFrame:
-        """The blocks of leading terms that can hold a document of the threshold; negative weights are never left out."""
-        bound = F.col("weight") * _impact(F.col("b.max_tf"), F.col("b.min_dl"), self._mean)
-        rows = split.where("leads").alias("s").join(self._of("blocks").alias("b"), "term")
-        return rows.where((F.col("weight") <= 0) | (bound + F.col("others") >= F.col("theta"))).select("qid", "term", "weight", "theta", "left_out", "n", "entries")
+        """(qid, term, n) of the blocks of leading terms that can hold a document of the threshold; negative weights are never left out."""
+        rows = self._of("blocks").select("term", "n", "max_tf", "min_dl").join(split.where("leads"), "term")
+        return rows.where(self._useful()).select("qid", "term", "n")
+
+    def _useful(self, of=F.col) -> Column:
+        bound = of("weight") * _impact(F.col("max_tf"), F.col("min_dl"), self._mean)
+        return (of("weight") <= 0) | (bound + of("others") >= of("theta"))
+
+    def found(self, split: DataFrame) -> DataFrame:
+        """(qid, doc, score) summed over the candidate blocks.
+
+        A block that any query needs is moved once, its postings dealt by document;
+        queries meet them there, so no row of a query and a document is shuffled.
+        """
+        leading = split.where("leads").select("qid", "term", "weight", "others", "theta")
+        asks, _ = written(leading.groupBy("term").agg(F.collect_list(F.struct("weight", "others", "theta")).alias("asks")), "asks")
+        blocks = self._of("blocks").select("term", "max_tf", "min_dl", "entries").join(sent_if_small(asks), "term").where(F.exists("asks", lambda a: self._useful(lambda c: a[c])))
+        entries = blocks.select("term", "max_tf", "min_dl", F.explode("entries").alias("e")).select("term", "max_tf", "min_dl", "e.*")
+        tasks = tasks_for(self.spark, self.manifest["n"], split.agg(F.countDistinct("qid")).first()[0])
+        leading, _ = written(leading, "leading")
+        hits = entries.repartition(tasks, "doc").join(sent_if_small(leading), "term").where(self._useful())
+        return hits.groupBy("qid", "doc").agg(F.sum(F.col("weight") * _impact(F.col("tf"), F.col("dl"), self._mean)).alias("score"))
 
     def completion(self, split: DataFrame, candidates: DataFrame) -> DataFrame:
         """(qid, doc, weight, tf, dl) of the left-out terms in candidate documents."""
         of_terms = self._of("terms").select("term", "generation", "slices")
         wanted = split.where("not leads").select("qid", "term", "weight").join(of_terms, "term").join(candidates.select("qid", "doc"), "qid")
         wanted = wanted.withColumn("slice", _slice(F.col("doc"), F.col("slices")))
-        keys = wanted.select("term", "generation", "slice").distinct()
-        entries = self._of("blocks").join(keys, ["term", "generation", "slice"], "left_semi").select("term", "generation", F.explode("entries").alias("e"))
-        return wanted.join(entries.select("term", "generation", "e.*"), ["term", "generation", "doc"]).select("qid", "doc", "weight", "tf", "dl")
+        wanted, _ = written(wanted, "wanted")
+        keys, _ = written(wanted.select("term", "generation", "slice").distinct(), "keys")
+        entries = self._of("blocks").join(sent_if_small(keys), ["term", "generation", "slice"], "left_semi").select("term", "generation", F.explode("entries").alias("e"))
+        return entries.select("term", "generation", "e.*").join(sent_if_small(wanted), ["term", "generation", "doc"]).select("qid", "doc", "weight", "tf", "dl")
 
     def search(self, queries: DataFrame, k: int, query_col: str = "qid", query_text: str = "text") -> DataFrame:
         """(qid, doc, score, rank): the same rows as ``retrieval.search_index``."""
         weights, _ = written(self.weights(queries, query_col, query_text), "weights")
         split, _ = written(self.split_terms(weights, self.thresholds(weights, k)), "split-terms")
-        found = self._scores(self.candidate_blocks(split))
-        limits = split.groupBy("qid").agg(F.first("theta").alias("theta"), F.first("left_out").alias("left_out"))
-        alive, _ = written(found.join(limits, "qid").where(F.col("score") + F.col("left_out") >= F.col("theta")), "candidates")
+        limits, _ = written(split.groupBy("qid").agg(F.first("theta").alias("theta"), F.first("left_out").alias("left_out")), "limits")
+        alive, _ = written(self.found(split).join(sent_if_small(limits), "qid").where(F.col("score") + F.col("left_out") >= F.col("theta")), "candidates")
         more = self.completion(split, alive).select("qid", "doc", (F.col("weight") * _impact(F.col("tf"), F.col("dl"), self._mean)).alias("score"))
         both = alive.select("qid", "doc", "score").unionByName(more).groupBy("qid", "doc").agg(F.round(F.sum("score"), 9).alias("score"))
         return ranked(both, k, by=("qid",))

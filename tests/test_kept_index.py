@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +58,21 @@ def test_fewer_postings_are_read(spark, tmp_path, small_slices):
     assert rows_of(index.search(queries, 5)) == rows_of(retrieval.bm25(docs, queries, 5))
 
 
+def test_candidates_are_added_up_where_a_document_is(spark, tmp_path, small_slices):
+    index = kept_index.build(corpus(spark), f"{tmp_path}/index")
+    weights = index.weights(asked(spark))
+    plan = index.found(index.split_terms(weights, index.thresholds(weights, 5)))._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(doc#", plan) and not re.search(r"hashpartitioning\(qid#\d+L?, doc#", plan)
+
+
+def test_joins_of_large_tables_give_the_same(spark, tmp_path, small_slices, monkeypatch):
+    docs, queries = corpus(spark), asked(spark)
+    few = rows_of(retrieval.bm25(docs, queries, 5))
+    monkeypatch.setattr(retrieval, "BROADCAST_TERMS", 0)
+    assert rows_of(retrieval.bm25(docs, queries, 5)) == few
+    assert rows_of(kept_index.build(docs, f"{tmp_path}/index").search(queries, 5)) == few
+
+
 def test_blocks_are_bounded(spark, tmp_path, small_slices):
     index = kept_index.build(corpus(spark, 3000, 5), f"{tmp_path}/index")
     blocks = index._of("blocks")
