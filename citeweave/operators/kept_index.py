@@ -185,14 +185,22 @@ class KeptIndex:
         return hits.groupBy("qid", "doc").agg(F.sum(F.col("weight") * _impact(F.col("tf"), F.col("dl"), self._mean)).alias("score"))
 
     def completion(self, split: DataFrame, candidates: DataFrame) -> DataFrame:
-        """(qid, doc, weight, tf, dl) of the left-out terms in candidate documents."""
+        """(term, doc, tf, dl) of the left-out terms, in the slices that candidates' hashes name."""
         of_terms = self._of("terms").select("term", "generation", "slices")
-        wanted = split.where("not leads").select("qid", "term", "weight").join(of_terms, "term").join(candidates.select("qid", "doc"), "qid")
-        wanted = wanted.withColumn("slice", _slice(F.col("doc"), F.col("slices")))
-        wanted, _ = written(wanted, "wanted")
-        keys, _ = written(wanted.select("term", "generation", "slice").distinct(), "keys")
-        entries = self._of("blocks").join(sent_if_small(keys), ["term", "generation", "slice"], "left_semi").select("term", "generation", F.explode("entries").alias("e"))
-        return entries.select("term", "generation", "e.*").join(sent_if_small(wanted), ["term", "generation", "doc"]).select("qid", "doc", "weight", "tf", "dl")
+        wanted = split.where("not leads").select("qid", "term").join(of_terms, "term").join(candidates.select("qid", "doc"), "qid")
+        keys, _ = written(wanted.select("term", "generation", _slice(F.col("doc"), F.col("slices")).alias("slice")).distinct(), "keys")
+        blocks = self._of("blocks").join(sent_if_small(keys), ["term", "generation", "slice"], "left_semi")
+        return blocks.select("term", F.explode("entries").alias("e")).select("term", "e.*")
+
+    def completed(self, split: DataFrame, candidates: DataFrame) -> DataFrame:
+        """(qid, doc, score) of the candidates; they and the postings of left-out terms are dealt by document once and added up there."""
+        others, _ = written(split.where("not leads").select(F.col("qid").alias("asker"), "term", "weight"), "others")
+        both = candidates.select("qid", "doc", "score").unionByName(self.completion(split, candidates), allowMissingColumns=True)
+        tasks = tasks_for(self.spark, self.manifest["n"], split.agg(F.countDistinct("qid")).first()[0])
+        met = both.repartition(tasks, "doc").join(sent_if_small(others), "term", "left").where("qid is not null or asker is not null")
+        added = F.col("weight") * _impact(F.col("tf"), F.col("dl"), self._mean)
+        sums = met.groupBy(F.coalesce("qid", "asker").alias("qid"), "doc").agg(F.round(F.sum(F.coalesce("score", added)), 9).alias("score"), F.max(F.col("score").isNotNull()).alias("alive"))
+        return sums.where("alive").drop("alive")
 
     def search(self, queries: DataFrame, k: int, query_col: str = "qid", query_text: str = "text") -> DataFrame:
         """(qid, doc, score, rank): the same rows as ``retrieval.search_index``."""
@@ -200,9 +208,7 @@ class KeptIndex:
         split, _ = written(self.split_terms(weights, self.thresholds(weights, k)), "split-terms")
         limits, _ = written(split.groupBy("qid").agg(F.first("theta").alias("theta"), F.first("left_out").alias("left_out")), "limits")
         alive, _ = written(self.found(split).join(sent_if_small(limits), "qid").where(F.col("score") + F.col("left_out") >= F.col("theta")), "candidates")
-        more = self.completion(split, alive).select("qid", "doc", (F.col("weight") * _impact(F.col("tf"), F.col("dl"), self._mean)).alias("score"))
-        both = alive.select("qid", "doc", "score").unionByName(more).groupBy("qid", "doc").agg(F.round(F.sum("score"), 9).alias("score"))
-        return ranked(both, k, by=("qid",))
+        return ranked(self.completed(split, alive), k, by=("qid",))
 
 
 def _commit(passages: DataFrame, path: str, former: KeptIndex | None, id_col: str, text_col: str) -> KeptIndex:
