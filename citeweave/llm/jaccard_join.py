@@ -54,7 +54,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import discard, partitions, settle
+from .storage import counted, discard, partitions, settle
 from .suffix_dedup import _by_shard, _dealt
 from .text_blocks import U64, blocks, keep_only, mix, random_base, span_hasher, word_spans
 
@@ -68,6 +68,8 @@ PART = 4096
 HEADS = 6
 GROUP = 128
 KEPT_LISTS = 16
+#: Ids of dropped documents that go out to the texts; more are joined, which moves the texts.
+MOST_SENT = 2_000_000
 
 # Word bytes: everything but \x20 and \x09-\x0D, after folding A-Z.
 _IS_WORD = np.ones(256, bool)
@@ -649,5 +651,5 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One document of each group of similar ones, that with the smallest id, with all its columns; rows without an id stay."""
     found = similar(docs, id_col, text_col, size, num, den)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    gone, _, n = counted(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "dropped")
+    return docs.join(F.broadcast(gone) if n <= MOST_SENT else gone, id_col, "left_anti")

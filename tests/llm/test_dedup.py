@@ -88,6 +88,25 @@ def test_similar(spark):
     assert {r.doc_id for r in kept.collect()} == want and kept.columns == table.columns
 
 
+def test_texts_stay_where_they_are_read(spark, monkeypatch):
+    docs = [(d, f"one two three four five six {d // 2}") for d in range(40)] + [(None, "one two three four five six 3"), (1, "a row that repeats an id")]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # a large table of dropped ids, as Spark judges it
+    try:
+        sent = jaccard_join.keep_one_each(table, size=3, num=99, den=100)
+        plan = sent._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+        monkeypatch.setattr(jaccard_join, "MOST_SENT", 0)
+        joined = jaccard_join.keep_one_each(table, size=3, num=99, den=100)
+        assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+        key = lambda r: (r.doc_id is not None, r.doc_id or 0, r.text)
+        assert sorted(sent.collect(), key=key) == sorted(joined.collect(), key=key)
+        assert {r.doc_id for r in sent.collect()} == {None, *range(0, 40, 2)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_blocks_of_a_long_list(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)
     monkeypatch.setattr(jaccard_join, "GROUP", 5)
