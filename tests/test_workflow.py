@@ -74,6 +74,37 @@ def test_search_adds_up_scores_where_a_document_is(spark):
     assert not re.search(r"hashpartitioning\(qid#\d+L?, doc#", plan) and re.search(r"hashpartitioning\(doc#", plan)
 
 
+def below(plan: str, node: str) -> list[str]:
+    """The lines below a node of a plan, from its child on."""
+    lines = plan.splitlines()
+    return lines[next(i for i, line in enumerate(lines) if re.search(node, line)) + 1 :]
+
+
+def test_only_asked_terms_are_dealt(spark):
+    """Of a passage's terms those that a query asks go to its task, as numbers; other terms stay where they lie."""
+    docs = spark.createDataFrame([(1, "a b a x"), (2, "a c c y"), (2, "c z"), (3, None), (5, "b"), (6, "x y z")], "doc long, text string")
+    queries = spark.createDataFrame([(8, "a a c q"), (9, "b"), (None, "c"), (7, " ")], "qid long, text string")
+    run = retrieval.bm25(docs, queries, 2)
+    dealt = below(run._jdf.queryExecution().executedPlan().toString(), r"hashpartitioning\(doc#")
+    assert not re.search("entries#|term#", dealt[0]) and re.search(r"\bno#", dealt[0]) and any("Join" in line for line in dealt)
+    assert sorted((r.qid or 0, r.doc) for r in run.collect()) == [(0, 2), (8, 1), (8, 2), (9, 1), (9, 5)]
+
+
+def test_only_candidates_are_dealt_for_reranking(spark, monkeypatch):
+    """Texts that are no candidates are not shuffled, and a join of many candidates gives the same."""
+    candidates = spark.createDataFrame([(1, 10), (1, 11), (2, 11), (2, 99), (3, 12)], "qid long, doc long")
+    queries = spark.createDataFrame([(1, "alpha beta"), (2, "gamma"), (3, None)], "qid long, text string")
+    passages = spark.createDataFrame([(10, "alpha"), (11, "beta alpha gamma"), (12, None), (13, "gamma")], "doc long, text string")
+    found = lambda: retrieval.rerank(candidates, queries, passages)
+    rows = lambda run: sorted((r.qid, r.doc, r.score, r.rank) for r in run.collect())
+    few = found()
+    dealt = below(few._jdf.queryExecution().executedPlan().toString(), r"hashpartitioning\(doc#\d+L?, \d+\), REPARTITION")
+    assert any("BroadcastHashJoin" in line and "LeftSemi" in line for line in dealt[:3])
+    assert rows(few) == [(1, 10, 0.5, 2), (1, 11, 1.0, 1), (2, 11, 1.0, 1), (3, 12, 0.0, 1)]
+    monkeypatch.setattr(retrieval, "BROADCAST_TERMS", 0)
+    assert rows(found()) == rows(few)
+
+
 def test_features_are_written_once_for_all_samples(spark):
     rows = bindings.text_features(spark, SMALL)
     plan = rows._jdf.queryExecution().executedPlan().toString()
